@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.answers import parse_answer
 from ..operators import metrics as M
 from . import sql_fragments as S
-from .dataset import Sizes, assignment, test_set
+from ..operators.splits import eval_pool, fraction_split, shuffle_positions
+from ..sources.tables import labeled_keys
+from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, leak_audit, test_set,
+                      train_set)
 from .fixtures import fixture_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +73,111 @@ def q_parse_answer(spark, sf_dir):
 @register("eval_binary", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED) + S.binary_eval("parsed"))
 def q_eval_binary(spark, sf_dir):
     return M.binary_eval(parsed_runs(spark, sf_dir), "label", "pred", by=["phase"])
+
+
+# ---- step 2: dataset building ------------------------------------------------------------------------------
+
+_TRAIN = ("train", f"SELECT row_id, label, row_number() OVER (ORDER BY {S.key(10, 'row_id')}, row_id) - 1 AS ord, "
+                   f"{S.train_prompt()} AS prompt FROM assign WHERE split = 'train'")
+_POOL_STRICT = ("pool", "SELECT row_id, label FROM labeled WHERE label IN ('positive', 'negative') "
+                        "AND row_id NOT IN (SELECT row_id FROM assign)")
+_POOL_REF = ("pool", "SELECT row_id, label FROM labeled WHERE label IS NOT NULL "
+                     "AND row_id NOT IN (SELECT row_id FROM assign WHERE label = 'negative')")
+
+
+def _bootstrap_sql(n: int) -> list[tuple[str, str]]:
+    draw_key = "md5('10:' || label || ':' || CAST(j AS VARCHAR))"
+    return [
+        ("ranked", f"SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {S.key(10, 'row_id')}, "
+                   f"row_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS pool_n FROM pool"),
+        ("draws", f"SELECT label, j AS draw, {S.hex8(draw_key)} % pool_n AS idx "
+                  f"FROM (SELECT DISTINCT label, pool_n FROM ranked) s, range(1, {n + 1}) t(j)"),
+        ("picked", "SELECT d.label, d.draw, r.row_id FROM draws d JOIN ranked r ON r.label = d.label AND r.pos = d.idx"),
+        ("evalset", f"SELECT p.row_id, p.label, p.draw, (dense_rank() OVER (ORDER BY p.label) - 1) * {n} + p.draw - 1 "
+                    f"AS ord, {S.train_prompt('l.text', 'p.label')} AS prompt FROM picked p "
+                    f"JOIN labeled l ON l.row_id = p.row_id"),
+    ]
+
+
+@register("prompt_train", _with(_LAB, _ASSIGN, _TRAIN) + "SELECT row_id, label, ord, prompt FROM train")
+def q_prompt_train(spark, sf_dir):
+    return train_set(spark, sf_dir, SIZES)
+
+
+@register("train_shuffled", _with(_LAB, _ASSIGN, _TRAIN) + "SELECT row_id, label, ord FROM train")
+def q_train_shuffled(spark, sf_dir):
+    return shuffle_positions(assignment(spark, sf_dir, SIZES).where(F.col("split") == "train")
+                             .select("row_id", "label"))
+
+
+@register("eval_pool_strict", _with(_LAB, _ASSIGN, _POOL_STRICT) + "SELECT row_id, label FROM pool")
+def q_eval_pool_strict(spark, sf_dir):
+    return eval_pool(labeled_keys(spark, sf_dir), assignment(spark, sf_dir, SIZES), policy="strict",
+                     bound_rows=SIZES.split_rows)
+
+
+@register("eval_pool_reference", _with(_LAB, _ASSIGN, _POOL_REF) + "SELECT row_id, label FROM pool")
+def q_eval_pool_reference(spark, sf_dir):
+    return eval_pool(labeled_keys(spark, sf_dir), assignment(spark, sf_dir, SIZES), policy="reference",
+                     bound_rows=SIZES.split_rows)
+
+
+@register("eval_bootstrap", _with(_LAB, _ASSIGN, _POOL_STRICT, *_bootstrap_sql(SIZES.eval))
+          + "SELECT row_id, label, draw, ord, prompt FROM evalset")
+def q_eval_bootstrap(spark, sf_dir):
+    return eval_set(spark, sf_dir, SIZES, policy="strict")
+
+
+@register("eval_bootstrap_reference", _with(_LAB, _ASSIGN, _POOL_REF, *_bootstrap_sql(SIZES.eval))
+          + "SELECT row_id, label, draw, ord, prompt FROM evalset")
+def q_eval_bootstrap_reference(spark, sf_dir):
+    return eval_set(spark, sf_dir, SIZES, policy="reference")
+
+
+_FRACTION = [
+    ("sz", "SELECT count(*) AS n, CAST(ceil((1.0::DOUBLE - 0.8::DOUBLE) * count(*)) AS BIGINT) AS n_temp FROM labeled"),
+    ("sz2", "SELECT n - n_temp AS n_train, n_temp - CAST(ceil(0.5::DOUBLE * n_temp) AS BIGINT) AS n_eval FROM sz"),
+    ("fpos", f"SELECT row_id, label, text, row_number() OVER (ORDER BY {S.key(42, 'row_id')}, row_id) - 1 AS pos "
+             f"FROM labeled"),
+    ("frac", "SELECT row_id, label, text, pos, CASE WHEN pos < n_train THEN 'train' WHEN pos < n_train + n_eval "
+             "THEN 'eval' ELSE 'test' END AS split FROM fpos, sz2"),
+]
+
+
+@register("split_fraction", _with(_LAB, *_FRACTION)
+          + f"SELECT row_id, label, pos, split, CASE WHEN split = 'train' THEN {S.train_prompt()} "
+            f"ELSE {S.test_prompt()} END AS prompt FROM frac")
+def q_split_fraction(spark, sf_dir):
+    return fraction_set(spark, sf_dir)
+
+
+@register("full_train_set", _with(_LAB) + f"SELECT row_id, label, row_number() OVER (ORDER BY {S.key(10, 'row_id')}, "
+                                         f"row_id) - 1 AS ord, {S.train_prompt()} AS prompt FROM labeled")
+def q_full_train_set(spark, sf_dir):
+    return full_train(spark, sf_dir)
+
+
+@register("split_leak_audit", _with(_LAB, *_FRACTION)
+          + "SELECT md5(text) AS text_md5, count(DISTINCT split) AS n_splits, count(*) AS n_rows, "
+            "string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM frac GROUP BY md5(text) "
+            "HAVING count(DISTINCT split) > 1")
+def q_split_leak_audit(spark, sf_dir):
+    return leak_audit(fraction_split(labeled_keys(spark, sf_dir)), spark, sf_dir)
+
+
+_BUNDLE = [_LAB, _ASSIGN, _TRAIN, _TEST, _POOL_STRICT, *_bootstrap_sql(SIZES.eval),
+           ("bundle", "SELECT 'train' AS split, row_id, label, ord, prompt FROM train UNION ALL "
+                      "SELECT 'test', row_id, label, ord, prompt FROM test UNION ALL "
+                      "SELECT 'eval', row_id, label, ord, prompt FROM evalset")]
+
+
+@register("split_sizes", _with(*_BUNDLE) + "SELECT split, label, count(*) AS n FROM bundle GROUP BY split, label")
+def q_split_sizes(spark, sf_dir):
+    return bundle(spark, sf_dir, SIZES).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("split_preview", _with(*_BUNDLE)
+          + "SELECT split, count(*) AS n, arg_min(prompt, ord) AS first_prompt FROM bundle GROUP BY split")
+def q_split_preview(spark, sf_dir):
+    return (bundle(spark, sf_dir, SIZES).groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n"), F.min_by("prompt", "ord").alias("first_prompt")))

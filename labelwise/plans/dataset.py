@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
 from ..functions.prompts import test_prompt, train_prompt
-from ..operators.splits import bootstrap_sample, eval_pool, shuffle_positions, stratified_split
+from ..operators.splits import (bootstrap_sample, eval_pool, fraction_split, shuffle_positions,
+                                 stratified_split)
 from ..sources.tables import attach_text, labeled_keys
 
 
@@ -79,3 +80,29 @@ def bundle(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "strict
             .unionByName(test_set(spark, sf_dir, sizes, assign).withColumn("split", F.lit("test")).select(*cols))
             .unionByName(eval_set(spark, sf_dir, sizes, policy, assign).withColumn("split", F.lit("eval"))
                          .select(*cols)))
+
+
+def full_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every labelled row as a training prompt, in seeded shuffle order ``ord`` (no split)."""
+    keys = shuffle_positions(labeled_keys(spark, sf_dir))
+    return (attach_text(spark, sf_dir, keys)
+            .select("row_id", "label", "ord", train_prompt(F.col("text"), F.col("label")).alias("prompt")))
+
+
+def fraction_set(spark: SparkSession, sf_dir: str, train_size: float = 0.8, eval_size: float = 0.1,
+                 test_size: float = 0.1) -> DataFrame:
+    """Unstratified fractional split of every labelled row; train rows get the training prompt, eval and
+    test rows the inference prompt (the label is hidden from eval here)."""
+    keys = fraction_split(labeled_keys(spark, sf_dir), train_size, eval_size, test_size)
+    prompt = (F.when(F.col("split") == "train", train_prompt(F.col("text"), F.col("label")))
+              .otherwise(test_prompt(F.col("text"))))
+    return attach_text(spark, sf_dir, keys).select("row_id", "label", "pos", "split", prompt.alias("prompt"))
+
+
+def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that occur in more than one split: ``(text_md5, n_splits, n_rows, splits)``."""
+    with_text = attach_text(spark, sf_dir, split_rows.select("row_id", "split"))
+    return (with_text.groupBy(F.md5(F.col("text")).alias("text_md5"))
+            .agg(F.countDistinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_rows"),
+                 F.concat_ws(",", F.array_sort(F.collect_set("split"))).alias("splits"))
+            .where(F.col("n_splits") > 1))
