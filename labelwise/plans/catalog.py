@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.answers import parse_answer
+from ..functions.answers import encode_binary, encode_seq2seq_pred, encode_seq2seq_truth, parse_answer
+from ..functions.keys import dataset_path, run_key
 from ..operators import metrics as M
 from . import sql_fragments as S
 from ..operators.splits import eval_pool, fraction_split, shuffle_positions
 from ..sources.tables import labeled_keys
-from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, leak_audit, test_set,
-                      train_set)
+from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, grid_test_set, leak_audit,
+                      test_set, train_set)
 from .fixtures import fixture_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +182,121 @@ def q_split_sizes(spark, sf_dir):
 def q_split_preview(spark, sf_dir):
     return (bundle(spark, sf_dir, SIZES).groupBy("split")
             .agg(F.count(F.lit(1)).alias("n"), F.min_by("prompt", "ord").alias("first_prompt")))
+
+
+# ---- step 3: evaluation ------------------------------------------------------------------------------------
+
+FIXTURE_MODEL = "labelwise/fixture-answers"   # model name recorded for the deterministic stand-in outputs
+_PARSED_CS = ("parsed", f"SELECT row_id, label, phase, answer, raw, {S.parse(case_sensitive=True)} AS pred FROM runs")
+_ENC = ("enc", f"SELECT row_id, phase, {S.encode('label')} AS y_true, {S.encode('pred')} AS y_pred FROM parsed")
+_CONF = ("conf", "SELECT phase, y_true, y_pred, count(*) AS n FROM enc GROUP BY phase, y_true, y_pred")
+_WIDE = ("wide", S.binary_eval("parsed"))
+
+
+def _strip_sql(c: str) -> str:
+    from ..functions.text import LSTRIP_PATTERN, RSTRIP_PATTERN
+    from ..functions.prompts import sql_literal
+    return (f"regexp_replace(regexp_replace({c}, {sql_literal(RSTRIP_PATTERN)}, ''), "
+            f"{sql_literal(LSTRIP_PATTERN)}, '')")
+
+
+def _eval_wide(spark, sf_dir):
+    return M.binary_eval(parsed_runs(spark, sf_dir), "label", "pred", by=["phase"])
+
+
+@register("parse_answer_case_sensitive", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED_CS)
+          + "SELECT row_id, phase, answer, pred FROM parsed")
+def q_parse_answer_cs(spark, sf_dir):
+    return parsed_runs(spark, sf_dir, case_sensitive=True).select("row_id", "phase", "answer", "pred")
+
+
+@register("encode_labels", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _ENC) + "SELECT * FROM enc")
+def q_encode_labels(spark, sf_dir):
+    return parsed_runs(spark, sf_dir).select("row_id", "phase", encode_binary(F.col("label")).alias("y_true"),
+                                             encode_binary(F.col("pred")).alias("y_pred"))
+
+
+@register("confusion_counts", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _ENC, _CONF) + "SELECT * FROM conf")
+def q_confusion_counts(spark, sf_dir):
+    return M.confusion(q_encode_labels(spark, sf_dir), by=["phase"])
+
+
+@register("class_report", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _ENC, _CONF, ("st", S.class_stats("conf", "phase")))
+          + f"SELECT phase, cls, round({S.ratio('tp', 'pp')}, 6) AS precision, "
+            f"round({S.ratio('tp', 'support')}, 6) AS recall, round({S.ratio('2 * tp', 'pp + support')}, 6) AS f1, "
+            f"CAST(support AS BIGINT) AS support FROM st")
+def q_class_report(spark, sf_dir):
+    return M.class_report(M.confusion(q_encode_labels(spark, sf_dir), by=["phase"]), by=["phase"])
+
+
+_CODES = ("codes", f"SELECT phase, CASE WHEN {_strip_sql('label')} = 'negative' THEN '0' "
+                   f"WHEN {_strip_sql('label')} = 'positive' THEN '1' ELSE error('unknown label: ' || label) END AS y_true, "
+                   f"CASE WHEN {_strip_sql('answer')} = 'negative' THEN '0' WHEN {_strip_sql('answer')} = 'positive' "
+                   f"THEN '1' ELSE '-100' END AS y_pred FROM runs")
+_CODES_CONF = ("cconf", "SELECT phase, y_true, y_pred, count(*) AS n FROM codes GROUP BY phase, y_true, y_pred")
+
+
+@register("eval_seq2seq", _with(_LAB, _ASSIGN, _TEST, _RUNS, _CODES, _CODES_CONF)
+          + f"SELECT phase, accuracy, f1_weighted AS f1 FROM ({S.summary(S.class_stats('cconf', 'phase'), 'phase', ())})")
+def q_eval_seq2seq(spark, sf_dir):
+    runs = fixture_raw(test_set(spark, sf_dir, SIZES))
+    codes = runs.select("phase", encode_seq2seq_truth(F.col("label")).alias("y_true"),
+                        encode_seq2seq_pred(F.col("answer")).alias("y_pred"))
+    return M.seq2seq_eval(codes, by=["phase"])
+
+
+_METRIC_COLS = (("eval_accuracy", "accuracy"), ("f1_score_0", "f1_0"), ("f1_score_1", "f1_1"),
+                ("f1_score_macro", "f1_macro"), ("f1_score_weighted", "f1_weighted"))
+
+
+@register("eval_before_after", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
+          + "SELECT metric, max(CASE WHEN phase = 'before' THEN v END) AS before, "
+            "max(CASE WHEN phase = 'after' THEN v END) AS after, "
+            "round(max(CASE WHEN phase = 'after' THEN v END) - max(CASE WHEN phase = 'before' THEN v END), 6) AS delta "
+            "FROM (" + " UNION ALL ".join(f"SELECT phase, '{w}' AS metric, {w} AS v FROM wide" for _, w in _METRIC_COLS)
+          + ") u GROUP BY metric")
+def q_eval_before_after(spark, sf_dir):
+    return M.before_after(_eval_wide(spark, sf_dir))
+
+
+_RUN_ID_SQL = (f"split_part('data/quality/data.csv', '/', 2) || '-' || split_part('{FIXTURE_MODEL}', '/', 2)")
+
+
+@register("metrics_long", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
+          + " UNION ALL ".join(f"SELECT {_RUN_ID_SQL} AS run_id, phase, phase || '_{k}' AS metric, {w} AS value FROM wide"
+                               for k, w in _METRIC_COLS))
+def q_metrics_long(spark, sf_dir):
+    run_id = run_key(dataset_path(F.lit("quality")), F.lit(FIXTURE_MODEL))
+    return M.metrics_long(_eval_wide(spark, sf_dir)).select(run_id.alias("run_id"), "phase", "metric", "value")
+
+
+@register("metrics_scalars", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
+          + "SELECT phase, 'eval/accuracy' AS tag, accuracy AS value FROM wide UNION ALL "
+            "SELECT phase, 'eval/f1', f1_macro FROM wide")
+def q_metrics_scalars(spark, sf_dir):
+    return M.scalars(_eval_wide(spark, sf_dir), by=["phase"])
+
+
+_MT = ("mt", f"SELECT 'quality' AS dataset, * FROM ({S.labeled('quality')}) a UNION ALL "
+             f"SELECT 'toxic' AS dataset, * FROM ({S.labeled('toxic')}) b")
+_GASSIGN = ("assign", S.assign(SIZES.train, SIZES.test, src="mt", part="dataset"))
+_GTEST = ("test", f"SELECT dataset, row_id, label, {S.test_prompt()} AS prompt FROM assign WHERE split = 'test'")
+_GPARSED = ("parsed", f"SELECT dataset, row_id, label, phase, {S.parse()} AS pred FROM runs")
+
+
+@register("eval_grid", _with(_MT, _GASSIGN, _GTEST, _RUNS, _GPARSED)
+          + S.binary_eval("parsed", by="dataset, phase"))
+def q_eval_grid(spark, sf_dir):
+    runs = fixture_raw(grid_test_set(spark, sf_dir, SIZES))
+    parsed = runs.withColumn("pred", parse_answer(F.col("raw")))
+    return M.binary_eval(parsed, "label", "pred", by=["dataset", "phase"])
+
+
+@register("run_key", "SELECT DISTINCT 'data/' || lang || '/data.csv' AS filename, "
+                     f"'{FIXTURE_MODEL}' AS model_name, lang || '-' || split_part('{FIXTURE_MODEL}', '/', 2) AS run_id "
+                     "FROM documents")
+def q_run_key(spark, sf_dir):
+    from ..sources.tables import read_table
+    docs = read_table(spark, sf_dir, "documents").select("lang").distinct()
+    fn, model = dataset_path(F.col("lang")), F.lit(FIXTURE_MODEL)
+    return docs.select(fn.alias("filename"), model.alias("model_name"), run_key(fn, model).alias("run_id"))

@@ -106,3 +106,13 @@ def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
             .agg(F.countDistinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_rows"),
                  F.concat_ws(",", F.array_sort(F.collect_set("split"))).alias("splits"))
             .where(F.col("n_splits") > 1))
+
+
+def grid_test_set(spark: SparkSession, sf_dir: str, sizes: Sizes) -> DataFrame:
+    """Test rows with inference prompts for every dataset of the task grid, split in one job (the window
+    is partitioned by dataset and class)."""
+    from ..sources.tables import multi_task
+    assign = stratified_split(multi_task(spark, sf_dir), sizes.train, sizes.test, group_cols=["dataset"])
+    test = assign.where(F.col("split") == "test").select("dataset", "row_id", "label", "rank")
+    return (attach_text(spark, sf_dir, test, bound_rows=sizes.split_rows * 2)
+            .select("dataset", "row_id", "label", "rank", test_prompt(F.col("text")).alias("prompt")))
