@@ -16,7 +16,9 @@ from ..functions.keys import dataset_path, run_key
 from ..operators import metrics as M
 from . import sql_fragments as S
 from ..operators.splits import eval_pool, fraction_split, shuffle_positions
-from ..sources.tables import labeled_keys
+from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tokens, mask, pad_to_longest,
+                               pad_truncate, token_count, token_ids, unmask, vocabulary)
+from ..sources.tables import labeled_keys, read_table
 from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, grid_test_set, leak_audit,
                       test_set, train_set)
 from .fixtures import fixture_raw
@@ -300,3 +302,94 @@ def q_run_key(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("lang").distinct()
     fn, model = dataset_path(F.col("lang")), F.lit(FIXTURE_MODEL)
     return docs.select(fn.alias("filename"), model.alias("model_name"), run_key(fn, model).alias("run_id"))
+
+
+# ---- step 4: token arrays ----------------------------------------------------------------------------------
+
+MAX_SEQ_LENGTH = 256      # requested max length
+MODEL_MAX_LENGTH = 512    # the tokenizer's own limit; the effective length is the smaller
+BATCH_SIZE = 8            # rows per training batch (label arrays are padded per batch)
+_N_TOK = effective_length(MAX_SEQ_LENGTH, MODEL_MAX_LENGTH)
+
+
+def corpus_tokens(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return explode_tokens(docs)
+
+
+def corpus_vocab(spark, sf_dir):
+    """Vocabulary over every document word plus the class names (targets of the seq2seq path)."""
+    label_toks = explode_tokens(labeled_keys(spark, sf_dir).select("row_id", F.col("label").alias("text")))
+    return vocabulary(corpus_tokens(spark, sf_dir).select("token").unionByName(label_toks.select("token")))
+
+
+def padded_docs(spark, sf_dir):
+    ids = token_ids(corpus_tokens(spark, sf_dir), corpus_vocab(spark, sf_dir), max_pos=_N_TOK)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
+    return (docs.join(ids, "row_id", "left")
+            .select("row_id", pad_truncate(F.coalesce(F.col("ids"), F.array().cast("array<int>")), _N_TOK)
+                    .alias("input_ids")))
+
+
+_DOC = ("doc", "SELECT doc_id AS row_id, text FROM documents")
+_TOK = ("tok", f"SELECT row_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos "
+               f"FROM (SELECT row_id, {S.tokens()} AS toks FROM doc)")
+_VOCAB = ("vocab", "SELECT token, CAST(row_number() OVER (ORDER BY token) AS INTEGER) AS id FROM ("
+                   "SELECT token FROM tok UNION "
+                   f"SELECT unnest({S.tokens('label')}) AS token FROM labeled) u")
+_IDS = ("ids", f"SELECT t.row_id, list(v.id ORDER BY t.pos) AS ids FROM tok t JOIN vocab v ON t.token = v.token "
+               f"WHERE t.pos <= {_N_TOK} GROUP BY t.row_id")
+_PADDED = ("padded", f"SELECT d.row_id, list_resize(coalesce(i.ids, []::INTEGER[]), {_N_TOK}, 0) AS input_ids "
+                     f"FROM doc d LEFT JOIN ids i ON d.row_id = i.row_id")
+_TOKS = [_LAB, _DOC, _TOK, _VOCAB, _IDS, _PADDED]
+
+
+@register("vocabulary", _with(_LAB, _DOC, _TOK, _VOCAB) + "SELECT token, id FROM vocab")
+def q_vocabulary(spark, sf_dir):
+    return corpus_vocab(spark, sf_dir)
+
+
+@register("tokens_pad_truncate", _with(*_TOKS) + "SELECT row_id, input_ids FROM padded")
+def q_tokens_pad_truncate(spark, sf_dir):
+    return padded_docs(spark, sf_dir)
+
+
+@register("labels_mask", _with(*_TOKS)
+          + f"SELECT row_id, list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN {IGNORE_ID} ELSE x END) AS labels "
+            f"FROM padded")
+def q_labels_mask(spark, sf_dir):
+    return padded_docs(spark, sf_dir).select("row_id", mask(F.col("input_ids")).alias("labels"))
+
+
+@register("labels_unmask_decode", _with(_DOC)
+          + f"SELECT row_id, array_to_string(list_slice({S.tokens()}, 1, {_N_TOK}), ' ') AS decoded FROM doc")
+def q_labels_unmask_decode(spark, sf_dir):
+    masked = padded_docs(spark, sf_dir).select("row_id", mask(F.col("input_ids")).alias("labels"))
+    restored = masked.select("row_id", unmask(F.col("labels")).alias("ids"))
+    return decode(restored, "ids", corpus_vocab(spark, sf_dir))
+
+
+@register("labels_pad_batch", _with(_LAB, _DOC, _TOK, _VOCAB, *_FRACTION,
+                                    ("lt", f"SELECT f.row_id, f.pos // {BATCH_SIZE} AS batch_id, "
+                                           f"(SELECT list(v.id ORDER BY g.i) FROM (SELECT unnest({S.tokens('f.label')}) AS t, "
+                                           f"unnest(generate_series(1, len({S.tokens('f.label')}))) AS i) g "
+                                           f"JOIN vocab v ON v.token = g.t) AS ids FROM frac f WHERE f.split = 'train'"))
+          + "SELECT row_id, batch_id, list_resize(ids, max(len(ids)) OVER (PARTITION BY batch_id), 0) AS labels FROM lt")
+def q_labels_pad_batch(spark, sf_dir):
+    train = fraction_split(labeled_keys(spark, sf_dir)).where(F.col("split") == "train")
+    toks = explode_tokens(train.select("row_id", F.col("label").alias("text")))
+    ids = token_ids(toks, corpus_vocab(spark, sf_dir))
+    batched = train.select("row_id", (F.col("pos") / BATCH_SIZE).cast("long").alias("batch_id")).join(ids, "row_id")
+    return pad_to_longest(batched, "ids", "batch_id", out="labels").select("row_id", "batch_id", "labels")
+
+
+@register("truncated_label_audit", _with(_LAB)
+          + f"SELECT label, count(*) AS n_prompts, count(*) FILTER (WHERE len({S.tokens('p')}) > {MAX_SEQ_LENGTH}) "
+            f"AS n_truncated, max(len({S.tokens('p')})) AS max_tokens FROM (SELECT label, {S.train_prompt()} AS p "
+            f"FROM labeled) x GROUP BY label")
+def q_truncated_label_audit(spark, sf_dir):
+    n = token_count(F.col("prompt"))
+    return (full_train(spark, sf_dir).groupBy("label")
+            .agg(F.count(F.lit(1)).alias("n_prompts"),
+                 F.count(F.when(n > MAX_SEQ_LENGTH, True)).alias("n_truncated"),
+                 F.max(n).cast("long").alias("max_tokens")))

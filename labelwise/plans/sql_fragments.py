@@ -102,4 +102,4 @@ def binary_eval(src: str, truth: str = "label", pred: str = "pred", by: str = "p
 
 def tokens(text: str = "text") -> str:
     return (f"list_filter(regexp_split_to_array(lower({text}), {sql_literal(TOKEN_SPLIT_PATTERN)}), "
-            f"x -> x <> '')")
+            f"lambda x: x <> '')")
