@@ -18,7 +18,11 @@ from . import sql_fragments as S
 from ..operators.splits import eval_pool, fraction_split, shuffle_positions
 from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tokens, mask, pad_to_longest,
                                pad_truncate, token_count, token_ids, unmask, vocabulary)
-from ..sources.tables import labeled_keys, read_table
+from ..functions.prompts import test_prompt
+from ..operators import naive_bayes as NB
+from ..operators.ml import lr_fit, lr_predict
+from ..operators.scoring import nb_predictor, score
+from ..sources.tables import attach_text, labeled_keys, read_table, unlabelled
 from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, grid_test_set, leak_audit,
                       test_set, train_set)
 from .fixtures import fixture_raw
@@ -393,3 +397,99 @@ def q_truncated_label_audit(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("n_prompts"),
                  F.count(F.when(n > MAX_SEQ_LENGTH, True)).alias("n_truncated"),
                  F.max(n).cast("long").alias("max_tokens")))
+
+
+# ---- step 5: classifier and scoring ------------------------------------------------------------------------
+
+def split_texts(spark, sf_dir, split: str):
+    rows = assignment(spark, sf_dir, SIZES).where(F.col("split") == split).select("row_id", "label")
+    return attach_text(spark, sf_dir, rows, bound_rows=SIZES.split_rows)
+
+
+def nb_model(spark, sf_dir):
+    return NB.fit(NB.token_counts(split_texts(spark, sf_dir, "train")))
+
+
+def _nb_sql(src: str, ids: str, text: str = "text") -> list[tuple[str, str]]:
+    """Scores of every row of ``src`` (id columns ``ids``) against the train-split count model."""
+    return [
+        ("dtok", f"SELECT {ids}, unnest({S.tokens(text)}) AS token FROM {src}"),
+        ("sums", f"SELECT {ids}, count(*) AS n, sum(ln(c.n_positive + 1)) AS s_positive, "
+                 f"sum(ln(c.n_negative + 1)) AS s_negative FROM dtok d JOIN counts c ON d.token = c.token "
+                 f"GROUP BY {ids}"),
+        ("scored", f"SELECT x.*, lp_positive + coalesce(s.s_positive, 0) - coalesce(s.n, 0) * ld_positive AS sp, "
+                   f"lp_negative + coalesce(s.s_negative, 0) - coalesce(s.n, 0) * ld_negative AS sn "
+                   f"FROM {src} x LEFT JOIN sums s USING ({ids}), params"),
+    ]
+
+
+_NB_FIT = [
+    ("trainrows", "SELECT row_id, label, text FROM assign WHERE split = 'train'"),
+    ("ttok", f"SELECT label, unnest({S.tokens()}) AS token FROM trainrows"),
+    ("counts", "SELECT token, count(*) FILTER (WHERE label = 'positive') AS n_positive, "
+               "count(*) FILTER (WHERE label = 'negative') AS n_negative FROM ttok GROUP BY token"),
+    ("params", "SELECT ln(dp / (dp + dn)) AS lp_positive, ln(dn / (dp + dn)) AS lp_negative, "
+               "ln(tp + v) AS ld_positive, ln(tn + v) AS ld_negative FROM (SELECT "
+               "(SELECT count(*) FILTER (WHERE label = 'positive') FROM trainrows)::DOUBLE AS dp, "
+               "(SELECT count(*) FILTER (WHERE label = 'negative') FROM trainrows)::DOUBLE AS dn, "
+               "(SELECT sum(n_positive) FROM counts)::DOUBLE AS tp, "
+               "(SELECT sum(n_negative) FROM counts)::DOUBLE AS tn, (SELECT count(*) FROM counts)::DOUBLE AS v) p"),
+]
+_NB_PRED = "CASE WHEN sp >= sn THEN 'positive' ELSE 'negative' END"
+
+
+@register("nb_train_counts", _with(_LAB, _ASSIGN, *_NB_FIT)
+          + "SELECT token, n_positive, n_negative FROM counts UNION ALL "
+            "SELECT NULL, count(*) FILTER (WHERE label = 'positive'), count(*) FILTER (WHERE label = 'negative') "
+            "FROM trainrows")
+def q_nb_train_counts(spark, sf_dir):
+    return NB.token_counts(split_texts(spark, sf_dir, "train"))
+
+
+@register("nb_predict", _with(_LAB, _ASSIGN, *_NB_FIT, _DOC, *_nb_sql("doc", "row_id"))
+          + f"SELECT row_id, {_NB_PRED} AS pred, round(sp, 4) AS score_positive, round(sn, 4) AS score_negative "
+            f"FROM scored")
+def q_nb_predict(spark, sf_dir):
+    model = nb_model(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return NB.predict(model, docs, broadcast_rows=model.vocab_size)
+
+
+@register("nb_before_after", _with(_LAB, _ASSIGN, *_NB_FIT,
+                                   ("testrows", "SELECT row_id, label, text FROM assign WHERE split = 'test'"),
+                                   *_nb_sql("testrows", "row_id"),
+                                   ("preds", "SELECT 'before' AS phase, label, CASE WHEN lp_positive >= lp_negative "
+                                             "THEN 'positive' ELSE 'negative' END AS pred FROM scored, params UNION ALL "
+                                             f"SELECT 'after', label, {_NB_PRED} FROM scored"))
+          + S.binary_eval("preds"))
+def q_nb_before_after(spark, sf_dir):
+    model = nb_model(spark, sf_dir)
+    test = split_texts(spark, sf_dir, "test")
+    after = NB.predict(model, test, broadcast_rows=model.vocab_size).select("row_id", "pred")
+    before = NB.prior_predict(model, test)
+    preds = (before.withColumn("phase", F.lit("before"))
+             .unionByName(after.withColumn("phase", F.lit("after")))
+             .join(test.select("row_id", "label"), "row_id"))
+    return M.binary_eval(preds, "label", "pred", by=["phase"])
+
+
+@register("score_map_in_pandas", _with(_LAB, _ASSIGN, *_NB_FIT,
+                                       ("u", f"SELECT conv_id, turn, {S.test_prompt()} AS prompt FROM conversations "
+                                             f"WHERE role = 'user'"),
+                                       *_nb_sql("u", "conv_id, turn", text="prompt"),
+                                       ("ans", f"SELECT conv_id, turn, prompt, {_NB_PRED} AS answer FROM scored"))
+          + "SELECT conv_id, turn, answer, " + S.parse("prompt || ' ' || answer") + " AS pred FROM ans")
+def q_score_map_in_pandas(spark, sf_dir):
+    model = nb_model(spark, sf_dir)
+    prompts = unlabelled(spark, sf_dir).select("conv_id", "turn", test_prompt(F.col("text")).alias("prompt"))
+    scored = score(prompts, nb_predictor(spark, model))
+    raw = F.concat(F.col("prompt"), F.lit(" "), F.col("answer"))
+    return scored.select("conv_id", "turn", "answer", parse_answer(raw).alias("pred"))
+
+
+@register("lr_predict")
+def q_lr_predict(spark, sf_dir):
+    frac = fraction_split(labeled_keys(spark, sf_dir))
+    with_text = attach_text(spark, sf_dir, frac)
+    model = lr_fit(with_text.where(F.col("split") == "train"))
+    return lr_predict(model, with_text.where(F.col("split") == "test").select("row_id", "label", "text"))
