@@ -118,3 +118,54 @@ def predictor_table(model: NBModel, max_rows: int = BROADCAST_ROW_LIMIT) -> dict
         raise ValueError(f"vocabulary of {n} tokens exceeds the predictor limit {max_rows}; use predict()")
     rows = model.word_table().collect()
     return {r["token"]: tuple(r[f"lc_{c}"] for c in model.classes) for r in rows}
+
+
+# ---- many models at once (one per key, e.g. per cycle) ----------------------------------------------------
+
+def keyed_token_counts(docs: DataFrame, key: str, classes: Sequence[str] = CLASSES, text_col: str = "text",
+                       label_col: str = "label") -> DataFrame:
+    """``(key, token, n_<class>...)`` per key value, including each key's NULL-token doc-count row."""
+    lab = F.col(label_col)
+    toks = (docs.where(lab.isin(*classes))
+            .select(key, F.explode(word_tokens(F.col(text_col))).alias("token"), lab.alias("_lab")))
+    words = toks.groupBy(key, "token").pivot("_lab", list(classes)).agg(F.count(F.lit(1)))
+    docs_rows = (docs.where(lab.isin(*classes)).groupBy(key).pivot(label_col, list(classes))
+                 .agg(F.count(F.lit(1))).withColumn("token", F.lit(None).cast("string")))
+    cols = [key, "token"] + [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(_cnt(c)) for c in classes]
+    return words.select(*cols).unionByName(docs_rows.select(*cols))
+
+
+def keyed_params(counts: DataFrame, key: str, classes: Sequence[str] = CLASSES, alpha: float = 1.0) -> DataFrame:
+    """``(key, lp_<class>, ld_<class>...)``: log prior and log denominator of every keyed model."""
+    words = F.col("token").isNotNull()
+    aggs = [F.sum(F.when(words, F.col(_cnt(c)))).alias(f"tot_{c}") for c in classes]
+    aggs += [F.sum(F.when(~words, F.col(_cnt(c)))).cast("double").alias(f"docs_{c}") for c in classes]
+    aggs.append(F.count(F.when(words, True)).alias("V"))
+    n_docs = sum((F.col(f"docs_{c}") for c in classes), F.lit(0.0))
+    return counts.groupBy(key).agg(*aggs).select(
+        key, *[F.log(F.col(f"docs_{c}") / n_docs).alias(f"lp_{c}") for c in classes],
+        *[F.log(F.coalesce(F.col(f"tot_{c}"), F.lit(0)) + F.lit(alpha) * F.col("V")).alias(f"ld_{c}")
+          for c in classes])
+
+
+def keyed_predict(counts: DataFrame, params: DataFrame, docs: DataFrame, key: str, id_col: str = "row_id",
+                  text_col: str = "text", classes: Sequence[str] = CLASSES, alpha: float = 1.0,
+                  params_rows: int | None = None, digits: int = 4) -> DataFrame:
+    """Score each row of ``docs`` with the model named by its ``key`` column.
+
+    ``params`` has one row per model; ``params_rows`` (the number of models) bounds it for a broadcast."""
+    table = counts.where(F.col("token").isNotNull()).select(
+        key, "token", *[F.log(F.col(_cnt(c)) + F.lit(alpha)).alias(f"lc_{c}") for c in classes])
+    toks = docs.select(key, id_col, F.explode(word_tokens(F.col(text_col))).alias("token"))
+    sums = (toks.join(table, [key, "token"]).groupBy(key, id_col)
+            .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in classes]))
+    p = F.broadcast(params) if params_rows is not None and params_rows <= BROADCAST_ROW_LIMIT else params
+    joined = docs.select(key, id_col).join(sums, [key, id_col], "left").join(p, key)
+    scores = {c: (F.col(f"lp_{c}") + F.coalesce(F.col(f"_s_{c}"), F.lit(0.0))
+                  - F.coalesce(F.col("_n"), F.lit(0)) * F.col(f"ld_{c}")) for c in classes}
+    best = F.greatest(*scores.values())
+    pred = None
+    for c in classes:
+        pred = F.when(scores[c] == best, F.lit(c)) if pred is None else pred.when(scores[c] == best, F.lit(c))
+    return joined.select(key, id_col, pred.alias("pred"),
+                         *[F.round(s, digits).alias(f"score_{c}") for c, s in scores.items()])

@@ -22,7 +22,9 @@ from ..functions.prompts import test_prompt
 from ..operators import naive_bayes as NB
 from ..operators.ml import lr_fit, lr_predict
 from ..operators.scoring import nb_predictor, score
-from ..sources.tables import attach_text, labeled_keys, read_table, unlabelled
+from ..sources.tables import attach_text, labeled, labeled_keys, read_table, unlabelled
+from ..streaming.cycles import (cycle_eval, scratch_folder, stream_confusion, stream_counts,
+                                write_batches)
 from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, grid_test_set, leak_audit,
                       test_set, train_set)
 from .fixtures import fixture_raw
@@ -493,3 +495,96 @@ def q_lr_predict(spark, sf_dir):
     with_text = attach_text(spark, sf_dir, frac)
     model = lr_fit(with_text.where(F.col("split") == "train"))
     return lr_predict(model, with_text.where(F.col("split") == "test").select("row_id", "label", "text"))
+
+
+# ---- step 6: cycles and streaming --------------------------------------------------------------------------
+
+N_CYCLES = 3               # cycle = row_id % 3; cycle 0 trains the base model
+CYCLE_SIZES = Sizes(8, 4, 0)
+
+
+def cycled(spark, sf_dir):
+    return labeled(spark, sf_dir, columns=("text",)).withColumn("cycle", (F.col("row_id") % N_CYCLES).cast("int"))
+
+
+def _cycle_sql(mode: str) -> list[tuple[str, str]]:
+    join = "s.src = 0 OR m.model = s.src" if mode == "star" else "m.model >= s.src"
+    prev = "0" if mode == "star" else "cycle - 1"
+    return [
+        ("cyc", f"SELECT row_id, label, text, CAST(row_id % {N_CYCLES} AS INTEGER) AS cycle FROM labeled"),
+        ("cassign", S.assign(CYCLE_SIZES.train, CYCLE_SIZES.test, src="(SELECT * FROM cyc WHERE cycle > 0)",
+                             part="cycle")),
+        ("srcrows", "SELECT 0 AS src, label, text FROM cyc WHERE cycle = 0 UNION ALL "
+                    "SELECT cycle, label, text FROM cassign WHERE split = 'train'"),
+        ("srctok", f"SELECT src, label, unnest({S.tokens()}) AS token FROM srcrows"),
+        ("srccounts", "SELECT src, token, count(*) FILTER (WHERE label = 'positive') AS n_positive, "
+                      "count(*) FILTER (WHERE label = 'negative') AS n_negative FROM srctok GROUP BY src, token "
+                      "UNION ALL SELECT src, NULL, count(*) FILTER (WHERE label = 'positive'), "
+                      "count(*) FILTER (WHERE label = 'negative') FROM srcrows GROUP BY src"),
+        ("feeds", f"SELECT s.src, m.model FROM (SELECT DISTINCT src FROM srccounts) s "
+                  f"JOIN (SELECT unnest(range(0, {N_CYCLES})) AS model) m ON {join}"),
+        ("mcounts", "SELECT f.model, c.token, sum(c.n_positive) AS n_positive, sum(c.n_negative) AS n_negative "
+                    "FROM srccounts c JOIN feeds f ON c.src = f.src GROUP BY f.model, c.token"),
+        ("mparams", "SELECT model, ln(dp / (dp + dn)) AS lp_positive, ln(dn / (dp + dn)) AS lp_negative, "
+                    "ln(tp + v) AS ld_positive, ln(tn + v) AS ld_negative FROM (SELECT model, "
+                    "CAST(sum(n_positive) FILTER (WHERE token IS NOT NULL) AS DOUBLE) AS tp, "
+                    "CAST(sum(n_negative) FILTER (WHERE token IS NOT NULL) AS DOUBLE) AS tn, "
+                    "CAST(sum(n_positive) FILTER (WHERE token IS NULL) AS DOUBLE) AS dp, "
+                    "CAST(sum(n_negative) FILTER (WHERE token IS NULL) AS DOUBLE) AS dn, "
+                    "CAST(count(token) AS DOUBLE) AS v FROM mcounts GROUP BY model) x"),
+        ("ctest", "SELECT cycle, row_id, label, text FROM cassign WHERE split = 'test'"),
+        ("cruns", f"SELECT cycle, row_id, label, text, 'before' AS phase, {prev} AS model FROM ctest UNION ALL "
+                  f"SELECT cycle, row_id, label, text, 'after' AS phase, cycle AS model FROM ctest"),
+        ("ctok", f"SELECT model, row_id, unnest({S.tokens()}) AS token FROM cruns"),
+        ("csums", "SELECT t.model, t.row_id, count(*) AS n, sum(ln(c.n_positive + 1)) AS s_positive, "
+                  "sum(ln(c.n_negative + 1)) AS s_negative FROM ctok t JOIN mcounts c "
+                  "ON c.model = t.model AND c.token = t.token GROUP BY t.model, t.row_id"),
+        ("cscored", "SELECT r.cycle, r.phase, r.label, "
+                    "p.lp_positive + coalesce(s.s_positive, 0) - coalesce(s.n, 0) * p.ld_positive AS sp, "
+                    "p.lp_negative + coalesce(s.s_negative, 0) - coalesce(s.n, 0) * p.ld_negative AS sn "
+                    "FROM cruns r LEFT JOIN csums s ON s.model = r.model AND s.row_id = r.row_id "
+                    "JOIN mparams p ON p.model = r.model"),
+        ("cpreds", f"SELECT cycle, phase, label, {_NB_PRED} AS pred FROM cscored"),
+    ]
+
+
+def _cycle_query(mode: str):
+    def run(spark, sf_dir):
+        preds = cycle_eval(cycled(spark, sf_dir), N_CYCLES, CYCLE_SIZES.train, CYCLE_SIZES.test, mode)
+        return M.binary_eval(preds, "label", "pred", by=["cycle", "phase"])
+    return run
+
+
+register("cycle_star", _with(_LAB, *_cycle_sql("star")) + S.binary_eval("cpreds", by="cycle, phase"))(
+    _cycle_query("star"))
+register("cycle_chain", _with(_LAB, *_cycle_sql("chain")) + S.binary_eval("cpreds", by="cycle, phase"))(
+    _cycle_query("chain"))
+
+
+@register("stream_cycle_counts", _with(_LAB, ("cyc", f"SELECT row_id, label, text, CAST(row_id % {N_CYCLES} AS "
+                                                     f"INTEGER) AS cycle FROM labeled"),
+                                       ("ctk", f"SELECT cycle, label, unnest({S.tokens()}) AS token FROM cyc"))
+          + "SELECT cycle, token, count(*) FILTER (WHERE label = 'positive') AS n_positive, "
+            "count(*) FILTER (WHERE label = 'negative') AS n_negative FROM ctk GROUP BY cycle, token UNION ALL "
+            "SELECT cycle, NULL, count(*) FILTER (WHERE label = 'positive'), "
+            "count(*) FILTER (WHERE label = 'negative') FROM cyc GROUP BY cycle")
+def q_stream_cycle_counts(spark, sf_dir):
+    src = cycled(spark, sf_dir).select("cycle", "row_id", "label", "text")
+    folder = scratch_folder(spark, "cycles")
+    write_batches(src, folder)
+    out = stream_counts(spark, folder, src.schema, folder + "-counts", folder + "-ckpt")
+    return out.select("cycle", "token", "n_positive", "n_negative")
+
+
+@register("stream_confusion", _with(_LAB, ("t", f"SELECT row_id, label, {S.test_prompt()} AS prompt FROM labeled"),
+                                    ("runs", S.fixture_runs("t")),
+                                    ("enc", f"SELECT phase, {S.encode('label')} AS y_true, "
+                                            f"{S.encode(S.parse())} AS y_pred FROM runs"))
+          + "SELECT phase, y_true, y_pred, count(*) AS n FROM enc GROUP BY phase, y_true, y_pred")
+def q_stream_confusion(spark, sf_dir):
+    rows = cycled(spark, sf_dir).select("row_id", "label", "cycle", test_prompt(F.col("text")).alias("prompt"))
+    runs = fixture_raw(rows).select("cycle", "phase", "label", "raw")
+    folder = scratch_folder(spark, "scored")
+    write_batches(runs, folder)
+    out = stream_confusion(spark, folder, runs.schema, folder + "-confusion", folder + "-ckpt")
+    return out.select("phase", "y_true", "y_pred", "n")
