@@ -23,6 +23,8 @@ from ..operators import naive_bayes as NB
 from ..operators.ml import lr_fit, lr_predict
 from ..operators.scoring import nb_predictor, score
 from ..sources.tables import attach_text, labeled, labeled_keys, read_table, unlabelled
+from ..sources.csv import read_labelled_csv, write_labelled_csv
+from .sinks import append_metrics, load_counts, read_metrics, save_counts, write_splits
 from ..streaming.cycles import (cycle_eval, scratch_folder, stream_confusion, stream_counts,
                                 write_batches)
 from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, grid_test_set, leak_audit,
@@ -588,3 +590,46 @@ def q_stream_confusion(spark, sf_dir):
     write_batches(runs, folder)
     out = stream_confusion(spark, folder, runs.schema, folder + "-confusion", folder + "-ckpt")
     return out.select("phase", "y_true", "y_pred", "n")
+
+
+# ---- step 7: sources and sinks -----------------------------------------------------------------------------
+
+def _na_sql(c: str) -> str:
+    from ..functions.text import NA_STRINGS
+    lits = ", ".join("'" + s.replace("'", "''") + "'" for s in NA_STRINGS)
+    return f"CASE WHEN {c} IN ({lits}) THEN NULL ELSE {c} END"
+
+
+@register("csv_roundtrip", _with(_LAB) + f"SELECT 'quality' AS dataset, {_na_sql('label')} AS label, "
+                                         f"{_na_sql('text')} AS text FROM labeled")
+def q_csv_roundtrip(spark, sf_dir):
+    folder = scratch_folder(spark, "csv") + "/data/quality/data.csv"
+    write_labelled_csv(labeled(spark, sf_dir, columns=("text",)), folder)
+    return read_labelled_csv(spark, folder).select("dataset", "label", "text")
+
+
+@register("metrics_log", ORACLE["metrics_long"])
+def q_metrics_log(spark, sf_dir):
+    folder = scratch_folder(spark, "metrics")
+    longf = q_metrics_long(spark, sf_dir)
+    for phase in ("before", "after"):   # two appends, as the before and after steps each log once
+        append_metrics(longf.where(F.col("phase") == phase), folder)
+    return read_metrics(spark, folder)
+
+
+@register("splits_sink", _with(*_BUNDLE) + "SELECT split, row_id, label, ord, prompt FROM bundle")
+def q_splits_sink(spark, sf_dir):
+    folder = scratch_folder(spark, "splits")
+    return write_splits(bundle(spark, sf_dir, SIZES), folder).select("split", "row_id", "label", "ord", "prompt")
+
+
+@register("model_roundtrip", _with(_LAB, _ASSIGN, *_NB_FIT,
+                                   ("testrows", "SELECT row_id, label, text FROM assign WHERE split = 'test'"),
+                                   *_nb_sql("testrows", "row_id"))
+          + f"SELECT row_id, {_NB_PRED} AS pred, round(sp, 4) AS score_positive, round(sn, 4) AS score_negative "
+            f"FROM scored")
+def q_model_roundtrip(spark, sf_dir):
+    folder = scratch_folder(spark, "model")
+    save_counts(NB.token_counts(split_texts(spark, sf_dir, "train")), folder)
+    model = NB.fit(load_counts(spark, folder))
+    return NB.predict(model, split_texts(spark, sf_dir, "test"), broadcast_rows=model.vocab_size)
