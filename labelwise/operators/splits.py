@@ -22,6 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.answers import CLASSES
 from ..functions.text import hash_key, hex_prefix_int
@@ -34,6 +35,7 @@ SHUFFLE_SEED = 10   # train shuffle and eval bootstrap draws
 # -------------------------------------------------------------------------------------------------------
 
 PREFILTER_MIN_ROWS = 50_000   # below this a class is ranked whole
+_SENTINEL_KEY = "~"           # sorts after every lower-case hex key
 _KEY_SPACE = 1 << 32
 
 
@@ -97,12 +99,19 @@ def stratified_split(df: DataFrame, train_size: int, test_size: int, *, seed: in
         keyed = keyed.where(keep)
 
     part = Window.partitionBy(*group_cols, label_col)
+    if prefiltered:
+        # one sentinel per pre-filtered class, ordered after every hex key: the class always has a row in
+        # the window, so a shortfall (even to zero candidates) is detected instead of returning fewer rows
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in keyed.schema.fields])
+        rows = [tuple(list(k[:-1]) + [None, k[-1], _SENTINEL_KEY]) for k, t in thresholds.items() if t is not None]
+        keyed = keyed.unionByName(df.sparkSession.createDataFrame(rows, schema))
     ranked = keyed.withColumn("rank", F.row_number().over(part.orderBy("_key", id_col)))
     if prefiltered:
-        ranked = (ranked.withColumn("_cand", F.count(F.lit(1)).over(part))
+        ranked = (ranked.withColumn("_cand", F.count(F.col(id_col)).over(part))
                   .where(F.when(F.col("_cand") < need,
                                 F.raise_error(F.lit("split candidate shortfall; rerun with a wider "
                                                     "threshold"))).otherwise(F.lit(True)))
+                  .where(F.col(id_col).isNotNull())
                   .drop("_cand"))
     return (ranked.where(F.col("rank") <= need)
             .select(*group_cols, id_col, label_col,
