@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
-from ..session import BROADCAST_ROW_LIMIT
+from ..session import BROADCAST_ROW_LIMIT, spread_for_cpu
 from ..functions.text import word_tokens
 from .tokens import explode_tokens
 
@@ -37,7 +37,8 @@ def token_counts(docs: DataFrame, classes: Sequence[str] = CLASSES, text_col: st
                  id_col: str = "row_id", label_col: str = "label") -> DataFrame:
     """``(token, n_<class>...)`` over the whole texts of ``docs``; also carries per-class doc counts in
     the reserved row ``token IS NULL`` so a count table is self-contained and additive."""
-    toks = docs.select(F.explode(word_tokens(F.col(text_col))).alias("token"), F.col(label_col).alias("_lab"))
+    toks = (spread_for_cpu(docs.select(text_col, label_col))
+            .select(F.explode(word_tokens(F.col(text_col))).alias("token"), F.col(label_col).alias("_lab")))
     words = (toks.where(F.col("_lab").isin(*classes)).groupBy("token").pivot("_lab", list(classes))
              .agg(F.count(F.lit(1))))
     docs_row = (docs.where(F.col(label_col).isin(*classes)).groupBy().pivot(label_col, list(classes))
@@ -126,7 +127,7 @@ def keyed_token_counts(docs: DataFrame, key: str, classes: Sequence[str] = CLASS
                        label_col: str = "label") -> DataFrame:
     """``(key, token, n_<class>...)`` per key value, including each key's NULL-token doc-count row."""
     lab = F.col(label_col)
-    toks = (docs.where(lab.isin(*classes))
+    toks = (spread_for_cpu(docs.where(lab.isin(*classes)).select(key, text_col, label_col))
             .select(key, F.explode(word_tokens(F.col(text_col))).alias("token"), lab.alias("_lab")))
     words = toks.groupBy(key, "token").pivot("_lab", list(classes)).agg(F.count(F.lit(1)))
     docs_rows = (docs.where(lab.isin(*classes)).groupBy(key).pivot(label_col, list(classes))
@@ -156,7 +157,8 @@ def keyed_predict(counts: DataFrame, params: DataFrame, docs: DataFrame, key: st
     ``params`` has one row per model; ``params_rows`` (the number of models) bounds it for a broadcast."""
     table = counts.where(F.col("token").isNotNull()).select(
         key, "token", *[F.log(F.col(_cnt(c)) + F.lit(alpha)).alias(f"lc_{c}") for c in classes])
-    toks = docs.select(key, id_col, F.explode(word_tokens(F.col(text_col))).alias("token"))
+    toks = (spread_for_cpu(docs.select(key, id_col, text_col), id_col)
+            .select(key, id_col, F.explode(word_tokens(F.col(text_col))).alias("token")))
     sums = (toks.join(table, [key, "token"]).groupBy(key, id_col)
             .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in classes]))
     p = F.broadcast(params) if params_rows is not None and params_rows <= BROADCAST_ROW_LIMIT else params

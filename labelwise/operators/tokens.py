@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import word_tokens
+from ..session import spread_for_cpu
 from .indexing import ordinal_positions
 
 PAD_ID = 0
@@ -22,6 +23,7 @@ IGNORE_ID = -100
 
 
 def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+    df = spread_for_cpu(df.select(id_col, text_col), id_col)
     return (df.select(id_col, F.posexplode(word_tokens(F.col(text_col))).alias("pos", "token"))
             .withColumn("pos", (F.col("pos") + 1).cast("int")))
 

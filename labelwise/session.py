@@ -67,3 +67,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_for_cpu(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Before CPU-heavy per-row work (tokenising whole texts): if the input has fewer partitions than the
+    cluster has task slots, hash-spread it over all slots. A large input already has many more partitions
+    than slots, so this adds a shuffle only where the input is a few big files (a single row group)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key) if key else df.repartition(slots)
