@@ -23,7 +23,9 @@ PY_WHITESPACE_CLASS = (
     r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
-# Word tokens: maximal runs of letters and digits of the lower-cased text.
+# Word tokens: maximal runs of letters and digits of the lower-cased text (as a match pattern, and as
+# the separator pattern between them).
+TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 TOKEN_SPLIT_PATTERN = r"[^\p{L}\p{N}]+"
 # -------------------------------------------------------------------------------------------------------
 
@@ -51,8 +53,8 @@ def py_strip(c: Column) -> Column:
 
 
 def word_tokens(c: Column) -> Column:
-    """array<string> of lower-cased letter/digit runs, empties removed (whole text, no prefix)."""
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT_PATTERN), lambda t: t != F.lit(""))
+    """array<string> of the lower-cased letter/digit runs of the whole text (NULL text -> NULL)."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN_PATTERN), 0)
 
 
 def hash_key(seed: int | str, c: Column) -> Column:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import NEGATIVE, POSITIVE
-from ..functions.text import TOKEN_SPLIT_PATTERN
+from ..functions.text import TOKEN_PATTERN
 
 
 def lr_pipeline(num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01) -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="_tok", pattern=TOKEN_SPLIT_PATTERN, gaps=True, toLowercase=True),
+        RegexTokenizer(inputCol="text", outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="_y", maxIter=max_iter, regParam=reg),

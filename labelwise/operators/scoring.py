@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..functions.text import TOKEN_SPLIT_PATTERN
+from ..functions.text import TOKEN_PATTERN
 from .naive_bayes import NBModel, predictor_table
 
 
@@ -46,7 +46,7 @@ def nb_predictor(spark: SparkSession, model: NBModel, max_rows: int | None = Non
     def make():
         import regex
 
-        split = regex.compile(TOKEN_SPLIT_PATTERN)
+        words_of = regex.compile(TOKEN_PATTERN).findall
         words = bc.value
 
         def predict(prompts: pd.Series) -> pd.Series:
@@ -55,8 +55,8 @@ def nb_predictor(spark: SparkSession, model: NBModel, max_rows: int | None = Non
                 sums = [0.0] * len(classes)
                 n = 0
                 if p is not None:
-                    for tok in split.split(p.lower()):
-                        lc = words.get(tok) if tok else None
+                    for tok in words_of(p.lower()):
+                        lc = words.get(tok)
                         if lc is not None:
                             n += 1
                             for i, v in enumerate(lc):

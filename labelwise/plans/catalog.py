@@ -325,14 +325,16 @@ def corpus_tokens(spark, sf_dir):
     return explode_tokens(docs)
 
 
-def corpus_vocab(spark, sf_dir):
+def corpus_vocab(spark, sf_dir, toks=None):
     """Vocabulary over every document word plus the class names (targets of the seq2seq path)."""
+    toks = toks if toks is not None else corpus_tokens(spark, sf_dir)
     label_toks = explode_tokens(labeled_keys(spark, sf_dir).select("row_id", F.col("label").alias("text")))
-    return vocabulary(corpus_tokens(spark, sf_dir).select("token").unionByName(label_toks.select("token")))
+    return vocabulary(toks.select("token").unionByName(label_toks.select("token")))
 
 
 def padded_docs(spark, sf_dir):
-    ids = token_ids(corpus_tokens(spark, sf_dir), corpus_vocab(spark, sf_dir), max_pos=_N_TOK)
+    toks = corpus_tokens(spark, sf_dir)
+    ids = token_ids(toks, corpus_vocab(spark, sf_dir, toks), max_pos=_N_TOK)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
     return (docs.join(ids, "row_id", "left")
             .select("row_id", pad_truncate(F.coalesce(F.col("ids"), F.array().cast("array<int>")), _N_TOK)
