@@ -35,12 +35,15 @@ def bucket_offsets(df: DataFrame, partition_cols: Sequence[str] = ()) -> DataFra
 
 def ordinal_positions(df: DataFrame, key: Column | str, tie_cols: Sequence[str] = (),
                       partition_cols: Sequence[str] = (), bucket: Column | None = None,
-                      prefix_len: int = 3, out: str = "pos", max_groups: int | None = None) -> DataFrame:
+                      prefix_len: int = 3, out: str = "pos", max_groups: int | None = None,
+                      max_buckets: int | None = None) -> DataFrame:
     """Add ``out`` = 0-based position in ``(key, *tie_cols)`` order within ``partition_cols``.
 
-    ``bucket`` defaults to the first ``prefix_len`` characters of ``key`` (uniform for hex hash keys).
-    ``max_groups`` bounds the number of distinct partition-key values; with it the offsets table
-    (``max_groups * 16**prefix_len`` rows at most) is broadcast, otherwise AQE sizes the join at run time.
+    ``bucket`` defaults to the first ``prefix_len`` characters of ``key`` (uniform for hex hash keys, so at
+    most ``16**prefix_len`` buckets). A custom ``bucket`` must state its bound in ``max_buckets`` or the
+    bound is treated as unknown. ``max_groups`` bounds the number of distinct partition-key values. With
+    both bounds known the offsets table is broadcast; otherwise AQE sizes that join at run time (the
+    ranked side is already partitioned on the bucket, so only the small offsets side moves).
     """
     key_col = F.col(key) if isinstance(key, str) else key
     b = bucket if bucket is not None else F.substring(key_col, 1, prefix_len)
@@ -50,7 +53,8 @@ def ordinal_positions(df: DataFrame, key: Column | str, tie_cols: Sequence[str]
         "_local",
         F.row_number().over(Window.partitionBy(*partition_cols, BUCKET).orderBy(key_col, *tie_cols)))
     groups = 1 if not partition_cols else max_groups
-    if groups is not None and groups * 16 ** prefix_len <= BROADCAST_ROW_LIMIT:
+    buckets = 16 ** prefix_len if bucket is None else max_buckets
+    if groups is not None and buckets is not None and groups * buckets <= BROADCAST_ROW_LIMIT:
         offsets = F.broadcast(offsets)
     return (local.join(offsets, [*partition_cols, BUCKET])
             .withColumn(out, (F.col("_start") + F.col("_local") - 1).cast("long"))

@@ -99,6 +99,16 @@ def stratified_split(df: DataFrame, train_size: int, test_size: int, *, seed: in
         keyed = keyed.where(keep)
 
     part = Window.partitionBy(*group_cols, label_col)
+    if not prefiltered and max(counts.values()) > PREFILTER_MIN_ROWS:
+        # a large class that keeps most of its rows: exact ranks from the two-level index (parallel over
+        # key-prefix buckets) instead of one task sorting the whole class
+        ranked = ordinal_positions(keyed, "_key", [id_col], partition_cols=[*group_cols, label_col],
+                                   prefix_len=3, out="rank", max_groups=len(counts))
+        ranked = ranked.withColumn("rank", F.col("rank") + 1)
+        return (ranked.where(F.col("rank") <= need)
+                .select(*group_cols, id_col, label_col,
+                        F.when(F.col("rank") <= train_size, F.lit("train")).otherwise(F.lit("test")).alias("split"),
+                        F.col("rank").cast("long").alias("rank")))
     if prefiltered:
         # one sentinel per pre-filtered class, ordered after every hex key: the class always has a row in
         # the window, so a shortfall (even to zero candidates) is detected instead of returning fewer rows

@@ -30,3 +30,9 @@ def test_prompt_text_joined_by_broadcast_and_pruned(spark):
     # the documents scan reads only the id and the text
     scans = [line for line in plan.splitlines() if "documents.parquet" in line or "ReadSchema" in line]
     assert any("struct<doc_id:bigint,text:string>" in s for s in scans)
+
+
+def test_split_window_limited_before_shuffle(spark):
+    """The per-class top-k keeps at most k rows per class per partition before the exchange."""
+    plan = _plan(catalog.QUERIES["split_stratified"](spark, SF["0.01"]))
+    assert "WindowGroupLimit" in plan

@@ -106,3 +106,12 @@ def test_stream_replay_is_idempotent(spark, tmp_folder):
     again = _rows(stream_counts(spark, tmp_folder + "/in", src.schema, tmp_folder + "/out", tmp_folder + "/ck2"),
                   "cycle", "token", "n_positive", "n_negative")
     assert first == again
+
+
+def test_large_class_two_level_rank_path(spark, monkeypatch):
+    """need * 4 >= n on a 'large' class: ranks come from the two-level index, equal to the plain window."""
+    keys = _keys(spark)
+    plain = _rows(stratified_split(keys, 30, 20), "row_id", "label", "split", "rank")
+    monkeypatch.setattr(splits, "PREFILTER_MIN_ROWS", 10)
+    monkeypatch.setattr(splits, "_threshold", lambda n, need: None)
+    assert _rows(stratified_split(keys, 30, 20), "row_id", "label", "split", "rank") == plain
