@@ -30,3 +30,11 @@ def lr_predict(model: PipelineModel, docs: DataFrame, id_col: str = "row_id") ->
     out = model.transform(docs)
     return out.select(id_col, *[c for c in ("label",) if c in docs.columns],
                       F.when(F.col("prediction") == 1.0, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE)).alias("pred"))
+
+
+def lr_save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def lr_load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

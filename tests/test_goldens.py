@@ -178,3 +178,30 @@ def test_train_prompt_strips_blank_label(spark):
     df = spark.createDataFrame([("t", " 　")], "text string, label string")
     p = df.select(train_prompt(F.col("text"), F.col("label")).alias("p")).first()["p"]
     assert p.startswith("generate_prompt\n") and p.endswith("[t] =")
+
+
+def test_adhoc_first_sentence_and_empty(spark):
+    import pandas as pd
+
+    from labelwise.plans.adhoc import predict_first, predict_sentences
+
+    def make():
+        return lambda prompts: pd.Series(["negative" if "罚款" in p else "positive" for p in prompts],
+                                         index=prompts.index)
+
+    s = "如果是在国外：处罚小米恶意营销带来网络效应，罚款1000万？国内处理就随随便便找个个人顶包完事了"
+    assert predict_first(spark, [s, "fine"], make) == "negative"
+    assert predict_first(spark, [], make) is None
+    assert [r["pred"] for r in predict_sentences(spark, [s, "fine"], make).orderBy("idx").collect()] == \
+        ["negative", "positive"]
+
+
+def test_lr_model_roundtrip(spark, tmp_folder):
+    from labelwise.operators.ml import lr_fit, lr_load, lr_predict, lr_save
+    rows = [(i, "positive" if i % 2 else "negative", ("good fine" if i % 2 else "bad awful") + f" w{i}")
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, label string, text string")
+    model = lr_fit(df)
+    lr_save(model, tmp_folder + "/lr")
+    again = lr_predict(lr_load(tmp_folder + "/lr"), df)
+    assert again.where("pred = label").count() == 40
