@@ -14,8 +14,7 @@ from ..sources.csv import sentence_frame
 def predict_sentences(spark: SparkSession, sentences, make_predictor) -> DataFrame:
     """``(idx, text, prompt, answer, pred)`` for each literal sentence: inference prompt, predictor,
     native parse."""
-    df = sentence_frame(spark, sentences).withColumn("idx", F.monotonically_increasing_id())
-    prompts = df.select("idx", "text", test_prompt(F.col("text")).alias("prompt"))
+    prompts = sentence_frame(spark, sentences).select("idx", "text", test_prompt(F.col("text")).alias("prompt"))
     scored = score(prompts, make_predictor)
     return scored.withColumn("pred", parse_answer(F.concat(F.col("prompt"), F.lit(" "), F.col("answer"))))
 

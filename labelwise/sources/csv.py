@@ -72,5 +72,5 @@ def write_labelled_csv(df: DataFrame, path: str) -> None:
 
 
 def sentence_frame(spark: SparkSession, sentences) -> DataFrame:
-    """Literal sentences as a ``text`` frame (the ad hoc single-sentence path)."""
-    return spark.createDataFrame([(s,) for s in sentences], "text string")
+    """Literal sentences as ``(idx, text)`` (the ad hoc single-sentence path; ``idx`` = input order)."""
+    return spark.createDataFrame([(i, s) for i, s in enumerate(sentences)], "idx long, text string")
