@@ -47,12 +47,13 @@ def token_counts(docs: DataFrame, classes: Sequence[str] = CLASSES, text_col: st
     return words.select(*cols).unionByName(docs_row.select(*cols))
 
 
-def merge_counts(*tables: DataFrame, classes: Sequence[str] = CLASSES) -> DataFrame:
-    """Sum count tables (base model + new batches)."""
+def merge_counts(*tables: DataFrame, classes: Sequence[str] = CLASSES, key: str | None = None) -> DataFrame:
+    """Sum count tables (base model + new batches), per ``key`` when given."""
     u = tables[0]
     for t in tables[1:]:
         u = u.unionByName(t)
-    return u.groupBy("token").agg(*[F.sum(_cnt(c)).cast("long").alias(_cnt(c)) for c in classes])
+    keys = [key, "token"] if key else ["token"]
+    return u.groupBy(*keys).agg(*[F.sum(_cnt(c)).cast("long").alias(_cnt(c)) for c in classes])
 
 
 @dataclass

@@ -94,20 +94,27 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def stream_counts(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                  classes=CLASSES) -> DataFrame:
-    """Run the count-update stream to completion and return the delta table it wrote."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(source))
+                  classes=CLASSES, files_per_trigger: int | None = 1) -> DataFrame:
+    """Run the count-update stream to completion and return the summed counts per cycle.
+
+    Each micro-batch writes its count delta into the ``cycle=<k>/batch=<id>`` partitions of ``sink`` with
+    dynamic partition overwrite: a replayed batch (same id, same files after a failure) rewrites exactly
+    its own partitions, and batches carrying rows of the same cycle never overwrite each other. The model
+    of a cycle is the sum of its batch deltas."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(source)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        delta = NB.keyed_token_counts(batch, "cycle", classes)
+        delta = NB.keyed_token_counts(batch, "cycle", classes).withColumn("batch", F.lit(batch_id))
         (delta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("cycle").parquet(sink))
+         .partitionBy("cycle", "batch").parquet(sink))
 
     q = (stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return NB.merge_counts(spark.read.parquet(sink), classes=classes, key="cycle")
 
 
 def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> DataFrame:

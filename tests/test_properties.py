@@ -115,3 +115,15 @@ def test_large_class_two_level_rank_path(spark, monkeypatch):
     monkeypatch.setattr(splits, "PREFILTER_MIN_ROWS", 10)
     monkeypatch.setattr(splits, "_threshold", lambda n, need: None)
     assert _rows(stratified_split(keys, 30, 20), "row_id", "label", "split", "rank") == plain
+
+
+def test_stream_counts_with_many_files_per_cycle(spark, tmp_folder):
+    """Rows of one cycle spread over several files (several micro-batches) still add up."""
+    from labelwise.plans.catalog import cycled
+    from labelwise.streaming.cycles import stream_counts
+    from labelwise.operators.naive_bayes import keyed_token_counts
+    src = cycled(spark, SF["0.001"]).select("cycle", "row_id", "label", "text")
+    src.repartition(5).write.parquet(tmp_folder + "/in")          # every cycle in every file
+    got = _rows(stream_counts(spark, tmp_folder + "/in", src.schema, tmp_folder + "/out", tmp_folder + "/ck"),
+                "cycle", "token", "n_positive", "n_negative")
+    assert got == _rows(keyed_token_counts(src, "cycle"), "cycle", "token", "n_positive", "n_negative")
