@@ -30,9 +30,15 @@ TEST_TAIL = "] ="
 
 
 def train_prompt(text: Column, label: Column, with_prefix: bool = True) -> Column:
-    """``[text] = label``, then Python right-strip of the whole string (a blank label strips back to '=')."""
+    """``[text] = label``, then Python right-strip of the whole string.
+
+    The string ends with the label, so the strip only reaches into it: with a non-blank label the result
+    is ``... ] = <label right-stripped>``, with a blank one the strip eats the separator's space too and
+    ends at ``=``. Only the (short) label is scanned, never the whole text."""
     head = TRAIN_HEAD if with_prefix else TEST_HEAD
-    return py_rstrip(F.concat(F.lit(head), render(text), F.lit(TRAIN_SEP), render(label)))
+    lab = py_rstrip(render(label))
+    tail = F.when(lab == F.lit(""), F.lit(TRAIN_SEP.rstrip())).otherwise(F.concat(F.lit(TRAIN_SEP), lab))
+    return F.concat(F.lit(head), render(text), tail)
 
 
 def test_prompt(text: Column) -> Column:

@@ -8,6 +8,7 @@ normally provide (shuffle partitions sized to the cores, a checkpoint folder).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,11 +70,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _size_bytes(text: str) -> int:
+    """``'128MB'`` / ``'134217728b'`` / ``'1g'`` -> bytes (Spark's size-string units)."""
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", text.lower())
+    if not m:
+        raise ValueError(f"not a size: {text!r}")
+    return int(m.group(1)) * 1024 ** "_kmgtp".index(m.group(2) or "_")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (plan statistics only: no job runs)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread_for_cpu(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Before CPU-heavy per-row work (tokenising whole texts): if the input has fewer partitions than the
-    cluster has task slots, hash-spread it over all slots. A large input already has many more partitions
-    than slots, so this adds a shuffle only where the input is a few big files (a single row group)."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= slots:
+    """Before CPU-heavy per-row work (tokenising whole texts): hash-spread a *small* input over all task
+    slots.
+
+    An input estimated below one split per slot (``slots x spark.sql.files.maxPartitionBytes``) may be read
+    by fewer tasks than there are slots -- a single-row-group file is read by one -- so it is repartitioned.
+    A large input already has many more splits than slots and is returned unchanged: no text shuffle at
+    scale. The decision uses plan statistics only, so it never runs the input's upstream stages."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    split = _size_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    if estimated_bytes(df) >= slots * split:
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)

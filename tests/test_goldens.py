@@ -180,6 +180,19 @@ def test_train_prompt_strips_blank_label(spark):
     assert p.startswith("generate_prompt\n") and p.endswith("[t] =")
 
 
+def test_train_prompt_equals_python_rstrip(spark):
+    """The label-only strip equals Python's right-strip of the whole rendered f-string."""
+    from labelwise.functions.prompts import TRAIN_HEAD
+    texts = ["t", "t  ", " ", "", None, "a　", "x\n"]
+    labels = ["positive", "pos ", "", "  ", "　 ", None, "a b\n", "\t"]
+    rows = [(t, lab) for t in texts for lab in labels]
+    df = spark.createDataFrame(rows, "text string, label string")
+    got = [r["p"] for r in df.select(train_prompt(F.col("text"), F.col("label")).alias("p")).collect()]
+    want = [f"{TRAIN_HEAD}{'nan' if t is None else t}] = {'nan' if lab is None else lab}".rstrip()
+            for t, lab in rows]
+    assert got == want
+
+
 def test_adhoc_first_sentence_and_empty(spark):
     import pandas as pd
 

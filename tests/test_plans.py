@@ -36,3 +36,27 @@ def test_split_window_limited_before_shuffle(spark):
     """The per-class top-k keeps at most k rows per class per partition before the exchange."""
     plan = _plan(catalog.QUERIES["split_stratified"](spark, SF["0.01"]))
     assert "WindowGroupLimit" in plan
+
+
+def test_spread_decision_runs_no_job(spark):
+    """Deciding whether to spread a small input uses plan statistics: the joined input is not executed."""
+    from labelwise.session import spread_for_cpu
+    from labelwise.sources.tables import labeled
+    df = labeled(spark, SF["0.01"], columns=("text",)).select("label", "text")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    spread = spread_for_cpu(df)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    assert "Exchange" in _plan(spread)   # a small input is spread over the task slots
+
+
+def test_no_spread_for_large_input(spark):
+    """An input estimated above one split per slot keeps its own partitioning (no text shuffle at scale)."""
+    from labelwise.session import spread_for_cpu
+    docs = spark.read.parquet(f"{SF['0.01']}/documents.parquet").select("doc_id", "text")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert spread_for_cpu(docs) is docs
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
