@@ -47,7 +47,9 @@ def ordinal_positions(df: DataFrame, key: Column | str, tie_cols: Sequence[str]
     """
     key_col = F.col(key) if isinstance(key, str) else key
     b = bucket if bucket is not None else F.substring(key_col, 1, prefix_len)
-    with_b = df.withColumn(BUCKET, b)
+    # a non-null bucket ('' holds NULL and empty keys, which sort first anyway): no null filter is inferred
+    # from the join below, so the counting and ranking branches share one exchange of the input
+    with_b = df.withColumn(BUCKET, F.coalesce(b, F.lit("")))
     offsets = bucket_offsets(with_b, partition_cols).select(*partition_cols, BUCKET, "_start")
     local = with_b.withColumn(
         "_local",
