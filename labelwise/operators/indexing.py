@@ -21,6 +21,17 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_ROW_LIMIT
 
 BUCKET = "_bucket"
+TARGET_BUCKET_ROWS = 1 << 20   # rows one task ranks per bucket, at most about this many on average
+MIN_PREFIX, MAX_PREFIX = 3, 8
+
+
+def prefix_for_rows(n: int | None) -> int:
+    """Hex-key prefix length giving buckets of about ``TARGET_BUCKET_ROWS`` rows or fewer for ``n`` rows
+    (3 when ``n`` is unknown or small: 4,096 buckets)."""
+    p = MIN_PREFIX
+    while n is not None and p < MAX_PREFIX and n > TARGET_BUCKET_ROWS * 16 ** p:
+        p += 1
+    return p
 
 
 def bucket_offsets(df: DataFrame, partition_cols: Sequence[str] = ()) -> DataFrame:

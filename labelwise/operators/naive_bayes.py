@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
-from ..session import BROADCAST_ROW_LIMIT, spread_for_cpu
+from ..session import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT, spread_for_cpu
 from ..functions.text import word_tokens
 from .tokens import explode_tokens
 
@@ -64,6 +64,15 @@ class NBModel:
     log_denom: dict
     vocab_size: int
     alpha: float = 1.0
+    vocab_bytes: int = 0        # UTF-8 bytes of all training tokens (counted in ``fit``)
+
+    def table_bytes(self) -> int:
+        """Size of the word table: token bytes plus a fixed per-row cost (one double per class)."""
+        return self.vocab_bytes + self.vocab_size * (16 + 8 * len(self.classes))
+
+    def broadcastable(self) -> bool:
+        """Whether the counted word table is within both broadcast limits (rows and bytes)."""
+        return self.vocab_size <= BROADCAST_ROW_LIMIT and self.table_bytes() <= BROADCAST_BYTE_LIMIT
 
     def word_table(self) -> DataFrame:
         """``(token, lc_<class>...)`` with ``lc = ln(n + alpha)``; only training tokens."""
@@ -77,21 +86,22 @@ def fit(counts: DataFrame, classes: Sequence[str] = CLASSES, alpha: float = 1.0)
     aggs = [F.sum(F.when(words, F.col(_cnt(c)))).alias(f"tot_{c}") for c in classes]
     aggs += [F.sum(F.when(~words, F.col(_cnt(c)))).alias(f"docs_{c}") for c in classes]
     aggs.append(F.count(F.when(words, True)).alias("V"))
+    aggs.append(F.sum(F.when(words, F.octet_length("token"))).alias("B"))
     row = counts.agg(*aggs).collect()[0]
     n_docs = sum(row[f"docs_{c}"] or 0 for c in classes)
     v = row["V"] or 0
     log_prior = {c: (math.log(row[f"docs_{c}"] / n_docs) if row[f"docs_{c}"] else float("-inf")) for c in classes}
     log_denom = {c: math.log((row[f"tot_{c}"] or 0) + alpha * v) if v else 0.0 for c in classes}
-    return NBModel(counts, tuple(classes), log_prior, log_denom, v, alpha)
+    return NBModel(counts, tuple(classes), log_prior, log_denom, v, alpha, row["B"] or 0)
 
 
 def predict(model: NBModel, docs: DataFrame, text_col: str = "text", id_col: str = "row_id",
-            broadcast_rows: int | None = None, digits: int = 4) -> DataFrame:
+            digits: int = 4) -> DataFrame:
     """``(id, pred, score_<class>...)`` for every row of ``docs`` (rows without known tokens get the
-    prior). ``broadcast_rows``: a checked upper bound of the vocabulary size; within the limit the word
-    table is broadcast, otherwise the join shuffles on token (AQE splits hot tokens)."""
+    prior). The word table's size was counted by ``fit``: within the broadcast limits (rows and bytes) it
+    is broadcast, otherwise the join shuffles on token (AQE splits hot tokens)."""
     table = model.word_table()
-    if broadcast_rows is not None and broadcast_rows <= BROADCAST_ROW_LIMIT:
+    if model.broadcastable():
         table = F.broadcast(table)
     toks = explode_tokens(docs.select(id_col, text_col), text_col, id_col)
     sums = (toks.join(table, "token").groupBy(id_col)
@@ -114,10 +124,12 @@ def prior_predict(model: NBModel, docs: DataFrame, id_col: str = "row_id") -> Da
 
 
 def predictor_table(model: NBModel, max_rows: int = BROADCAST_ROW_LIMIT) -> dict:
-    """The word table as a driver dict for per-task predictors; refuses vocabularies over ``max_rows``."""
+    """The word table as a driver dict for per-task predictors; refuses vocabularies over ``max_rows``
+    tokens or over the broadcast byte limit (both counted by ``fit`` before anything is collected)."""
     n = model.vocab_size
-    if n > max_rows:
-        raise ValueError(f"vocabulary of {n} tokens exceeds the predictor limit {max_rows}; use predict()")
+    if n > max_rows or model.table_bytes() > BROADCAST_BYTE_LIMIT:
+        raise ValueError(f"vocabulary of {n} tokens ({model.table_bytes()} bytes) exceeds the predictor "
+                         f"limits ({max_rows} tokens, {BROADCAST_BYTE_LIMIT} bytes); use predict()")
     rows = model.word_table().collect()
     return {r["token"]: tuple(r[f"lc_{c}"] for c in model.classes) for r in rows}
 

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from ..functions.answers import CLASSES
 from ..functions.text import hash_key, hex_prefix_int
-from ..session import BROADCAST_ROW_LIMIT
-from .indexing import ordinal_positions
+from ..session import maybe_broadcast
+from .indexing import ordinal_positions, prefix_for_rows
 
 # --- fixed values -------------------------------------------------------------------------------------
 SPLIT_SEED = 42     # per-class split and fractional split
@@ -103,7 +103,8 @@ def stratified_split(df: DataFrame, train_size: int, test_size: int, *, seed: in
         # a large class that keeps most of its rows: exact ranks from the two-level index (parallel over
         # key-prefix buckets) instead of one task sorting the whole class
         ranked = ordinal_positions(keyed, "_key", [id_col], partition_cols=[*group_cols, label_col],
-                                   prefix_len=3, out="rank", max_groups=len(counts))
+                                   prefix_len=prefix_for_rows(max(counts.values())), out="rank",
+                                   max_groups=len(counts))
         ranked = ranked.withColumn("rank", F.col("rank") + 1)
         return (ranked.where(F.col("rank") <= need)
                 .select(*group_cols, id_col, label_col,
@@ -129,10 +130,6 @@ def stratified_split(df: DataFrame, train_size: int, test_size: int, *, seed: in
                     F.col("rank").cast("long").alias("rank")))
 
 
-def _maybe_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
-    return F.broadcast(df) if bound_rows is not None and bound_rows <= BROADCAST_ROW_LIMIT else df
-
-
 def eval_pool(df: DataFrame, assignment: DataFrame, *, policy: str = "strict", id_col: str = "row_id",
               label_col: str = "label", classes: Sequence[str] = CLASSES, group_cols: Sequence[str] = (),
               bound_rows: int | None = None) -> DataFrame:
@@ -154,7 +151,7 @@ def eval_pool(df: DataFrame, assignment: DataFrame, *, policy: str = "strict", i
         base = df.where(F.col(label_col).isin(*classes))
     else:
         raise ValueError(f"unknown eval pool policy {policy!r}")
-    used = _maybe_broadcast(used.select(*group_cols, id_col), bound_rows)
+    used = maybe_broadcast(used.select(*group_cols, id_col), bound_rows)
     return base.join(used, [*group_cols, id_col], "left_anti")
 
 
@@ -193,12 +190,13 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
 
 
 def shuffle_positions(df: DataFrame, *, seed: int = SHUFFLE_SEED, id_col: str = "row_id",
-                      out: str = "ord", prefix_len: int = 3) -> DataFrame:
+                      out: str = "ord", rows: int | None = None) -> DataFrame:
     """Seeded full permutation: ``out`` = 0-based place of the row in ``md5('<seed>:<id>')`` order.
 
-    To materialise in that order, ``orderBy(out)`` (a range-partitioned sort)."""
+    ``rows`` (a count or bound of ``df``) sizes the index buckets. To materialise in that order,
+    ``orderBy(out)`` (a range-partitioned sort)."""
     return (ordinal_positions(df.withColumn("_key", hash_key(seed, F.col(id_col))), "_key", [id_col],
-                              prefix_len=prefix_len, out=out)
+                              prefix_len=prefix_for_rows(rows), out=out)
             .drop("_key"))
 
 
@@ -210,13 +208,13 @@ def fraction_sizes(n: int, train_size: float = 0.8, eval_size: float = 0.1, test
 
 
 def fraction_split(df: DataFrame, train_size: float = 0.8, eval_size: float = 0.1, test_size: float = 0.1, *,
-                   seed: int = SPLIT_SEED, id_col: str = "row_id", prefix_len: int = 3) -> DataFrame:
+                   seed: int = SPLIT_SEED, id_col: str = "row_id") -> DataFrame:
     """Unstratified train/eval/test split with exact sizes: the first ``train`` rows in hash order are
     train, the next ``eval`` rows eval, the rest test. Adds ``split`` and ``pos``."""
     n = df.count()
     sz = fraction_sizes(n, train_size, eval_size, test_size)
     pos = ordinal_positions(df.withColumn("_key", hash_key(seed, F.col(id_col))), "_key", [id_col],
-                            prefix_len=prefix_len, out="pos").drop("_key")
+                            prefix_len=prefix_for_rows(n), out="pos").drop("_key")
     return pos.withColumn(
         "split",
         F.when(F.col("pos") < sz["train"], F.lit("train"))

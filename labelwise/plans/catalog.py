@@ -458,7 +458,7 @@ def q_nb_train_counts(spark, sf_dir):
 def q_nb_predict(spark, sf_dir):
     model = nb_model(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return NB.predict(model, docs, broadcast_rows=model.vocab_size)
+    return NB.predict(model, docs)
 
 
 @register("nb_before_after", _with(_LAB, _ASSIGN, *_NB_FIT,
@@ -471,7 +471,7 @@ def q_nb_predict(spark, sf_dir):
 def q_nb_before_after(spark, sf_dir):
     model = nb_model(spark, sf_dir)
     test = split_texts(spark, sf_dir, "test")
-    after = NB.predict(model, test, broadcast_rows=model.vocab_size).select("row_id", "pred")
+    after = NB.predict(model, test).select("row_id", "pred")
     before = NB.prior_predict(model, test)
     preds = (before.withColumn("phase", F.lit("before"))
              .unionByName(after.withColumn("phase", F.lit("after")))
@@ -634,4 +634,4 @@ def q_model_roundtrip(spark, sf_dir):
     folder = scratch_folder(spark, "model")
     save_counts(NB.token_counts(split_texts(spark, sf_dir, "train")), folder)
     model = NB.fit(load_counts(spark, folder))
-    return NB.predict(model, split_texts(spark, sf_dir, "test"), broadcast_rows=model.vocab_size)
+    return NB.predict(model, split_texts(spark, sf_dir, "test"))

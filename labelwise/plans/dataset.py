@@ -16,7 +16,7 @@ from ..functions.answers import CLASSES
 from ..functions.prompts import test_prompt, train_prompt
 from ..operators.splits import (bootstrap_sample, eval_pool, fraction_split, shuffle_positions,
                                  stratified_split)
-from ..sources.tables import attach_text, labeled_keys
+from ..sources.tables import attach_text, labeled_keys, read_table
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,8 @@ def test_set(spark: SparkSession, sf_dir: str, sizes: Sizes, assign: DataFrame |
 def train_set(spark: SparkSession, sf_dir: str, sizes: Sizes, assign: DataFrame | None = None) -> DataFrame:
     """Train rows with training prompts; ``ord`` = place in the seeded shuffle."""
     assign = assign if assign is not None else assignment(spark, sf_dir, sizes)
-    train = shuffle_positions(assign.where(F.col("split") == "train").select("row_id", "label"))
+    train = shuffle_positions(assign.where(F.col("split") == "train").select("row_id", "label"),
+                              rows=sizes.train * len(CLASSES))
     return (attach_text(spark, sf_dir, train, bound_rows=sizes.split_rows)
             .select("row_id", "label", "ord", train_prompt(F.col("text"), F.col("label")).alias("prompt")))
 
@@ -84,7 +85,8 @@ def bundle(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "strict
 
 def full_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled row as a training prompt, in seeded shuffle order ``ord`` (no split)."""
-    keys = shuffle_positions(labeled_keys(spark, sf_dir))
+    # the labels table's row count (from file footers) bounds the labelled keys and sizes the index
+    keys = shuffle_positions(labeled_keys(spark, sf_dir), rows=read_table(spark, sf_dir, "labels").count())
     return (attach_text(spark, sf_dir, keys)
             .select("row_id", "label", "ord", train_prompt(F.col("text"), F.col("label")).alias("prompt")))
 
@@ -100,9 +102,15 @@ def fraction_set(spark: SparkSession, sf_dir: str, train_size: float = 0.8, eval
 
 
 def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that occur in more than one split: ``(text_md5, n_splits, n_rows, splits)``."""
-    with_text = attach_text(spark, sf_dir, split_rows.select("row_id", "split"))
-    return (with_text.groupBy(F.md5(F.col("text")).alias("text_md5"))
+    """Texts that occur in more than one split: ``(text_md5, n_splits, n_rows, splits)``.
+
+    The hash is taken in the documents scan, so the join and the grouping move 32-character digests,
+    never whole texts; the grouping combines map-side, so a text copied many times is one partial row per
+    task and split before the shuffle."""
+    digests = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"),
+                                                            F.md5(F.col("text")).alias("text_md5"))
+    with_md5 = split_rows.select("row_id", "split").join(digests, "row_id")
+    return (with_md5.groupBy("text_md5")
             .agg(F.countDistinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_rows"),
                  F.concat_ws(",", F.array_sort(F.collect_set("split"))).alias("splits"))
             .where(F.col("n_splits") > 1))

@@ -17,6 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 # broadcast explicitly. Data-dependent sides are left to AQE, which converts joins at run time from measured
 # shuffle sizes.
 BROADCAST_ROW_LIMIT = 2_000_000
+# Bytes above which a counted table (a model's word table) is not broadcast even within the row limit.
+BROADCAST_BYTE_LIMIT = 256 << 20
+
+
+def maybe_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
+    """Broadcast hint for a side whose row count is bounded by ``bound_rows`` (a parameter or a counted
+    value); an unknown or too large bound leaves the choice to the planner and AQE."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if bound_rows is not None and bound_rows <= BROADCAST_ROW_LIMIT else df
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None, app: str = "labelwise",

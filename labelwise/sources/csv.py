@@ -48,14 +48,17 @@ def read_labelled_csv(spark: SparkSession, paths, on_bad_bytes: str = "replace",
         raise ValueError(f"unknown on_bad_bytes {on_bad_bytes!r}")
     if not with_row_id:
         return df
-    # scan order inside a file is its line order; fix it once (reliable checkpoint) before numbering
+    # scan order inside a file is its line order; fix it once (reliable checkpoint) before numbering. A
+    # multi-line CSV file is never split, so its rows carry consecutive scan ids in line order and the line
+    # number is the scan id minus the file's first one: an aggregate per file (map-side combined), not a
+    # sort of each file's rows -- one huge file does not become one huge sort.
     df = cut_lineage(df.withColumn("_scan", F.monotonically_increasing_id()))
-    files = df.select("file_path").distinct()
-    files = files.withColumn("_file", F.dense_rank().over(Window.orderBy("file_path")) - 1)  # one row per file
-    line = F.row_number().over(Window.partitionBy("file_path").orderBy("_scan")) - 1
-    return (df.join(F.broadcast(files), "file_path")
-            .withColumn("row_id", F.shiftleft(F.col("_file").cast("long"), _LINE_BITS) + line)
-            .drop("_scan", "_file"))
+    files = (df.groupBy("file_path").agg(F.min("_scan").alias("_first"))
+             .withColumn("_file", F.dense_rank().over(Window.orderBy("file_path")) - 1))  # one row per file
+    return (df.join(files, "file_path")
+            .withColumn("row_id", F.shiftleft(F.col("_file").cast("long"), _LINE_BITS)
+                        + (F.col("_scan") - F.col("_first")))
+            .drop("_scan", "_first", "_file"))
 
 
 def ingest(spark: SparkSession, paths, out: str, **kw) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import CLASSES, encode_binary, parse_answer
 from ..operators import naive_bayes as NB
 from ..operators.splits import stratified_split
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, maybe_broadcast
 
 
 def cycle_models(base: DataFrame, batches: DataFrame, n_cycles: int, mode: str = "star",
@@ -63,7 +63,9 @@ def cycle_eval(labelled: DataFrame, n_cycles: int, train_size: int, test_size: i
     cycle is split ``train_size`` / ``test_size`` per class."""
     later = labelled.where(F.col("cycle") > 0)
     assign = stratified_split(later.select("cycle", "row_id", "label"), train_size, test_size, group_cols=["cycle"])
-    rows = later.join(F.broadcast(assign.select("cycle", "row_id", "split")), ["cycle", "row_id"])
+    # the assignment holds at most cycles x classes x (train + test) rows
+    bound = n_cycles * len(classes) * (train_size + test_size)
+    rows = later.join(maybe_broadcast(assign.select("cycle", "row_id", "split"), bound), ["cycle", "row_id"])
     models = cycle_models(labelled.where(F.col("cycle") == 0).select("label", "text"),
                           rows.where(F.col("split") == "train").select("cycle", "label", "text"),
                           n_cycles, mode, classes)

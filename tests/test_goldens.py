@@ -54,6 +54,27 @@ def test_quoting_header_missing_field(spark, tmp_folder):
     assert len({r["row_id"] for r in rows}) == 3
 
 
+def test_row_ids_are_file_index_and_line(spark, tmp_folder):
+    """row_id = file index (path order) * 2^33 + record number in the file, however files are packed into
+    partitions (small partitions here pack several files per task)."""
+    texts = {f"data-{k}.csv": [f"t{k}-{i}" for i in range(n)] for k, n in ((1, 5), (2, 1), (3, 7))}
+    paths = []
+    for name, ts in texts.items():
+        body = "".join(f'positive,"{t}\nsecond line"\n' if i % 2 else f"negative,{t}\n" for i, t in enumerate(ts))
+        paths.append(_csv(tmp_folder, name, body.encode()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        rows = read_labelled_csv(spark, paths).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = {}
+    for f, (name, ts) in enumerate(sorted(texts.items())):
+        for i, t in enumerate(ts):
+            want[(f << 33) + i] = t
+    assert {r["row_id"]: r["text"].split("\n")[0] for r in rows} == want
+
+
 def test_cycle_from_path(spark, tmp_folder):
     p = _csv(tmp_folder, "data-2.csv", b"positive,x\n")
     assert read_labelled_csv(spark, p).first()["cycle"] == 2
