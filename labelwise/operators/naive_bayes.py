@@ -37,16 +37,20 @@ def token_counts(docs: DataFrame, classes: Sequence[str] = CLASSES, text_col: st
                  id_col: str = "row_id", label_col: str = "label") -> DataFrame:
     """``(token, n_<class>...)`` over the whole texts of ``docs``; also carries per-class doc counts in
     the reserved row ``token IS NULL`` so a count table is self-contained and additive."""
-    toks = (spread_for_cpu(docs.select(text_col, label_col))
+    labelled = docs.where(F.col(label_col).isin(*classes))
+    toks = (spread_for_cpu(labelled.select(text_col, label_col))
             .select(F.explode(word_tokens(F.col(text_col))).alias("token"), F.col(label_col).alias("_lab")))
-    words = (toks.where(F.col("_lab").isin(*classes)).groupBy("token").pivot("_lab", list(classes))
-             .agg(F.count(F.lit(1))))
-    docs_row = (docs.where(F.col(label_col).isin(*classes)).groupBy().pivot(label_col, list(classes))
-                .agg(F.count(F.lit(1))).withColumn("token", F.lit(None).cast("string")))
-    cols = ["token"] + [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(_cnt(c)) for c in classes]
+    # one conditional count per class: a single map-side-combined aggregate (one shuffle on token)
+    words = toks.groupBy("token").agg(*_class_counts("_lab", classes))
+    docs_row = labelled.agg(*_class_counts(label_col, classes)).withColumn("token", F.lit(None).cast("string"))
+    cols = ["token"] + [_cnt(c) for c in classes]
     return words.select(*cols).unionByName(docs_row.select(*cols))
 
 
+def _class_counts(label_col: str, classes: Sequence[str]) -> list:
+    return [F.count(F.when(F.col(label_col) == F.lit(c), True)).cast("long").alias(_cnt(c)) for c in classes]
+
+
 def merge_counts(*tables: DataFrame, classes: Sequence[str] = CLASSES, key: str | None = None) -> DataFrame:
     """Sum count tables (base model + new batches), per ``key`` when given."""
     u = tables[0]
@@ -103,10 +107,12 @@ def predict(model: NBModel, docs: DataFrame, text_col: str = "text", id_col: str
     table = model.word_table()
     if model.broadcastable():
         table = F.broadcast(table)
-    toks = explode_tokens(docs.select(id_col, text_col), text_col, id_col)
-    sums = (toks.join(table, "token").groupBy(id_col)
-            .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in model.classes]))
-    joined = docs.select(id_col).join(sums, id_col, "left")
+    # outer explode + left join: a document without known words keeps one row with NULL scores, so one
+    # aggregate per document yields every document (no second join back to the document ids)
+    toks = explode_tokens(docs.select(id_col, text_col), text_col, id_col, outer=True)
+    first = f"lc_{model.classes[0]}"
+    joined = (toks.join(table, "token", "left").groupBy(id_col)
+              .agg(F.count(first).alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in model.classes]))
     scores = {c: (F.lit(model.log_prior[c]) + F.coalesce(F.col(f"_s_{c}"), F.lit(0.0))
                   - F.coalesce(F.col("_n"), F.lit(0)) * F.lit(model.log_denom[c])) for c in model.classes}
     best = F.greatest(*scores.values()) if len(scores) > 1 else list(scores.values())[0]
@@ -140,12 +146,13 @@ def keyed_token_counts(docs: DataFrame, key: str, classes: Sequence[str] = CLASS
                        label_col: str = "label") -> DataFrame:
     """``(key, token, n_<class>...)`` per key value, including each key's NULL-token doc-count row."""
     lab = F.col(label_col)
-    toks = (spread_for_cpu(docs.where(lab.isin(*classes)).select(key, text_col, label_col))
+    labelled = docs.where(lab.isin(*classes))
+    toks = (spread_for_cpu(labelled.select(key, text_col, label_col))
             .select(key, F.explode(word_tokens(F.col(text_col))).alias("token"), lab.alias("_lab")))
-    words = toks.groupBy(key, "token").pivot("_lab", list(classes)).agg(F.count(F.lit(1)))
-    docs_rows = (docs.where(lab.isin(*classes)).groupBy(key).pivot(label_col, list(classes))
-                 .agg(F.count(F.lit(1))).withColumn("token", F.lit(None).cast("string")))
-    cols = [key, "token"] + [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(_cnt(c)) for c in classes]
+    words = toks.groupBy(key, "token").agg(*_class_counts("_lab", classes))
+    docs_rows = labelled.groupBy(key).agg(*_class_counts(label_col, classes)).withColumn(
+        "token", F.lit(None).cast("string"))
+    cols = [key, "token"] + [_cnt(c) for c in classes]
     return words.select(*cols).unionByName(docs_rows.select(*cols))
 
 
@@ -171,11 +178,11 @@ def keyed_predict(counts: DataFrame, params: DataFrame, docs: DataFrame, key: st
     table = counts.where(F.col("token").isNotNull()).select(
         key, "token", *[F.log(F.col(_cnt(c)) + F.lit(alpha)).alias(f"lc_{c}") for c in classes])
     toks = (spread_for_cpu(docs.select(key, id_col, text_col), id_col)
-            .select(key, id_col, F.explode(word_tokens(F.col(text_col))).alias("token")))
-    sums = (toks.join(table, [key, "token"]).groupBy(key, id_col)
-            .agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in classes]))
+            .select(key, id_col, F.explode_outer(word_tokens(F.col(text_col))).alias("token")))
+    sums = (toks.join(table, [key, "token"], "left").groupBy(key, id_col)
+            .agg(F.count(f"lc_{classes[0]}").alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in classes]))
     p = F.broadcast(params) if params_rows is not None and params_rows <= BROADCAST_ROW_LIMIT else params
-    joined = docs.select(key, id_col).join(sums, [key, id_col], "left").join(p, key)
+    joined = sums.join(p, key)
     scores = {c: (F.col(f"lp_{c}") + F.coalesce(F.col(f"_s_{c}"), F.lit(0.0))
                   - F.coalesce(F.col("_n"), F.lit(0)) * F.col(f"ld_{c}")) for c in classes}
     best = F.greatest(*scores.values())

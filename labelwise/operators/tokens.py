@@ -22,9 +22,12 @@ PAD_ID = 0
 IGNORE_ID = -100
 
 
-def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id") -> DataFrame:
+def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id", outer: bool = False) -> DataFrame:
+    """``(id, pos, token)`` per word of the whole text. ``outer=True`` keeps a row without words (or with
+    NULL text) as one ``(id, NULL, NULL)`` row, so per-row aggregates still see it."""
     df = spread_for_cpu(df.select(id_col, text_col), id_col)
-    return (df.select(id_col, F.posexplode(word_tokens(F.col(text_col))).alias("pos", "token"))
+    gen = F.posexplode_outer if outer else F.posexplode
+    return (df.select(id_col, gen(word_tokens(F.col(text_col))).alias("pos", "token"))
             .withColumn("pos", (F.col("pos") + 1).cast("int")))
 
 

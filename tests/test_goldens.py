@@ -239,3 +239,33 @@ def test_lr_model_roundtrip(spark, tmp_folder):
     lr_save(model, tmp_folder + "/lr")
     again = lr_predict(lr_load(tmp_folder + "/lr"), df)
     assert again.where("pred = label").count() == 40
+
+
+def test_nb_scores_rows_without_words(spark):
+    """Naive Bayes by hand on a tiny corpus; rows with no known word, no word at all or NULL text still get
+    a row (the prior), for the single model and for keyed models."""
+    import math
+    from labelwise.operators import naive_bayes as NB
+    train = spark.createDataFrame([(1, "positive", "good good fun"), (2, "positive", "fun"),
+                                   (3, "negative", "bad"), (4, "neutral", "ignored words")],
+                                  "row_id long, label string, text string")
+    model = NB.fit(NB.token_counts(train))
+    assert model.vocab_size == 3 and model.vocab_bytes == len("good") + len("fun") + len("bad")
+    docs = spark.createDataFrame([(10, "good bad"), (11, "unknown"), (12, ""), (13, None), (14, "!!")],
+                                 "row_id long, text string")
+    got = {r["row_id"]: (r["pred"], r["score_positive"], r["score_negative"])
+           for r in NB.predict(model, docs).collect()}
+    # positive: counts good 2, fun 2 (total 4); negative: bad 1 (total 1); V = 3; priors 2/3 and 1/3
+    lp, ln_ = math.log(2 / 3), math.log(1 / 3)
+    pos = lp + math.log(3 / 7) + math.log(1 / 7)
+    neg = ln_ + math.log(1 / 4) + math.log(2 / 4)
+    assert got[10] == ("positive" if pos >= neg else "negative", round(pos, 4), round(neg, 4))
+    for rid in (11, 12, 13, 14):
+        assert got[rid] == ("positive", round(lp, 4), round(ln_, 4))
+
+    keyed = NB.keyed_token_counts(train.withColumn("m", F.lit(0)), "m")
+    params = NB.keyed_params(keyed, "m")
+    kdocs = docs.withColumn("m", F.lit(0))
+    kgot = {r["row_id"]: (r["pred"], r["score_positive"], r["score_negative"])
+            for r in NB.keyed_predict(keyed, params, kdocs, "m", params_rows=1).collect()}
+    assert kgot == got
