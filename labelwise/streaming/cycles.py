@@ -119,9 +119,18 @@ def stream_counts(spark: SparkSession, source: str, schema, sink: str, checkpoin
     return NB.merge_counts(spark.read.parquet(sink), classes=classes, key="cycle")
 
 
-def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkpoint: str) -> DataFrame:
-    """Running confusion counts over scored batches (``phase, label, raw``), parsed natively."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
+                     state_partitions: int = 1) -> DataFrame:
+    """Running confusion counts over scored batches (``phase, label, raw``), parsed natively.
+
+    The state has at most phases x 2 x 2 keys, so it is kept in ``state_partitions`` partitions (fixed in
+    the checkpoint at the first start): each micro-batch combines its rows map-side in parallel and only
+    those partial counts are shuffled, so one state partition is enough at any input size and avoids a
+    state-store commit per empty partition. The stream runs in a sibling session (same cluster, own SQL
+    settings), so the caller's settings are untouched."""
+    stream_session = spark.newSession()
+    stream_session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    stream = (stream_session.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(source))
     counts = (stream.select("phase", encode_binary(F.col("label")).alias("y_true"),
                             encode_binary(parse_answer(F.col("raw"))).alias("y_pred"))
