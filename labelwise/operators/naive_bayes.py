@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
-from ..session import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT, spread_for_cpu
+from ..session import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT, cut_lineage, spread_for_cpu
 from ..functions.text import word_tokens
 from .tokens import explode_tokens
 
@@ -84,8 +84,15 @@ class NBModel:
             "token", *[F.log(F.col(_cnt(c)) + F.lit(self.alpha)).alias(f"lc_{c}") for c in self.classes])
 
 
-def fit(counts: DataFrame, classes: Sequence[str] = CLASSES, alpha: float = 1.0) -> NBModel:
-    """Scalars of the model from a count table (one small aggregate row reaches the driver)."""
+def fit(counts: DataFrame, classes: Sequence[str] = CLASSES, alpha: float = 1.0,
+        materialize: bool = True) -> NBModel:
+    """Scalars of the model from a count table (one small aggregate row reaches the driver).
+
+    ``materialize``: the count table is written once to the shared checkpoint folder (reliable
+    checkpoint), so the scalars here and every later prediction read it instead of tokenising the
+    training texts again. Pass ``False`` for a table that is already stored (a loaded model)."""
+    if materialize:
+        counts = cut_lineage(counts, "nb-counts")
     words = F.col("token").isNotNull()
     aggs = [F.sum(F.when(words, F.col(_cnt(c)))).alias(f"tot_{c}") for c in classes]
     aggs += [F.sum(F.when(~words, F.col(_cnt(c)))).alias(f"docs_{c}") for c in classes]
@@ -171,15 +178,17 @@ def keyed_params(counts: DataFrame, key: str, classes: Sequence[str] = CLASSES,
 
 def keyed_predict(counts: DataFrame, params: DataFrame, docs: DataFrame, key: str, id_col: str = "row_id",
                   text_col: str = "text", classes: Sequence[str] = CLASSES, alpha: float = 1.0,
-                  params_rows: int | None = None, digits: int = 4) -> DataFrame:
-    """Score each row of ``docs`` with the model named by its ``key`` column.
+                  params_rows: int | None = None, digits: int = 4, carry: Sequence[str] = ()) -> DataFrame:
+    """Score each row of ``docs`` with the model named by its ``key`` column; ``(key, id)`` is unique.
 
-    ``params`` has one row per model; ``params_rows`` (the number of models) bounds it for a broadcast."""
+    ``params`` has one row per model; ``params_rows`` (the number of models) bounds it for a broadcast.
+    ``carry``: columns of ``docs`` passed through to the output (constant per row, so they ride along in
+    the per-row aggregate instead of needing a join back)."""
     table = counts.where(F.col("token").isNotNull()).select(
         key, "token", *[F.log(F.col(_cnt(c)) + F.lit(alpha)).alias(f"lc_{c}") for c in classes])
-    toks = (spread_for_cpu(docs.select(key, id_col, text_col), id_col)
-            .select(key, id_col, F.explode_outer(word_tokens(F.col(text_col))).alias("token")))
-    sums = (toks.join(table, [key, "token"], "left").groupBy(key, id_col)
+    toks = (spread_for_cpu(docs.select(key, id_col, *carry, text_col), id_col)
+            .select(key, id_col, *carry, F.explode_outer(word_tokens(F.col(text_col))).alias("token")))
+    sums = (toks.join(table, [key, "token"], "left").groupBy(key, id_col, *carry)
             .agg(F.count(f"lc_{classes[0]}").alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in classes]))
     p = F.broadcast(params) if params_rows is not None and params_rows <= BROADCAST_ROW_LIMIT else params
     joined = sums.join(p, key)
@@ -189,5 +198,5 @@ def keyed_predict(counts: DataFrame, params: DataFrame, docs: DataFrame, key: st
     pred = None
     for c in classes:
         pred = F.when(scores[c] == best, F.lit(c)) if pred is None else pred.when(scores[c] == best, F.lit(c))
-    return joined.select(key, id_col, pred.alias("pred"),
+    return joined.select(key, id_col, *carry, pred.alias("pred"),
                          *[F.round(s, digits).alias(f"score_{c}") for c, s in scores.items()])

@@ -633,5 +633,5 @@ def q_splits_sink(spark, sf_dir):
 def q_model_roundtrip(spark, sf_dir):
     folder = scratch_folder(spark, "model")
     save_counts(NB.token_counts(split_texts(spark, sf_dir, "train")), folder)
-    model = NB.fit(load_counts(spark, folder))
+    model = NB.fit(load_counts(spark, folder), materialize=False)
     return NB.predict(model, split_texts(spark, sf_dir, "test"))

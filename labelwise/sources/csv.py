@@ -52,7 +52,7 @@ def read_labelled_csv(spark: SparkSession, paths, on_bad_bytes: str = "replace",
     # multi-line CSV file is never split, so its rows carry consecutive scan ids in line order and the line
     # number is the scan id minus the file's first one: an aggregate per file (map-side combined), not a
     # sort of each file's rows -- one huge file does not become one huge sort.
-    df = cut_lineage(df.withColumn("_scan", F.monotonically_increasing_id()))
+    df = cut_lineage(df.withColumn("_scan", F.monotonically_increasing_id()), "csv-scan")
     files = (df.groupBy("file_path").agg(F.min("_scan").alias("_first"))
              .withColumn("_file", F.dense_rank().over(Window.orderBy("file_path")) - 1))  # one row per file
     return (df.join(files, "file_path")

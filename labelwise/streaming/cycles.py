@@ -32,17 +32,16 @@ from pyspark.sql import functions as F
 from ..functions.answers import CLASSES, encode_binary, parse_answer
 from ..operators import naive_bayes as NB
 from ..operators.splits import stratified_split
-from ..session import ensure_checkpoint_dir, maybe_broadcast
+from ..session import cut_lineage, ensure_checkpoint_dir, maybe_broadcast
 
 
-def cycle_models(base: DataFrame, batches: DataFrame, n_cycles: int, mode: str = "star",
-                 classes=CLASSES) -> DataFrame:
+def cycle_models(sources: DataFrame, n_cycles: int, mode: str = "star", classes=CLASSES) -> DataFrame:
     """``(model, token, n_<class>...)`` for models ``0..n_cycles-1`` (model 0 = base).
 
-    ``base``: labelled rows ``(label, text)``; ``batches``: ``(cycle, label, text)`` training rows of the
-    later cycles (``cycle`` >= 1)."""
-    base_counts = NB.keyed_token_counts(base.withColumn("src", F.lit(0)), "src", classes)
-    delta_counts = NB.keyed_token_counts(batches.withColumnRenamed("cycle", "src"), "src", classes)
+    ``sources``: training rows ``(src, label, text)`` -- ``src = 0`` for the base rows, ``src = k`` for the
+    training rows of cycle ``k`` >= 1. Each source is counted once; its count rows are fanned out to the
+    models it feeds and summed."""
+    counts = NB.keyed_token_counts(sources, "src", classes)
     last = F.lit(n_cycles - 1)
     if mode == "star":
         feeds = F.when(F.col("src") == 0, F.sequence(F.lit(0), last)).otherwise(F.array(F.col("src")))
@@ -50,8 +49,7 @@ def cycle_models(base: DataFrame, batches: DataFrame, n_cycles: int, mode: str =
         feeds = F.sequence(F.col("src"), last)
     else:
         raise ValueError(f"unknown cycle mode {mode!r}")
-    fanned = base_counts.unionByName(delta_counts).withColumn("model", F.explode(feeds))
-    return fanned.groupBy("model", "token").agg(
+    return counts.withColumn("model", F.explode(feeds)).groupBy("model", "token").agg(
         *[F.sum(f"n_{c}").cast("long").alias(f"n_{c}") for c in classes])
 
 
@@ -65,22 +63,24 @@ def cycle_eval(labelled: DataFrame, n_cycles: int, train_size: int, test_size: i
     assign = stratified_split(later.select("cycle", "row_id", "label"), train_size, test_size, group_cols=["cycle"])
     # the assignment holds at most cycles x classes x (train + test) rows
     bound = n_cycles * len(classes) * (train_size + test_size)
-    rows = later.join(maybe_broadcast(assign.select("cycle", "row_id", "split"), bound), ["cycle", "row_id"])
-    models = cycle_models(labelled.where(F.col("cycle") == 0).select("label", "text"),
-                          rows.where(F.col("split") == "train").select("cycle", "label", "text"),
-                          n_cycles, mode, classes)
+    keys = maybe_broadcast(assign.select("cycle", "row_id", "split"), bound)
+    # one scan of the labelled text feeds every model: base rows and training rows, tagged by source. The
+    # count tables feed both the model parameters and the scoring join, so they are written once to the
+    # shared checkpoint folder.
+    tagged = labelled.join(keys, ["cycle", "row_id"], "left")
+    sources = (tagged.where((F.col("cycle") == 0) | (F.col("split") == "train"))
+               .select(F.col("cycle").alias("src"), "label", "text"))
+    models = cut_lineage(cycle_models(sources, n_cycles, mode, classes), "cycle-counts")
     params = NB.keyed_params(models, "model", classes)
-    test = rows.where(F.col("split") == "test").select("cycle", "row_id", "label", "text")
+    test = labelled.join(keys.where(F.col("split") == "test").drop("split"), ["cycle", "row_id"])
     prev = F.lit(0) if mode == "star" else F.col("cycle") - 1
     runs = F.array(F.struct(F.lit("before").alias("phase"), prev.alias("model")),
                    F.struct(F.lit("after").alias("phase"), F.col("cycle").alias("model")))
     scored_in = test.withColumn("_r", F.explode(runs)).select("cycle", "row_id", "label", "text", "_r.phase",
                                                                "_r.model")
-    preds = NB.keyed_predict(models, params, scored_in.select("model", "row_id", "text"), "model",
-                             classes=classes, params_rows=n_cycles)
-    return (scored_in.select("cycle", "phase", "model", "row_id", "label")
-            .join(preds.select("model", "row_id", "pred"), ["model", "row_id"])
-            .drop("model"))
+    preds = NB.keyed_predict(models, params, scored_in, "model", classes=classes, params_rows=n_cycles,
+                             carry=("cycle", "phase", "label"))
+    return preds.select("cycle", "phase", "row_id", "label", "pred")
 
 
 def write_batches(df: DataFrame, folder: str, cycle_col: str = "cycle") -> None:
