@@ -164,7 +164,9 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
 
     Positions use the two-level index of ``indexing``, and only the buckets some draw lands in are
     ranked, so the work is ``O(pool)`` for the scan and count plus ``O(pool * draws / buckets)`` for
-    ranking -- no window over a whole class.
+    ranking -- no window over a whole class. A draw finds its bucket by an as-of lookup (bucket starts and
+    draws sorted together per label, the last start carried forward), never by pairing every draw with
+    every bucket.
     """
     parts = [*group_cols, label_col]
     keyed = (pool.where(F.col(label_col).isNotNull())
@@ -178,9 +180,19 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
     draw_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(label_col), F.lit(":"), F.col("draw").cast("string")))
     draws = (sizes.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
              .withColumn("_idx", F.pmod(hex_prefix_int(draw_key), F.col("_pool_n"))))
-    located = (draws.join(offsets.select(*parts, "_bucket", "_start", "_bn"), parts)
-               .where((F.col("_idx") >= F.col("_start")) & (F.col("_idx") < F.col("_start") + F.col("_bn")))
-               .select(*parts, "draw", "_bucket", (F.col("_idx") - F.col("_start") + 1).alias("_local")))
+    # as-of lookup: non-empty buckets have strictly increasing starts, so a draw's bucket is the last one
+    # starting at or before its index (a bucket start sorts before a draw at the same place). The window
+    # holds one label's buckets and draws: at most 16**prefix_len + n rows, whatever the pool size.
+    no_str, no_long = F.lit(None).cast("string"), F.lit(None).cast("long")
+    events = (offsets.select(*parts, F.col("_start").alias("_at"), F.lit(0).alias("_kind"), "_bucket",
+                             "_start", no_long.alias("draw"))
+              .unionByName(draws.select(*parts, F.col("_idx").alias("_at"), F.lit(1).alias("_kind"),
+                                        no_str.alias("_bucket"), no_long.alias("_start"), "draw")))
+    upto = Window.partitionBy(*parts).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    located = (events.withColumn("_b", F.last("_bucket", ignorenulls=True).over(upto))
+               .withColumn("_s", F.last("_start", ignorenulls=True).over(upto))
+               .where(F.col("_kind") == 1)
+               .select(*parts, "draw", F.col("_b").alias("_bucket"), (F.col("_at") - F.col("_s") + 1).alias("_local")))
     hit = located.select(*parts, "_bucket").distinct()
     ranked = (keyed.join(hit, [*parts, "_bucket"], "left_semi")
               .withColumn("_local", F.row_number().over(

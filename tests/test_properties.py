@@ -127,3 +127,21 @@ def test_stream_counts_with_many_files_per_cycle(spark, tmp_folder):
     got = _rows(stream_counts(spark, tmp_folder + "/in", src.schema, tmp_folder + "/out", tmp_folder + "/ck"),
                 "cycle", "token", "n_positive", "n_negative")
     assert got == _rows(keyed_token_counts(src, "cycle"), "cycle", "token", "n_positive", "n_negative")
+
+
+@pytest.mark.parametrize("prefix_len", [1, 3, 6])
+def test_bootstrap_equals_brute_force(spark, prefix_len):
+    """Draw j of label L is pool row number int(md5('10:L:j')[:8], 16) mod |pool| in md5('10:id') order."""
+    import hashlib
+    pool = _keys(spark)
+    by_label = {}
+    for r in pool.collect():
+        by_label.setdefault(r["label"], []).append(r["row_id"])
+    want = []
+    for label, ids in by_label.items():
+        order = sorted(ids, key=lambda i: (hashlib.md5(f"10:{i}".encode()).hexdigest(), i))
+        for j in range(1, 201):
+            idx = int(hashlib.md5(f"10:{label}:{j}".encode()).hexdigest()[:8], 16) % len(order)
+            want.append((label, j, order[idx]))
+    got = _rows(bootstrap_sample(pool, 200, prefix_len=prefix_len), "label", "draw", "row_id")
+    assert got == sorted(want, key=repr)
