@@ -176,7 +176,7 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
     running = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_start", F.coalesce(F.sum("_bn").over(running), F.lit(0)))
                .withColumn("_pool_n", F.sum("_bn").over(Window.partitionBy(*parts))))
-    sizes = offsets.select(*parts, "_pool_n").distinct()
+    sizes = offsets.where(F.col("_start") == 0).select(*parts, "_pool_n")   # each label's first bucket: no shuffle
     draw_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(label_col), F.lit(":"), F.col("draw").cast("string")))
     draws = (sizes.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
              .withColumn("_idx", F.pmod(hex_prefix_int(draw_key), F.col("_pool_n"))))
