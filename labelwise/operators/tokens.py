@@ -32,19 +32,23 @@ def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id"
 
 
 def vocabulary(tokens: DataFrame, prefix_chars: int = 2) -> DataFrame:
-    """``(token, id)``, ``id`` = 1-based rank of the token in binary order."""
-    distinct = tokens.select("token").distinct()
+    """``(token, id)``, ``id`` = 1-based rank of the token in binary order (NULL tokens, the placeholders of
+    an outer explode, are not words)."""
+    distinct = tokens.select("token").where(F.col("token").isNotNull()).distinct()
     ranked = ordinal_positions(distinct, "token", bucket=F.substring("token", 1, prefix_chars), out="_pos")
     return ranked.select("token", (F.col("_pos") + 1).cast("int").alias("id"))
 
 
 def token_ids(tokens: DataFrame, vocab: DataFrame, id_col: str = "row_id", max_pos: int | None = None) -> DataFrame:
-    """``(id_col, ids array<int>)`` in token order. ``max_pos`` keeps only positions a later truncation
-    keeps (the truncation is the operator's feature; the text is still tokenised whole)."""
-    t = tokens if max_pos is None else tokens.where(F.col("pos") <= max_pos)
-    joined = t.join(vocab, "token")
+    """``(id_col, ids array<int>)`` in token order, one row per row of ``tokens``' ids: from an outer
+    explode, a row without words gets ``[]`` here, so no join back to the row ids is needed. ``max_pos``
+    keeps only positions a later truncation keeps (the truncation is the operator's feature; the text is
+    still tokenised whole)."""
+    t = tokens if max_pos is None else tokens.where(F.col("pos").isNull() | (F.col("pos") <= max_pos))
+    joined = t.join(vocab, "token", "left")
+    pair = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
     return (joined.groupBy(id_col)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
+            .agg(F.array_sort(F.collect_list(pair)).alias("_p"))
             .select(id_col, F.transform("_p", lambda s: s["id"]).alias("ids")))
 
 
@@ -76,13 +80,14 @@ def decode(df: DataFrame, arr_col: str, vocab: DataFrame, id_col: str = "row_id"
            specials=(PAD_ID, IGNORE_ID), out: str = "decoded") -> DataFrame:
     """Ids back to text, skipping special ids; tokens joined by a space. Rows whose array is all
     specials decode to ''."""
-    ex = (df.select(id_col, F.posexplode(F.col(arr_col)).alias("pos", "id"))
-          .where(~F.col("id").isin(*specials)))
-    words = (ex.join(vocab, "id").groupBy(id_col)
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_w")))
-    return (df.select(id_col).join(words, id_col, "left")
-            .select(id_col, F.coalesce(F.array_join(F.transform("_w", lambda s: s["token"]), " "), F.lit(""))
-                    .alias(out)))
+    # outer explode with specials blanked: every row keeps at least one row, so one aggregate per row
+    # yields every row (no join back to the row ids)
+    ex = df.select(id_col, F.posexplode_outer(F.col(arr_col)).alias("pos", "_id"))
+    ex = ex.select(id_col, "pos", F.when(~F.col("_id").isin(*specials), F.col("_id")).alias("id"))
+    pair = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
+    words = (ex.join(vocab, "id", "left").groupBy(id_col)
+             .agg(F.array_sort(F.collect_list(pair)).alias("_w")))
+    return words.select(id_col, F.array_join(F.transform("_w", lambda s: s["token"]), " ").alias(out))
 
 
 def token_count(c: Column) -> Column:

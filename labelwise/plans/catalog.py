@@ -333,12 +333,12 @@ def corpus_vocab(spark, sf_dir, toks=None):
 
 
 def padded_docs(spark, sf_dir):
-    toks = corpus_tokens(spark, sf_dir)
+    # one outer token stream feeds the vocabulary and the ids (both read the same exchange of the text);
+    # a document without words keeps a row and pads to all zeros
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    toks = explode_tokens(docs, outer=True)
     ids = token_ids(toks, corpus_vocab(spark, sf_dir, toks), max_pos=_N_TOK)
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
-    return (docs.join(ids, "row_id", "left")
-            .select("row_id", pad_truncate(F.coalesce(F.col("ids"), F.array().cast("array<int>")), _N_TOK)
-                    .alias("input_ids")))
+    return ids.select("row_id", pad_truncate(F.col("ids"), _N_TOK).alias("input_ids"))
 
 
 _DOC = ("doc", "SELECT doc_id AS row_id, text FROM documents")
