@@ -46,11 +46,14 @@ def _match(group_cols: Sequence[str], group: tuple, label_col: str, label) -> Co
     return cond
 
 
+def _expected_candidates(need: int) -> float:
+    return need + 12 * math.sqrt(need) + 64
+
+
 def _threshold(n: int, need: int) -> int | None:
     if n <= PREFILTER_MIN_ROWS or need * 4 >= n:
         return None
-    expected = need + 12 * math.sqrt(need) + 64
-    return min(_KEY_SPACE, math.ceil(_KEY_SPACE * expected / n))
+    return min(_KEY_SPACE, math.ceil(_KEY_SPACE * _expected_candidates(need) / n))
 
 
 def class_counts(df: DataFrame, label_col: str, classes: Sequence[str], group_cols: Sequence[str]) -> dict:
@@ -99,11 +102,18 @@ def stratified_split(df: DataFrame, train_size: int, test_size: int, *, seed: in
         keyed = keyed.where(keep)
 
     part = Window.partitionBy(*group_cols, label_col)
-    if not prefiltered and max(counts.values()) > PREFILTER_MIN_ROWS:
-        # a large class that keeps most of its rows: exact ranks from the two-level index (parallel over
-        # key-prefix buckets) instead of one task sorting the whole class
+    # rows a class would rank: its candidates when pre-filtered, else all its rows
+    rank_rows = max(_expected_candidates(need) if thresholds[k] is not None else n for k, n in counts.items())
+    if rank_rows > PREFILTER_MIN_ROWS:
+        # many rows to rank in a class (a large class keeping most of its rows, or a large k): exact ranks
+        # from the two-level index (parallel over key-prefix buckets) instead of one task sorting them all
+        if prefiltered:
+            got = class_counts(keyed, label_col, classes, group_cols)   # candidates: one row per class
+            short = sorted(str(k) for k, t in thresholds.items() if t is not None and got.get(k, 0) < need)
+            if short:
+                raise ValueError(f"split candidate shortfall in {', '.join(short)}; rerun with a wider threshold")
         ranked = ordinal_positions(keyed, "_key", [id_col], partition_cols=[*group_cols, label_col],
-                                   prefix_len=prefix_for_rows(max(counts.values())), out="rank",
+                                   prefix_len=prefix_for_rows(int(rank_rows)), out="rank",
                                    max_groups=len(counts))
         ranked = ranked.withColumn("rank", F.col("rank") + 1)
         return (ranked.where(F.col("rank") <= need)

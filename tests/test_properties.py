@@ -145,3 +145,22 @@ def test_bootstrap_equals_brute_force(spark, prefix_len):
             want.append((label, j, order[idx]))
     got = _rows(bootstrap_sample(pool, 200, prefix_len=prefix_len), "label", "draw", "row_id")
     assert got == sorted(want, key=repr)
+
+
+def test_prefilter_window_path_is_exact(spark, monkeypatch):
+    """Pre-filtered candidates few enough for one window per class (the sentinel path) give the plain
+    result."""
+    keys = _keys(spark)
+    plain = _rows(stratified_split(keys, 10, 5), "row_id", "label", "split", "rank")
+    monkeypatch.setattr(splits, "PREFILTER_MIN_ROWS", 200)   # positive (341 rows) is pre-filtered
+    got = stratified_split(keys, 10, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "_bucket" not in plan      # one window per class, not the two-level index
+    assert _rows(got, "row_id", "label", "split", "rank") == plain
+
+
+def test_prefilter_window_shortfall_fails_loudly(spark, monkeypatch):
+    monkeypatch.setattr(splits, "PREFILTER_MIN_ROWS", 200)
+    monkeypatch.setattr(splits, "_threshold", lambda n, need: 1 if n > 200 else None)
+    with pytest.raises(Exception, match="shortfall"):
+        stratified_split(_keys(spark), 10, 5).collect()
