@@ -94,9 +94,13 @@ def _size_bytes(text: str) -> int:
     return int(m.group(1)) * 1024 ** "_kmgtp".index(m.group(2) or "_")
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (plan statistics only: no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame) -> int | None:
+    """The optimizer's size estimate of ``df`` (plan statistics only: no job runs); ``None`` when the plan
+    gives none."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - a plan without statistics is simply treated as large
+        return None
 
 
 def spread_for_cpu(df: DataFrame, key: str | None = None) -> DataFrame:
@@ -110,6 +114,7 @@ def spread_for_cpu(df: DataFrame, key: str | None = None) -> DataFrame:
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     split = _size_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
-    if estimated_bytes(df) >= slots * split:
+    est = estimated_bytes(df)
+    if est is None or est >= slots * split:
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)
