@@ -166,8 +166,10 @@ def eval_pool(df: DataFrame, assignment: DataFrame, *, policy: str = "strict", i
 
 
 def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_col: str = "row_id",
-                     label_col: str = "label", group_cols: Sequence[str] = (), prefix_len: int = 4) -> DataFrame:
-    """``n`` draws per label **with replacement**: ``(*group_cols, label, draw, id)``.
+                     label_col: str = "label", group_cols: Sequence[str] = (), prefix_len: int = 4,
+                     with_label_rank: bool = False) -> DataFrame:
+    """``n`` draws per label **with replacement**: ``(*group_cols, label, draw, id)``, plus ``label_rank``
+    (1-based place of the label in label order within its group) when ``with_label_rank``.
 
     Draw ``j`` of label ``L`` picks the pool row at position
     ``int(md5('<seed>:<L>:<j>')[:8], 16) mod pool_size`` in ``md5('<seed>:<id>')`` order.
@@ -187,6 +189,8 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
     offsets = (counts.withColumn("_start", F.coalesce(F.sum("_bn").over(running), F.lit(0)))
                .withColumn("_pool_n", F.sum("_bn").over(Window.partitionBy(*parts))))
     sizes = offsets.where(F.col("_start") == 0).select(*parts, "_pool_n")   # each label's first bucket: no shuffle
+    # label order ranked on this one-row-per-label table, not over the draws
+    sizes = sizes.withColumn("label_rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(label_col)))
     draw_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(label_col), F.lit(":"), F.col("draw").cast("string")))
     draws = (sizes.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
              .withColumn("_idx", F.pmod(hex_prefix_int(draw_key), F.col("_pool_n"))))
@@ -194,21 +198,23 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
     # starting at or before its index (a bucket start sorts before a draw at the same place). The window
     # holds one label's buckets and draws: at most 16**prefix_len + n rows, whatever the pool size.
     no_str, no_long = F.lit(None).cast("string"), F.lit(None).cast("long")
+    no_int = F.lit(None).cast("int")
     events = (offsets.select(*parts, F.col("_start").alias("_at"), F.lit(0).alias("_kind"), "_bucket",
-                             "_start", no_long.alias("draw"))
+                             "_start", no_long.alias("draw"), no_int.alias("label_rank"))
               .unionByName(draws.select(*parts, F.col("_idx").alias("_at"), F.lit(1).alias("_kind"),
-                                        no_str.alias("_bucket"), no_long.alias("_start"), "draw")))
+                                        no_str.alias("_bucket"), no_long.alias("_start"), "draw", "label_rank")))
     upto = Window.partitionBy(*parts).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     located = (events.withColumn("_b", F.last("_bucket", ignorenulls=True).over(upto))
                .withColumn("_s", F.last("_start", ignorenulls=True).over(upto))
                .where(F.col("_kind") == 1)
-               .select(*parts, "draw", F.col("_b").alias("_bucket"), (F.col("_at") - F.col("_s") + 1).alias("_local")))
+               .select(*parts, "draw", "label_rank", F.col("_b").alias("_bucket"),
+                       (F.col("_at") - F.col("_s") + 1).alias("_local")))
     hit = located.select(*parts, "_bucket").distinct()
     ranked = (keyed.join(hit, [*parts, "_bucket"], "left_semi")
               .withColumn("_local", F.row_number().over(
                   Window.partitionBy(*parts, "_bucket").orderBy("_key", id_col)).cast("long")))
     return (located.join(ranked, [*parts, "_bucket", "_local"])
-            .select(*group_cols, label_col, "draw", id_col))
+            .select(*group_cols, label_col, "draw", id_col, *(["label_rank"] if with_label_rank else [])))
 
 
 def shuffle_positions(df: DataFrame, *, seed: int = SHUFFLE_SEED, id_col: str = "row_id",

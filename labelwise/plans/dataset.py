@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
@@ -62,10 +62,8 @@ def eval_set(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "stri
     assign = assign if assign is not None else assignment(spark, sf_dir, sizes)
     keys = labeled_keys(spark, sf_dir)
     pool = eval_pool(keys, assign, policy=policy, bound_rows=sizes.split_rows)
-    draws = bootstrap_sample(pool, sizes.eval)
-    # draws has sizes.eval rows per label: a window over it is bounded by the parameters
-    ordered = draws.withColumn(
-        "ord", ((F.dense_rank().over(Window.orderBy("label")) - 1) * sizes.eval + F.col("draw") - 1).cast("long"))
+    draws = bootstrap_sample(pool, sizes.eval, with_label_rank=True)
+    ordered = draws.withColumn("ord", ((F.col("label_rank") - 1) * sizes.eval + F.col("draw") - 1).cast("long"))
     # strict pools hold only the class domain, so the draw count is bounded; reference pools may hold any label
     bound = sizes.eval * len(CLASSES) if policy == "strict" else None
     with_text = attach_text(spark, sf_dir, ordered, bound_rows=bound)
