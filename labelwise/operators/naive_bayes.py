@@ -1,15 +1,16 @@
 """Multinomial naive Bayes as DataFrame counts (the distributed baseline classifier).
 
-Fit is two aggregations: token counts per class (``groupBy(token).pivot(class)``, map-side combined) and a
-handful of scalars (class sizes, token totals, vocabulary size) collected as one row. With Laplace
-smoothing ``alpha``::
+Fit is two aggregations: token counts per class (``groupBy(token)`` with one conditional count per class,
+map-side combined, one shuffle), written once to the shared checkpoint folder, and a handful of scalars
+(class sizes, token totals, vocabulary size and bytes) collected as one row. With Laplace smoothing
+``alpha``::
 
     log P(t | c) = ln(n_tc + alpha) - ln(total_c + alpha * V)
     score(d, c)  = ln(prior_c) + sum_{t in d, t in V} [ln(n_tc + alpha) - ln(total_c + alpha * V)]
 
 ``ln(0 + 1) = 0``, so with alpha = 1 only tokens seen in training contribute to the first sum. Predicting
-is one join of the document tokens to the count table (shuffle on token, or broadcast when the
-vocabulary's row count is checked small) and one ``groupBy`` per document. Ties go to the first class.
+is one left join of the document tokens to the count table (shuffle on token, or broadcast when the
+counted vocabulary rows and bytes are small) and one ``groupBy`` per document. Ties go to the first class.
 Models can be updated by adding count tables (``merge_counts``), which is how new data batches extend a
 base model.
 """

@@ -48,7 +48,7 @@ def read_labelled_csv(spark: SparkSession, paths, on_bad_bytes: str = "replace",
         raise ValueError(f"unknown on_bad_bytes {on_bad_bytes!r}")
     if not with_row_id:
         return df
-    # scan order inside a file is its line order; fix it once (reliable checkpoint) before numbering. A
+    # scan order inside a file is its line order; fix it once (a table in the checkpoint folder) before numbering. A
     # multi-line CSV file is never split, so its rows carry consecutive scan ids in line order and the line
     # number is the scan id minus the file's first one: an aggregate per file (map-side combined), not a
     # sort of each file's rows -- one huge file does not become one huge sort.
