@@ -2,7 +2,7 @@
 
 * ``explode_tokens``: ``(id, pos, token)`` for every word of the whole text (1-based ``pos``).
 * ``vocabulary``: distinct tokens numbered 1.. in binary string order (0 is the pad id). Numbering uses the
-  two-level index (bucket = first two characters, so bucket order is token order) instead of one global
+  two-level index (bucket = first three characters, so bucket order is token order) instead of one global
   window: the counts per bucket are small, ranking runs in parallel per bucket.
 * ``token_ids``: tokens joined to the vocabulary (a shuffle on token; AQE's skew handling splits hot tokens)
   and regrouped per row in token order.
@@ -31,7 +31,7 @@ def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id"
             .withColumn("pos", (F.col("pos") + 1).cast("int")))
 
 
-def vocabulary(tokens: DataFrame, prefix_chars: int = 2) -> DataFrame:
+def vocabulary(tokens: DataFrame, prefix_chars: int = 3) -> DataFrame:
     """``(token, id)``, ``id`` = 1-based rank of the token in binary order (NULL tokens, the placeholders of
     an outer explode, are not words)."""
     distinct = tokens.select("token").where(F.col("token").isNotNull()).distinct()
