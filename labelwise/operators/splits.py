@@ -236,10 +236,11 @@ def fraction_sizes(n: int, train_size: float = 0.8, eval_size: float = 0.1, test
 
 
 def fraction_split(df: DataFrame, train_size: float = 0.8, eval_size: float = 0.1, test_size: float = 0.1, *,
-                   seed: int = SPLIT_SEED, id_col: str = "row_id") -> DataFrame:
+                   seed: int = SPLIT_SEED, id_col: str = "row_id", n: int | None = None) -> DataFrame:
     """Unstratified train/eval/test split with exact sizes: the first ``train`` rows in hash order are
-    train, the next ``eval`` rows eval, the rest test. Adds ``split`` and ``pos``."""
-    n = df.count()
+    train, the next ``eval`` rows eval, the rest test. Adds ``split`` and ``pos``. ``n``: the row count of
+    ``df`` when the caller has it (counted otherwise)."""
+    n = df.count() if n is None else n
     sz = fraction_sizes(n, train_size, eval_size, test_size)
     pos = ordinal_positions(df.withColumn("_key", hash_key(seed, F.col(id_col))), "_key", [id_col],
                             prefix_len=prefix_for_rows(n), out="pos").drop("_key")

@@ -27,8 +27,8 @@ from ..sources.csv import read_labelled_csv, write_labelled_csv
 from .sinks import append_metrics, load_counts, read_metrics, save_counts, write_splits
 from ..streaming.cycles import (cycle_eval, scratch_folder, stream_confusion, stream_counts,
                                 write_batches)
-from .dataset import (Sizes, assignment, bundle, eval_set, fraction_set, full_train, grid_test_set, leak_audit,
-                      test_set, train_set)
+from .dataset import (Sizes, assignment, bundle, counted_keys, eval_set, fraction_set, full_train, grid_test_set,
+                      leak_audit, test_set, train_set)
 from .fixtures import fixture_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,7 +173,8 @@ def q_full_train_set(spark, sf_dir):
             "string_agg(DISTINCT split, ',' ORDER BY split) AS splits FROM frac GROUP BY md5(text) "
             "HAVING count(DISTINCT split) > 1")
 def q_split_leak_audit(spark, sf_dir):
-    return leak_audit(fraction_split(labeled_keys(spark, sf_dir)), spark, sf_dir)
+    keys, n = counted_keys(spark, sf_dir)
+    return leak_audit(fraction_split(keys, n=n), spark, sf_dir, bound_rows=n)
 
 
 _BUNDLE = [_LAB, _ASSIGN, _TRAIN, _TEST, _POOL_STRICT, *_bootstrap_sql(SIZES.eval),
@@ -495,8 +496,9 @@ def q_score_map_in_pandas(spark, sf_dir):
 
 @register("lr_predict")
 def q_lr_predict(spark, sf_dir):
-    frac = fraction_split(labeled_keys(spark, sf_dir))
-    with_text = attach_text(spark, sf_dir, frac)
+    keys, n = counted_keys(spark, sf_dir)
+    frac = fraction_split(keys, n=n)
+    with_text = attach_text(spark, sf_dir, frac, bound_rows=n)
     model = lr_fit(with_text.where(F.col("split") == "train"))
     return lr_predict(model, with_text.where(F.col("split") == "test").select("row_id", "label", "text"))
 

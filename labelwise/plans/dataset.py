@@ -16,6 +16,7 @@ from ..functions.answers import CLASSES
 from ..functions.prompts import test_prompt, train_prompt
 from ..operators.splits import (bootstrap_sample, eval_pool, fraction_split, shuffle_positions,
                                  stratified_split)
+from ..session import maybe_broadcast
 from ..sources.tables import attach_text, labeled_keys, read_table
 
 
@@ -83,9 +84,11 @@ def bundle(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "strict
 
 def full_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every labelled row as a training prompt, in seeded shuffle order ``ord`` (no split)."""
-    # the labels table's row count (from file footers) bounds the labelled keys and sizes the index
-    keys = shuffle_positions(labeled_keys(spark, sf_dir), rows=read_table(spark, sf_dir, "labels").count())
-    return (attach_text(spark, sf_dir, keys)
+    # the counted key set sizes the index buckets and, when small enough, is broadcast so the documents
+    # stream through the text join without a shuffle
+    keys = labeled_keys(spark, sf_dir)
+    n = keys.count()
+    return (attach_text(spark, sf_dir, shuffle_positions(keys, rows=n), bound_rows=n)
             .select("row_id", "label", "ord", train_prompt(F.col("text"), F.col("label")).alias("prompt")))
 
 
@@ -93,13 +96,22 @@ def fraction_set(spark: SparkSession, sf_dir: str, train_size: float = 0.8, eval
                  test_size: float = 0.1) -> DataFrame:
     """Unstratified fractional split of every labelled row; train rows get the training prompt, eval and
     test rows the inference prompt (the label is hidden from eval here)."""
-    keys = fraction_split(labeled_keys(spark, sf_dir), train_size, eval_size, test_size)
+    keys, n = counted_keys(spark, sf_dir)
+    keys = fraction_split(keys, train_size, eval_size, test_size, n=n)
     prompt = (F.when(F.col("split") == "train", train_prompt(F.col("text"), F.col("label")))
               .otherwise(test_prompt(F.col("text"))))
-    return attach_text(spark, sf_dir, keys).select("row_id", "label", "pos", "split", prompt.alias("prompt"))
+    return (attach_text(spark, sf_dir, keys, bound_rows=n)
+            .select("row_id", "label", "pos", "split", prompt.alias("prompt")))
+
+
+def counted_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """The labelled keys and their row count (one small job): the count sizes splits and indexes, and proves
+    the bound under which joins broadcast the key side."""
+    keys = labeled_keys(spark, sf_dir)
+    return keys, keys.count()
 
 
-def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str, bound_rows: int | None = None) -> DataFrame:
     """Texts that occur in more than one split: ``(text_md5, n_splits, n_rows, splits)``.
 
     The hash is taken in the documents scan, so the join and the grouping move 32-character digests,
@@ -107,7 +119,7 @@ def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataF
     task and split before the shuffle."""
     digests = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"),
                                                             F.md5(F.col("text")).alias("text_md5"))
-    with_md5 = split_rows.select("row_id", "split").join(digests, "row_id")
+    with_md5 = digests.join(maybe_broadcast(split_rows.select("row_id", "split"), bound_rows), "row_id")
     return (with_md5.groupBy("text_md5")
             .agg(F.countDistinct("split").alias("n_splits"), F.count(F.lit(1)).alias("n_rows"),
                  F.concat_ws(",", F.array_sort(F.collect_set("split"))).alias("splits"))
