@@ -22,12 +22,18 @@ PAD_ID = 0
 IGNORE_ID = -100
 
 
-def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id", outer: bool = False) -> DataFrame:
+def explode_tokens(df: DataFrame, text_col: str = "text", id_col: str = "row_id", outer: bool = False,
+                   max_pos: int | None = None) -> DataFrame:
     """``(id, pos, token)`` per word of the whole text. ``outer=True`` keeps a row without words (or with
-    NULL text) as one ``(id, NULL, NULL)`` row, so per-row aggregates still see it."""
+    NULL text) as one ``(id, NULL, NULL)`` row, so per-row aggregates still see it. ``max_pos`` emits only
+    the first ``max_pos`` words (the whole text is still tokenised; a truncating consumer then never
+    carries the rest through its join)."""
     df = spread_for_cpu(df.select(id_col, text_col), id_col)
     gen = F.posexplode_outer if outer else F.posexplode
-    return (df.select(id_col, gen(word_tokens(F.col(text_col))).alias("pos", "token"))
+    words = word_tokens(F.col(text_col))
+    if max_pos is not None:
+        words = F.slice(words, 1, max_pos)
+    return (df.select(id_col, gen(words).alias("pos", "token"))
             .withColumn("pos", (F.col("pos") + 1).cast("int")))
 
 

@@ -334,11 +334,12 @@ def corpus_vocab(spark, sf_dir, toks=None):
 
 
 def padded_docs(spark, sf_dir):
-    # one outer token stream feeds the vocabulary and the ids (both read the same exchange of the text);
-    # a document without words keeps a row and pads to all zeros
+    # the vocabulary takes every word of every whole text; the ids take each text's first _N_TOK words (the
+    # truncation is the feature). Both read the same exchange of the text; a document without words keeps
+    # a row and pads to all zeros
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    toks = explode_tokens(docs, outer=True)
-    ids = token_ids(toks, corpus_vocab(spark, sf_dir, toks), max_pos=_N_TOK)
+    vocab = corpus_vocab(spark, sf_dir, explode_tokens(docs, outer=True))
+    ids = token_ids(explode_tokens(docs, outer=True, max_pos=_N_TOK), vocab)
     return ids.select("row_id", pad_truncate(F.col("ids"), _N_TOK).alias("input_ids"))
 
 
