@@ -400,11 +400,12 @@ def q_labels_pad_batch(spark, sf_dir):
             f"AS n_truncated, max(len({S.tokens('p')})) AS max_tokens FROM (SELECT label, {S.train_prompt()} AS p "
             f"FROM labeled) x GROUP BY label")
 def q_truncated_label_audit(spark, sf_dir):
-    n = token_count(F.col("prompt"))
-    return (full_train(spark, sf_dir).groupBy("label")
+    # each whole prompt is tokenised once (projected), then counted and compared
+    counted = full_train(spark, sf_dir).select("label", token_count(F.col("prompt")).alias("_n"))
+    return (counted.groupBy("label")
             .agg(F.count(F.lit(1)).alias("n_prompts"),
-                 F.count(F.when(n > MAX_SEQ_LENGTH, True)).alias("n_truncated"),
-                 F.max(n).cast("long").alias("max_tokens")))
+                 F.count(F.when(F.col("_n") > MAX_SEQ_LENGTH, True)).alias("n_truncated"),
+                 F.max("_n").cast("long").alias("max_tokens")))
 
 
 # ---- step 5: classifier and scoring ------------------------------------------------------------------------
