@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
-from ..session import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT, cut_lineage, spread_for_cpu
+from ..session import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT, cut_lineage, maybe_broadcast, spread_for_cpu
 from ..functions.text import word_tokens
 from .tokens import explode_tokens
 
@@ -191,8 +191,7 @@ def keyed_predict(counts: DataFrame, params: DataFrame, docs: DataFrame, key: st
             .select(key, id_col, *carry, F.explode_outer(word_tokens(F.col(text_col))).alias("token")))
     sums = (toks.join(table, [key, "token"], "left").groupBy(key, id_col, *carry)
             .agg(F.count(f"lc_{classes[0]}").alias("_n"), *[F.sum(f"lc_{c}").alias(f"_s_{c}") for c in classes]))
-    p = F.broadcast(params) if params_rows is not None and params_rows <= BROADCAST_ROW_LIMIT else params
-    joined = sums.join(p, key)
+    joined = sums.join(maybe_broadcast(params, params_rows), key)
     scores = {c: (F.col(f"lp_{c}") + F.coalesce(F.col(f"_s_{c}"), F.lit(0.0))
                   - F.coalesce(F.col("_n"), F.lit(0)) * F.col(f"ld_{c}")) for c in classes}
     best = F.greatest(*scores.values())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.answers import NEGATIVE, POSITIVE
-from ..session import BROADCAST_ROW_LIMIT
+from ..session import BROADCAST_ROW_LIMIT, maybe_broadcast
 
 
 _TABLES: dict = {}
@@ -76,5 +76,5 @@ def attach_text(spark: SparkSession, sf_dir: str, keys: DataFrame, id_col: str =
     """
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias(id_col), *columns)
     if bound_rows is not None and bound_rows <= BROADCAST_ROW_LIMIT:
-        return docs.join(F.broadcast(keys), id_col)
+        return docs.join(maybe_broadcast(keys, bound_rows), id_col)
     return keys.join(docs, id_col)
