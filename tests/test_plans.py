@@ -60,3 +60,10 @@ def test_no_spread_for_large_input(spark):
         assert spread_for_cpu(docs) is docs
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_no_pairs_joins_in_any_query(spark):
+    """No registered query plans a cartesian product or a nested-loop join (no all-pairs step)."""
+    for name, fn in catalog.QUERIES.items():
+        plan = _plan(fn(spark, SF["0.01"]))   # registered split sizes need sf0.01 or larger
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
