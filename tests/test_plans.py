@@ -67,3 +67,32 @@ def test_no_pairs_joins_in_any_query(spark):
     for name, fn in catalog.QUERIES.items():
         plan = _plan(fn(spark, SF["0.01"]))   # registered split sizes need sf0.01 or larger
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+def _ancestors(plan: str, pred) -> list[list[str]]:
+    """For each plan line matching ``pred``, the node lines above it in the tree (nearest parent first)."""
+    lines = plan.splitlines()
+
+    def depth(s: str) -> int:
+        return len(s) - len(s.lstrip(" :|+-"))
+
+    out = []
+    for i, line in enumerate(lines):
+        if pred(line):
+            chain, d = [], depth(line)
+            for up in reversed(lines[:i]):
+                if depth(up) < d:
+                    chain.append(up.strip(" :|+-"))
+                    d = depth(up)
+            out.append(chain)
+    return out
+
+
+def test_prompt_sets_stream_text_without_shuffle(spark):
+    """Bounded or counted key sets are broadcast: no exchange sits above the documents text scan."""
+    for name in ("prompt_test", "prompt_train", "eval_bootstrap", "full_train_set", "split_fraction"):
+        plan = _plan(catalog.QUERIES[name](spark, SF["0.01"]))
+        chains = _ancestors(plan, lambda s: "FileScan" in s and "documents.parquet" in s and "text:string" in s)
+        assert chains, name
+        for chain in chains:
+            assert not any(node.startswith("Exchange") for node in chain), (name, chain)
