@@ -96,3 +96,21 @@ def test_prompt_sets_stream_text_without_shuffle(spark):
         assert chains, name
         for chain in chains:
             assert not any(node.startswith("Exchange") for node in chain), (name, chain)
+
+
+def test_cut_lineage_computes_input_once(spark):
+    """The materialised table is computed exactly once and read back whole."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import LongType
+
+    from labelwise.session import cut_lineage
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):   # test-only probe counting row evaluations
+        seen.add(1)
+        return x
+
+    probe = F.udf(touch, LongType())
+    out = cut_lineage(spark.range(100).select(probe("id").alias("id")), "probe")
+    assert out.count() == 100 and sorted(r["id"] for r in out.collect()) == list(range(100))
+    assert seen.value == 100
