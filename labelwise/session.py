@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 2_000_000
 # Bytes above which a counted table (a model's word table) is not broadcast even within the row limit.
 BROADCAST_BYTE_LIMIT = 256 << 20
+# Largest estimated input that ``spread_for_cpu`` repartitions: below it the shuffle is cheap next to the
+# per-row work it parallelises; above it the input is read in many splits anyway and moving it costs more.
+SPREAD_MAX_BYTES = 16 << 30
 
 
 def maybe_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
@@ -109,13 +112,14 @@ def spread_for_cpu(df: DataFrame, key: str | None = None) -> DataFrame:
     slots.
 
     An input estimated below one split per slot (``slots x spark.sql.files.maxPartitionBytes``) may be read
-    by fewer tasks than there are slots -- a single-row-group file is read by one -- so it is repartitioned.
-    A large input already has many more splits than slots and is returned unchanged: no text shuffle at
-    scale. The decision uses plan statistics only, so it never runs the input's upstream stages."""
+    by fewer tasks than there are slots -- a single-row-group file is read by one -- so it is repartitioned,
+    but only up to ``SPREAD_MAX_BYTES``: on a cluster with thousands of slots a large input is already read
+    by many tasks, and shuffling its text would cost more than it saves. Everything else is returned
+    unchanged. The decision uses plan statistics only, so it never runs the input's upstream stages."""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
     split = _size_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
     est = estimated_bytes(df)
-    if est is None or est >= slots * split:
+    if est is None or est >= min(slots * split, SPREAD_MAX_BYTES):
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)

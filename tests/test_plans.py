@@ -114,3 +114,11 @@ def test_cut_lineage_computes_input_once(spark):
     out = cut_lineage(spark.range(100).select(probe("id").alias("id")), "probe")
     assert out.count() == 100 and sorted(r["id"] for r in out.collect()) == list(range(100))
     assert seen.value == 100
+
+
+def test_no_spread_above_absolute_cap(spark, monkeypatch):
+    """However many slots a cluster has, an input above SPREAD_MAX_BYTES is never shuffled to spread it."""
+    from labelwise import session
+    docs = spark.read.parquet(f"{SF['0.01']}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(session, "SPREAD_MAX_BYTES", 1024)
+    assert session.spread_for_cpu(docs) is docs
