@@ -14,16 +14,9 @@ from ..functions.answers import NEGATIVE, POSITIVE
 from ..session import BROADCAST_ROW_LIMIT, maybe_broadcast
 
 
-_TABLES: dict = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``<sf_dir>/<name>.parquet`` (one file listing per session and path)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    """The Parquet table ``<sf_dir>/<name>.parquet``; the folder is listed anew by every call."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _label_from(flag: Column) -> Column:
