@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
-from .common import table
+from . import packing, quality, toxicity
+from .common import fold, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +24,31 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: fold(doc_id, 3) != 1)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(table(spark, sf_dir, "documents"))
+    return (toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
+            .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    return quality.fit(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: fold(doc_id, 5) != 0)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(table(spark, sf_dir, "documents"))
+    return (quality.score(docs, quality_model(spark, sf_dir, docs))
+            .select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")))
+
+
 QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op7_quality_classifier": op7_quality_classifier,
 }
 ORACLE: dict[str, str] = {}
