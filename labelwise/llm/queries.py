@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, toxicity
+from . import oracles, packing, quality, substring, toxicity
 from .common import fold, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (substring.dedup(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: fold(doc_id, 3) != 1)
 
@@ -48,7 +53,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_substring_dedup": oracles.OP4,
+}

@@ -4,11 +4,11 @@
    and word beginning of 4 to 6 characters is counted once a document; the ``lexicon_size`` entries that best tell
    label 1, and never or rarely come with label 0, are kept, next to the fixed words below.
 2. Voters: ``GROUPS`` lexicon voters (entries are dealt over them, so each is a partial view), a voter for the
-   fixed words and pattern voters on the rate and variety of hits; a voter says 1, 0 (clean) or abstains.
+   fixed words and pattern voters on the number, rate and variety of hits; a voter says yes or no.
 3. Label model: one pass over all texts sums the votes' first and second moments (a bounded matrix). Voter
    accuracies come from triplets of voters, which are independent given the label; pairs whose agreement
    exceeds what their accuracies explain are correlated, and a voter's weight is divided by its correlated company.
-4. Posterior labels of the sampled rows train a linear classifier on hit counts and rates, which scores every text.
+4. On the sampled rows their own label is one more voter, of fixed accuracy. The posterior labels train a linear classifier on hit counts and rates, which scores every text.
 
 Nulls: a null text is the empty text; it scores as a text without hits. Rows with a null label or id are not
 learnt from; without labelled rows the fixed words alone are the lexicon. Repeated rows score alike; empty
@@ -35,9 +35,10 @@ STEMS = (4, 5, 6)
 INSULTS = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "loser", "scum", "trash", "clown",
            "dumb", "ugly", "imbecile", "jerk", "fool")
 _EDGE = ".,;:!?\"'()[]{}<>|%*#$&-_/"
-VOTERS = GROUPS + 5
-FEATURES = 8
-MIN_COUNT = 5
+VOTERS = GROUPS + 6
+FEATURES = 9
+MIN_COUNT = 5          # documents an entry is in
+LABEL_ACCURACY = 0.99
 
 
 def words_of(text: str) -> list[str]:
@@ -69,7 +70,7 @@ class Lexicon:
         return tuple(set(found))
 
     def votes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Votes (1, -1, 0: abstains) of all voters, and the classifier's features."""
+        """Votes (1: yes) of all voters, and the classifier's features."""
         words = words_of(text)
         hits, kinds, by_group = 0, set(), np.zeros(GROUPS + 1)
         cache = self.cache
@@ -88,12 +89,9 @@ class Lexicon:
         rate, many = hits / max(n, 1), int((by_group > 0).sum())
         v = np.zeros(VOTERS, np.int8)
         v[:GROUPS + 1] = by_group > 0
-        v[GROUPS + 1] = 1 if k >= 2 else -1 if not k else 0
-        v[GROUPS + 2] = 1 if rate >= 0.005 else -1 if rate < 0.0005 else 0
-        v[GROUPS + 3] = 1 if hits >= 3 else -1 if hits <= 1 else 0
-        v[GROUPS + 4] = 1 if many >= 3 else -1 if many <= 1 else 0
+        v[GROUPS + 1:] = hits > 0, k >= 2, rate >= 0.005, hits >= 3, many >= 3
         x = np.array([1.0, np.log1p(hits), np.log1p(k), np.log1p(100 * rate), np.log1p(many),
-                      min(1.0, by_group[GROUPS]), float(k >= 2), np.log1p(n) / 10])
+                      min(1.0, by_group[GROUPS]), float(k >= 2), float(hits > 0), np.log1p(n) / 10])
         return v, x
 
 
@@ -191,15 +189,17 @@ def label_model(n: int, first: np.ndarray, second: np.ndarray, prior: float) ->
 
 
 def posterior(votes: np.ndarray, model: tuple[np.ndarray, np.ndarray], mean: np.ndarray, spread: np.ndarray,
-              prior: float) -> np.ndarray:
-    """P(label 1 | votes): each voter shifts the log odds by its Gaussian evidence, shared with its company."""
+              prior: float, given: np.ndarray) -> np.ndarray:
+    """P(label 1 | votes, ``given`` label). A voter's rates of yes given label 1 and 0 follow from its covariance with the label;
+    its log odds are divided by its correlated company."""
     acc, company = model
-    z = (votes - mean) / spread
     sd = np.sqrt(prior * (1 - prior))
-    up, down = acc * (1 - prior) / sd, -acc * prior / sd      # expected z given label 1 and 0
-    noise = np.maximum(1 - acc ** 2, 0.05)
-    weight = 1 / (1 + company.sum(1))
-    odds = np.log(prior / (1 - prior)) + ((np.clip(z, -4, 4) * (up - down) - (up ** 2 - down ** 2) / 2) / noise * weight).sum(1)
+    yes1 = np.clip(mean + acc * spread * (1 - prior) / sd, 1e-3, 1 - 1e-3)
+    yes0 = np.clip(mean - acc * spread * prior / sd, 1e-3, 1 - 1e-3)
+    weight = np.where(acc > 0, 1 / (1 + company.sum(1)), 0)
+    evidence = votes * np.log(yes1 / yes0) + (1 - votes) * np.log((1 - yes1) / (1 - yes0))
+    known = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * given - 1)
+    odds = np.log(prior / (1 - prior)) + evidence @ weight + known
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -243,12 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
 
     got = rows.mapInArrow(views, "doc_id long, y long, v binary, x binary").collect() if rows is not None else []
     if not got:
-        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 0]))
+        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 1, 0]))
     got.sort(key=lambda r: (r.doc_id, r.v, r.x))
     votes = np.array([np.frombuffer(r.v, np.int8) for r in got], float)
     x = np.array([np.frombuffer(r.x) for r in got])
-    soft = posterior(votes, (acc, company), mean, spread, prior)
-    y = np.array([r.y for r in got])          # only undoes the sample's equal shares
+    y = np.array([r.y for r in got])
+    soft = posterior(votes, (acc, company), mean, spread, prior, y)
     share = np.array([sizes.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)])[y]
     return Model(lexicon, acc, company, prior, logistic(x, soft, share / share.mean()))
 
