@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, packing, quality, substring, toxicity
+from . import near_duplicates, oracles, packing, quality, substring, toxicity
 from .common import fold, table, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +51,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")))
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+            .select("doc_id", "class_id", "copy_id", "n_links"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
