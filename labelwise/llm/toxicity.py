@@ -37,7 +37,9 @@ INSULTS = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "l
 _EDGE = ".,;:!?\"'()[]{}<>|%*#$&-_/"
 VOTERS = GROUPS + 6
 FEATURES = 9
-MIN_COUNT = 5          # documents an entry is in
+MIN_COUNT = 5          # sampled documents of label 1 that an entry is in, and the least share of them
+MIN_SHARE = 0.02
+MIN_RATIO = 300        # how many times its share of label 1 exceeds that of label 0
 LABEL_ACCURACY = 0.99
 
 
@@ -120,7 +122,7 @@ def _sample(labels: DataFrame, label: str, learn_from: Callable, per_class: int)
     return sample, sizes
 
 
-def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
+def _learn_lexicon(rows: DataFrame, size: int, drawn: tuple[int, int]) -> Lexicon:
     """Entries of the sampled rows (``y``, ``text``) that tell label 1, dealt over the groups."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +137,8 @@ def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
 
     counts = (rows.select("y", "text").mapInArrow(count, "entry string, clean long, toxic long")
               .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .where((F.col("toxic") >= MIN_COUNT) & (F.col("toxic") >= 20 * F.col("clean"))))
+              .where((F.col("toxic") >= max(MIN_COUNT, MIN_SHARE * drawn[1]))
+                     & (F.col("toxic") * max(1, drawn[0]) >= MIN_RATIO * max(1, drawn[1]) * F.col("clean"))))
     best = counts.orderBy(F.desc("toxic"), "clean", "entry").limit(size).collect()   # ``size`` entries
     groups = {r.entry: i % GROUPS for i, r in enumerate(best)}
     return Lexicon(groups | {w: GROUPS for w in INSULTS if w not in groups})
@@ -226,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
     if sample is not None:
         rows = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
                 .join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text"))
-    lexicon = _learn_lexicon(rows, lexicon_size) if rows is not None else Lexicon({w: GROUPS for w in INSULTS})
+    lexicon = _learn_lexicon(rows, lexicon_size, tuple(min(per_class, sizes.get(y, 0)) for y in (0, 1))) if rows is not None else Lexicon({w: GROUPS for w in INSULTS})
     prior = float(np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 0.01, 0.99)) if sizes else 0.05
     given = spark.sparkContext.broadcast(lexicon)
     n, first, second = _moments(docs, given)
