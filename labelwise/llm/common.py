@@ -39,6 +39,21 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it (column names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_row_hash(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of each text (null: empty) in a new column, and its name. Rows that are equal in
+    doc_id and this hash have equal results."""
+    name = free_name(docs, "row_hash")
+    return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), name
+
+
 def fold(col: Column | str, parts: int) -> Column:
     """``crc32(doc_id as text) mod parts``; a null id is in fold 0."""
     c = F.col(col) if isinstance(col, str) else col

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, hashed_words, mix, shuffle_parts, stored
+from .common import SpanHash, free_name, hashed_words, mix, shuffle_parts, stored, with_row_hash
 from .components import components
 
 SHINGLE = 5
@@ -207,3 +207,18 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, tre
                     F.coalesce("first.row_hash", "row_hash").alias("class_row"),
                     F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(given(F.col("rep.id"))).alias("copy_id"),
                     F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+
+
+def keep_one(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with its columns: of every near-duplicate class the row of the class id; texts without words stay."""
+    found = near_duplicates(docs, **settings)
+    keyed, row_hash = with_row_hash(docs)
+    id_, hash_ = free_name(keyed, "kept_id"), free_name(keyed, "kept_hash")
+    kept = (found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row_hash") == F.col("class_row")))
+            .select(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_)))
+    left = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept[id_]) & (keyed[row_hash] == kept[hash_]), "left_semi")
+    # of repeated rows one stays, unless they have no words
+    single = free_name(left, "single")
+    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = left.withColumn(single, F.when(has_words, F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+    return left.dropDuplicates(["doc_id", row_hash, single]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,19 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_duplicates, oracles, packing, quality, substring, toxicity
+from . import mtree, near_duplicates, oracles, packing, quality, substring, toxicity
 from .common import fold, table, texts
+from .settings import KEEP_QUALITY, TOXIC, quality_model, tokenizer, toxicity_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer(name: str) -> str:
-    """The place of a public tokenizer file (the same on every executor)."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -29,26 +23,22 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: fold(doc_id, 3) != 1)
-
-
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     return (toxicity.score(docs, toxicity_model(spark, sf_dir, docs))
             .select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score",
-                    F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted")))
-
-
-def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
-    return quality.fit(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: fold(doc_id, 5) != 0)
+                    F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted")))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     return (quality.score(docs, quality_model(spark, sf_dir, docs))
             .select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
-                    F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")))
+                    F.when(F.col("score") >= KEEP_QUALITY, 1).otherwise(0).alias("predicted")))
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +51,10 @@ QUERIES: dict[str, Query] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op7_quality_classifier": op7_quality_classifier,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
+    "op9_exact_top_k": oracles.OP9,
 }

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHash, hashed_words, stored
+from .common import SpanHash, free_name, hashed_words, stored, with_row_hash
 from .shared_runs import WINDOW, Runs
 
 _KEY = ["doc_id", "row_hash"]     # identifies a row: rows equal in both have equal results
@@ -125,8 +125,8 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     return rows, plain, factors.unionByName(single)
 
 
-def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` (the kept words joined by spaces; null: all were kept)."""
+def _changed(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Word counts and digests of all rows; of the rows that lose words ``n_removed, digest_kept, kept``."""
     rows, plain, spans = duplicate_spans(docs, window)
     cuts = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_removed", pa.int64()),
@@ -141,8 +141,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 for s in found:
                     edge[s["first"]] += 1
                     edge[s["last"] + window] -= 1
-                stay = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                kept = [words[i] for i in stay]
+                kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out.append((doc, key, len(words) - len(kept), _digest(kept), b" ".join(kept).decode()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
@@ -150,6 +149,28 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     changed = (rows.join(cuts.hint("shuffle_hash"), _KEY).select(*_KEY, "text", "spans")
                .mapInArrow(run, "doc_id long, row_hash long, n_removed long, digest_kept string, kept string")
                .dropDuplicates(_KEY))     # repeated rows
-    return (plain.join(changed, _KEY, "left")
-            .select("doc_id", "row_hash", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-                    F.coalesce("digest_kept", "digest").alias("kept_sha256"), "kept"))
+    return plain, changed
+
+
+def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every row: of the words that are left, joined by one space."""
+    plain, changed = _changed(docs, window)
+    return (plain.join(changed.drop("kept"), _KEY, "left")
+            .select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
+                    F.coalesce("digest_kept", "digest").alias("kept_sha256")))
+
+
+def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with its columns; a text that loses words is the words that are left, joined by one space (and
+    ``n_chars``, where there is such a column, their length). Other texts stay as they are."""
+    _, changed = _changed(docs, window)
+    keyed, row_hash = with_row_hash(docs)
+    kept = free_name(keyed, "kept")
+    id_, hash_ = free_name(keyed, "kept_id"), free_name(keyed, "kept_hash")
+    new = changed.select(F.col("doc_id").alias(id_), F.col("row_hash").alias(hash_), F.col("kept").alias(kept))
+    joined = keyed.join(new, (keyed["doc_id"] == new[id_]) & (keyed[row_hash] == new[hash_]), "left")
+    values = {"text": F.coalesce(F.col(kept), F.col("text"))}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(
+            F.char_length(F.col(kept)).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*(values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
