@@ -25,3 +25,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGIN
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+OP6 = """
+WITH t AS (SELECT floor(conv_id / 2)::BIGINT AS pair_id, conv_id % 2 <> 0 AS side, coalesce(turn, -1) AS turn,
+                  coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT pair_id, turn, list({'r': role, 't': text} ORDER BY role, text) FILTER (WHERE side) AS a,
+             list({'r': role, 't': text} ORDER BY role, text) FILTER (WHERE NOT side) AS b FROM t GROUP BY ALL),
+s AS (SELECT pair_id, min(turn) AS split FROM g WHERE a IS DISTINCT FROM b GROUP BY pair_id),
+m AS (SELECT t.*, split IS NULL OR turn < split AS common FROM t LEFT JOIN s USING (pair_id))
+SELECT pair_id, CASE WHEN common THEN 'prompt' WHEN side THEN 'rejected' ELSE 'chosen' END AS part, turn, role,
+       '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+       NOT common AND role = 'assistant' AS train
+FROM m WHERE NOT (common AND side)
+"""

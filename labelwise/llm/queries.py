@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mtree, near_duplicates, oracles, packing, quality, substring, toxicity
+from . import (fingerprints, mtree, near_duplicates, oracles, packing, preferences, quality, substring,
+               toxicity)
 from .common import fold, table, texts
 from .settings import KEEP_QUALITY, TOXIC, quality_model, tokenizer, toxicity_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -30,6 +35,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted")))
 
 
+def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2n (chosen) and 2n + 1 (rejected) are a pair."""
+    return preferences.preference_turns(table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2),
+                                        F.col("conv_id") % 2 != 0)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(table(spark, sf_dir, "documents"))
     return (quality.score(docs, quality_model(spark, sf_dir, docs))
@@ -47,14 +58,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_preference_formatting": op6_preference_formatting,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
+    "op6_preference_formatting": oracles.OP6,
     "op9_exact_top_k": oracles.OP9,
 }
