@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (fingerprints, mtree, near_duplicates, oracles, packing, preferences, quality, substring,
-               toxicity)
+from . import (fingerprints, merge_dropout, mtree, near_duplicates, oracles, packing, preferences, quality,
+               substring, suffixes, toxicity)
 from .common import fold, table, texts
 from .settings import KEEP_QUALITY, TOXIC, quality_model, tokenizer, toxicity_model
 
@@ -19,6 +19,13 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    encoded = merge_dropout.encode(table(spark, sf_dir, "documents"), model).withColumn("n_tokens", F.size("ids").cast("long"))
+    return (merge_dropout.decode(encoded, model)
+            .select("doc_id", "n_tokens", "ids_crc32", F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -48,6 +55,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.col("score") >= KEEP_QUALITY, 1).otherwise(0).alias("predicted")))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (suffixes.duplicate_spans(table(spark, sf_dir, "documents"))
+            .select("doc_id", "first_word", "n_words", "other_doc_id", "earlier"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
 
@@ -59,11 +71,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_document_fingerprints": op1_document_fingerprints,
+    "op2_sentencepiece_merge_dropout": op2_sentencepiece_merge_dropout,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_preference_formatting": op6_preference_formatting,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
