@@ -168,18 +168,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Documents are dealt over ranges of doc_id; the first of each range also goes to the range before it, so every
     range has all its neighbours and texts are shuffled once."""
-    spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
+    spark, parts = docs.sparkSession, max(2, shuffle_parts(docs.sparkSession))
     lowest = -(1 << 63)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(lowest)).alias("id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = rows.withColumn("place", F.col("id").cast("double"))
     cuts = sorted(set(keyed.approxQuantile("place", [k / parts for k in range(1, parts)], 0.2 / parts)))   # ``parts`` numbers
+    if not cuts:
+        return spark.createDataFrame([], RESULT)      # no rows
     ranges = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="range").transform
     # the first row of each range: ``parts`` rows at most
     heads = sorted((r.range, r.id) for r in ranges(keyed.select("id", "place")).groupBy("range").agg(F.max("id").alias("id")).collect())
     guests = [(i, heads[k + 1][0] if k + 1 < len(heads) else heads[0][0]) for k, (_, i) in enumerate(heads)]
-    if not heads:
-        return spark.createDataFrame([], RESULT)
     guest = F.broadcast(spark.createDataFrame(guests, "id long, host double"))
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))
     other = F.struct(F.col("host").alias("range"), F.lit(1).alias("guest"))
