@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import py_strip
 
 # --- fixed values -------------------------------------------------------------------------------------
 POSITIVE, NEGATIVE, UNPARSED = "positive", "negative", "none"
 CLASSES = (POSITIVE, NEGATIVE)  # order matters: the first class wins when an answer names both
-BINARY_CODE = {POSITIVE: 1, NEGATIVE: 0}  # anything else encodes as 1
-SEQ2SEQ_CODE = {NEGATIVE: "0", POSITIVE: "1"}
 SEQ2SEQ_INVALID = "-100"
 # -------------------------------------------------------------------------------------------------------
 
@@ -35,6 +34,12 @@ def encode_binary(c: Column) -> Column:
     return F.when(c == F.lit(NEGATIVE), F.lit(0)).otherwise(F.lit(1))
 
 
+def first_field(df: DataFrame, col: str) -> Column:
+    """The column, or the first field of a struct column: a model's output may be a tuple led by its predictions."""
+    kind = df.schema[col].dataType
+    return F.col(col).getField(kind.names[0]) if isinstance(kind, T.StructType) else F.col(col)
+
+
 def encode_seq2seq_truth(c: Column) -> Column:
     """Stripped truth to '0'/'1'; any other label fails the job, naming the value."""
     s = py_strip(c)

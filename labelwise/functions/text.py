@@ -63,5 +63,5 @@ def hash_key(seed: int | str, c: Column) -> Column:
 
 
 def hex_prefix_int(key: Column, digits: int = 8) -> Column:
-    """First ``digits`` hex characters of a hash key as a non-negative BIGINT."""
+    """First ``digits`` (at most 15) hex characters of a hash key as a non-negative BIGINT."""
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import encode_binary
 
-DIGITS = 6  # rounding applied to every reported ratio, so engines agree bit for bit
+
+def display(df: DataFrame, digits: int = 4) -> DataFrame:
+    """A view with every DOUBLE column rounded (records keep full values; reports show 4 or 5 digits)."""
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -47,20 +50,19 @@ def class_report(conf: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(*by, cls, precision, recall, f1, support)``."""
     s = class_stats(conf, by)
     return s.select(*by, "cls",
-                    F.round(_ratio(F.col("tp"), F.col("pp")), DIGITS).alias("precision"),
-                    F.round(_ratio(F.col("tp"), F.col("support")), DIGITS).alias("recall"),
-                    F.round(_ratio(2 * F.col("tp"), F.col("pp") + F.col("support")), DIGITS).alias("f1"),
+                    _ratio(F.col("tp"), F.col("pp")).alias("precision"),
+                    _ratio(F.col("tp"), F.col("support")).alias("recall"),
+                    _ratio(2 * F.col("tp"), F.col("pp") + F.col("support")).alias("f1"),
                     F.col("support").cast("long").alias("support"))
 
 
 def summary(conf: DataFrame, by: Sequence[str] = (), per_class: Sequence[str] = ()) -> DataFrame:
     """``(*by, accuracy, f1_<c>..., f1_macro, f1_weighted)`` from a confusion table."""
     s = class_stats(conf, by).withColumn("_f1", _ratio(2 * F.col("tp"), F.col("pp") + F.col("support")))
-    aggs = [F.round(_ratio(F.sum("tp"), F.sum("support")), DIGITS).alias("accuracy")]
-    aggs += [F.round(F.max(F.when(F.col("cls") == F.lit(str(c)), F.col("_f1"))), DIGITS).alias(f"f1_{c}")
-             for c in per_class]
-    aggs += [F.round(F.avg("_f1"), DIGITS).alias("f1_macro"),
-             F.round(_ratio(F.sum(F.col("_f1") * F.col("support")), F.sum("support")), DIGITS).alias("f1_weighted")]
+    aggs = [_ratio(F.sum("tp"), F.sum("support")).alias("accuracy")]
+    aggs += [F.max(F.when(F.col("cls") == F.lit(str(c)), F.col("_f1"))).alias(f"f1_{c}") for c in per_class]
+    aggs += [F.avg("_f1").alias("f1_macro"),
+             _ratio(F.sum(F.col("_f1") * F.col("support")), F.sum("support")).alias("f1_weighted")]
     return s.groupBy(*by).agg(*aggs)
 
 
@@ -96,7 +98,7 @@ def before_after(wide: DataFrame, by: Sequence[str] = (), phase_col: str = "phas
         F.struct(F.lit(w).alias("metric"), F.col(w).alias("v")) for w in _WIDE])).alias("m"))
     piv = (longf.groupBy(*by, F.col("m.metric").alias("metric"))
            .pivot(phase_col, ["before", "after"]).agg(F.first("m.v")))
-    return piv.withColumn("delta", F.round(F.col("after") - F.col("before"), DIGITS))
+    return piv.withColumn("delta", F.col("after") - F.col("before"))
 
 
 def seq2seq_eval(codes: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -37,6 +37,7 @@ SHUFFLE_SEED = 10   # train shuffle and eval bootstrap draws
 PREFILTER_MIN_ROWS = 50_000   # below this a class is ranked whole
 _SENTINEL_KEY = "~"           # sorts after every lower-case hex key
 _KEY_SPACE = 1 << 32
+DRAW_DIGITS = 15              # hex digits of a draw: 60 bits
 
 
 def _match(group_cols: Sequence[str], group: tuple, label_col: str, label) -> Column:
@@ -167,18 +168,20 @@ def eval_pool(df: DataFrame, assignment: DataFrame, *, policy: str = "strict", i
 
 def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_col: str = "row_id",
                      label_col: str = "label", group_cols: Sequence[str] = (), prefix_len: int = 4,
-                     with_label_rank: bool = False) -> DataFrame:
+                     with_label_rank: bool = False, max_labels: int | None = None) -> DataFrame:
     """``n`` draws per label **with replacement**: ``(*group_cols, label, draw, id)``, plus ``label_rank``
     (1-based place of the label in label order within its group) when ``with_label_rank``.
 
     Draw ``j`` of label ``L`` picks the pool row at position
-    ``int(md5('<seed>:<L>:<j>')[:8], 16) mod pool_size`` in ``md5('<seed>:<id>')`` order.
+    ``int(md5('<seed>:<L>:<j>')[:15], 16) mod pool_size`` in ``md5('<seed>:<id>')`` order (60 bits, so every row of
+    any pool can be drawn).
 
     Positions use the two-level index of ``indexing``, and only the buckets some draw lands in are
     ranked, so the work is ``O(pool)`` for the scan and count plus ``O(pool * draws / buckets)`` for
     ranking -- no window over a whole class. A draw finds its bucket by an as-of lookup (bucket starts and
     draws sorted together per label, the last start carried forward), never by pairing every draw with
-    every bucket.
+    every bucket. ``max_labels`` (known or counted) bounds the located draws: within the broadcast limit their
+    buckets are broadcast, so the pool is filtered where it is read and only rows of hit buckets are shuffled.
     """
     parts = [*group_cols, label_col]
     keyed = (pool.where(F.col(label_col).isNotNull())
@@ -193,7 +196,7 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
     sizes = sizes.withColumn("label_rank", F.row_number().over(Window.partitionBy(*group_cols).orderBy(label_col)))
     draw_key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(label_col), F.lit(":"), F.col("draw").cast("string")))
     draws = (sizes.withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))))
-             .withColumn("_idx", F.pmod(hex_prefix_int(draw_key), F.col("_pool_n"))))
+             .withColumn("_idx", F.pmod(hex_prefix_int(draw_key, DRAW_DIGITS), F.col("_pool_n"))))
     # as-of lookup: non-empty buckets have strictly increasing starts, so a draw's bucket is the last one
     # starting at or before its index (a bucket start sorts before a draw at the same place). The window
     # holds one label's buckets and draws: at most 16**prefix_len + n rows, whatever the pool size.
@@ -209,7 +212,7 @@ def bootstrap_sample(pool: DataFrame, n: int, *, seed: int = SHUFFLE_SEED, id_co
                .where(F.col("_kind") == 1)
                .select(*parts, "draw", "label_rank", F.col("_b").alias("_bucket"),
                        (F.col("_at") - F.col("_s") + 1).alias("_local")))
-    hit = located.select(*parts, "_bucket").distinct()
+    hit = maybe_broadcast(located.select(*parts, "_bucket").distinct(), None if max_labels is None else n * max_labels)
     ranked = (keyed.join(hit, [*parts, "_bucket"], "left_semi")
               .withColumn("_local", F.row_number().over(
                   Window.partitionBy(*parts, "_bucket").orderBy("_key", id_col)).cast("long")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import parse_answer
 from ..functions.prompts import test_prompt
+from ..functions.text import word_tokens
 from ..operators.scoring import score
 from ..sources.csv import sentence_frame
 
@@ -14,8 +15,9 @@ from ..sources.csv import sentence_frame
 def predict_sentences(spark: SparkSession, sentences, make_predictor) -> DataFrame:
     """``(idx, text, prompt, answer, pred)`` for each literal sentence: inference prompt, predictor,
     native parse."""
-    prompts = sentence_frame(spark, sentences).select("idx", "text", test_prompt(F.col("text")).alias("prompt"))
-    scored = score(prompts, make_predictor)
+    prompts = (sentence_frame(spark, sentences).select("idx", "text", test_prompt(F.col("text")).alias("prompt"))
+               .withColumn("_words", word_tokens(F.col("prompt"))))
+    scored = score(prompts, make_predictor, "_words").drop("_words")
     return scored.withColumn("pred", parse_answer(F.concat(F.col("prompt"), F.lit(" "), F.col("answer"))))
 
 

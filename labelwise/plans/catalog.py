@@ -11,30 +11,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.answers import encode_binary, encode_seq2seq_pred, encode_seq2seq_truth, parse_answer
+from ..functions.answers import CLASSES, encode_binary, encode_seq2seq_pred, encode_seq2seq_truth, first_field, parse_answer
 from ..functions.keys import dataset_path, run_key
 from ..operators import metrics as M
 from . import sql_fragments as S
 from ..operators.splits import eval_pool, fraction_split, shuffle_positions
 from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tokens, mask, pad_to_longest,
                                pad_truncate, token_count, token_ids, unmask, vocabulary)
-from ..functions.prompts import test_prompt
+from ..functions.prompts import test_prompt, train_prompt
+from ..session import cut_lineage, scratch_folder
 from ..operators import naive_bayes as NB
 from ..operators.ml import lr_fit, lr_predict
-from ..operators.scoring import nb_predictor, score
-from ..sources.tables import attach_text, labeled, labeled_keys, read_table, unlabelled
+from ..operators.scoring import nb_answers
+from ..sources.tables import attach_text, labeled, labeled_keys, multi_task, read_table, unlabelled
 from ..sources.csv import read_labelled_csv, write_labelled_csv
 from .sinks import append_metrics, load_counts, read_metrics, save_counts, write_splits
-from ..streaming.cycles import (cycle_eval, scratch_folder, stream_confusion, stream_counts,
-                                write_batches)
-from .dataset import (Sizes, assignment, bundle, counted_keys, eval_set, fraction_set, full_train, grid_test_set,
-                      leak_audit, test_set, train_set)
+from ..streaming.cycles import cycle_eval, stream_confusion, stream_counts, write_batches
+from .dataset import (Sizes, assignment, bundle, bundle_keys, counted_keys, eval_set, fraction_set, full_train,
+                      grid_assignment, leak_audit, test_set, train_set)
 from .fixtures import fixture_raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 SIZES = Sizes(30, 20, 20)
+DIGITS = 6   # rounding of ratios in the registered queries, so engines agree; the operators return full values
 
 
 def register(name: str, sql: str | None = None):
@@ -83,7 +84,7 @@ def q_parse_answer(spark, sf_dir):
 
 @register("eval_binary", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED) + S.binary_eval("parsed"))
 def q_eval_binary(spark, sf_dir):
-    return M.binary_eval(parsed_runs(spark, sf_dir), "label", "pred", by=["phase"])
+    return M.display(M.binary_eval(parsed_runs(spark, sf_dir), "label", "pred", by=["phase"]), DIGITS)
 
 
 # ---- step 2: dataset building ------------------------------------------------------------------------------
@@ -101,7 +102,7 @@ def _bootstrap_sql(n: int) -> list[tuple[str, str]]:
     return [
         ("ranked", f"SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY {S.key(10, 'row_id')}, "
                    f"row_id) - 1 AS pos, count(*) OVER (PARTITION BY label) AS pool_n FROM pool"),
-        ("draws", f"SELECT label, j AS draw, {S.hex8(draw_key)} % pool_n AS idx "
+        ("draws", f"SELECT label, j AS draw, {S.hex15(draw_key)} % pool_n AS idx "
                   f"FROM (SELECT DISTINCT label, pool_n FROM ranked) s, range(1, {n + 1}) t(j)"),
         ("picked", "SELECT d.label, d.draw, r.row_id FROM draws d JOIN ranked r ON r.label = d.label AND r.pos = d.idx"),
         ("evalset", f"SELECT p.row_id, p.label, p.draw, (dense_rank() OVER (ORDER BY p.label) - 1) * {n} + p.draw - 1 "
@@ -185,7 +186,8 @@ _BUNDLE = [_LAB, _ASSIGN, _TRAIN, _TEST, _POOL_STRICT, *_bootstrap_sql(SIZES.eva
 
 @register("split_sizes", _with(*_BUNDLE) + "SELECT split, label, count(*) AS n FROM bundle GROUP BY split, label")
 def q_split_sizes(spark, sf_dir):
-    return bundle(spark, sf_dir, SIZES).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    keys, _ = bundle_keys(spark, sf_dir, SIZES)
+    return keys.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("split_preview", _with(*_BUNDLE)
@@ -201,7 +203,7 @@ FIXTURE_MODEL = "labelwise/fixture-answers"   # model name recorded for the dete
 _PARSED_CS = ("parsed", f"SELECT row_id, label, phase, answer, raw, {S.parse(case_sensitive=True)} AS pred FROM runs")
 _ENC = ("enc", f"SELECT row_id, phase, {S.encode('label')} AS y_true, {S.encode('pred')} AS y_pred FROM parsed")
 _CONF = ("conf", "SELECT phase, y_true, y_pred, count(*) AS n FROM enc GROUP BY phase, y_true, y_pred")
-_WIDE = ("wide", S.binary_eval("parsed"))
+_WIDE = ("wide", S.binary_eval("parsed", digits=None))
 
 
 def _strip_sql(c: str) -> str:
@@ -237,7 +239,7 @@ def q_confusion_counts(spark, sf_dir):
             f"round({S.ratio('tp', 'support')}, 6) AS recall, round({S.ratio('2 * tp', 'pp + support')}, 6) AS f1, "
             f"CAST(support AS BIGINT) AS support FROM st")
 def q_class_report(spark, sf_dir):
-    return M.class_report(M.confusion(q_encode_labels(spark, sf_dir), by=["phase"]), by=["phase"])
+    return M.display(M.class_report(M.confusion(q_encode_labels(spark, sf_dir), by=["phase"]), by=["phase"]), DIGITS)
 
 
 _CODES = ("codes", f"SELECT phase, CASE WHEN {_strip_sql('label')} = 'negative' THEN '0' "
@@ -250,10 +252,11 @@ _CODES_CONF = ("cconf", "SELECT phase, y_true, y_pred, count(*) AS n FROM codes
 @register("eval_seq2seq", _with(_LAB, _ASSIGN, _TEST, _RUNS, _CODES, _CODES_CONF)
           + f"SELECT phase, accuracy, f1_weighted AS f1 FROM ({S.summary(S.class_stats('cconf', 'phase'), 'phase', ())})")
 def q_eval_seq2seq(spark, sf_dir):
-    runs = fixture_raw(test_set(spark, sf_dir, SIZES))
+    # the output of a sequence model is a tuple: its predictions come first
+    runs = fixture_raw(test_set(spark, sf_dir, SIZES)).withColumn("output", F.struct("answer", "raw"))
     codes = runs.select("phase", encode_seq2seq_truth(F.col("label")).alias("y_true"),
-                        encode_seq2seq_pred(F.col("answer")).alias("y_pred"))
-    return M.seq2seq_eval(codes, by=["phase"])
+                        encode_seq2seq_pred(first_field(runs, "output")).alias("y_pred"))
+    return M.display(M.seq2seq_eval(codes, by=["phase"]), DIGITS)
 
 
 _METRIC_COLS = (("eval_accuracy", "accuracy"), ("f1_score_0", "f1_0"), ("f1_score_1", "f1_1"),
@@ -261,46 +264,98 @@ _METRIC_COLS = (("eval_accuracy", "accuracy"), ("f1_score_0", "f1_0"), ("f1_scor
 
 
 @register("eval_before_after", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
-          + "SELECT metric, max(CASE WHEN phase = 'before' THEN v END) AS before, "
-            "max(CASE WHEN phase = 'after' THEN v END) AS after, "
+          + "SELECT metric, round(max(CASE WHEN phase = 'before' THEN v END), 6) AS before, "
+            "round(max(CASE WHEN phase = 'after' THEN v END), 6) AS after, "
             "round(max(CASE WHEN phase = 'after' THEN v END) - max(CASE WHEN phase = 'before' THEN v END), 6) AS delta "
             "FROM (" + " UNION ALL ".join(f"SELECT phase, '{w}' AS metric, {w} AS v FROM wide" for _, w in _METRIC_COLS)
           + ") u GROUP BY metric")
 def q_eval_before_after(spark, sf_dir):
-    return M.before_after(_eval_wide(spark, sf_dir))
+    return M.display(M.before_after(_eval_wide(spark, sf_dir)), DIGITS)
 
 
 _RUN_ID_SQL = (f"split_part('data/quality/data.csv', '/', 2) || '-' || split_part('{FIXTURE_MODEL}', '/', 2)")
 
 
 @register("metrics_long", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
-          + " UNION ALL ".join(f"SELECT {_RUN_ID_SQL} AS run_id, phase, phase || '_{k}' AS metric, {w} AS value FROM wide"
-                               for k, w in _METRIC_COLS))
+          + " UNION ALL ".join(f"SELECT {_RUN_ID_SQL} AS run_id, 'quality' AS dataset, '{FIXTURE_MODEL}' AS model, 'eval' AS split, "
+                               f"phase, phase || '_{k}' AS metric, round({w}, 6) AS value FROM wide" for k, w in _METRIC_COLS))
 def q_metrics_long(spark, sf_dir):
+    return M.display(metrics_record(spark, sf_dir), DIGITS)
+
+
+def metrics_record(spark, sf_dir):
+    """The full values of both phases, one row per metric, as they are logged."""
     run_id = run_key(dataset_path(F.lit("quality")), F.lit(FIXTURE_MODEL))
-    return M.metrics_long(_eval_wide(spark, sf_dir)).select(run_id.alias("run_id"), "phase", "metric", "value")
+    return M.metrics_long(_eval_wide(spark, sf_dir)).select(
+        run_id.alias("run_id"), F.lit("quality").alias("dataset"), F.lit(FIXTURE_MODEL).alias("model"),
+        F.lit("eval").alias("split"), "phase", "metric", "value")
 
 
 @register("metrics_scalars", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
-          + "SELECT phase, 'eval/accuracy' AS tag, accuracy AS value FROM wide UNION ALL "
-            "SELECT phase, 'eval/f1', f1_macro FROM wide")
+          + "SELECT phase, 'eval/accuracy' AS tag, round(accuracy, 6) AS value FROM wide UNION ALL "
+            "SELECT phase, 'eval/f1', round(f1_macro, 6) FROM wide")
 def q_metrics_scalars(spark, sf_dir):
-    return M.scalars(_eval_wide(spark, sf_dir), by=["phase"])
+    return M.display(M.scalars(_eval_wide(spark, sf_dir), by=["phase"]), DIGITS)
+
+
+@register("metrics_display", _with(_LAB, _ASSIGN, _TEST, _RUNS, _PARSED, _WIDE)
+          + "SELECT phase, 4 AS digits, " + ", ".join(f"round({w}, 4) AS {w}" for _, w in _METRIC_COLS) + " FROM wide UNION ALL "
+            "SELECT phase, 5, " + ", ".join(f"round({w}, 5)" for _, w in _METRIC_COLS) + " FROM wide")
+def q_metrics_display(spark, sf_dir):
+    """The evaluation as reports show it, with 4 and with 5 digits."""
+    wide = _eval_wide(spark, sf_dir)
+    return (M.display(wide, 4).withColumn("digits", F.lit(4))
+            .unionByName(M.display(wide, 5).withColumn("digits", F.lit(5))))
 
 
 _MT = ("mt", f"SELECT 'quality' AS dataset, * FROM ({S.labeled('quality')}) a UNION ALL "
              f"SELECT 'toxic' AS dataset, * FROM ({S.labeled('toxic')}) b")
 _GASSIGN = ("assign", S.assign(SIZES.train, SIZES.test, src="mt", part="dataset"))
-_GTEST = ("test", f"SELECT dataset, row_id, label, {S.test_prompt()} AS prompt FROM assign WHERE split = 'test'")
+_GTEST = ("test", f"SELECT dataset, row_id, label, text, {S.test_prompt()} AS prompt FROM assign WHERE split = 'test'")
 _GPARSED = ("parsed", f"SELECT dataset, row_id, label, phase, {S.parse()} AS pred FROM runs")
+PRIOR_MODEL, NB_MODEL = "labelwise/prior", "labelwise/naive-bayes"
+_GNB = [
+    ("gtok", f"SELECT dataset, label, unnest({S.tokens()}) AS token FROM assign WHERE split = 'train'"),
+    ("gcounts", "SELECT dataset, token, count(*) FILTER (WHERE label = 'positive') AS n_positive, "
+                "count(*) FILTER (WHERE label = 'negative') AS n_negative FROM gtok GROUP BY dataset, token"),
+    ("gparams", "SELECT dataset, ln(tp + v) AS ld_positive, ln(tn + v) AS ld_negative, ln(dp / (dp + dn)) AS lp_positive, "
+                "ln(dn / (dp + dn)) AS lp_negative FROM (SELECT dataset, sum(n_positive)::DOUBLE AS tp, sum(n_negative)::DOUBLE AS tn, "
+                "count(*)::DOUBLE AS v FROM gcounts GROUP BY dataset) a JOIN (SELECT dataset, "
+                "(count(*) FILTER (WHERE label = 'positive'))::DOUBLE AS dp, (count(*) FILTER (WHERE label = 'negative'))::DOUBLE AS dn "
+                "FROM assign WHERE split = 'train' GROUP BY dataset) b USING (dataset)"),
+    ("gdtok", f"SELECT dataset, row_id, unnest({S.tokens()}) AS token FROM test"),
+    ("gsums", "SELECT dataset, row_id, count(*) AS n, sum(ln(n_positive + 1)) AS s_positive, sum(ln(n_negative + 1)) AS s_negative "
+              "FROM gdtok JOIN gcounts USING (dataset, token) GROUP BY dataset, row_id"),
+    ("gscored", "SELECT dataset, label, lp_positive, lp_negative, "
+                "lp_positive + coalesce(s_positive, 0) - coalesce(n, 0) * ld_positive AS sp, "
+                "lp_negative + coalesce(s_negative, 0) - coalesce(n, 0) * ld_negative AS sn "
+                "FROM test JOIN gparams USING (dataset) LEFT JOIN gsums USING (dataset, row_id)"),
+    ("gpreds", f"SELECT '{FIXTURE_MODEL}' AS model, dataset, phase, label, pred FROM parsed UNION ALL "
+               f"SELECT '{PRIOR_MODEL}', dataset, 'before', label, CASE WHEN lp_positive >= lp_negative THEN 'positive' "
+               f"ELSE 'negative' END FROM gscored UNION ALL "
+               f"SELECT '{NB_MODEL}', dataset, 'after', label, CASE WHEN sp >= sn THEN 'positive' ELSE 'negative' END FROM gscored"),
+]
 
 
-@register("eval_grid", _with(_MT, _GASSIGN, _GTEST, _RUNS, _GPARSED)
-          + S.binary_eval("parsed", by="dataset, phase"))
+@register("eval_grid", _with(_MT, _GASSIGN, _GTEST, _RUNS, _GPARSED, *_GNB)
+          + S.binary_eval("gpreds", by="model, dataset, phase"))
 def q_eval_grid(spark, sf_dir):
-    runs = fixture_raw(grid_test_set(spark, sf_dir, SIZES))
-    parsed = runs.withColumn("pred", parse_answer(F.col("raw")))
-    return M.binary_eval(parsed, "label", "pred", by=["dataset", "phase"])
+    """Every model on every dataset: the stand-in answers (both phases), the class prior before and naive Bayes after
+    training. All datasets are split, trained and scored in one job."""
+    assign = grid_assignment(spark, sf_dir, SIZES)
+    rows = attach_text(spark, sf_dir, assign, bound_rows=SIZES.split_rows * 2)
+    test = rows.where(F.col("split") == "test")
+    runs = fixture_raw(test.select("dataset", "row_id", "label", test_prompt(F.col("text")).alias("prompt")))
+    fixed = runs.select(F.lit(FIXTURE_MODEL).alias("model"), "dataset", "phase", "label", parse_answer(F.col("raw")).alias("pred"))
+    counts = cut_lineage(NB.keyed_token_counts(rows.where(F.col("split") == "train"), "dataset"), "grid-counts")
+    params = NB.keyed_params(counts, "dataset")
+    learnt = (NB.keyed_predict(counts, params, test.select("dataset", "row_id", "label", "text"), "dataset", params_rows=2, carry=("label",))
+              .select(F.lit(NB_MODEL).alias("model"), "dataset", F.lit("after").alias("phase"), "label", "pred"))
+    first, second = CLASSES
+    majority = params.select("dataset", F.when(F.col(f"lp_{first}") >= F.col(f"lp_{second}"), first).otherwise(second).alias("pred"))
+    prior = (assign.where(F.col("split") == "test").join(F.broadcast(majority), "dataset")      # one row per dataset
+             .select(F.lit(PRIOR_MODEL).alias("model"), "dataset", F.lit("before").alias("phase"), "label", "pred"))
+    return M.display(M.binary_eval(fixed.unionByName(prior).unionByName(learnt), "label", "pred", by=["model", "dataset", "phase"]), DIGITS)
 
 
 @register("run_key", "SELECT DISTINCT 'data/' || lang || '/data.csv' AS filename, "
@@ -321,78 +376,103 @@ BATCH_SIZE = 8            # rows per training batch (label arrays are padded per
 _N_TOK = effective_length(MAX_SEQ_LENGTH, MODEL_MAX_LENGTH)
 
 
-def corpus_tokens(spark, sf_dir):
+def corpus_vocab(spark, sf_dir):
+    """Vocabulary over every document word plus the class names."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return explode_tokens(docs)
+    names = explode_tokens(spark.createDataFrame([(i, c) for i, c in enumerate(CLASSES)], "row_id long, text string"))
+    return vocabulary(explode_tokens(docs).select("token").unionByName(names.select("token")))
 
 
-def corpus_vocab(spark, sf_dir, toks=None):
-    """Vocabulary over every document word plus the class names (targets of the seq2seq path)."""
-    toks = toks if toks is not None else corpus_tokens(spark, sf_dir)
-    label_toks = explode_tokens(labeled_keys(spark, sf_dir).select("row_id", F.col("label").alias("text")))
-    return vocabulary(toks.select("token").unionByName(label_toks.select("token")))
+def prompt_rows(spark, sf_dir):
+    """``(row_id, label, split, batch_id, prompt)`` of the fractional split: batches of ``BATCH_SIZE`` in the order of each split."""
+    rows = fraction_set(spark, sf_dir)
+    first = rows.groupBy("split").agg(F.min("pos").alias("_first"))                       # three rows
+    return (rows.join(F.broadcast(first), "split")
+            .select("row_id", "label", "split", ((F.col("pos") - F.col("_first")) / BATCH_SIZE).cast("long").alias("batch_id"), "prompt"))
 
 
-def padded_docs(spark, sf_dir):
-    # the vocabulary takes every word of every whole text; the ids take each text's first _N_TOK words (the
-    # truncation is the feature). Both read the same exchange of the text; a document without words keeps
-    # a row and pads to all zeros
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    vocab = corpus_vocab(spark, sf_dir, explode_tokens(docs, outer=True))
-    ids = token_ids(explode_tokens(docs, outer=True, max_pos=_N_TOK), vocab)
+def seq2seq_vocab(rows):
+    """Vocabulary of all words of all prompts and of the class names, stored once."""
+    names = explode_tokens(rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(CLASSES)], "row_id long, text string"))
+    words = explode_tokens(rows, "prompt")
+    return cut_lineage(vocabulary(words.select("token").unionByName(names.select("token"))), "prompt-vocabulary")
+
+
+def input_arrays(rows, vocab):
+    """``(row_id, input_ids)``: each prompt's first ``_N_TOK`` words, padded; a prompt without words is all padding."""
+    ids = token_ids(explode_tokens(rows, "prompt", outer=True, max_pos=_N_TOK), vocab)
     return ids.select("row_id", pad_truncate(F.col("ids"), _N_TOK).alias("input_ids"))
 
 
+def label_arrays(rows, vocab):
+    """``(row_id, split, batch_id, labels)``: label ids padded to the longest of their batch."""
+    names = rows.sparkSession.createDataFrame([(c, c) for c in CLASSES], "label string, text string")
+    ids = token_ids(explode_tokens(names, id_col="label"), vocab, id_col="label")         # a row per class
+    with_ids = rows.join(F.broadcast(ids), "label", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+    padded = pad_to_longest(with_ids.withColumn("_batch", F.struct("split", "batch_id")), "ids", "_batch", out="labels")
+    return padded.select("row_id", "split", "batch_id", "labels")
+
+
 _DOC = ("doc", "SELECT doc_id AS row_id, text FROM documents")
 _TOK = ("tok", f"SELECT row_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos "
                f"FROM (SELECT row_id, {S.tokens()} AS toks FROM doc)")
-_VOCAB = ("vocab", "SELECT token, CAST(row_number() OVER (ORDER BY token) AS INTEGER) AS id FROM ("
-                   "SELECT token FROM tok UNION "
-                   f"SELECT unnest({S.tokens('label')}) AS token FROM labeled) u")
-_IDS = ("ids", f"SELECT t.row_id, list(v.id ORDER BY t.pos) AS ids FROM tok t JOIN vocab v ON t.token = v.token "
-               f"WHERE t.pos <= {_N_TOK} GROUP BY t.row_id")
-_PADDED = ("padded", f"SELECT d.row_id, list_resize(coalesce(i.ids, []::INTEGER[]), {_N_TOK}, 0) AS input_ids "
-                     f"FROM doc d LEFT JOIN ids i ON d.row_id = i.row_id")
-_TOKS = [_LAB, _DOC, _TOK, _VOCAB, _IDS, _PADDED]
-
-
-@register("vocabulary", _with(_LAB, _DOC, _TOK, _VOCAB) + "SELECT token, id FROM vocab")
+_NAMES = "SELECT unnest(['positive', 'negative']) AS token"
+_VOCAB = ("vocab", f"SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT token FROM tok UNION {_NAMES}) u")
+_PROMPTS = [_LAB, *_FRACTION,
+            ("prow", f"SELECT row_id, label, split, (pos - min(pos) OVER (PARTITION BY split)) // {BATCH_SIZE} AS batch_id, "
+                     f"CASE WHEN split = 'train' THEN {S.train_prompt()} ELSE {S.test_prompt()} END AS prompt FROM frac"),
+            ("ptok", f"SELECT row_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos "
+                     f"FROM (SELECT row_id, {S.tokens('prompt')} AS toks FROM prow)"),
+            ("pvocab", f"SELECT token, row_number() OVER (ORDER BY token) AS id FROM (SELECT token FROM ptok UNION {_NAMES}) u"),
+            ("pids", f"SELECT t.row_id, list(v.id ORDER BY t.pos) AS ids FROM ptok t JOIN pvocab v USING (token) "
+                     f"WHERE t.pos <= {_N_TOK} GROUP BY t.row_id"),
+            ("inputs", f"SELECT p.row_id, list_resize(coalesce(i.ids, []::BIGINT[]), {_N_TOK}, 0) AS input_ids "
+                       f"FROM prow p LEFT JOIN pids i USING (row_id)"),
+            ("padded", "SELECT p.row_id, p.split, p.batch_id, list_resize(CASE WHEN v.id IS NULL THEN []::BIGINT[] ELSE [v.id] END, "
+                       "max(CASE WHEN v.id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.split, p.batch_id), 0) AS labels "
+                       "FROM prow p LEFT JOIN pvocab v ON v.token = p.label"),
+            ("masked", f"SELECT row_id, split, batch_id, list_transform(labels, lambda x: CASE WHEN x = 0 THEN {IGNORE_ID} ELSE x END) "
+                       f"AS labels FROM padded")]
+
+
+@register("vocabulary", _with(_DOC, _TOK, _VOCAB) + "SELECT token, id FROM vocab")
 def q_vocabulary(spark, sf_dir):
     return corpus_vocab(spark, sf_dir)
 
 
-@register("tokens_pad_truncate", _with(*_TOKS) + "SELECT row_id, input_ids FROM padded")
+@register("tokens_pad_truncate", _with(*_PROMPTS) + "SELECT row_id, input_ids FROM inputs")
 def q_tokens_pad_truncate(spark, sf_dir):
-    return padded_docs(spark, sf_dir)
+    rows = prompt_rows(spark, sf_dir)
+    return input_arrays(rows, seq2seq_vocab(rows))
 
 
-@register("labels_mask", _with(*_TOKS)
-          + f"SELECT row_id, list_transform(input_ids, lambda x: CASE WHEN x = 0 THEN {IGNORE_ID} ELSE x END) AS labels "
-            f"FROM padded")
+@register("labels_pad_batch", _with(*_PROMPTS) + "SELECT row_id, split, batch_id, labels FROM padded")
+def q_labels_pad_batch(spark, sf_dir):
+    rows = prompt_rows(spark, sf_dir)
+    return label_arrays(rows, seq2seq_vocab(rows))
+
+
+@register("labels_mask", _with(*_PROMPTS) + "SELECT row_id, labels FROM masked")
 def q_labels_mask(spark, sf_dir):
-    return padded_docs(spark, sf_dir).select("row_id", mask(F.col("input_ids")).alias("labels"))
+    return q_labels_pad_batch(spark, sf_dir).select("row_id", mask(F.col("labels")).alias("labels"))
 
 
-@register("labels_unmask_decode", _with(_DOC)
-          + f"SELECT row_id, array_to_string(list_slice({S.tokens()}, 1, {_N_TOK}), ' ') AS decoded FROM doc")
+@register("labels_unmask_decode", _with(_LAB) + "SELECT row_id, coalesce(label, '') AS decoded FROM labeled")
 def q_labels_unmask_decode(spark, sf_dir):
-    masked = padded_docs(spark, sf_dir).select("row_id", mask(F.col("input_ids")).alias("labels"))
-    restored = masked.select("row_id", unmask(F.col("labels")).alias("ids"))
-    return decode(restored, "ids", corpus_vocab(spark, sf_dir))
+    rows = prompt_rows(spark, sf_dir)
+    vocab = seq2seq_vocab(rows)
+    masked = label_arrays(rows, vocab).select("row_id", mask(F.col("labels")).alias("labels"))
+    return decode(masked.select("row_id", unmask(F.col("labels")).alias("ids")), "ids", vocab)
 
 
-@register("labels_pad_batch", _with(_LAB, _DOC, _TOK, _VOCAB, *_FRACTION,
-                                    ("lt", f"SELECT f.row_id, f.pos // {BATCH_SIZE} AS batch_id, "
-                                           f"(SELECT list(v.id ORDER BY g.i) FROM (SELECT unnest({S.tokens('f.label')}) AS t, "
-                                           f"unnest(generate_series(1, len({S.tokens('f.label')}))) AS i) g "
-                                           f"JOIN vocab v ON v.token = g.t) AS ids FROM frac f WHERE f.split = 'train'"))
-          + "SELECT row_id, batch_id, list_resize(ids, max(len(ids)) OVER (PARTITION BY batch_id), 0) AS labels FROM lt")
-def q_labels_pad_batch(spark, sf_dir):
-    train = fraction_split(labeled_keys(spark, sf_dir)).where(F.col("split") == "train")
-    toks = explode_tokens(train.select("row_id", F.col("label").alias("text")))
-    ids = token_ids(toks, corpus_vocab(spark, sf_dir))
-    batched = train.select("row_id", (F.col("pos") / BATCH_SIZE).cast("long").alias("batch_id")).join(ids, "row_id")
-    return pad_to_longest(batched, "ids", "batch_id", out="labels").select("row_id", "batch_id", "labels")
+@register("seq2seq_features", _with(*_PROMPTS) + "SELECT m.row_id, m.split, m.batch_id, i.input_ids, m.labels "
+                                                "FROM masked m JOIN inputs i USING (row_id)")
+def q_seq2seq_features(spark, sf_dir):
+    """The batch map: every prompt's ids and its batch's masked label ids, in one row."""
+    rows = prompt_rows(spark, sf_dir)
+    vocab = seq2seq_vocab(rows)
+    labels = label_arrays(rows, vocab).withColumn("labels", mask(F.col("labels")))
+    return labels.join(input_arrays(rows, vocab), "row_id").select("row_id", "split", "batch_id", "input_ids", "labels")
 
 
 @register("truncated_label_audit", _with(_LAB)
@@ -401,7 +481,8 @@ def q_labels_pad_batch(spark, sf_dir):
             f"FROM labeled) x GROUP BY label")
 def q_truncated_label_audit(spark, sf_dir):
     # each whole prompt is tokenised once (projected), then counted and compared
-    counted = full_train(spark, sf_dir).select("label", token_count(F.col("prompt")).alias("_n"))
+    rows = labeled(spark, sf_dir, columns=("text",))
+    counted = rows.select("label", token_count(train_prompt(F.col("text"), F.col("label"))).alias("_n"))
     return (counted.groupBy("label")
             .agg(F.count(F.lit(1)).alias("n_prompts"),
                  F.count(F.when(F.col("_n") > MAX_SEQ_LENGTH, True)).alias("n_truncated"),
@@ -461,7 +542,7 @@ def q_nb_train_counts(spark, sf_dir):
 def q_nb_predict(spark, sf_dir):
     model = nb_model(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
-    return NB.predict(model, docs)
+    return M.display(NB.predict(model, docs), 4)
 
 
 @register("nb_before_after", _with(_LAB, _ASSIGN, *_NB_FIT,
@@ -473,36 +554,36 @@ def q_nb_predict(spark, sf_dir):
           + S.binary_eval("preds"))
 def q_nb_before_after(spark, sf_dir):
     model = nb_model(spark, sf_dir)
-    test = split_texts(spark, sf_dir, "test")
-    after = NB.predict(model, test).select("row_id", "pred")
-    before = NB.prior_predict(model, test)
-    preds = (before.withColumn("phase", F.lit("before"))
-             .unionByName(after.withColumn("phase", F.lit("after")))
-             .join(test.select("row_id", "label"), "row_id"))
-    return M.binary_eval(preds, "label", "pred", by=["phase"])
+    # the label rides along; the prior's answer is a constant beside each prediction
+    after = NB.predict(model, split_texts(spark, sf_dir, "test"), carry=("label",))
+    runs = F.array(F.struct(F.lit("before").alias("phase"), F.lit(NB.prior_class(model)).alias("pred")),
+                   F.struct(F.lit("after").alias("phase"), F.col("pred")))
+    preds = after.select("label", F.explode(runs).alias("_r")).select("label", "_r.phase", "_r.pred")
+    return M.display(M.binary_eval(preds, "label", "pred", by=["phase"]), DIGITS)
 
 
 @register("score_map_in_pandas", _with(_LAB, _ASSIGN, *_NB_FIT,
-                                       ("u", f"SELECT conv_id, turn, {S.test_prompt()} AS prompt FROM conversations "
-                                             f"WHERE role = 'user'"),
+                                       ("u", f"SELECT conv_id, turn, {S.test_prompt()} AS prompt FROM conversations"),
                                        *_nb_sql("u", "conv_id, turn", text="prompt"),
                                        ("ans", f"SELECT conv_id, turn, prompt, {_NB_PRED} AS answer FROM scored"))
           + "SELECT conv_id, turn, answer, " + S.parse("prompt || ' ' || answer") + " AS pred FROM ans")
 def q_score_map_in_pandas(spark, sf_dir):
     model = nb_model(spark, sf_dir)
     prompts = unlabelled(spark, sf_dir).select("conv_id", "turn", test_prompt(F.col("text")).alias("prompt"))
-    scored = score(prompts, nb_predictor(spark, model))
+    scored = nb_answers(spark, model, prompts, ["conv_id", "turn"])
     raw = F.concat(F.col("prompt"), F.lit(" "), F.col("answer"))
     return scored.select("conv_id", "turn", "answer", parse_answer(raw).alias("pred"))
 
 
-@register("lr_predict")
+@register("lr_predict", _with(_LAB, *_FRACTION) + "SELECT row_id, label, true AS in_domain FROM frac WHERE split = 'test'")
 def q_lr_predict(spark, sf_dir):
+    """The test rows and whether each prediction is a class (which class depends on the optimiser's last bits)."""
     keys, n = counted_keys(spark, sf_dir)
     frac = fraction_split(keys, n=n)
     with_text = attach_text(spark, sf_dir, frac, bound_rows=n)
     model = lr_fit(with_text.where(F.col("split") == "train"))
-    return lr_predict(model, with_text.where(F.col("split") == "test").select("row_id", "label", "text"))
+    pred = lr_predict(model, with_text.where(F.col("split") == "test").select("row_id", "label", "text"))
+    return pred.select("row_id", "label", F.col("pred").isin(*CLASSES).alias("in_domain"))
 
 
 # ---- step 6: cycles and streaming --------------------------------------------------------------------------
@@ -515,6 +596,10 @@ def cycled(spark, sf_dir):
     return labeled(spark, sf_dir, columns=("text",)).withColumn("cycle", (F.col("row_id") % N_CYCLES).cast("int"))
 
 
+def cycled_keys(spark, sf_dir):
+    return labeled_keys(spark, sf_dir).withColumn("cycle", (F.col("row_id") % N_CYCLES).cast("int"))
+
+
 def _cycle_sql(mode: str) -> list[tuple[str, str]]:
     join = "s.src = 0 OR m.model = s.src" if mode == "star" else "m.model >= s.src"
     prev = "0" if mode == "star" else "cycle - 1"
@@ -558,8 +643,9 @@ def _cycle_sql(mode: str) -> list[tuple[str, str]]:
 
 def _cycle_query(mode: str):
     def run(spark, sf_dir):
-        preds = cycle_eval(cycled(spark, sf_dir), N_CYCLES, CYCLE_SIZES.train, CYCLE_SIZES.test, mode)
-        return M.binary_eval(preds, "label", "pred", by=["cycle", "phase"])
+        texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+        preds = cycle_eval(cycled_keys(spark, sf_dir), texts, N_CYCLES, CYCLE_SIZES.train, CYCLE_SIZES.test, mode)
+        return M.display(M.binary_eval(preds, "label", "pred", by=["cycle", "phase"]), DIGITS)
     return run
 
 
@@ -614,13 +700,43 @@ def q_csv_roundtrip(spark, sf_dir):
     return read_labelled_csv(spark, folder).select("dataset", "label", "text")
 
 
+_CSV_ROWS = ("csvrows", " UNION ALL ".join(
+    f"SELECT '{d}' AS dataset, CAST(row_id % {N_CYCLES} AS INTEGER) AS cycle, {_na_sql('label')} AS label, {_na_sql('text')} AS text "
+    f"FROM ({S.labeled(d)})" for d in ("quality", "toxic")))
+
+
+def csv_files(spark, sf_dir):
+    """Both tasks' labelled texts as numbered headerless CSV files, ``data/<dataset>/data-<cycle>.csv``."""
+    root = scratch_folder(spark, "csv")
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    rows = cut_lineage(multi_task(spark, sf_dir).join(texts, "row_id"), "csv-rows")
+    paths = [(d, k, f"{root}/data/{d}/data-{k}.csv") for d in ("quality", "toxic") for k in range(N_CYCLES)]
+    for d, k, path in paths:
+        write_labelled_csv(rows.where((F.col("dataset") == d) & (F.col("row_id") % N_CYCLES == k)), path)
+    return [path for _, _, path in paths]
+
+
+@register("csv_multi_file", _with(_CSV_ROWS) + "SELECT dataset, cycle, label, text, false AS ragged, "
+                                              "coalesce(contains(text, chr(65533)), false) AS bad_bytes FROM csvrows")
+def q_csv_multi_file(spark, sf_dir):
+    rows = read_labelled_csv(spark, csv_files(spark, sf_dir), on_bad_bytes="quarantine", on_ragged="flag", with_row_id=False)
+    return rows.select("dataset", "cycle", "label", "text", "ragged", "bad_bytes")
+
+
+@register("csv_row_ids", _with(_CSV_ROWS) + "SELECT dataset, cycle, count(*) AS n_rows, count(*) AS n_ids FROM csvrows GROUP BY dataset, cycle")
+def q_csv_row_ids(spark, sf_dir):
+    """Strict reading (bad bytes and ragged rows fail): every row of every numbered file has an id of its own."""
+    rows = read_labelled_csv(spark, csv_files(spark, sf_dir), on_bad_bytes="error")
+    return rows.groupBy("dataset", "cycle").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_ids"))
+
+
 @register("metrics_log", ORACLE["metrics_long"])
 def q_metrics_log(spark, sf_dir):
     folder = scratch_folder(spark, "metrics")
-    longf = q_metrics_long(spark, sf_dir)
+    longf = metrics_record(spark, sf_dir)
     for phase in ("before", "after"):   # two appends, as the before and after steps each log once
         append_metrics(longf.where(F.col("phase") == phase), folder)
-    return read_metrics(spark, folder)
+    return M.display(read_metrics(spark, folder), DIGITS)
 
 
 @register("splits_sink", _with(*_BUNDLE) + "SELECT split, row_id, label, ord, prompt FROM bundle")
@@ -638,4 +754,4 @@ def q_model_roundtrip(spark, sf_dir):
     folder = scratch_folder(spark, "model")
     save_counts(NB.token_counts(split_texts(spark, sf_dir, "train")), folder)
     model = NB.fit(load_counts(spark, folder), materialize=False)
-    return NB.predict(model, split_texts(spark, sf_dir, "test"))
+    return M.display(NB.predict(model, split_texts(spark, sf_dir, "test")), 4)

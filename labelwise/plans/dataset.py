@@ -17,7 +17,7 @@ from ..functions.prompts import test_prompt, train_prompt
 from ..operators.splits import (bootstrap_sample, eval_pool, fraction_split, shuffle_positions,
                                  stratified_split)
 from ..session import maybe_broadcast
-from ..sources.tables import attach_text, labeled_keys, read_table
+from ..sources.tables import attach_text, labeled_keys, multi_task, read_table
 
 
 @dataclass(frozen=True)
@@ -36,23 +36,39 @@ def assignment(spark: SparkSession, sf_dir: str, sizes: Sizes, task: str = "qual
     return stratified_split(labeled_keys(spark, sf_dir, task), sizes.train, sizes.test)
 
 
-def test_set(spark: SparkSession, sf_dir: str, sizes: Sizes, assign: DataFrame | None = None) -> DataFrame:
-    """Test rows with inference prompts; ``ord`` = reference order (positive block first, then negative)."""
-    assign = assign if assign is not None else assignment(spark, sf_dir, sizes)
+def _test_keys(assign: DataFrame, sizes: Sizes) -> DataFrame:
     cls_idx = F.when(F.col("label") == F.lit(CLASSES[0]), F.lit(0)).otherwise(F.lit(1))
-    test = (assign.where(F.col("split") == "test")
+    return (assign.where(F.col("split") == "test")
             .select("row_id", "label", "rank",
                     (cls_idx * sizes.test + F.col("rank") - sizes.train - 1).cast("long").alias("ord")))
-    return (attach_text(spark, sf_dir, test, bound_rows=sizes.split_rows)
+
+
+def _train_keys(assign: DataFrame, sizes: Sizes) -> DataFrame:
+    return shuffle_positions(assign.where(F.col("split") == "train").select("row_id", "label"),
+                             rows=sizes.train * len(CLASSES))
+
+
+def _eval_keys(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str, assign: DataFrame) -> tuple[DataFrame, int]:
+    """The draws, and a bound of their number."""
+    pool = eval_pool(labeled_keys(spark, sf_dir), assign, policy=policy, bound_rows=sizes.split_rows)
+    # strict pools hold only the class domain; the labels of a reference pool (any label) are counted
+    n_labels = len(CLASSES) if policy == "strict" else pool.agg(F.countDistinct("label").alias("n")).collect()[0]["n"]
+    draws = bootstrap_sample(pool, sizes.eval, with_label_rank=True, max_labels=n_labels)
+    ordered = draws.withColumn("ord", ((F.col("label_rank") - 1) * sizes.eval + F.col("draw") - 1).cast("long"))
+    return ordered, sizes.eval * n_labels
+
+
+def test_set(spark: SparkSession, sf_dir: str, sizes: Sizes, assign: DataFrame | None = None) -> DataFrame:
+    """Test rows with inference prompts; ``ord`` = reference order (positive block first, then negative)."""
+    assign = assign if assign is not None else assignment(spark, sf_dir, sizes)
+    return (attach_text(spark, sf_dir, _test_keys(assign, sizes), bound_rows=sizes.split_rows)
             .select("row_id", "label", "rank", "ord", test_prompt(F.col("text")).alias("prompt")))
 
 
 def train_set(spark: SparkSession, sf_dir: str, sizes: Sizes, assign: DataFrame | None = None) -> DataFrame:
     """Train rows with training prompts; ``ord`` = place in the seeded shuffle."""
     assign = assign if assign is not None else assignment(spark, sf_dir, sizes)
-    train = shuffle_positions(assign.where(F.col("split") == "train").select("row_id", "label"),
-                              rows=sizes.train * len(CLASSES))
-    return (attach_text(spark, sf_dir, train, bound_rows=sizes.split_rows)
+    return (attach_text(spark, sf_dir, _train_keys(assign, sizes), bound_rows=sizes.split_rows)
             .select("row_id", "label", "ord", train_prompt(F.col("text"), F.col("label")).alias("prompt")))
 
 
@@ -61,25 +77,29 @@ def eval_set(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "stri
     """Eval rows: ``sizes.eval`` draws with replacement per label of the pool, training prompts (the label
     is shown, as in the original eval set). ``ord`` = label groups in label order, then draw order."""
     assign = assign if assign is not None else assignment(spark, sf_dir, sizes)
-    keys = labeled_keys(spark, sf_dir)
-    pool = eval_pool(keys, assign, policy=policy, bound_rows=sizes.split_rows)
-    draws = bootstrap_sample(pool, sizes.eval, with_label_rank=True)
-    ordered = draws.withColumn("ord", ((F.col("label_rank") - 1) * sizes.eval + F.col("draw") - 1).cast("long"))
-    # strict pools hold only the class domain, so the draw count is bounded; reference pools may hold any label
-    bound = sizes.eval * len(CLASSES) if policy == "strict" else None
-    with_text = attach_text(spark, sf_dir, ordered, bound_rows=bound)
-    return with_text.select("row_id", "label", "draw", "ord",
-                            train_prompt(F.col("text"), F.col("label")).alias("prompt"))
+    keys, bound = _eval_keys(spark, sf_dir, sizes, policy, assign)
+    return (attach_text(spark, sf_dir, keys, bound_rows=bound)
+            .select("row_id", "label", "draw", "ord", train_prompt(F.col("text"), F.col("label")).alias("prompt")))
 
 
-def bundle(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "strict") -> DataFrame:
-    """All three sets in one frame with a ``split`` column (the sink writes ``partitionBy('split')``)."""
+def bundle_keys(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "strict") -> tuple[DataFrame, int]:
+    """``(split, row_id, label, ord)`` of all three sets, and a bound of their number."""
     assign = assignment(spark, sf_dir, sizes)
-    cols = ["split", "row_id", "label", "ord", "prompt"]
-    return (train_set(spark, sf_dir, sizes, assign).withColumn("split", F.lit("train")).select(*cols)
-            .unionByName(test_set(spark, sf_dir, sizes, assign).withColumn("split", F.lit("test")).select(*cols))
-            .unionByName(eval_set(spark, sf_dir, sizes, policy, assign).withColumn("split", F.lit("eval"))
-                         .select(*cols)))
+    drawn, bound = _eval_keys(spark, sf_dir, sizes, policy, assign)
+    cols = ["split", "row_id", "label", "ord"]
+    keys = (_train_keys(assign, sizes).withColumn("split", F.lit("train")).select(*cols)
+            .unionByName(_test_keys(assign, sizes).withColumn("split", F.lit("test")).select(*cols))
+            .unionByName(drawn.withColumn("split", F.lit("eval")).select(*cols)))
+    return keys, sizes.split_rows + bound
+
+
+def bundle(spark: SparkSession, sf_dir: str, sizes: Sizes, policy: str = "strict") -> DataFrame:
+    """All three sets in one frame with a ``split`` column (the sink writes ``partitionBy('split')``); the text is read
+    once for all of them."""
+    keys, bound = bundle_keys(spark, sf_dir, sizes, policy)
+    prompt = (F.when(F.col("split") == "test", test_prompt(F.col("text")))
+              .otherwise(train_prompt(F.col("text"), F.col("label"))))
+    return attach_text(spark, sf_dir, keys, bound_rows=bound).select("split", "row_id", "label", "ord", prompt.alias("prompt"))
 
 
 def full_train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,11 +146,7 @@ def leak_audit(split_rows: DataFrame, spark: SparkSession, sf_dir: str, bound_ro
             .where(F.col("n_splits") > 1))
 
 
-def grid_test_set(spark: SparkSession, sf_dir: str, sizes: Sizes) -> DataFrame:
-    """Test rows with inference prompts for every dataset of the task grid, split in one job (the window
-    is partitioned by dataset and class)."""
-    from ..sources.tables import multi_task
-    assign = stratified_split(multi_task(spark, sf_dir), sizes.train, sizes.test, group_cols=["dataset"])
-    test = assign.where(F.col("split") == "test").select("dataset", "row_id", "label", "rank")
-    return (attach_text(spark, sf_dir, test, bound_rows=sizes.split_rows * 2)
-            .select("dataset", "row_id", "label", "rank", test_prompt(F.col("text")).alias("prompt")))
+def grid_assignment(spark: SparkSession, sf_dir: str, sizes: Sizes) -> DataFrame:
+    """``(dataset, row_id, label, split, rank)`` of the train and test rows of every dataset of the task grid, split in one
+    job (the window is partitioned by dataset and class)."""
+    return stratified_split(multi_task(spark, sf_dir), sizes.train, sizes.test, group_cols=["dataset"])

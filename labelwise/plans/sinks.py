@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-METRICS_SCHEMA = "run_id string, phase string, metric string, value double"
+METRICS_SCHEMA = "run_id string, dataset string, model string, split string, phase string, metric string, value double"
 
 
 def append_metrics(metrics_long: DataFrame, folder: str) -> None:
     """Append one JSON object per line (a phase appended twice stays readable, unlike concatenated
     pretty-printed objects)."""
-    metrics_long.select("run_id", "phase", "metric", "value").write.mode("append").json(folder)
+    metrics_long.select(*[f.split()[0] for f in METRICS_SCHEMA.split(", ")]).write.mode("append").json(folder)
 
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:

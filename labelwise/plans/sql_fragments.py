@@ -13,7 +13,7 @@ from ..functions.text import RSTRIP_PATTERN, TOKEN_SPLIT_PATTERN
 
 def labeled(task: str = "quality") -> str:
     flag = "l.quality" if task == "quality" else "(1 - l.toxic)"
-    return (f"SELECT d.doc_id AS row_id, CASE WHEN {flag} = 1 THEN 'positive' ELSE 'negative' END AS label, "
+    return (f"SELECT d.doc_id AS row_id, CASE WHEN {flag} = 1 THEN 'positive' WHEN {flag} IS NOT NULL THEN 'negative' END AS label, "
             f"d.text AS text FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 
 
@@ -21,8 +21,8 @@ def key(seed, col: str) -> str:
     return f"md5('{seed}:' || CAST({col} AS VARCHAR))"
 
 
-def hex8(expr: str) -> str:
-    return f"('0x' || substr({expr}, 1, 8))::BIGINT"
+def hex15(expr: str) -> str:
+    return f"('0x' || substr({expr}, 1, 15))::BIGINT"
 
 
 def assign(train: int, test: int, src: str = "labeled", seed: int = 42, part: str = "") -> str:
@@ -82,22 +82,23 @@ def ratio(num: str, den: str) -> str:
     return f"CASE WHEN ({den}) = 0 THEN 0.0::DOUBLE ELSE CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) END"
 
 
-def summary(stats: str, by: str = "", per_class=(0, 1)) -> str:
+def summary(stats: str, by: str = "", per_class=(0, 1), digits: int | None = 6) -> str:
     b = f"{by}, " if by else ""
     f1 = ratio("2 * tp", "pp + support")
-    cols = [f"round({ratio('sum(tp)', 'sum(support)')}, 6) AS accuracy"]
-    cols += [f"round(max(CASE WHEN cls = '{c}' THEN f1 END), 6) AS f1_{c}" for c in per_class]
-    cols += ["round(avg(f1), 6) AS f1_macro",
-             f"round({ratio('sum(f1 * support)', 'sum(support)')}, 6) AS f1_weighted"]
+    shown = (lambda x: x) if digits is None else (lambda x: f"round({x}, {digits})")
+    cols = [f"{shown(ratio('sum(tp)', 'sum(support)'))} AS accuracy"]
+    cols += [f"{shown(f'max(CASE WHEN cls = {chr(39)}{c}{chr(39)} THEN f1 END)')} AS f1_{c}" for c in per_class]
+    cols += [f"{shown('avg(f1)')} AS f1_macro",
+             f"{shown(ratio('sum(f1 * support)', 'sum(support)'))} AS f1_weighted"]
     grp = f" GROUP BY {by}" if by else ""
     return f"SELECT {b}{', '.join(cols)} FROM (SELECT *, {f1} AS f1 FROM ({stats}) st) x{grp}"
 
 
-def binary_eval(src: str, truth: str = "label", pred: str = "pred", by: str = "phase") -> str:
+def binary_eval(src: str, truth: str = "label", pred: str = "pred", by: str = "phase", digits: int | None = 6) -> str:
     b = f"{by}, " if by else ""
     conf = (f"(SELECT {b}y_true, y_pred, count(*) AS n FROM (SELECT {b}{encode(truth)} AS y_true, "
             f"{encode(pred)} AS y_pred FROM {src}) e GROUP BY {b}y_true, y_pred)")
-    return summary(class_stats(conf, by), by)
+    return summary(class_stats(conf, by), by, digits=digits)
 
 
 def tokens(text: str = "text") -> str:

@@ -7,8 +7,8 @@ normally provide (shuffle partitions sized to the cores, a checkpoint folder).
 
 from __future__ import annotations
 
+import contextlib
 import os
-import re
 import tempfile
 import uuid
 
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 2_000_000
 # Bytes above which a counted table (a model's word table) is not broadcast even within the row limit.
 BROADCAST_BYTE_LIMIT = 256 << 20
-# Largest estimated input that ``spread_for_cpu`` repartitions: below it the shuffle is cheap next to the
-# per-row work it parallelises; above it the input is read in many splits anyway and moving it costs more.
-SPREAD_MAX_BYTES = 16 << 30
+# Session setting naming a number of partitions into which texts are dealt before CPU-heavy work (unset: as read).
+SPREAD_SETTING = "spark.labelwise.spread"
 
 
 def maybe_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
@@ -49,6 +48,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
+        .config(SPREAD_SETTING, str(parts))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -77,6 +77,49 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_made: dict[str, list[str]] = {}   # scratch folders by application
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory, owned by this application until ``release``."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _file_system(spark, path)
+    return fs.exists(p)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch folders made inside the block are deleted at its end: results must have been used or written
+    elsewhere by then. Outside any block they stay until ``release``."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    first = len(made)
+    try:
+        yield
+    finally:
+        release(spark, first)
+
+
+def release(spark: SparkSession, first: int = 0) -> int:
+    """Delete this application's scratch folders (from number ``first`` on) and return how many there were."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    old, made[first:] = made[first:], []
+    for path in old:
+        for part in (path, f"{path}-counts", f"{path}-confusion", f"{path}-ckpt"):
+            p, fs = _file_system(spark, part)
+            fs.delete(p, True)
+    return len(old)
+
+
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     """Materialise ``df`` once as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -85,41 +128,17 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     statistics, the Parquet table is columnar: later reads prune columns, and joins are planned from its
     real size (the cycle models built in 5.1 s this way against 8.1 s with a checkpoint, sf0.1)."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
-def _size_bytes(text: str) -> int:
-    """``'128MB'`` / ``'134217728b'`` / ``'1g'`` -> bytes (Spark's size-string units)."""
-    m = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", text.lower())
-    if not m:
-        raise ValueError(f"not a size: {text!r}")
-    return int(m.group(1)) * 1024 ** "_kmgtp".index(m.group(2) or "_")
-
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """``df`` dealt over the number of partitions in ``SPREAD_SETTING``; unchanged where it is not set.
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of ``df`` (plan statistics only: no job runs); ``None`` when the plan
-    gives none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - a plan without statistics is simply treated as large
-        return None
-
-
-def spread_for_cpu(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Before CPU-heavy per-row work (tokenising whole texts): hash-spread a *small* input over all task
-    slots.
-
-    An input estimated below one split per slot (``slots x spark.sql.files.maxPartitionBytes``) may be read
-    by fewer tasks than there are slots -- a single-row-group file is read by one -- so it is repartitioned,
-    but only up to ``SPREAD_MAX_BYTES``: on a cluster with thousands of slots a large input is already read
-    by many tasks, and shuffling its text would cost more than it saves. Everything else is returned
-    unchanged. The decision uses plan statistics only, so it never runs the input's upstream stages."""
-    spark = df.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    split = _size_bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
-    est = estimated_bytes(df)
-    if est is None or est >= min(slots * split, SPREAD_MAX_BYTES):
+    A file with few row groups is read by few tasks. A caller who tokenises such files sets the number of its slots; on
+    large inputs, which are read in many splits, it stays unset and no text is shuffled."""
+    n = df.sparkSession.conf.get(SPREAD_SETTING, None)
+    if not n:
         return df
-    return df.repartition(slots, key) if key else df.repartition(slots)
+    return df.repartition(int(n), key) if key else df.repartition(int(n))

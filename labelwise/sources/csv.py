@@ -5,7 +5,11 @@
 * the pandas missing-value strings become NULL (``NA_STRINGS``);
 * invalid UTF-8 is replaced by U+FFFD (lenient, ``on_bad_bytes='replace'``); the strict loader either
   flags such rows for quarantine (``'quarantine'`` adds ``bad_bytes``) or fails the job (``'error'``);
-* ``dataset`` = the folder after ``data/``; ``cycle`` = the number in ``data-<k>`` (NULL when absent);
+* a row with more than two fields is ragged: by default the job fails and names the file (``on_ragged='error'``, as the
+  original reader does); ``'flag'`` keeps its first two fields and sets ``ragged`` (surplus that is one empty field is
+  not seen: nothing is lost). A missing text field is NULL;
+* ``dataset`` = the folder below the last ``data`` folder of the path; ``cycle`` = the number in a file or folder
+  named ``data-<k>`` or ``data-<k>.<ext>`` (NULL when absent);
 * ``row_id`` = file index * 2^33 + line number, deterministic whatever the partitioning. A multi-line CSV
   file is read by a single task, so ingest once to Parquet (``ingest``) and work from that.
 """
@@ -18,7 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.text import na_to_null
 from ..session import cut_lineage
 
-LABELLED_SCHEMA = "label string, text string"
+LABELLED_SCHEMA = "label string, text string, _surplus string"
+_NO_VALUE = "\x00"    # no field is read as NULL by its value here: missing-value names are handled below
+DATASET_PATTERN = r"^(?:.*/)?data/([^/]+)/"
+CYCLE_PATTERN = r"(?:^|.*/)data-(\d+)(?:\.[^/]*)?(?:/|$)"
 REPLACEMENT_CHAR = "�"
 _LINE_BITS = 33
 
@@ -26,15 +33,22 @@ _LINE_BITS = 33
 def _read(spark: SparkSession, paths) -> DataFrame:
     return (spark.read.schema(LABELLED_SCHEMA).option("header", False).option("multiLine", True)
             .option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE").csv(paths))
+            .option("nullValue", _NO_VALUE).option("emptyValue", "").option("mode", "PERMISSIVE").csv(paths))
 
 
-def read_labelled_csv(spark: SparkSession, paths, on_bad_bytes: str = "replace", with_row_id: bool = True) -> DataFrame:
-    """``(row_id, label, text, dataset, cycle, file_path[, bad_bytes])``."""
+def read_labelled_csv(spark: SparkSession, paths, on_bad_bytes: str = "replace", with_row_id: bool = True,
+                      on_ragged: str = "error") -> DataFrame:
+    """``(row_id, label, text, dataset, cycle, file_path[, ragged][, bad_bytes])``."""
     df = _read(spark, paths).select(na_to_null(F.col("label")).alias("label"), na_to_null(F.col("text")).alias("text"),
+                                   F.col("_surplus").isNotNull().alias("ragged"),
                                    F.col("_metadata.file_path").alias("file_path"))
-    ds = F.regexp_extract("file_path", r"data/([^/]+)/", 1)
-    cyc = F.regexp_extract("file_path", r"data-(\d+)", 1)
+    if on_ragged == "error":
+        df = (df.where(F.when(F.col("ragged"), F.raise_error(F.concat(F.lit("row with more than two fields in "), F.col("file_path"))))
+                       .otherwise(F.lit(True))).drop("ragged"))
+    elif on_ragged != "flag":
+        raise ValueError(f"unknown on_ragged {on_ragged!r}")
+    ds = F.regexp_extract("file_path", DATASET_PATTERN, 1)
+    cyc = F.regexp_extract("file_path", CYCLE_PATTERN, 1)
     df = (df.withColumn("dataset", F.when(ds != "", ds))
           .withColumn("cycle", F.when(cyc != "", cyc.cast("int"))))
     bad = F.coalesce(F.col("text").contains(REPLACEMENT_CHAR), F.lit(False)) | \

@@ -20,7 +20,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _label_from(flag: Column) -> Column:
-    return F.when(flag == 1, F.lit(POSITIVE)).otherwise(F.lit(NEGATIVE))
+    """1 -> positive, any other flag -> negative, a missing flag stays missing."""
+    return F.when(flag == 1, F.lit(POSITIVE)).when(flag.isNotNull(), F.lit(NEGATIVE))
 
 
 def labeled_keys(spark: SparkSession, sf_dir: str, task: str = "quality") -> DataFrame:
@@ -54,9 +55,8 @@ def multi_task(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of ``conversations``: label-free text for batch scoring, keyed ``(conv_id, turn)``."""
-    return (read_table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-            .select("conv_id", "turn", "text"))
+    """All turns of ``conversations``: label-free text for batch scoring, keyed ``(conv_id, turn)``."""
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
 
 
 def attach_text(spark: SparkSession, sf_dir: str, keys: DataFrame, id_col: str = "row_id",

@@ -14,9 +14,8 @@ previous model (``before``) and its own (``after``) in one keyed predict.
 
 Streaming form
 --------------
-``stream_counts``: new labelled batch files arrive in a folder; ``readStream`` with
-``maxFilesPerTrigger=1`` and ``trigger(availableNow=True)`` turns each into a micro-batch, and
-``foreachBatch`` writes that batch's count delta into the ``cycle=<k>`` partitions of a Parquet table with
+``stream_counts``: new labelled batch files arrive in a folder; ``readStream`` with ``trigger(availableNow=True)``
+reads them in micro-batches of a number of bytes (or files), and ``foreachBatch`` writes that batch's count delta into the ``cycle=<k>`` partitions of a Parquet table with
 dynamic partition overwrite, so replaying a batch rewrites the same partitions (idempotent).
 ``stream_confusion``: a streaming ``groupBy(phase, y_true, y_pred).count()`` over scored batches in
 complete mode, its state in the checkpoint folder.
@@ -24,15 +23,13 @@ complete mode, its state in the checkpoint folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES, encode_binary, parse_answer
 from ..operators import naive_bayes as NB
 from ..operators.splits import stratified_split
-from ..session import cut_lineage, ensure_checkpoint_dir, maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast, path_exists, scratch_folder  # noqa: F401
 
 
 def cycle_models(sources: DataFrame, n_cycles: int, mode: str = "star", classes=CLASSES) -> DataFrame:
@@ -53,26 +50,27 @@ def cycle_models(sources: DataFrame, n_cycles: int, mode: str = "star", classes=
         *[F.sum(f"n_{c}").cast("long").alias(f"n_{c}") for c in classes])
 
 
-def cycle_eval(labelled: DataFrame, n_cycles: int, train_size: int, test_size: int, mode: str = "star",
+def cycle_eval(keys: DataFrame, texts: DataFrame, n_cycles: int, train_size: int, test_size: int, mode: str = "star",
                classes=CLASSES) -> DataFrame:
     """Per-cycle predictions before and after the update: ``(cycle, phase, row_id, label, pred)``.
 
-    ``labelled``: ``(row_id, label, text, cycle)``; cycle 0 is the base (all its rows train it); each later
-    cycle is split ``train_size`` / ``test_size`` per class."""
-    later = labelled.where(F.col("cycle") > 0)
-    assign = stratified_split(later.select("cycle", "row_id", "label"), train_size, test_size, group_cols=["cycle"])
+    ``keys``: ``(row_id, label, cycle)``; cycle 0 is the base (all its rows train it); each later cycle is split
+    ``train_size`` / ``test_size`` per class. ``texts``: ``(row_id, text)``; only rows that a model is trained or tested on get
+    their text."""
+    assign = stratified_split(keys.where(F.col("cycle") > 0).select("cycle", "row_id", "label"), train_size, test_size,
+                              group_cols=["cycle"])
     # the assignment holds at most cycles x classes x (train + test) rows
     bound = n_cycles * len(classes) * (train_size + test_size)
-    keys = maybe_broadcast(assign.select("cycle", "row_id", "split"), bound)
-    # one scan of the labelled text feeds every model: base rows and training rows, tagged by source. The
-    # count tables feed both the model parameters and the scoring join, so they are written once to the
-    # shared checkpoint folder.
-    tagged = labelled.join(keys, ["cycle", "row_id"], "left")
-    sources = (tagged.where((F.col("cycle") == 0) | (F.col("split") == "train"))
+    split = maybe_broadcast(assign.select("cycle", "row_id", "split"), bound)
+    used = (keys.join(split, ["cycle", "row_id"], "left")
+            .where((F.col("cycle") == 0) | F.col("split").isNotNull()))
+    # the count tables feed both the model parameters and the scoring join, so they are written once to the
+    # shared checkpoint folder
+    sources = (used.where((F.col("cycle") == 0) | (F.col("split") == "train")).join(texts, "row_id")
                .select(F.col("cycle").alias("src"), "label", "text"))
     models = cut_lineage(cycle_models(sources, n_cycles, mode, classes), "cycle-counts")
     params = NB.keyed_params(models, "model", classes)
-    test = labelled.join(keys.where(F.col("split") == "test").drop("split"), ["cycle", "row_id"])
+    test = maybe_broadcast(assign.where(F.col("split") == "test").select("cycle", "row_id", "label"), bound).join(texts, "row_id")
     prev = F.lit(0) if mode == "star" else F.col("cycle") - 1
     runs = F.array(F.struct(F.lit("before").alias("phase"), prev.alias("model")),
                    F.struct(F.lit("after").alias("phase"), F.col("cycle").alias("model")))
@@ -84,29 +82,29 @@ def cycle_eval(labelled: DataFrame, n_cycles: int, train_size: int, test_size: i
 
 
 def write_batches(df: DataFrame, folder: str, cycle_col: str = "cycle") -> None:
-    """One Parquet file per cycle (each file is one micro-batch later). The cycle stays a data column; the
-    folder name only groups the files."""
-    (df.withColumn("_batch", F.col(cycle_col)).repartition("_batch").write.mode("overwrite")
-     .partitionBy("_batch").parquet(folder))
+    """The rows as Parquet files grouped by cycle: every task writes its own file of each cycle it has, so no cycle
+    passes through one task. The cycle stays a data column; the folder name only groups the files."""
+    df.withColumn("_batch", F.col(cycle_col)).write.mode("overwrite").partitionBy("_batch").parquet(folder)
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _feed(spark: SparkSession, source: str, schema, bytes_per_trigger: int | None, files_per_trigger: int | None):
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    elif bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    return reader.parquet(source)
 
 
 def stream_counts(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                  classes=CLASSES, files_per_trigger: int | None = 1) -> DataFrame:
+                  classes=CLASSES, files_per_trigger: int | None = None, bytes_per_trigger: int | None = 1 << 30) -> DataFrame:
     """Run the count-update stream to completion and return the summed counts per cycle.
 
     Each micro-batch writes its count delta into the ``cycle=<k>/batch=<id>`` partitions of ``sink`` with
     dynamic partition overwrite: a replayed batch (same id, same files after a failure) rewrites exactly
     its own partitions, and batches carrying rows of the same cycle never overwrite each other. The model
-    of a cycle is the sum of its batch deltas."""
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(source)
+    of a cycle is the sum of its batch deltas. Without any batch the result is empty."""
+    stream = _feed(spark, source, schema, bytes_per_trigger, files_per_trigger)
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         delta = NB.keyed_token_counts(batch, "cycle", classes).withColumn("batch", F.lit(batch_id))
@@ -116,11 +114,14 @@ def stream_counts(spark: SparkSession, source: str, schema, sink: str, checkpoin
     q = (stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    if not path_exists(spark, sink):
+        return spark.createDataFrame([], ", ".join(["cycle int", "token string", *(f"n_{c} long" for c in classes)]))
     return NB.merge_counts(spark.read.parquet(sink), classes=classes, key="cycle")
 
 
 def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
-                     state_partitions: int = 1) -> DataFrame:
+                     state_partitions: int = 1, files_per_trigger: int | None = None,
+                     bytes_per_trigger: int | None = 1 << 30) -> DataFrame:
     """Running confusion counts over scored batches (``phase, label, raw``), parsed natively.
 
     The state has at most phases x 2 x 2 keys, so it is kept in ``state_partitions`` partitions (fixed in
@@ -130,8 +131,7 @@ def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkp
     settings), so the caller's settings are untouched."""
     stream_session = spark.newSession()
     stream_session.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    stream = (stream_session.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(source))
+    stream = _feed(stream_session, source, schema, bytes_per_trigger, files_per_trigger)
     counts = (stream.select("phase", encode_binary(F.col("label")).alias("y_true"),
                             encode_binary(parse_answer(F.col("raw"))).alias("y_pred"))
               .groupBy("phase", "y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")))
@@ -142,4 +142,6 @@ def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkp
     q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    if not path_exists(spark, sink):     # no batch came
+        return spark.createDataFrame([], "phase string, y_true int, y_pred int, n long")
     return spark.read.parquet(sink)

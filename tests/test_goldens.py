@@ -176,10 +176,10 @@ def test_one_class_only_and_empty(spark):
 
 
 def test_metrics_log_two_phases(spark, tmp_folder):
-    rows = [("r", "before", "before_eval_accuracy", 0.5), ("r", "after", "after_eval_accuracy", 0.75)]
+    from labelwise.plans.sinks import METRICS_SCHEMA
+    rows = [("r", "d", "m", "eval", p, f"{p}_eval_accuracy", v) for p, v in (("before", 1 / 3), ("after", 0.75))]
     for r in rows:
-        append_metrics(spark.createDataFrame([r], "run_id string, phase string, metric string, value double"),
-                       tmp_folder + "/m")
+        append_metrics(spark.createDataFrame([r], METRICS_SCHEMA), tmp_folder + "/m")
     assert sorted(tuple(x) for x in read_metrics(spark, tmp_folder + "/m").collect()) == sorted(rows)
 
 
@@ -220,8 +220,8 @@ def test_adhoc_first_sentence_and_empty(spark):
     from labelwise.plans.adhoc import predict_first, predict_sentences
 
     def make():
-        return lambda prompts: pd.Series(["negative" if "罚款" in p else "positive" for p in prompts],
-                                         index=prompts.index)
+        return lambda words: pd.Series(["negative" if any("罚款" in w for w in ws) else "positive" for ws in words],
+                                       index=words.index)
 
     s = "如果是在国外：处罚小米恶意营销带来网络效应，罚款1000万？国内处理就随随便便找个个人顶包完事了"
     assert predict_first(spark, [s, "fine"], make) == "negative"
@@ -259,13 +259,47 @@ def test_nb_scores_rows_without_words(spark):
     lp, ln_ = math.log(2 / 3), math.log(1 / 3)
     pos = lp + math.log(3 / 7) + math.log(1 / 7)
     neg = ln_ + math.log(1 / 4) + math.log(2 / 4)
-    assert got[10] == ("positive" if pos >= neg else "negative", round(pos, 4), round(neg, 4))
+    assert got[10] == ("positive" if pos >= neg else "negative", pytest.approx(pos), pytest.approx(neg))
     for rid in (11, 12, 13, 14):
-        assert got[rid] == ("positive", round(lp, 4), round(ln_, 4))
+        assert got[rid] == ("positive", pytest.approx(lp), pytest.approx(ln_))
 
     keyed = NB.keyed_token_counts(train.withColumn("m", F.lit(0)), "m")
     params = NB.keyed_params(keyed, "m")
     kdocs = docs.withColumn("m", F.lit(0))
     kgot = {r["row_id"]: (r["pred"], r["score_positive"], r["score_negative"])
             for r in NB.keyed_predict(keyed, params, kdocs, "m", params_rows=1).collect()}
-    assert kgot == got
+    assert kgot == {k: (p, pytest.approx(a), pytest.approx(b)) for k, (p, a, b) in got.items()}
+
+
+def test_ragged_rows_fail_or_are_flagged(spark, tmp_folder):
+    p = _csv(tmp_folder, "data.csv", b'positive,hello,extra1\n"positive","x","y","z"\nnegative,fine\npositive,a,\npositive\n')
+    with pytest.raises(Exception, match="more than two fields"):
+        read_labelled_csv(spark, p).collect()
+    rows = read_labelled_csv(spark, p, on_ragged="flag").orderBy("row_id").collect()
+    assert [(r["text"], r["ragged"]) for r in rows] == [("hello", True), ("x", True), ("fine", False), ("a", False), (None, False)]   # an empty surplus field holds nothing
+
+
+@pytest.mark.parametrize("path,dataset,cycle", [
+    ("testdata/foo/data/quality/data.csv", "quality", None), ("data/a/data/b/data-3.csv", "b", 3),
+    ("data/b/mydata-7.csv", "b", None), ("data/b/data-12/part.csv", "b", 12), ("mydata/x/y.csv", None, None)])
+def test_dataset_and_cycle_of_a_path(spark, tmp_folder, path, dataset, cycle):
+    import os
+    full = os.path.join(tmp_folder, "root", path)
+    os.makedirs(os.path.dirname(full))
+    with open(full, "w") as f:
+        f.write("positive,x\n")
+    row = read_labelled_csv(spark, full).first()
+    assert (row["dataset"], row["cycle"]) == (dataset, cycle)
+
+
+def test_first_field_of_a_tuple(spark):
+    from labelwise.functions.answers import first_field
+    df = spark.createDataFrame([(("positive", 0.5), "negative")], "output struct<answer:string,score:double>, plain string")
+    assert tuple(df.select(first_field(df, "output"), first_field(df, "plain")).first()) == ("positive", "negative")
+
+
+def test_metrics_keep_full_values(spark):
+    df = spark.createDataFrame([("positive", "positive")] * 2 + [("negative", "positive")], "label string, pred string")
+    wide = M.binary_eval(df)
+    assert wide.first()["accuracy"] == 2 / 3
+    assert M.display(wide, 4).first()["accuracy"] == 0.6667 and M.display(wide, 5).first()["accuracy"] == 0.66667

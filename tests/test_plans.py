@@ -4,8 +4,7 @@ set is bounded."""
 from conftest import SF
 from labelwise.plans import catalog
 
-NATIVE = ["split_stratified", "prompt_test", "parse_answer", "eval_binary", "eval_bootstrap", "split_fraction",
-          "class_report", "eval_seq2seq", "tokens_pad_truncate", "nb_predict", "cycle_chain"]
+PYTHON = {"score_map_in_pandas"}   # the only query of the library with a Python step
 
 
 def _plan(df):
@@ -13,9 +12,9 @@ def _plan(df):
 
 
 def test_no_python_in_native_operators(spark):
-    for name in NATIVE:
+    for name in sorted(set(catalog.QUERIES) - PYTHON):
         plan = _plan(catalog.QUERIES[name](spark, SF["0.01"]))
-        assert "Python" not in plan and "ArrowEval" not in plan, name
+        assert not any(x in plan for x in ("Python", "ArrowEval", "MapInPandas", "MapInArrow")), name
 
 
 def test_scoring_uses_arrow_batches(spark):
@@ -38,28 +37,17 @@ def test_split_window_limited_before_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_spread_decision_runs_no_job(spark):
-    """Deciding whether to spread a small input uses plan statistics: the joined input is not executed."""
-    from labelwise.session import spread_for_cpu
-    from labelwise.sources.tables import labeled
-    df = labeled(spark, SF["0.01"], columns=("text",)).select("label", "text")
-    tracker = spark.sparkContext.statusTracker()
-    before = set(tracker.getJobIdsForGroup(None))
-    spread = spread_for_cpu(df)
-    assert set(tracker.getJobIdsForGroup(None)) == before
-    assert "Exchange" in _plan(spread)   # a small input is spread over the task slots
-
-
-def test_no_spread_for_large_input(spark):
-    """An input estimated above one split per slot keeps its own partitioning (no text shuffle at scale)."""
-    from labelwise.session import spread_for_cpu
+def test_texts_are_dealt_only_where_the_caller_asks(spark):
+    from labelwise.session import SPREAD_SETTING, spread
     docs = spark.read.parquet(f"{SF['0.01']}/documents.parquet").select("doc_id", "text")
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    old = spark.conf.get(SPREAD_SETTING)
     try:
-        assert spread_for_cpu(docs) is docs
+        spark.conf.unset(SPREAD_SETTING)
+        assert spread(docs) is docs
+        spark.conf.set(SPREAD_SETTING, "5")
+        assert spread(docs).rdd.getNumPartitions() == 5
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set(SPREAD_SETTING, old)
 
 
 def test_no_pairs_joins_in_any_query(spark):
@@ -116,9 +104,61 @@ def test_cut_lineage_computes_input_once(spark):
     assert seen.value == 100
 
 
-def test_no_spread_above_absolute_cap(spark, monkeypatch):
-    """However many slots a cluster has, an input above SPREAD_MAX_BYTES is never shuffled to spread it."""
-    from labelwise import session
-    docs = spark.read.parquet(f"{SF['0.01']}/documents.parquet").select("doc_id", "text")
-    monkeypatch.setattr(session, "SPREAD_MAX_BYTES", 1024)
-    assert session.spread_for_cpu(docs) is docs
+def _text_scans(plan: str) -> int:
+    return sum("FileScan" in line and "documents.parquet" in line and "text:string" in line for line in plan.splitlines())
+
+
+def test_texts_are_read_once(spark):
+    """All three split sets, and a before/after evaluation, read the document text in one scan."""
+    from labelwise.plans.dataset import bundle
+    assert _text_scans(_plan(bundle(spark, SF["0.01"], catalog.SIZES))) == 1
+    assert _text_scans(_plan(catalog.QUERIES["split_sizes"](spark, SF["0.01"]))) == 0
+    assert _text_scans(_plan(catalog.QUERIES["nb_before_after"](spark, SF["0.01"]))) == 1
+    assert _text_scans(_plan(catalog.QUERIES["tokens_pad_truncate"](spark, SF["0.01"]))) == 1   # the vocabulary is stored
+
+
+def test_bootstrap_does_not_shuffle_the_pool(spark):
+    """With automatic broadcasts off, the rows of buckets that no draw hits are dropped before any exchange: every shuffle
+    join is on the few located draws."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(catalog.QUERIES["eval_bootstrap"](spark, SF["0.01"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("BroadcastHashJoin" in line for line in semi)
+
+
+def test_scratch_tables_have_an_owner(spark):
+    from labelwise.session import cut_lineage, path_exists, scratch_scope
+    with scratch_scope(spark):
+        df = cut_lineage(spark.range(5), "owned")
+        path = df.inputFiles()[0].rsplit("/", 1)[0]
+        assert df.count() == 5 and path_exists(spark, path)
+    assert not path_exists(spark, path)
+
+
+def test_tables_are_listed_anew(spark, tmp_path):
+    """Rows appended between two reads are seen by the second."""
+    from labelwise.sources.tables import read_table
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, str(tmp_path), "t").count() == 3
+    spark.range(5).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, str(tmp_path), "t").count() == 8
+
+
+def test_rows_without_words_never_share_a_join_key(spark):
+    from pyspark.sql import functions as F
+
+    from labelwise.operators.tokens import decode, explode_tokens, token_ids, vocabulary, word_key
+    docs = spark.createDataFrame([(i, None if i % 2 else " .. ") for i in range(50)] + [(99, "b a b")], "row_id long, text string")
+    toks = explode_tokens(docs, outer=True)
+    keys = toks.select(word_key(F.col("token"), F.col("row_id")).alias("k"))
+    assert keys.where("k is null").count() == 0 and keys.distinct().count() == 52
+    vocab = vocabulary(toks)
+    assert sorted(map(tuple, vocab.collect())) == [("a", 1), ("b", 2)] and dict(vocab.dtypes)["id"] == "bigint"
+    ids = token_ids(toks, vocab)
+    assert {r.row_id: r.ids for r in ids.collect()} == {**{i: [] for i in range(50)}, 99: [2, 1, 2]}
+    padded = ids.select("row_id", F.concat("ids", F.array(F.lit(0).cast("long"), F.lit(-100).cast("long"))).alias("ids"))
+    assert {r.row_id: r.decoded for r in decode(padded, "ids", vocab).collect()} == {**{i: "" for i in range(50)}, 99: "b a b"}

@@ -131,7 +131,7 @@ def test_stream_counts_with_many_files_per_cycle(spark, tmp_folder):
 
 @pytest.mark.parametrize("prefix_len", [1, 3, 6])
 def test_bootstrap_equals_brute_force(spark, prefix_len):
-    """Draw j of label L is pool row number int(md5('10:L:j')[:8], 16) mod |pool| in md5('10:id') order."""
+    """Draw j of label L is pool row number int(md5('10:L:j')[:15], 16) mod |pool| in md5('10:id') order."""
     import hashlib
     pool = _keys(spark)
     by_label = {}
@@ -141,7 +141,7 @@ def test_bootstrap_equals_brute_force(spark, prefix_len):
     for label, ids in by_label.items():
         order = sorted(ids, key=lambda i: (hashlib.md5(f"10:{i}".encode()).hexdigest(), i))
         for j in range(1, 201):
-            idx = int(hashlib.md5(f"10:{label}:{j}".encode()).hexdigest()[:8], 16) % len(order)
+            idx = int(hashlib.md5(f"10:{label}:{j}".encode()).hexdigest()[:15], 16) % len(order)
             want.append((label, j, order[idx]))
     got = _rows(bootstrap_sample(pool, 200, prefix_len=prefix_len), "label", "draw", "row_id")
     assert got == sorted(want, key=repr)
@@ -164,3 +164,85 @@ def test_prefilter_window_shortfall_fails_loudly(spark, monkeypatch):
     monkeypatch.setattr(splits, "_threshold", lambda n, need: 1 if n > 200 else None)
     with pytest.raises(Exception, match="shortfall"):
         stratified_split(_keys(spark), 10, 5).collect()
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    """A draw's index is taken from 60 bits: over a pool larger than 2^32 some draws land in its upper part."""
+    from labelwise.functions.text import hex_prefix_int
+    from labelwise.operators.splits import DRAW_DIGITS
+    got = (spark.range(1, 400).select(F.pmod(hex_prefix_int(F.md5(F.concat(F.lit("10:positive:"), F.col("id").cast("string"))), DRAW_DIGITS),
+                                             F.lit(1 << 40)).alias("i")))
+    assert got.where(F.col("i") >= 1 << 32).count() > 390 and got.where(F.col("i") >= 1 << 39).count() > 100
+
+
+def test_missing_flag_is_no_class(spark, tmp_path):
+    """A NULL flag stays a NULL label: in no class, in no pool, in the full train set as a missing label."""
+    from labelwise.plans.dataset import full_train
+    docs = [(i, f"text {i}") for i in range(30)]
+    flags = [(i, None if i % 5 == 0 else i % 2, 0) for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(flags, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    keys = labeled_keys(spark, str(tmp_path))
+    assert keys.where("label is null").count() == 6
+    a = stratified_split(keys, 3, 2)
+    assert a.where("label is null").count() == 0
+    for policy, n in (("strict", 14), ("reference", 19)):
+        pool = eval_pool(keys, a, policy=policy)
+        assert pool.where("label is null").count() == 0 and pool.count() == n
+    train = full_train(spark, str(tmp_path)).collect()
+    assert len(train) == 30 and sum(r["prompt"].endswith("] = nan") for r in train) == 6
+
+
+def test_a_cycle_is_written_by_several_tasks(spark, tmp_path):
+    from labelwise.plans.catalog import cycled
+    from labelwise.streaming.cycles import write_batches
+    write_batches(cycled(spark, SF["0.001"]).repartition(4), f"{tmp_path}/in")
+    files = spark.read.parquet(f"{tmp_path}/in").where("_batch = 1").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1
+
+
+def test_streams_without_batches_are_empty(spark, tmp_path):
+    import os
+
+    from labelwise.streaming.cycles import stream_confusion, stream_counts
+    os.makedirs(f"{tmp_path}/none")
+    counts = stream_counts(spark, f"{tmp_path}/none", "cycle int, row_id long, label string, text string", f"{tmp_path}/a", f"{tmp_path}/b")
+    assert counts.columns == ["cycle", "token", "n_positive", "n_negative"] and counts.count() == 0
+    conf = stream_confusion(spark, f"{tmp_path}/none", "phase string, label string, raw string", f"{tmp_path}/c", f"{tmp_path}/d")
+    assert conf.columns == ["phase", "y_true", "y_pred", "n"] and conf.count() == 0
+
+
+def test_logistic_regression_learns_separable_texts(spark):
+    from labelwise.operators.ml import lr_fit, lr_predict
+    rows = [(i, "positive" if i % 2 else "negative", ("good fine " if i % 2 else "bad poor ") + f"w{i % 7}") for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, label string, text string")
+    got = lr_predict(lr_fit(df.where("row_id < 150"), num_features=1 << 10), df.where("row_id >= 150"))
+    assert got.where("label = pred").count() == 50
+
+
+def test_class_without_documents_scores_alike(spark):
+    """A class that no training document has: minus infinity from both the single and the keyed model."""
+    from labelwise.operators import naive_bayes as NB
+    docs = spark.createDataFrame([(1, "positive", "a b"), (2, "positive", "b c")], "row_id long, label string, text string")
+    test = spark.createDataFrame([(5, "a c x"), (6, "")], "row_id long, text string")
+    one = {r.row_id: r for r in NB.predict(NB.fit(NB.token_counts(docs)), test).collect()}
+    counts = NB.keyed_token_counts(docs.withColumn("k", F.lit(1)), "k")
+    many = NB.keyed_predict(counts, NB.keyed_params(counts, "k"), test.withColumn("k", F.lit(1)), "k").collect()
+    for r in many:
+        assert r.pred == one[r.row_id].pred == "positive" and r.score_negative == one[r.row_id].score_negative == float("-inf")
+        assert r.score_positive == pytest.approx(one[r.row_id].score_positive)
+
+
+def test_scoring_paths_agree(spark, monkeypatch):
+    """The broadcast predictor and the native join give the same answers, for every turn."""
+    from labelwise.functions.prompts import test_prompt as prompt
+    from labelwise.operators import naive_bayes as NB
+    from labelwise.operators.scoring import nb_answers
+    from labelwise.plans.catalog import nb_model
+    from labelwise.sources.tables import unlabelled
+    model = nb_model(spark, SF["0.01"])
+    prompts = unlabelled(spark, SF["0.01"]).select("conv_id", "turn", prompt(F.col("text")).alias("prompt"))
+    fast = _rows(nb_answers(spark, model, prompts, ["conv_id", "turn"]), "conv_id", "turn", "answer")
+    monkeypatch.setattr(NB.NBModel, "broadcastable", lambda self: False)
+    assert _rows(nb_answers(spark, model, prompts, ["conv_id", "turn"]), "conv_id", "turn", "answer") == fast
+    assert len(fast) == spark.read.parquet(f"{SF['0.01']}/conversations.parquet").count()
