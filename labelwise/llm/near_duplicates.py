@@ -9,7 +9,7 @@ linked if the Jaccard similarity of their sets is at least ``threshold``.
    the depth is shortened until 1 - (1 - threshold^depth)^trees >= ``recall`` (``prefix_depth``).
 3. Classes that share a prefix in a tree are candidates. They are never paired: each is tied to the smallest
    class of its prefix, and the ties' components are candidate groups.
-4. A group is split into blocks of about ``BLOCK`` texts and every two of its blocks meet in one task, which computes all
+4. A group is split into blocks of about ``BLOCK`` texts, fewer if they are long, and every two of its blocks meet in one task, which computes all
    exact similarities between them at once. It returns a row for each text: the number of its links and the
    smallest class it is connected to. Groups of any size are whole; tasks stay bounded.
 5. Components of the verified links are the near-duplicate classes.
@@ -36,10 +36,12 @@ THRESHOLD = (4, 5)       # 0.8, as a fraction
 TREES = 20
 DEPTH = 8
 RECALL = 0.999
-BLOCK = 192
+BLOCK = 192              # texts in a block of a candidate group, on average,
+BLOCK_SHINGLES = 1 << 20 # and shingles, unless one text has more
 _U = np.uint64
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2 ** 63, (TREES * 2, DEPTH), dtype=_U) * _U(2) + _U(1)
 _NO_ID = (1 << 63) - 1
+OWN = 2                  # the side of texts that are compared inside their block
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -63,7 +65,7 @@ def shingle_sets(words: np.ndarray, woff: np.ndarray, width: int = SHINGLE) -> t
 
 
 def _sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``id, row_hash, doc_id, class_key, labels`` of every document; class_key is null without shingles."""
+    """``doc_id, row_hash, class_key, shingles, labels`` of every document; class_key is null without shingles."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
@@ -88,14 +90,15 @@ def _sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
                 none[have] = False
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(labels.ravel().view(np.int64)), trees).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
-                                                  pa.array(keys, mask=none), lists], ["doc_id", "row_hash", "class_key", "labels"])
+                                                  pa.array(keys, mask=none), pa.array(np.diff(off)), lists],
+                                                 ["doc_id", "row_hash", "class_key", "shingles", "labels"])
 
-    return rows.mapInArrow(run, "doc_id long, row_hash long, class_key long, labels array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, class_key long, shingles long, labels array<long>")
 
 
 def _link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, node: np.ndarray,
                  threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of two blocks (``side`` 0/1; all 0: one block): weighted links, and the smallest connected node."""
+    """For texts of two blocks (``side`` 0 and 1) or of one (``side`` 2): weighted links, and the smallest connected node."""
     n = len(sets)
     size = np.array([len(s) for s in sets])
     who = np.repeat(np.arange(n), size)
@@ -115,7 +118,7 @@ def _link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, n
         common += m @ m.T
     num, den = threshold
     link = common * den >= (size[:, None] + size[None] - common) * num
-    link &= (side[:, None] != side[None]) if side.any() else ~np.eye(n, dtype=bool)
+    link &= ~np.eye(n, dtype=bool) if side[0] == OWN else side[:, None] != side[None]
     links = (link * weight[None]).sum(1).astype(np.int64)
     root = node.copy()
     while True:
@@ -174,20 +177,23 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, tre
     base = stored(_sketch(docs, trees, prefix_depth(num / den, trees, depth, recall)), "sketches")
     row = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "row_hash")
     classes = stored(base.where("class_key is not null").groupBy(F.col("class_key").alias("node"))
-                     .agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels")), "classes")
+                     .agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels"),
+                          F.max("shingles").alias("shingles")), "classes")
     entries = classes.select("node", F.explode("labels").alias("label"))
     prefixes = (entries.groupBy("label").agg(F.min("node").alias("least"), F.max("node").alias("_z"))
                 .where("least < _z").select("label", "least"))
     ties = entries.join(prefixes, "label").where("node <> least")
     groups = components(ties, "node", "least")
-    sizes = groups.groupBy("root").agg((F.count(F.lit(1)) + 1).alias("n"))
-    member = (groups.unionByName(sizes.select(F.col("root").alias("node"), "root"))
-              .join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    grouped = (groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+               .join(classes.select("node", "shingles"), "node"))
+    sizes = grouped.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("shingles") / BLOCK_SHINGLES))
+                                        .cast("int").alias("blocks"))
+    member = (grouped.join(sizes, "root")
               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = (member.select("node", "root", "block", other)
              .select("node", F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("task"),
-                     (F.col("block") > F.col("other")).cast("int").alias("side"))
+                     F.when(F.col("block") == F.col("other"), OWN).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
              .join(classes.select("node", "rep", "weight"), "node")
              .select("task", "side", "node", "weight", F.col("rep.id").alias("id"), F.col("rep.row_hash").alias("row_hash")))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -22,7 +22,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,11 +153,10 @@ def _moments(docs: DataFrame, lexicon) -> tuple[int, np.ndarray, np.ndarray]:
                 v = np.array([lexicon.value.votes(t)[0] for t in b.column(0).to_pylist()], float)
                 n, first, second = n + len(v), first + v.sum(0), second + v.T @ v
         yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "first": pa.array([first.tolist()]),
-                                          "second": pa.array([second.ravel().tolist()]),
-                                          "slot": pa.array([TaskContext.get().partitionId() % 64])})
+                                          "second": pa.array([second.ravel().tolist()])})
 
     sums = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
-        part, "n long, first array<double>, second array<double>, slot long")
+        part, "n long, first array<double>, second array<double>")
     # exact: the entries are whole numbers
     adds = [F.sum("n").alias("n"), *(F.sum(F.col("first")[i]).alias(f"f{i}") for i in range(VOTERS)),
             *(F.sum(F.col("second")[i * VOTERS + j]).alias(f"s{i}_{j}") for i in range(VOTERS) for j in range(i, VOTERS))]

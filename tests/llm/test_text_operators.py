@@ -311,9 +311,11 @@ def near_group(n, seed):
 
 
 @pytest.mark.parametrize("docs", [ROWS, near_group(40, 5)], ids=["edge", "group"])
-@pytest.mark.parametrize("block", [near_duplicates.BLOCK, 7])
-def test_near_duplicates(spark, docs, block, monkeypatch):
+@pytest.mark.parametrize("block,shingles", [(near_duplicates.BLOCK, near_duplicates.BLOCK_SHINGLES), (7, 10**6), (1, 50)])
+def test_near_duplicates(spark, docs, block, shingles, monkeypatch):
+    """Also with blocks so small that many are empty."""
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "BLOCK_SHINGLES", shingles)
     given = spark.createDataFrame([doc(i, t) for i, t in docs], DOCS).repartition(3)
     got = near_duplicates.near_duplicates(given).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == linked(docs)
