@@ -38,3 +38,20 @@ SELECT pair_id, CASE WHEN common THEN 'prompt' WHEN side THEN 'rejected' ELSE 'c
        NOT common AND role = 'assistant' AS train
 FROM m WHERE NOT (common AND side)
 """
+
+OP10 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+sh AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+       ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT x, y, c, nx.n AS nx, ny.n AS ny FROM met JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y),
+linked AS (SELECT x, y FROM pairs WHERE 5 * c >= 4 * (nx + ny - c)),
+sides AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach(a, b) AS (SELECT x, y FROM sides UNION SELECT r.a, s.y FROM reach r JOIN sides s ON r.b = s.x),
+comp AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+copies AS (SELECT y, min(x) AS m FROM pairs WHERE c = nx AND c = ny GROUP BY y),
+links AS (SELECT x, count(*) AS k FROM sides GROUP BY x)
+SELECT d.doc_id, coalesce(comp.c, d.doc_id) AS class_id, coalesce(copies.m, d.doc_id) AS copy_id, coalesce(links.k, 0) AS n_links
+FROM d LEFT JOIN comp ON comp.a = d.doc_id LEFT JOIN copies ON copies.y = d.doc_id LEFT JOIN links ON links.x = d.doc_id
+"""

@@ -85,4 +85,5 @@ ORACLE: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
     "op6_preference_formatting": oracles.OP6,
     "op9_exact_top_k": oracles.OP9,
+    "op10_ngram_jaccard_join": oracles.OP10,
 }

@@ -11,7 +11,7 @@ from conftest import edge_rows
 
 import corpus_pipeline
 from labelwise.llm import mtree, preferences, quality, toxicity
-from labelwise.llm.common import fold, table, texts
+from labelwise.llm.common import fold, table
 from labelwise.llm.queries import ORACLE, QUERIES
 from labelwise.llm.settings import quality_model, toxicity_model
 from oracle_harness import compare, duck
