@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import CLASSES, encode_binary, parse_answer
 from ..operators import naive_bayes as NB
 from ..operators.splits import stratified_split
-from ..session import cut_lineage, maybe_broadcast, path_exists, scratch_folder  # noqa: F401
+from ..session import cut_lineage, maybe_broadcast, path_exists
 
 
 def cycle_models(sources: DataFrame, n_cycles: int, mode: str = "star", classes=CLASSES) -> DataFrame:
