@@ -39,9 +39,18 @@ _EMPTY = 0xFFFF
 
 def _mod(x: np.ndarray) -> np.ndarray:
     """Modulo the Mersenne prime, for values below 2**63."""
-    x = (x & _P) + (x >> _U(31))
-    x = (x & _P) + (x >> _U(31))
-    return np.where(x >= _P, x - _P, x)
+    high, x = x >> _U(31), x & _P
+    x += high
+    np.right_shift(x, _U(31), out=high)
+    x &= _P
+    x += high
+    return np.minimum(x, x - _P)       # unsigned: x - _P wraps around where x is smaller
+
+
+def _less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a - b`` modulo the prime, for values below it."""
+    d = a - b
+    return np.minimum(d, d + _P)
 
 
 class _Powers:
@@ -81,9 +90,16 @@ class PrefixArrays:
     def hash(self, text: np.ndarray, at: np.ndarray, length) -> np.ndarray:
         """62-bit hashes of the spans of ``length`` at local positions ``at`` of the texts with these numbers."""
         i = self.start[text] + at
-        h = [_mod(_mod(s[i + length] + _P - s[i]) * d[at]) for s, d in zip(self.sums, self.down)]
+        h = [_mod(_less(s[i + length], s[i]) * d[at]) for s, d in zip(self.sums, self.down)]
         return h[0] << _U(31) | h[1]
 
+    def every(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text numbers and hashes of all spans of ``length``."""
+        n = max(0, len(self.codes) - length + 1)
+        inside = np.flatnonzero(self.local[:n] + length <= self.size[self.doc[:n]])
+        h = [_mod(_less(s[length:], s[:n]) * d[self.local[:n]]) if n else s[:0] for s, d in zip(self.sums, self.down)]
+        return self.doc[inside], (h[0] << _U(31) | h[1])[inside]
+
     def equal(self, a, i, b, j, length) -> np.ndarray:
         """Whether the spans of ``length`` at ``i`` of text ``a`` and at ``j`` of text ``b`` are equal."""
         return self.hash(a, i, length) == self.hash(b, j, length)
@@ -101,8 +117,7 @@ class PrefixArrays:
         """``(texts, BINS)`` smallest 16-bit values of the span hashes in each bin."""
         out = np.full(len(self.size) * BINS, _EMPTY, np.uint32)
         every = np.arange(len(self.size))
-        spans = [np.flatnonzero(self.local + SPAN <= self.size[self.doc])]
-        found = [(self.doc[spans[0]], self.hash(self.doc[spans[0]], self.local[spans[0]], SPAN))]
+        found = [self.every(SPAN)]
         for n in range(1, SPAN):
             own = every[self.size >= n]
             found.append((own, self.hash(own, np.zeros(len(own), np.int64), n) ^ _U(n << 55)))
@@ -144,7 +159,14 @@ def _results(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             b += 1
         part, n = rows[a:b], b - a
         edited = [edited_text(t, x) for _, t, x in part]
-        p = PrefixArrays([*(t for _, t, _ in part), *edited, *(x for _, _, x in part)])
+        texts, following = [*(t for _, t, _ in part), *edited], []
+        for k, (_, _, x) in enumerate(part):                # the next text is mostly the next row's own
+            if k + 1 < n and part[k + 1][1] is x:
+                following.append(k + 1)
+            else:
+                following.append(len(texts))
+                texts.append(x)
+        p = PrefixArrays(texts)
         s, text = p.sketches(), np.arange(n)
         names = _strings(p, s)
         none = np.zeros(n, np.int64)
@@ -152,7 +174,7 @@ def _results(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             [pa.array([r[0] for r in part], pa.int64()), pa.array(p.size[:n]),
              pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in edited]),
              pa.array(names[:n]), pa.array(names[n:2 * n]),
-             pa.array(likeness(s[:n], s[n:2 * n])), pa.array(likeness(s[:n], s[2 * n:])),
+             pa.array(likeness(s[:n], s[n:2 * n])), pa.array(likeness(s[:n], s[following])),
              pa.array(p.extension(text, none, text + n, none))],
             ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"])
         a = b
@@ -170,7 +192,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     range has all its neighbours and texts are shuffled once."""
     spark, parts = docs.sparkSession, max(2, shuffle_parts(docs.sparkSession))
     lowest = -(1 << 63)
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(lowest)).alias("id"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(lowest)).alias("id"),
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
     keyed = rows.withColumn("place", F.col("id").cast("double"))
     cuts = sorted(set(keyed.approxQuantile("place", [k / parts for k in range(1, parts)], 0.2 / parts)))   # ``parts`` numbers
