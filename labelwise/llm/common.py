@@ -36,7 +36,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` with a null text as the empty text; other columns are dropped."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -67,7 +67,7 @@ def shingle_sets(words: np.ndarray, woff: np.ndarray, width: int = SHINGLE) -> t
 def _sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     """``doc_id, row_hash, class_key, shingles, labels`` of every document; class_key is null without shingles."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
