@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from .common import SpanHash, hashed_words, shuffle_parts, stored
 from .shared_runs import GRAM, WINDOW, Runs
 
+NEIGHBOURS = 4     # rows before a suffix that it is compared with, besides the last one of another document
 _KEY = ["doc_id", "row_hash"]
 _U = np.uint64
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.where("doc_id is not null").select("doc_id", F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
 
 def _positions(words: np.ndarray, woff: np.ndarray, runs: Runs, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,19 +64,26 @@ def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
             for lo, hi, words, woff in hashed_words(b.column(2)):
                 r = Runs(words, woff, window, gram)
                 run_, at = _positions(words, woff, r, window, gram) if len(r.doc) else (r.doc, r.doc)
-                take = pa.array(r.doc[run_], pa.int64())
+                # a row for each text and anchor, with all its places
+                order = np.lexsort((at, r.anchor[run_], r.doc[run_]))
+                run_, at = run_[order], at[order]
+                doc, anchor = r.doc[run_], r.anchor[run_]
+                new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]))) if len(doc) else doc
+                places = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), pa.array(at.astype(np.int32)))
+                take = pa.array(doc[new], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(take), b.column(1).slice(lo, hi - lo).take(take),
-                                                  pa.array(at.astype(np.int32)), pa.array(r.anchor[run_].view(np.int64))],
-                                                 ["doc_id", "row_hash", "at", "anchor"])
+                                                  places, pa.array(anchor[new].view(np.int64))],
+                                                 ["doc_id", "row_hash", "places", "anchor"])
 
-    return rows.mapInArrow(run, "doc_id long, row_hash long, at int, anchor long")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, places array<int>, anchor long")
 
 
 _SUFFIX = "doc_id long, row_hash long, at int, n_right int, n_left int, right binary, left binary"
 
 
 def _suffixes(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The retained suffixes: 32-bit hashes of the next and (backwards) of the previous ``window`` words."""
+    """The retained suffixes: 32-bit hashes of the next and (backwards) of the previous ``window`` words, the upper halves
+    of all before the lower halves: texts that share n words share the first 2n bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -90,7 +98,8 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 right, left = spot[:, None] + step, spot[:, None] - 1 - step
                 right = short[np.where(right < end[:, None], right, len(words))]
                 left = short[np.where(left >= begin[:, None], left, len(words))]
-                pack = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
+                halves = lambda m: np.hstack([m >> np.uint32(16), m & np.uint32(0xFFFF)]).astype(">u2")
+                pack = lambda m: pa.array([x.tobytes() for x in halves(m)], pa.binary())
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo).take(take), keys.slice(lo, hi - lo).take(take), pa.array(here.astype(np.int32)),
@@ -105,70 +114,73 @@ class _Block:
 
     def __init__(self, b: pa.RecordBatch | pa.Table, window: int):
         self.doc, self.row, self.at, self.n_right, self.n_left = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-        self.right, self.left = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, window) for i in (5, 6))
+        self.right, self.left = (np.frombuffer(b"".join(b.column(i).to_pylist()), ">u2").reshape(-1, 2, window) for i in (5, 6))
 
-    def matches(self, window: int, only: np.ndarray | None = None) -> list[np.ndarray]:
-        """``doc, row, first, last, other`` (words ``first`` .. ``last`` - 1) of both sides of matching neighbours."""
+    def matches(self, window: int, fresh: int = 0) -> list[np.ndarray]:
+        """``doc, row, first, last, other`` (words ``first`` .. ``last`` - 1) of both sides of matching neighbours: the rows
+        from number ``fresh`` on with the ``NEIGHBOURS`` rows before them and the last row of another document."""
         n = len(self.doc)
         new = np.append(True, self.doc[1:] != self.doc[:-1]) if n else np.zeros(0, bool)
-        cur = np.arange(n)
-        partner = np.maximum.accumulate(np.where(new, cur, 0)) - 1      # the last row of another document
-        ok = partner >= 0
-        if only is not None:
-            ok &= only
-        cur, partner = cur[ok], partner[ok]
-
-        def common(m: np.ndarray, size: np.ndarray) -> np.ndarray:
-            same = m[cur] == m[partner]
-            return np.minimum(np.where(same.all(1), window, same.argmin(1)), np.minimum(size[cur], size[partner]))
-
-        r, l = common(self.right, self.n_right), common(self.left, self.n_left)
-        hit = r + l >= window
-        r, l, a, b = r[hit], l[hit], cur[hit], partner[hit]
-        both, other = np.append(a, b), np.append(b, a)
-        return [self.doc[both], self.row[both], self.at[both] - np.append(l, l), self.at[both] + np.append(r, r), self.doc[other]]
+        every = np.arange(n)
+        partners = [np.maximum.accumulate(np.where(new, every, 0)) - 1, *(every - k for k in range(1, NEIGHBOURS + 1))]
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+        for partner in partners:
+            cur = np.flatnonzero((partner >= 0) & (every >= fresh) & (self.doc != self.doc[np.maximum(partner, 0)]))
+            partner = partner[cur]
+
+            def common(m: np.ndarray, size: np.ndarray) -> np.ndarray:
+                same = (m[cur] == m[partner]).all(1)
+                return np.minimum(np.where(same.all(1), window, same.argmin(1)), np.minimum(size[cur], size[partner]))
+
+            r, l = common(self.right, self.n_right), common(self.left, self.n_left)
+            hit = r + l >= window
+            r, l, a, b = r[hit], l[hit], cur[hit], partner[hit]
+            both, other = np.append(a, b), np.append(b, a)
+            for x, y in zip(out, [self.doc[both], self.row[both], self.at[both] - np.append(l, l), self.at[both] + np.append(r, r), self.doc[other]]):
+                x.append(y)
+        got = np.unique(np.stack([np.concatenate(x) for x in out], 1), axis=0)      # a pair may be met twice
+        return [got[:, i] for i in range(5)]
 
 
 _MATCH = ["doc_id", "row_hash", "first", "last", "other"]
 
 
 def _compare(sorted_rows: DataFrame, window: int) -> DataFrame:
-    """Matches of neighbours inside the partitions, and the partitions' first and last rows (``edge`` set)."""
+    """Matches of neighbours inside the partitions, and the partitions' ``NEIGHBOURS`` first and last rows (``edge`` set)."""
     names = [x.split()[0] for x in _SUFFIX.split(", ")]
     schema = pa.schema([*((c, pa.int64()) for c in _MATCH), ("edge", pa.int64()), ("n_right", pa.int32()),
                         ("n_left", pa.int32()), ("at", pa.int32()), ("right", pa.binary()), ("left", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, carry, head = TaskContext.get().partitionId(), None, None
+        part, carry, head = TaskContext.get().partitionId(), None, 0
 
         def edge(t: pa.Table) -> pa.RecordBatch:
-            row = {c: t.column(c) for c in names}
-            none = pa.nulls(1, pa.int64())
+            row = {c: t.column(c).combine_chunks() for c in names}
+            none = pa.nulls(t.num_rows, pa.int64())
             return pa.RecordBatch.from_arrays(
-                [row["doc_id"].combine_chunks(), row["row_hash"].combine_chunks(), none, none, none, pa.array([part], pa.int64()),
-                 *(row[c].combine_chunks() for c in ("n_right", "n_left", "at", "right", "left"))], schema=schema)
+                [row["doc_id"], row["row_hash"], none, none, none, pa.array([part] * t.num_rows, pa.int64()),
+                 *(row[c] for c in ("n_right", "n_left", "at", "right", "left"))], schema=schema)
 
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            if head is None:
-                head = t.slice(0, 1)
-                yield edge(head)
+            if head < NEIGHBOURS:
+                yield edge(t.slice(0, NEIGHBOURS - head))
+                head += min(t.num_rows, NEIGHBOURS - head)
             joined = pa.concat_tables([carry, t]).combine_chunks() if carry is not None else t
-            fresh = np.arange(joined.num_rows) >= joined.num_rows - t.num_rows
             block = _Block(joined, window)
-            got = block.matches(window, fresh)
+            got = block.matches(window, joined.num_rows - t.num_rows)
             n = len(got[0])
             if n:
                 yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in got), *(pa.nulls(n, f.type) for f in list(schema)[5:])], schema=schema)
-            # the last row, and before it the last one of another document
+            # the last rows, and before them the last one of another document
             d = block.doc
-            other = np.flatnonzero(d != d[-1])
-            keep = [*other[-1:], len(d) - 1]
-            carry = joined.take(pa.array(keep))
+            last = np.arange(max(0, len(d) - NEIGHBOURS), len(d))
+            other = np.flatnonzero(d != d[-1])[-1:]
+            carry = joined.take(pa.array(np.union1d(other, last)))
         if carry is not None:
-            yield edge(carry.slice(carry.num_rows - 1, 1))
+            yield edge(carry.slice(max(0, carry.num_rows - NEIGHBOURS)))
 
     out = "doc_id long, row_hash long, first long, last long, other long, edge long, n_right int, n_left int, at int, right binary, left binary"
     return sorted_rows.mapInArrow(run, out)
@@ -180,15 +192,20 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     parts = max(2, shuffle_parts(docs.sparkSession))
     rows = _rows(docs)
     anchors = stored(_anchors(rows, window, gram), "anchors")
-    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z")).where("_a < _z").select("anchor"))
-    wanted = anchors.join(shared, "anchor").groupBy(*_KEY).agg(F.collect_set("at").alias("places"))
+    # stored, so that both sides of the join are plain exchanges, which Spark can split where an anchor is hot
+    shared = stored(anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"))
+                    .where("_a < _z").select("anchor"), "shared_anchors")
+    wanted = anchors.join(shared, "anchor").groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     order = ["right", "left", "doc_id", "at"]
-    ranged = _suffixes(rows, wanted, window).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the ranges' bounds are sampled, so their key is short: upper halves, and no more words to the left than there can be
+    # between the beginning of a passage and its first minimiser
+    upper = [F.substring(F.col("right"), 1, 2 * window), F.substring(F.col("left"), 1, 2 * (window - gram))]
+    ranged = _suffixes(rows, wanted, window).repartitionByRange(parts, *upper, "doc_id").sortWithinPartitions(*order)
     found = stored(_compare(ranged, window), "matches")
     edges = found.where("edge is not null").select("edge", *[x.split()[0] for x in _SUFFIX.split(", ")])
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]       # two rows of each partition
+        tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]       # a few rows of each partition
         if tables:
             t = pa.concat_tables(tables).combine_chunks()
             got = _Block(t.drop_columns(["edge"]), window).matches(window)
