@@ -12,8 +12,8 @@ document with a smaller doc_id. The text is parsed relative to all documents wit
    beginning or the end of a common passage. Its windows, and those of the first block with each other
    content at that anchor, are compared one by one.
 
-Copies are never paired: an index entry is an aggregate (smallest doc_id), combined before the shuffle, and the
-joins with it can be split where an entry is hot. Hashes have 64 bits.
+Copies are never paired: an index entry is an aggregate (smallest doc_id), combined before the shuffle. Entries are
+stored before they are joined, so that both sides of a join are plain exchanges, which Spark can split where an entry is hot. Hashes have 64 bits.
 
 Nulls: a null text has no words; a row with a null doc_id keeps all its words and is no reference. Rows with an
 equal doc_id count as one document for each other (they never remove each other's words). Other columns are
@@ -38,7 +38,7 @@ _KEY = ["doc_id", "row_hash"]     # identifies a row: rows equal in both have eq
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
 
 def _digest(words: list[bytes]) -> str:
@@ -107,19 +107,20 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     ``doc_id, row_hash, first, last`` (window starts) of every row."""
     rows = _rows(docs)
     plain, blocks = _parse(rows, window)
-    anchors = (blocks.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"))
-               .where("_a < _z").select("anchor"))
+    anchors = stored(blocks.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"))
+                     .where("_a < _z").select("anchor"), "anchors")
     common = stored(blocks.join(anchors, "anchor"), "common_blocks")
-    index = common.groupBy("block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z")).where("first_doc < _z")
-    parsed = common.join(index.select("block", "first_doc"), "block", "left")
+    index = stored(common.groupBy("block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
+                   .where("first_doc < _z").select("block", "first_doc"), "index")
+    parsed = common.join(index, "block", "left")
     factors = parsed.where("first_doc < doc_id").select(*_KEY, "first", "last")
     # an anchor with one content only has nothing left to compare
-    mixed = (common.groupBy("anchor").agg(F.min("block").alias("_a"), F.max("block").alias("_z"))
-             .where("_a < _z").select("anchor"))
+    mixed = stored(common.groupBy("anchor").agg(F.min("block").alias("_a"), F.max("block").alias("_z"))
+                   .where("_a < _z").select("anchor"), "mixed_anchors")
     rest = parsed.where("first_doc is null or first_doc = doc_id").join(mixed, "anchor")
     windows = stored(_windows(rows, rest, window), "windows")
-    known = (windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
-             .where("first_doc < _z").select("hash", "first_doc"))
+    known = stored(windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
+                   .where("first_doc < _z").select("hash", "first_doc"), "known_windows")
     single = (windows.join(known, "hash").where("first_doc < doc_id")
               .select(*_KEY, F.col("at").alias("first"), F.col("at").alias("last")))
     return rows, plain, factors.unionByName(single)
