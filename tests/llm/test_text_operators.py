@@ -330,6 +330,15 @@ def test_keep_one(spark, edge, no_docs):
     assert near_duplicates.keep_one(no_docs).count() == 0
 
 
+def test_narrow_ids(spark):
+    """Ids of a narrower integer type."""
+    docs = spark.createDataFrame([(1, passage(1, 60)), (2, passage(1, 60)), (3, None)], "doc_id int, text string")
+    assert fingerprints.fingerprints(docs).count() == packing.pack(docs, tokenizer(RANKS)).count() == 3
+    assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()} == {1: 0, 2: 60, 3: 0}
+    assert substring.clean(docs).schema["doc_id"].dataType == near_duplicates.keep_one(docs).schema["doc_id"].dataType == docs.schema["doc_id"].dataType
+    assert near_duplicates.keep_one(docs).count() == 2 and suffixes.duplicate_spans(docs).count() == 2
+
+
 def test_prefix_depth_reaches_the_recall():
     d = near_duplicates.prefix_depth(0.8)
     assert 1 - (1 - 0.8 ** d) ** near_duplicates.TREES >= near_duplicates.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** near_duplicates.TREES
