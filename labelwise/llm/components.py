@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating stars (Kiveris et al., 2014).
 
-Only minima per node are aggregated (combined before the shuffle) and joined back (hot nodes can be split), so no
-component is ever in one task. Every step is written to the shared folder and so cuts the lineage.
+Only minima per node are aggregated (combined before the shuffle), stored and joined back, so that both sides of the join are
+plain exchanges, which Spark can split where a node is hot: no component is ever in one task. Every step is written to the shared folder and so cuts the lineage.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ def _distinct(df: DataFrame) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "minima")
     return _distinct(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(e.groupBy("u").agg(F.min("v").alias("m")), "minima")
     moved = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _distinct(moved.unionByName(least.select("u", F.col("m").alias("v"))))
 
