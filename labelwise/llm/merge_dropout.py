@@ -31,6 +31,7 @@ from .common import mix, texts
 SEED = 1
 RATE = 0.1
 SHORT = 48             # characters of a short unit (at most 63)
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 48)   # short units are processed together up to each of these
 CHUNK_CHARS = 1 << 20
 SPACE = "▁"
 _U = np.uint64
@@ -112,8 +113,9 @@ class Vocabulary:
 
 def skipped(key, left, middle, right, rate: float) -> np.ndarray:
     """Whether the candidate of the symbols ``[left, middle)`` and ``[middle, right)`` of a unit is skipped."""
-    places = (np.asarray(left).astype(_U) << _U(42)) ^ (np.asarray(middle).astype(_U) << _U(21)) ^ np.asarray(right).astype(_U)
-    return mix(np.asarray(key, _U) ^ mix(places + _U(1))) < _U(min(int(rate * 2.0 ** 64), 2 ** 64 - 1))
+    places = np.asarray(left).astype(_U) * _U(0xD6E8FEB86659FD93) + np.asarray(middle).astype(_U) * _U(0xA0761D6478BD642F) \
+        + np.asarray(right).astype(_U) * _U(0xE7037ED1A0B428DB)
+    return mix(np.asarray(key, _U) ^ places) < _U(min(int(rate * 2.0 ** 64), 2 ** 64 - 1))
 
 
 def agenda(chars: list[int], key: int, voc: Vocabulary, rate: float) -> list[tuple[int, int]]:
@@ -147,7 +149,7 @@ def agenda(chars: list[int], key: int, voc: Vocabulary, rate: float) -> list[tup
 
 
 def _short(chars: np.ndarray, key: np.ndarray, voc: Vocabulary, rate: float) -> tuple[np.ndarray, ...]:
-    """Units of one length, a column of ``chars`` each: units, starts and pieces of their symbols.
+    """Units, a column of ``chars`` each (filled up with ``_GONE``): units, starts and pieces of their symbols.
 
     ``best`` holds, at the start of a symbol, the rank of its candidate with the next one and the start itself, so its
     minimum is the candidate that comes first. Arrays are flat: place ``p`` of unit ``u`` is at ``p * n + u``."""
@@ -243,17 +245,19 @@ def _encode(marked: list[str], keys: np.ndarray, voc: Vocabulary, rate: float, o
         doc = np.searchsorted(first, unit, side="right") - 1
         key = mix(keys[doc] + mix((unit - first[doc] + offset).astype(_U)))
         at = np.full(n, -2, np.int32)                     # the piece that starts at each character
-        order = np.argsort(length, kind="stable")
-        edges = np.append(np.flatnonzero(np.append(True, np.diff(length[order]) > 0)), len(order))
-        for i, j in zip(edges, edges[1:]):
-            group, wide = order[i:j], int(length[order[i]])
-            if wide <= SHORT:
-                rows, start, piece = _short(chars[unit[group] + np.arange(wide)[:, None]], key[group], voc, rate)
+        widths = [w for w in WIDTHS if w <= SHORT]
+        step = np.searchsorted(widths, length)            # the width that a unit is filled up to
+        for k, wide in enumerate(widths):
+            group = np.flatnonzero(step == k)
+            if len(group):
+                place = np.arange(wide)[:, None]
+                inside = place < length[group]
+                given = np.where(inside, chars[np.where(inside, unit[group] + place, 0)], _GONE)
+                rows, start, piece = _short(given, key[group], voc, rate)
                 at[unit[group][rows] + start] = piece
-            else:
-                for u in group:
-                    for start, piece in agenda(chars[unit[u]:unit[u] + wide].tolist(), int(key[u]), voc, rate):
-                        at[unit[u] + start] = piece
+        for u in np.flatnonzero(step == len(widths)):
+            for start, piece in agenda(chars[unit[u]:unit[u] + length[u]].tolist(), int(key[u]), voc, rate):
+                at[unit[u] + start] = piece
     for k, t in enumerate(marked):
         ids = at[first[k]:first[k + 1]] if t else np.zeros(0, np.int32)
         where = np.flatnonzero(ids != -2)
