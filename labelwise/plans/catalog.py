@@ -392,10 +392,10 @@ def prompt_rows(spark, sf_dir):
 
 
 def seq2seq_vocab(rows):
-    """Vocabulary of all words of all prompts and of the class names, stored once."""
+    """Vocabulary of all words of all prompts and of the class names (``vocabulary`` stores its distinct tokens)."""
     names = explode_tokens(rows.sparkSession.createDataFrame([(i, c) for i, c in enumerate(CLASSES)], "row_id long, text string"))
     words = explode_tokens(rows, "prompt")
-    return cut_lineage(vocabulary(words.select("token").unionByName(names.select("token"))), "prompt-vocabulary")
+    return vocabulary(words.select("token").unionByName(names.select("token")))
 
 
 def input_arrays(rows, vocab):
