@@ -268,6 +268,38 @@ def test_suffix_spans_of_random_texts(spark):
     assert sum(len(got[i] & want[i]) for i in want) >= 0.97 * sum(map(len, want.values()))
 
 
+def smallest_others(docs, window=50):
+    """For each repeated word of each document the smallest other document that has a window over it."""
+    have = defaultdict(set)
+    for i, t in docs:
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            have[tuple(w[k:k + window])].add(i)
+    out = {}
+    for i, t in docs:
+        w = words(t)
+        for k in range(len(w) - window + 1):
+            others = have[tuple(w[k:k + window])] - {i}
+            for x in range(k, k + window) if others else ():
+                out[i, x] = min(out.get((i, x), min(others)), min(others))
+    return out
+
+
+def check_spans(spark, docs):
+    want, seen = smallest_others(docs), set()
+    for r in suffixes.duplicate_spans(spark.createDataFrame([doc(i, t) for i, t in docs], DOCS).repartition(5)).collect():
+        at = [(r.doc_id, x) for x in range(r.first_word, r.first_word + r.n_words)]
+        assert r.other_doc_id == min(want[x] for x in at) and r.earlier == (r.other_doc_id < r.doc_id)
+        seen.update(at)
+    assert seen == set(want)
+
+
+def test_smallest_document_of_a_passage_in_many(spark):
+    shared, order = passage(900, 60), np.random.default_rng(2).permutation(300).tolist()
+    docs = [(i, f"{passage(1000 + i, 30)} {shared} {passage(2000 + i, 30)}") for i in order]
+    check_spans(spark, docs + [(400 + i, docs[7][1]) for i in range(5)])
+
+
 # ---------------------------------------------------------------- 10 near duplicates
 
 def linked(docs):
