@@ -300,6 +300,14 @@ def test_smallest_document_of_a_passage_in_many(spark):
     check_spans(spark, docs + [(400 + i, docs[7][1]) for i in range(5)])
 
 
+def test_passages_before_a_line_in_many_documents(spark):
+    line, order = passage(901, 20), np.random.default_rng(3).permutation(400).tolist()
+    before = [passage(3000 + k, 40) if k < 40 else passage(4000 + i, 40) for i, k in enumerate(np.arange(400) // 2)]
+    docs = [(i, f"{passage(5000 + i, 20)} {before[k]} {line} {passage(6000 + i, 30)}") for k, i in enumerate(order)]
+    assert len({i for i, _ in smallest_others(docs)}) == 80
+    check_spans(spark, docs)
+
+
 # ---------------------------------------------------------------- 10 near duplicates
 
 def linked(docs):
