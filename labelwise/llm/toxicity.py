@@ -1,14 +1,15 @@
 """Toxicity: weak supervision with a generative label model over lexicon and pattern voters.
 
 1. Lexicon: on at most ``per_class`` labelled rows of each class (the smallest hashes of their ids) every word
-   and word beginning of 4 to 6 characters is counted once a document; the ``lexicon_size`` entries that best tell
-   label 1, and never or rarely come with label 0, are kept, next to the fixed words below.
-2. Voters: ``GROUPS`` lexicon voters (entries are dealt over them, so each is a partial view), a voter for the
+   and word beginning of 4 to 6 characters is counted once for each distinct text; of the entries that come with label 1
+   significantly and ``MIN_RATIO`` times as often as with label 0, the ``lexicon_size`` with the strongest association are
+   kept (beginnings that add nothing to a longer entry come last), next to the fixed words below.
+2. Voters: ``GROUPS`` lexicon voters (bands of entries by strength, so noisy entries share voters), a voter for the
    fixed words and pattern voters on the number, rate and variety of hits; a voter says yes or no.
 3. Label model: one pass over all texts sums the votes' first and second moments (a bounded matrix). Voter
    accuracies come from triplets of voters, which are independent given the label; pairs whose agreement
    exceeds what their accuracies explain are correlated, and a voter's weight is divided by its correlated company.
-4. On the sampled rows their own label is one more voter, of fixed accuracy. The posterior labels train a linear classifier on hit counts and rates, which scores every text.
+4. On the sampled rows their own label is one more voter, of fixed accuracy. The posterior labels train a linear classifier on hit counts, rates and lexicon groups, which scores every text.
 
 Nulls: a null text is the empty text; it scores as a text without hits. Rows with a null label or id are not
 learnt from; without labelled rows the fixed words alone are the lexicon. Repeated rows score alike; empty
@@ -22,10 +23,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 PER_CLASS = 4096
 LEXICON_SIZE = 1024
 GROUPS = 16
@@ -35,10 +38,10 @@ INSULTS = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "l
            "dumb", "ugly", "imbecile", "jerk", "fool")
 _EDGE = ".,;:!?\"'()[]{}<>|%*#$&-_/"
 VOTERS = GROUPS + 6
-FEATURES = 9
-MIN_COUNT = 5          # sampled documents of label 1 that an entry is in, and the least share of them
-MIN_SHARE = 0.02
-MIN_RATIO = 300        # how many times its share of label 1 exceeds that of label 0
+FEATURES = 9 + GROUPS
+MIN_COUNT = 5          # distinct sampled texts of label 1 that an entry is in
+MIN_RATIO = 10         # how many times its (smoothed) share of label 1 exceeds that of label 0
+MIN_G2 = 6.63          # its likelihood ratio statistic: the 1 % point of chi-square with one degree of freedom
 LABEL_ACCURACY = 0.99
 
 
@@ -92,7 +95,8 @@ class Lexicon:
         v[:GROUPS + 1] = by_group > 0
         v[GROUPS + 1:] = hits > 0, k >= 2, rate >= 0.005, hits >= 3, many >= 3
         x = np.array([1.0, np.log1p(hits), np.log1p(k), np.log1p(100 * rate), np.log1p(many),
-                      min(1.0, by_group[GROUPS]), float(k >= 2), float(hits > 0), np.log1p(n) / 10])
+                      min(1.0, by_group[GROUPS]), float(k >= 2), float(hits > 0), np.log1p(n) / 10,
+                      *(by_group[:GROUPS] > 0)])
         return v, x
 
 
@@ -121,8 +125,22 @@ def _sample(labels: DataFrame, label: str, learn_from: Callable, per_class: int)
     return sample, sizes
 
 
-def _learn_lexicon(rows: DataFrame, size: int, drawn: tuple[int, int]) -> Lexicon:
-    """Entries of the sampled rows (``y``, ``text``) that tell label 1, dealt over the groups."""
+def _strength(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
+    """The likelihood ratio statistic (G squared) of an entry's 2 x 2 table."""
+    rate = (toxic + clean) / (n1 + n0)
+
+    def part(k: Column, n: Column | float) -> Column:
+        return F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
+
+    return 2 * (part(toxic, n1 * rate) + part(clean, n0 * rate)
+                + part(n1 - toxic, n1 * (1 - rate)) + part(n0 - clean, n0 * (1 - rate)))
+
+
+def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
+    """Entries of the sampled rows (``y``, ``text``) that tell label 1, dealt over the groups by strength."""
+    rows = rows.select("y", "text", F.xxhash64("text").alias("h")).dropDuplicates(["y", "h"])     # copies count once
+    drawn = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,10 +154,18 @@ def _learn_lexicon(rows: DataFrame, size: int, drawn: tuple[int, int]) -> Lexico
 
     counts = (rows.select("y", "text").mapInArrow(count, "entry string, clean long, toxic long")
               .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .where((F.col("toxic") >= max(MIN_COUNT, MIN_SHARE * drawn[1]))
-                     & (F.col("toxic") * max(1, drawn[0]) >= MIN_RATIO * max(1, drawn[1]) * F.col("clean"))))
-    best = counts.orderBy(F.desc("toxic"), "clean", "entry").limit(size).collect()   # ``size`` entries
-    groups = {r.entry: i % GROUPS for i, r in enumerate(best)}
+              .where(F.col("toxic") >= MIN_COUNT)
+              .where((F.col("toxic") + 0.5) / (n1 + 1) >= MIN_RATIO * (F.col("clean") + 0.5) / (n0 + 1))
+              .withColumn("strength", _strength(F.col("toxic"), F.col("clean"), n1, n0)).where(F.col("strength") >= MIN_G2))
+    counts = stored(counts, "toxicity_entries")
+    base = F.rtrim(F.col("entry"), F.lit("*"))
+    longer = [F.when(F.char_length(base) > n, F.concat(F.substring(base, 1, n), F.lit("*"))) for n in STEMS]
+    implied = (counts.select(F.explode(F.array_compact(F.array(*longer))).alias("entry"), "toxic", "clean").distinct()
+               .withColumn("implied", F.lit(True)))
+    best = (counts.join(implied, ["entry", "toxic", "clean"], "left")
+            .orderBy(F.col("implied").isNotNull(), F.desc("strength"), "entry").limit(size).collect())   # ``size`` entries
+    best.sort(key=lambda r: (-r.strength, r.entry))
+    groups = {r.entry: i * GROUPS // len(best) for i, r in enumerate(best)}
     return Lexicon(groups | {w: GROUPS for w in INSULTS if w not in groups})
 
 
@@ -227,7 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
     if sample is not None:
         rows = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
                 .join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text"))
-    lexicon = _learn_lexicon(rows, lexicon_size, tuple(min(per_class, sizes.get(y, 0)) for y in (0, 1))) if rows is not None else Lexicon({w: GROUPS for w in INSULTS})
+        rows = stored(rows, "toxicity_sample")
+    lexicon = _learn_lexicon(rows, lexicon_size) if rows is not None else Lexicon({w: GROUPS for w in INSULTS})
     prior = float(np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 0.01, 0.99)) if sizes else 0.05
     given = spark.sparkContext.broadcast(lexicon)
     n, first, second = _moments(docs, given)
@@ -244,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
 
     got = rows.mapInArrow(views, "doc_id long, y long, v binary, x binary").collect() if rows is not None else []
     if not got:
-        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 1, 0]))
+        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 1, 0] + [0.0] * GROUPS))
     got.sort(key=lambda r: (r.doc_id, r.v, r.x))
     votes = np.array([np.frombuffer(r.v, np.int8) for r in got], float)
     x = np.array([np.frombuffer(r.x) for r in got])

@@ -68,6 +68,40 @@ def test_label_model_finds_good_voters_and_company():
     assert company[1, 5] and company[5, 1] and not company[0, 2]
 
 
+def made_up(n, seed):
+    return ["".join(w) for w in np.random.default_rng(seed).choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 9))]
+
+
+def toxic_table(spark, copies, words, per_text, noise, n=6000, share=0.1):
+    """Documents and labels: toxic ones hold ``per_text`` of ``words``, clean ones each with probability ``noise``; of the toxic
+    ones ``copies`` are the same long text without any."""
+    rng = np.random.default_rng(5)
+    long = " ".join(made_up(400, 6))
+    docs, labels = [], []
+    for i in range(n):
+        toxic = i < share * n
+        own = rng.choice(words, per_text, replace=False) if toxic else [w for w in words if rng.random() < noise]
+        text = long if i < copies else " ".join(rng.permutation([*own, *(f"plain{k}" for k in rng.integers(0, 2000, 60))]))
+        docs.append((i, text))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize("copies,words,per_text,noise", [
+    (200, made_up(10, 7), 3, 0.0),          # a group of copies among the toxic texts
+])
+def test_learnt_words_without_the_fixed_list(spark, monkeypatch, copies, words, per_text, noise):
+    monkeypatch.setattr(toxicity, "INSULTS", ())
+    docs, labels = toxic_table(spark, copies, words, per_text, noise)
+    model = toxicity.fit(docs, labels, "toxic", lambda i: i % 3 != 1)
+    texts = [t.split() for _, t, y in docs.join(labels, "doc_id").where("doc_id % 3 != 1").select("doc_id", "text", "toxic").collect() if y]
+    often = {w for w in words if sum(w in t for t in texts) >= toxicity.MIN_COUNT}
+    assert len(often) > 0.6 * len(words) and often <= set(model.lexicon.words)
+    got = toxicity.score(docs, model).join(labels, "doc_id").where(f"doc_id % 3 = 1 and doc_id >= {copies}").toPandas()
+    found = got.score >= 0.7
+    assert found[got.toxic == 1].mean() >= 0.9 and found[got.toxic == 0].mean() <= 0.05
+
+
 # ---------------------------------------------------------------- preferences
 
 TURNS = "conv_id long, turn long, role string, text string, part string, train string, pair_id string"
