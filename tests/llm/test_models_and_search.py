@@ -89,7 +89,8 @@ def toxic_table(spark, copies, words, per_text, noise, n=6000, share=0.1):
 
 @pytest.mark.parametrize("copies,words,per_text,noise", [
     (200, made_up(10, 7), 3, 0.0),          # a group of copies among the toxic texts
-])
+    (0, made_up(10, 7), 3, 0.005),          # the words in clean texts too
+    (0, made_up(370, 8), 6, 0.0)])         # each in under 2 % of the toxic texts, on average
 def test_learnt_words_without_the_fixed_list(spark, monkeypatch, copies, words, per_text, noise):
     monkeypatch.setattr(toxicity, "INSULTS", ())
     docs, labels = toxic_table(spark, copies, words, per_text, noise)
