@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest, verified exactly.
+"""N-gram Jaccard join by MinHash banding, verified exactly.
 
 Texts are sets of five-word shingles (whitespace words, unchanged; a shorter text is one shingle). Two documents are
 linked if the Jaccard similarity of their sets is at least ``threshold``.
 
-1. One pass computes a class key (equal sets are one class, so copies are handled once) and ``trees`` label
-   sequences of MinHash values. A label sequence is a path in a sorted prefix trie.
-2. Prefixes are matched at the longest depth that reaches the target recall: starting from whole sequences
-   the depth is shortened until 1 - (1 - threshold^depth)^trees >= ``recall`` (``prefix_depth``).
-3. Classes that share a prefix in a tree are candidates. They are never paired: each is tied to the smallest
+1. One pass computes a class key (equal sets are one class, so copies are handled once) and ``trees`` bands
+   of MinHash values.
+2. The bands' length is fixed before any text is read: the longest with 1 - (1 - threshold^depth)^trees >= ``recall``
+   (``prefix_depth``: 5 values for the constants here). There are no sorted tries and no prefix is shortened by the data.
+3. Classes that share the hash of a band are candidates. They are never paired: each is tied to the smallest
    class of its prefix, and the ties' components are candidate groups.
 4. A group is split into blocks of about ``BLOCK`` texts, fewer if they are long, and every two of its blocks meet in one task, which computes all
    exact similarities between them at once. It returns a row for each text: the number of its links and the
