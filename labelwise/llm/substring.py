@@ -1,14 +1,14 @@
-"""Substring dedup by relative parsing against an index of reference blocks.
+"""Substring dedup by an exact index of content-selected blocks and windows (in place of a relative Lempel-Ziv parse).
 
 A window is ``window`` consecutive words of a document. A word goes if a window that covers it also starts in a
-document with a smaller doc_id. The text is parsed relative to all documents with smaller ids:
+document with a smaller doc_id. Texts are looked up in all documents with smaller ids:
 
 1. Content-selected blocks (``shared_runs``): every text is cut, with overlaps, into blocks of at least ``window``
    words that begin and end where its content says. All blocks of all documents are indexed by their hash and
    by the hash of the anchor inside them; every index entry keeps its smallest doc_id.
-2. Greedy factors: a block whose hash an earlier document has is a factor as a whole; neighbouring factors
-   overlap or touch and join into maximal factors.
-3. Factor boundaries: a block that has only its anchor in common with another document may hold the
+2. A block whose hash an earlier document has is repeated as a whole; neighbouring ones overlap or touch and join.
+   No text is factored greedily into (reference, position, length).
+3. Boundaries: a block that has only its anchor in common with another document may hold the
    beginning or the end of a common passage. Its windows, and those of the first block with each other
    content at that anchor, are compared one by one.
 
