@@ -5,11 +5,12 @@ candidates have one length, so d^2(q, x) = |q|^2 + M^2 - 2 q.x is a metric in wh
 nearest neighbours.
 
 Index: a bounded sample gives routing objects; every vector goes to its nearest one, and large regions (a vector may be
-very common) are dealt over several trees, so a tree has at most about ``TREE`` vectors. A tree is a root and paged leaf
-nodes: each page has a routing object, its covering radius, its distance to the root, and its entries with their
+very common) are dealt over several trees, so a tree has at most about ``TREE`` vectors. A tree is flat: a root and paged leaf
+nodes, without inner nodes. Each page has a routing object, its covering radius, its distance to the root, and its entries with their
 distances to the routing object. The pages are a stored table.
 
-Search: blocks of queries meet the pages of every tree. A page is passed over without any computation if
+Search: blocks of queries meet the pages of every tree, and the distances of all queries to all pages are computed for the
+block at once; the bounds save distances to entries only. A page is passed over without a look at its entries if
 |d(q, root) - d(page, root)| - radius exceeds the k-th best distance; the rest is visited by ascending d(q, page) -
 radius until that exceeds it; inside, an entry is computed only if |d(q, page) - d(x, page)| does not. The k-th best
 starts from the bounded sample. Bounds have a rounding margin and scores are exact whole numbers, so results are exact;
@@ -132,7 +133,7 @@ class Tree:
         q2 = (m.astype(float) ** 2).sum(1)
         lifted = np.hstack([m.astype(float), np.zeros((len(m), 1))])
         to_root = Space.distances(lifted, self.root[None])[:, 0]
-        to_page = Space.distances(lifted, self.route)           # for the block at once; used where the root leaves a page open
+        to_page = Space.distances(lifted, self.route)           # to every page, for the block at once; used where the root leaves a page open
         typed = m.astype(space.kind)
         for i, q in enumerate(typed):
             least, best_s, best_i = floor[i], np.zeros(0, np.int64), np.zeros(0, np.int64)
