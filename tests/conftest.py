@@ -7,8 +7,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF = {s: f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1")}
-
 
 @pytest.fixture(scope="session")
 def spark():

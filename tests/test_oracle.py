@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF
-from oracle_harness import compare, duck
+from oracle_harness import SF, compare, duck
 
 _Q = E.queries()
 _SQL = E.oracle_sql()

@@ -1,7 +1,7 @@
 """Physical-plan checks: no Python in the native operators, pruned scans, no text shuffle where the key
 set is bounded."""
 
-from conftest import SF
+from oracle_harness import SF
 from labelwise.plans import catalog
 
 PYTHON = {"score_map_in_pandas"}   # the only query of the library with a Python step

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF
+from oracle_harness import SF
 from labelwise.functions.text import hash_key
 from labelwise.operators import splits
 from labelwise.operators.indexing import ordinal_positions
