@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import edge_rows
+from edge_cases import edge_rows
 
 import corpus_pipeline
 from labelwise.llm import mtree, preferences, quality, toxicity

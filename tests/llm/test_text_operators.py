@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import DOCS, doc, edge_rows, passage
+from edge_cases import DOCS, doc, edge_rows, passage
 
 from labelwise.llm import fingerprints, merge_dropout, near_duplicates, packing, substring, suffixes
 from labelwise.llm.common import hashed_words, utf8, word_spans
