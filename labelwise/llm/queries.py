@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (fingerprints, merge_dropout, mtree, near_duplicates, oracles, packing, preferences, quality,
-               substring, suffixes, toxicity)
+               substring, suffixes, toxicity, turn_repair)
 from .common import fold, table, texts
 from .settings import KEEP_QUALITY, TOXIC, quality_model, tokenizer, toxicity_model
 
@@ -69,6 +69,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "class_id", "copy_id", "n_links"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.with_digests(turn_repair.damage(turns), turns)
+
+
 QUERIES: dict[str, Query] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_sentencepiece_merge_dropout": op2_sentencepiece_merge_dropout,
@@ -80,10 +85,12 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
     "op6_preference_formatting": oracles.OP6,
     "op9_exact_top_k": oracles.OP9,
     "op10_ngram_jaccard_join": oracles.OP10,
+    "op11_conversation_repair": oracles.OP11,
 }
