@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (fingerprints, merge_dropout, mtree, near_duplicates, oracles, packing, preferences, quality,
-               substring, suffixes, toxicity, turn_repair)
+from . import (fingerprints, language, merge_dropout, mtree, near_duplicates, oracles, packing, preferences, quality,
+               substring, suffixes, toxicity, turn_repair, whitening)
 from .common import fold, table, texts
 from .settings import KEEP_QUALITY, TOXIC, quality_model, tokenizer, toxicity_model
 
@@ -74,6 +74,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.with_digests(turn_repair.damage(turns), turns)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = language.fit(docs, lambda doc_id: fold(doc_id, 4) != 2)
+    return (language.predict(docs.drop("lang"), profiles)
+            .select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_document_fingerprints": op1_document_fingerprints,
     "op2_sentencepiece_merge_dropout": op2_sentencepiece_merge_dropout,
@@ -86,6 +97,8 @@ QUERIES: dict[str, Query] = {
     "op9_exact_top_k": op9_exact_top_k,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_language_id": op12_language_id,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 ORACLE: dict[str, str] = {
     "op4_substring_dedup": oracles.OP4,
