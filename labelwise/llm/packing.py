@@ -22,6 +22,7 @@ import bisect
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,14 @@ from .common import shuffle_parts, stored, texts
 
 MAX_LEN = 2048
 END_ID = 0
+ADDED = "<|endoftext|>"   # the vocabulary's added token; its id follows those of the merges
 SEGMENT_CHARS = 1 << 20   # a longer text is tokenised by parts, cut where a token surely starts
 _SHIFT = 44               # bits of a rank inside a size class
 
 
 class Encoder:
-    """Byte-level BPE ids (as little-endian uint32 bytes) by a file of ranks."""
+    """Byte-level BPE ids (as little-endian uint32 bytes) by a file of ranks; the end-of-text mark inside a text is its
+    one added token, as in the vocabulary's JSON form."""
 
     def __init__(self, path: str):
         import base64
@@ -47,8 +50,9 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.raw = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                     special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                     special_tokens={ADDED: max(ranks.values()) + 1})
+        self.raw = partial(encoding.encode, allowed_special="all")
 
     def ids(self, text: str) -> bytes:
         return b"".join(array("I", self.raw(part)).tobytes() for part in segments(text))
@@ -56,7 +60,8 @@ class Encoder:
 
 def segments(text: str) -> Iterator[str]:
     """A text in parts of about ``SEGMENT_CHARS``. The pre-tokeniser's pattern joins at most one space to the
-    word after it, so the ids are the same when a text is cut before a space with a non-space on both sides."""
+    word after it, so the ids are the same when a text is cut before a space with a non-space on both sides
+    (the added token holds no space)."""
     at = 0
     while len(text) - at > SEGMENT_CHARS:
         p = text.find(" ", at + SEGMENT_CHARS)
