@@ -20,7 +20,8 @@ CHUNK_BYTES = 2 << 20   # bytes of text whose hash arrays are alive at once (one
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240613))
 _BYTE = _rng.integers(0, 2 ** 64, 256, dtype=_U)      # a random 64-bit code for each byte value
-_BASE = 0x9E3779B97F4A7C15 | 1                        # odd, so it has an inverse modulo 2**64
+_STEP = _U(0x9E3779B97F4A7C15)
+_SEEDS = _rng.integers(0, 2 ** 64, (2, 8), dtype=_U) | _U(1)     # odd factors and offsets of the two hashes
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -94,24 +95,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown by doubling."""
-
-    def __init__(self, base: int):
-        self.base, self.inv = base, pow(base, -1, 2 ** 64)
-        self.up, self.down = np.ones(1, _U), np.ones(1, _U)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            m = len(self.up)
-            self.up = np.concatenate([self.up, self.up * _U(pow(self.base, m, 2 ** 64))])
-            self.down = np.concatenate([self.down, self.down * _U(pow(self.inv, m, 2 ** 64))])
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = Powers(_BASE), Powers(0xD6E8FEB86659FD93)
-
-
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of consecutive texts, and the ``len + 1`` word offsets of the texts."""
     n = len(data)
@@ -129,36 +112,58 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each word, from prefix sums over the bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wide: bool = False) -> np.ndarray:
+    """A 64-bit hash of each of the ascending, disjoint, non-empty spans of bytes: the sum of pseudo-random values, one
+    for each byte at each place. ``wide``: two independent ones, as rows."""
     if not len(starts):
-        return np.zeros(0, _U)
-    up, down = _BYTE_POWERS.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+        return np.zeros((2, 0) if wide else 0, _U)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+    code = mix(_BYTE[data[np.repeat(starts, size) + place]] + place.astype(_U) * _STEP)
+    one = mix(np.add.reduceat(code, first) + size.astype(_U))
+    if not wide:
+        return one
+    return np.stack([one, mix(np.add.reduceat(mix(code + _SEEDS[1, 0]), first) + size.astype(_U))])
 
 
 class SpanHash:
-    """Hashes of any span of a word-hash sequence in O(1), by prefix sums."""
-
-    def __init__(self, words: np.ndarray):
-        up, self.down = _WORD_POWERS.upto(len(words) + 1)
-        self.total = np.zeros(len(words) + 1, _U)
-        np.cumsum(words * up[:len(words)], out=self.total[1:])
+    """64-bit hashes of any span of a sequence of word hashes in O(1). Level ``k`` holds the hash of the ``2 ** k``
+    words from each place on, made of the two halves; a span is made of the two blocks of the largest level inside it, which
+    together cover it. Every step is a non-linear mix, so no pattern of words cancels out. ``seed`` 0 or 1: independent hashes."""
 
-    def __call__(self, start: np.ndarray, length) -> np.ndarray:
-        return mix((self.total[start + length] - self.total[start]) * self.down[start]
-                   + np.asarray(length).astype(_U))
+    def __init__(self, words: np.ndarray, seed: int = 0):
+        self.seeds = _SEEDS[seed]
+        self.levels = [words]
 
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            front = last[:max(len(last) - half, 0)]
+            self.levels.append(mix(mix(front * self.seeds[1] + self.seeds[2]) + last[half:] * self.seeds[3]))
+        return self.levels[k]
 
-def hashed_words(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per chunk of texts ``[a, b)``: their word hashes, concatenated, and the word offsets of the texts."""
+    def __call__(self, start: np.ndarray, length) -> np.ndarray:
+        start = np.asarray(start)
+        size = np.broadcast_to(np.asarray(length), start.shape)
+        out = np.zeros(start.shape, _U)
+        log = np.frexp(np.maximum(size, 1))[1] - 1
+        for k in range(int(log.max(initial=-1)) + 1):
+            at = np.flatnonzero((log == k) & (size > 0)) if np.ndim(length) else slice(None) if log.flat[0] == k else None
+            if at is None or not len(start[at]):
+                continue
+            level, s, n = self._level(k), start[at], size[at]
+            out[at] = mix(mix(level[s] * self.seeds[4] + n.astype(_U) * self.seeds[5]) + level[s + n - (1 << k)] * self.seeds[6])
+        return out
+
+
+def hashed_words(arr: pa.Array, wide: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Per chunk of texts ``[a, b)``: their word hashes, concatenated (``wide``: two rows), and the word offsets of the texts."""
     data, off = utf8(arr)
     for a, b in chunks(off):
         part, o = data[off[a]:off[b]], off[a:b + 1] - off[a]
         starts, ends, woff = word_spans(part, o)
-        yield a, b, word_hashes(part, starts, ends), woff
+        yield a, b, word_hashes(part, starts, ends, wide), woff
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -3,14 +3,14 @@
 Texts are sets of five-word shingles (whitespace words, unchanged; a shorter text is one shingle). Two documents are
 linked if the Jaccard similarity of their sets is at least ``threshold``.
 
-1. One pass computes a class key (equal sets are one class, so copies are handled once) and ``trees`` bands
-   of MinHash values.
+1. One pass computes a class key of 128 bits from the shingles' 64-bit hashes (equal sets are one class, so copies are handled
+   once) and ``trees`` bands of MinHash values.
 2. The bands' length is fixed before any text is read: the longest with 1 - (1 - threshold^depth)^trees >= ``recall``
    (``prefix_depth``: 5 values for the constants here). There are no sorted tries and no prefix is shortened by the data.
 3. Classes that share the hash of a band are candidates. They are never paired: each is tied to the smallest
    class of its prefix, and the ties' components are candidate groups.
 4. A group is split into blocks of about ``BLOCK`` texts, fewer if they are long, and every two of its blocks meet in one task, which computes all
-   exact similarities between them at once. It returns a row for each text: the number of its links and the
+   exact similarities between them at once, from the words themselves. It returns a row for each text: the number of its links and the
    smallest class it is connected to. Groups of any size are whole; tasks stay bounded.
 5. Components of the verified links are the near-duplicate classes.
 
@@ -40,6 +40,7 @@ BLOCK = 192              # texts in a block of a candidate group, on average,
 BLOCK_SHINGLES = 1 << 20 # and shingles, unless one text has more
 _U = np.uint64
 _SEEDS = np.random.Generator(np.random.PCG64(77)).integers(1, 2 ** 63, (TREES * 2, DEPTH), dtype=_U) * _U(2) + _U(1)
+_KEYS = ["key", "key2"]
 _NO_ID = (1 << 63) - 1
 OWN = 2                  # the side of texts that are compared inside their block
 
@@ -52,7 +53,7 @@ def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recal
 
 
 def shingle_sets(words: np.ndarray, woff: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles (their 40-bit hashes) of consecutive texts, and the ``len + 1`` offsets of the texts."""
+    """Hashes of the distinct shingles of consecutive texts, and the ``len + 1`` offsets of the texts."""
     n, count = len(woff) - 1, np.diff(woff)
     doc = np.repeat(np.arange(n), count)
     span = SpanHash(words)
@@ -60,12 +61,33 @@ def shingle_sets(words: np.ndarray, woff: np.ndarray, width: int = SHINGLE) -> t
     short = np.flatnonzero((count > 0) & (count < width))
     who = np.concatenate([doc[at], short])
     what = np.concatenate([span(at, width), span(woff[short], count[short])])
-    key = np.unique(who.astype(_U) << _U(40) | what >> _U(24))
-    return key & _U((1 << 40) - 1), np.searchsorted(key, np.arange(n + 1, dtype=_U) << _U(40))
+    order = np.lexsort((what, who))
+    who, what = who[order], what[order]
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
+    return what[new], np.searchsorted(who[new], np.arange(n + 1))
+
+
+def exact_sets(texts: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """The shingle sets of some texts as numbers that are equal where the words are (nothing is hashed)."""
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers)) for w in t.encode().split()] for t in texts]
+    size = np.array([len(w) for w in words])
+    flat = np.array([x for w in words for x in w], np.int64)
+    ids, span = flat, 1                       # ids: numbers of the ``span`` words from each place on
+    for _ in range(width - 1):
+        ids, span = np.unique(ids[:-1] << 32 | flat[span:], return_inverse=True)[1], span + 1
+    sets, first, top, whole = [], np.cumsum(size) - size, len(flat), {}
+    for k, w in enumerate(words):
+        if len(w) >= width:
+            sets.append(np.unique(ids[first[k]:first[k] + len(w) - width + 1]))
+        else:
+            sets.append(np.array([top + whole.setdefault(tuple(w), len(whole))] if w else [], np.int64))
+    return sets
 
 
 def _sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """``doc_id, row_hash, class_key, shingles, labels`` of every document; class_key is null without shingles."""
+    """``doc_id, row_hash, key, key2, shingles, labels`` of every document; the keys (128 bits) are null without shingles."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row_hash"), text.alias("text"))
 
@@ -74,26 +96,26 @@ def _sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
             for lo, hi, words, woff in hashed_words(b.column(2)):
                 items, off = shingle_sets(words, woff)
                 have = np.flatnonzero(np.diff(off))
-                keys, labels = np.zeros(hi - lo, np.int64), np.zeros((hi - lo, trees), _U)
+                keys, labels = np.zeros((2, hi - lo), _U), np.zeros((hi - lo, trees), _U)
                 if len(have):
                     cut = off[have]
                     x = mix(items + _U(1))
-                    key = mix(np.add.reduceat(x, cut) + np.diff(off)[have].astype(_U))
-                    keys[have] = key.view(np.int64)
+                    for k, y in enumerate((x, mix(items ^ _SEEDS[0, 0]))):
+                        keys[k, have] = mix(np.add.reduceat(y, cut) + np.diff(off)[have].astype(_U))
                     for t in range(trees):
                         label = np.full(len(have), t + 1, _U)
                         for d in range(depth):
-                            least = np.minimum.reduceat((x * _SEEDS[t, d]) >> _U(24), cut)
+                            least = np.minimum.reduceat(x * _SEEDS[t, d], cut)
                             label = mix(label * _U(0x9E3779B97F4A7C15) + least)
                         labels[have, t] = label
                 none = np.ones(hi - lo, bool)
                 none[have] = False
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(labels.ravel().view(np.int64)), trees).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo),
-                                                  pa.array(keys, mask=none), pa.array(np.diff(off)), lists],
-                                                 ["doc_id", "row_hash", "class_key", "shingles", "labels"])
+                                                  *(pa.array(k.view(np.int64), mask=none) for k in keys), pa.array(np.diff(off)), lists],
+                                                 ["doc_id", "row_hash", *_KEYS, "shingles", "labels"])
 
-    return rows.mapInArrow(run, "doc_id long, row_hash long, class_key long, shingles long, labels array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, key long, key2 long, shingles long, labels array<long>")
 
 
 def _link_counts(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, node: np.ndarray,
@@ -136,10 +158,7 @@ def _verify(tasks: DataFrame, threshold: tuple[int, int], parts: int) -> DataFra
         rows = list({(r[0], r[1]): r for r in rows}.values())      # repeated rows of the table
         rows.sort(key=lambda r: (r[0], r[1]))
         side, node = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        sets = []
-        for _, _, words, woff in hashed_words(pa.array([r[3] for r in rows], pa.large_string())):
-            items, off = shingle_sets(words, woff)
-            sets += [items[a:b] for a, b in zip(off, off[1:])]
+        sets = exact_sets([r[3] for r in rows])
         links, root = _link_counts(sets, np.array([r[2] for r in rows], float), side, node, threshold)
         return list(zip(node.tolist(), links.tolist(), root.tolist()))
 
@@ -176,9 +195,9 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, tre
     num, den = threshold
     base = stored(_sketch(docs, trees, prefix_depth(num / den, trees, depth, recall)), "sketches")
     row = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "row_hash")
-    classes = stored(base.where("class_key is not null").groupBy(F.col("class_key").alias("node"))
+    classes = stored(base.where("key is not null").groupBy(*_KEYS)
                      .agg(F.min(row).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("labels").alias("labels"),
-                          F.max("shingles").alias("shingles")), "classes")
+                          F.max("shingles").alias("shingles")).withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = classes.select("node", F.explode("labels").alias("label"))
     prefixes = (entries.groupBy("label").agg(F.min("node").alias("least"), F.max("node").alias("_z"))
                 .where("least < _z").select("label", "least"))
@@ -202,13 +221,13 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, tre
                            max(shuffle_parts(docs.sparkSession), 1)), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found, "node", "root")
-    known = (classes.select("node", "rep", "weight").join(roots, "node", "left")
+    known = (classes.select("node", *_KEYS, "rep", "weight").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")).join(links, "node", "left"))
     least = known.groupBy("root").agg(F.min("rep").alias("first"))
     known = (known.join(least, "root")
-             .select("node", "rep", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+             .select(*_KEYS, "rep", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     given = lambda c: F.when(c != _NO_ID, c)   # noqa: E731 - back to a null id
-    return (base.select("doc_id", "row_hash", F.col("class_key").alias("node")).join(known, "node", "left")
+    return (base.select("doc_id", "row_hash", *_KEYS).join(known, _KEYS, "left")
             .select("doc_id", "row_hash", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(given(F.col("first.id"))).alias("class_id"),
                     F.coalesce("first.row_hash", "row_hash").alias("class_row"),
                     F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(given(F.col("rep.id"))).alias("copy_id"),

@@ -17,14 +17,15 @@ _U = np.uint64
 
 class Runs:
     """The runs of a chunk of texts: ``doc`` (index in the chunk), ``first`` and ``last`` window start (word
-    positions inside the text), ``anchor`` (minimiser hash) and ``block`` (hash of all words of the run)."""
+    positions inside the text), ``anchor`` (minimiser hash) and ``block`` and ``block2`` (two hashes of all words of the run;
+    together 128 bits). ``words``: two rows of independent word hashes."""
 
     def __init__(self, words: np.ndarray, woff: np.ndarray, window: int = WINDOW, gram: int = GRAM):
-        n = len(words)
-        span = SpanHash(words)
+        n = words.shape[1]
+        span = SpanHash(words[0])
         empty = np.zeros(0, np.int64)
         self.doc, self.first, self.last = empty, empty, empty
-        self.anchor = self.block = np.zeros(0, _U)
+        self.anchor = self.block = self.block2 = np.zeros(0, _U)
         if n < window:
             return
         doc = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
@@ -41,4 +42,5 @@ class Runs:
         e = np.append(s[1:], len(at)) - 1
         self.doc, self.anchor = doc[at[s]], low[s]
         self.first, self.last = at[s] - woff[self.doc], at[e] - woff[self.doc]
-        self.block = span(at[s], at[e] - at[s] + window)
+        size = at[e] - at[s] + window
+        self.block, self.block2 = span(at[s], size), SpanHash(words[1], 1)(at[s], size)

@@ -13,7 +13,9 @@ document with a smaller doc_id. Texts are looked up in all documents with smalle
    content at that anchor, are compared one by one.
 
 Copies are never paired: an index entry is an aggregate (smallest doc_id), combined before the shuffle. Entries are
-stored before they are joined, so that both sides of a join are plain exchanges, which Spark can split where an entry is hot. Hashes have 64 bits.
+stored before they are joined, so that both sides of a join are plain exchanges, which Spark can split where an entry is hot.
+Blocks and windows are equal if 128 bits of two independent hashes are (of independent hashes of their words); anchors, which
+only choose what is compared, have 64.
 
 Nulls: a null text has no words; a row with a null doc_id keeps all its words and is no reference. Rows with an
 equal doc_id count as one document for each other (they never remove each other's words). Other columns are
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import SpanHash, free_name, hashed_words, stored, with_row_hash
 from .shared_runs import WINDOW, Runs
 
+_BLOCK, _HASH = ["block", "block2"], ["hash", "hash2"]     # 128 bits each
 _KEY = ["doc_id", "row_hash"]     # identifies a row: rows equal in both have equal results
 
 
@@ -53,12 +56,12 @@ def _parse(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """From one pass over the texts: a row for each text (``n_words``, digest of all words) and its blocks."""
     schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_words", pa.int64()),
                         ("digest", pa.string()), ("first", pa.int32()), ("last", pa.int32()),
-                        ("anchor", pa.int64()), ("block", pa.int64())])
+                        ("anchor", pa.int64()), ("block", pa.int64()), ("block2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys, texts = b.column(0), b.column(1), b.column(2)
-            for lo, hi, words, woff in hashed_words(texts):
+            for lo, hi, words, woff in hashed_words(texts, wide=True):
                 r = Runs(words, woff, window)
                 all_words = [_digest(t.as_py().encode().split()) for t in texts[lo:hi]]
                 n, m, at = hi - lo, len(r.doc), pa.array(r.doc)
@@ -69,37 +72,36 @@ def _parse(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
                      pa.concat_arrays([pa.array(all_words, pa.string()), pa.nulls(m, pa.string())]),
                      pa.concat_arrays([none.cast(pa.int32()), pa.array(r.first, pa.int32())]),
                      pa.concat_arrays([none.cast(pa.int32()), pa.array(r.last, pa.int32())]),
-                     pa.concat_arrays([none, _signed(r.anchor)]), pa.concat_arrays([none, _signed(r.block)])], schema=schema)
+                     *(pa.concat_arrays([none, _signed(x)]) for x in (r.anchor, r.block, r.block2))], schema=schema)
 
     got = stored(rows.mapInArrow(run, "doc_id long, row_hash long, n_words long, digest string, first int, last int, "
-                                      "anchor long, block long"), "blocks")
+                                      "anchor long, block long, block2 long"), "blocks")
     return (got.where("digest is not null").select(*_KEY, "n_words", "digest"),
-            got.where("anchor is not null and doc_id is not null").select(*_KEY, "first", "last", "anchor", "block"))
+            got.where("anchor is not null and doc_id is not null").select(*_KEY, "first", "last", "anchor", "block", "block2"))
 
 
 def _windows(rows: DataFrame, open_blocks: DataFrame, window: int) -> DataFrame:
-    """``doc_id, row_hash, at, hash`` of every window of the blocks that are compared window by window."""
+    """``doc_id, row_hash, at, hash, hash2`` of every window of the blocks that are compared window by window."""
     wanted = open_blocks.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("at", pa.int32()), ("hash", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("hash2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, keys, spans = b.column(0), b.column(1), b.column(3).to_pylist()
-            for lo, hi, words, woff in hashed_words(b.column(2)):
-                span, doc, at, hashes = SpanHash(words), [], [], []
+            for lo, hi, words, woff in hashed_words(b.column(2), wide=True):
+                doc, at = [], []
                 for k in range(hi - lo):
                     for s in spans[lo + k]:
-                        starts = np.arange(s["first"], s["last"] + 1)
-                        hashes.append(span(woff[k] + starts, window))
-                        at.append(starts.astype(np.int32))
-                        doc.append(np.full(len(starts), k))
+                        at.append(np.arange(s["first"], s["last"] + 1))
+                        doc.append(np.full(len(at[-1]), k))
                 if doc:
-                    take = pa.array(np.concatenate(doc))
-                    yield pa.RecordBatch.from_arrays([ids[lo:hi].take(take), keys[lo:hi].take(take),
-                                                      pa.array(np.concatenate(at)), _signed(np.concatenate(hashes))], schema=schema)
+                    doc, at = np.concatenate(doc), np.concatenate(at)
+                    take, start = pa.array(doc), woff[doc] + at
+                    yield pa.RecordBatch.from_arrays([ids[lo:hi].take(take), keys[lo:hi].take(take), pa.array(at.astype(np.int32)),
+                                                      *(_signed(SpanHash(words[i], i)(start, window)) for i in (0, 1))], schema=schema)
 
     return (rows.join(wanted.hint("shuffle_hash"), _KEY).select(*_KEY, "text", "spans")
-            .mapInArrow(run, "doc_id long, row_hash long, at int, hash long"))
+            .mapInArrow(run, "doc_id long, row_hash long, at int, hash long, hash2 long"))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,18 +112,18 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     anchors = stored(blocks.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"))
                      .where("_a < _z").select("anchor"), "anchors")
     common = stored(blocks.join(anchors, "anchor"), "common_blocks")
-    index = stored(common.groupBy("block").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
-                   .where("first_doc < _z").select("block", "first_doc"), "index")
-    parsed = common.join(index, "block", "left")
+    index = stored(common.groupBy(*_BLOCK).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
+                   .where("first_doc < _z").select(*_BLOCK, "first_doc"), "index")
+    parsed = common.join(index, _BLOCK, "left")
     factors = parsed.where("first_doc < doc_id").select(*_KEY, "first", "last")
     # an anchor with one content only has nothing left to compare
-    mixed = stored(common.groupBy("anchor").agg(F.min("block").alias("_a"), F.max("block").alias("_z"))
+    mixed = stored(common.groupBy("anchor").agg(F.min(F.struct(*_BLOCK)).alias("_a"), F.max(F.struct(*_BLOCK)).alias("_z"))
                    .where("_a < _z").select("anchor"), "mixed_anchors")
     rest = parsed.where("first_doc is null or first_doc = doc_id").join(mixed, "anchor")
     windows = stored(_windows(rows, rest, window), "windows")
-    known = stored(windows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
-                   .where("first_doc < _z").select("hash", "first_doc"), "known_windows")
-    single = (windows.join(known, "hash").where("first_doc < doc_id")
+    known = stored(windows.groupBy(*_HASH).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
+                   .where("first_doc < _z").select(*_HASH, "first_doc"), "known_windows")
+    single = (windows.join(known, _HASH).where("first_doc < doc_id")
               .select(*_KEY, F.col("at").alias("first"), F.col("at").alias("last")))
     return rows, plain, factors.unionByName(single)
 

@@ -28,13 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, SpanHash, hashed_words, mix, shuffle_parts, stored
+from .common import SpanHash, hashed_words, mix, shuffle_parts, stored
 from .shared_runs import GRAM, WINDOW, Runs
 
 NEIGHBOURS = 4     # rows before a suffix that it is compared with, besides the last one of another document
 _KEY = ["doc_id", "row_hash"]
 _U = np.uint64
-_POWERS = Powers(0xA0761D6478BD642F)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -45,7 +44,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def _positions(words: np.ndarray, woff: np.ndarray, runs: Runs, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Runs and word positions (inside their texts) of their minimisers: the leftmost that is in all windows of the
     run; in a repetitive run without one, every occurrence."""
-    span = SpanHash(words)
+    span = SpanHash(words[0])
     base = woff[runs.doc]
     first, last = base + runs.first, base + runs.last
     at = np.full(len(first), -1)
@@ -67,7 +66,7 @@ def _positions(words: np.ndarray, woff: np.ndarray, runs: Runs, window: int, gra
 def _anchors(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, words, woff in hashed_words(b.column(2)):
+            for lo, hi, words, woff in hashed_words(b.column(2), wide=True):
                 r = Runs(words, woff, window, gram)
                 run_, at = _positions(words, woff, r, window, gram) if len(r.doc) else (r.doc, r.doc)
                 # a row for each text and anchor, with all its places and runs
@@ -119,8 +118,8 @@ def _carried(places: np.ndarray, open_runs: list[dict] | None) -> list[list[tupl
 
 
 def _suffixes(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The retained suffixes: 32-bit hashes of the next and (backwards) of the previous ``window`` words, the upper halves
-    of all before the lower halves: texts that share n words share the first 2n bytes."""
+    """The retained suffixes: the hashes of the next and (backwards) of the previous ``window`` words, all first quarters before
+    the second ones and so on: texts that share n words share the first 2n bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,14 +129,14 @@ def _suffixes(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 doc = np.repeat(np.arange(hi - lo), [len(x) for x in at])
                 here = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
                 carried = [c for x, o in zip(at, opened[lo:hi]) for c in _carried(x, o)]
-                short = np.append((words >> _U(32)).astype(np.uint32), np.uint32(0))
+                padded = np.append(words, _U(0))
                 spot, end, begin = woff[doc] + here, woff[doc + 1], woff[doc]
                 step = np.arange(window)
                 right, left = spot[:, None] + step, spot[:, None] - 1 - step
-                right = short[np.where(right < end[:, None], right, len(words))]
-                left = short[np.where(left >= begin[:, None], left, len(words))]
-                halves = lambda m: np.hstack([m >> np.uint32(16), m & np.uint32(0xFFFF)]).astype(">u2")
-                pack = lambda m: pa.array([x.tobytes() for x in halves(m)], pa.binary())
+                right = padded[np.where(right < end[:, None], right, len(words))]
+                left = padded[np.where(left >= begin[:, None], left, len(words))]
+                quarters = lambda m: np.hstack([m >> _U(s) & _U(0xFFFF) for s in (48, 32, 16, 0)]).astype(">u2")
+                pack = lambda m: pa.array([x.tobytes() for x in quarters(m)], pa.binary())
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo).take(take), keys.slice(lo, hi - lo).take(take), pa.array(here.astype(np.int32)),
@@ -162,13 +161,10 @@ def _open_windows(t: pa.Table, window: int) -> list[np.ndarray] | None:
     size = hi - lo + 1
     each = np.repeat(np.arange(len(row)), size)
     start = lo[each] + np.arange(len(each)) - np.repeat(np.cumsum(size) - size, size)
-    word = lambda m: (m[:, 0].astype(_U) << _U(16)) | m[:, 1].astype(_U)
-    up, down = _POWERS.upto(2 * window + 1)
-    total = np.zeros((t.num_rows, 2 * window + 1), _U)
-    np.cumsum(mix(np.hstack([word(block.left)[:, ::-1], word(block.right)]) + _U(1)) * up[:2 * window], axis=1, out=total[:, 1:])
     row_ = row[each]
     k = window - (block.at[row_] - start)
-    hashes = mix((total[row_, k + window] - total[row_, k]) * down[k]).view(np.int64)
+    words = sum(np.hstack([block.left[:, q, ::-1], block.right[:, q]]).astype(_U) << _U(48 - 16 * q) for q in range(4))
+    hashes = SpanHash(words.ravel())(row_ * (2 * window) + k, window).view(np.int64)
     doc, of, has, two = block.doc[row_], of[each], has[each], two[each]
     order = np.lexsort((two, has, hashes, doc))
     same = [x[order][1:] == x[order][:-1] for x in (doc, hashes, has, two)]
@@ -182,7 +178,7 @@ class _Block:
 
     def __init__(self, b: pa.RecordBatch | pa.Table, window: int):
         self.doc, self.row, self.at, self.n_right, self.n_left = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-        self.right, self.left = (np.frombuffer(b"".join(b.column(i).to_pylist()), ">u2").reshape(-1, 2, window) for i in (5, 6))
+        self.right, self.left = (np.frombuffer(b"".join(b.column(i).to_pylist()), ">u2").reshape(-1, 4, window) for i in (5, 6))
 
     def matches(self, window: int, fresh: int = 0) -> list[np.ndarray]:
         """``doc, row, first, last, other`` (words ``first`` .. ``last`` - 1) of both sides of matching neighbours: the rows
@@ -289,16 +285,15 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     shared = stored(anchors.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"))
                     .where("_a < _z").select("anchor"), "shared_anchors")
     common = stored(anchors.join(shared, "anchor"), "common_anchors")
-    runs = common.select(*_KEY, F.inline("runs"))
+    runs = common.select(*_KEY, "places", F.inline("runs"))
     blocks = stored(_two_least(common.select(F.explode(F.array_distinct("runs.block")).alias("block"), "anchor", F.col("doc_id").alias("doc")),
                                "block", "anchor"), "blocks")
     # an anchor with one content only has nothing left to take apart
     mixed = (blocks.groupBy("anchor").agg(F.min("block").alias("_a"), F.max("block").alias("_z")).where("_a < _z").select("anchor"))
     to_open = stored(blocks.join(mixed, "anchor").select("block", "one", "two"), "open_blocks")
     opened = (runs.join(to_open, "block").where("doc_id = one")
-              .select(*_KEY, F.lit(None).cast("array<int>").alias("places"), F.struct("first", "last", "block", "two").alias("open")))
-    wanted = (common.select(*_KEY, "places", F.lit(None).cast(opened.schema["open"].dataType).alias("open")).unionByName(opened)
-              .groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.collect_list("open").alias("open")))
+              .select(*_KEY, "places", F.struct("first", "last", "block", "two").alias("open")))
+    wanted = (opened.groupBy(*_KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_distinct(F.collect_list("open")).alias("open")))
     order = ["right", "left", "doc_id", "at"]
     # the ranges' bounds are sampled, so their key is short: upper halves, and no more words to the left than there can be
     # between the beginning of a passage and its first minimiser

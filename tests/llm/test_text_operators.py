@@ -10,7 +10,7 @@ import pytest
 from edge_cases import DOCS, doc, edge_rows, passage
 
 from labelwise.llm import fingerprints, merge_dropout, near_duplicates, packing, substring, suffixes
-from labelwise.llm.common import hashed_words, utf8, word_spans
+from labelwise.llm.common import SpanHash, hashed_words, utf8, word_spans
 from labelwise.llm.components import components
 from labelwise.llm.settings import tokenizer
 
@@ -45,6 +45,58 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n)), "".join("ba"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_hashes_tell_structured_words_and_spans_apart():
+    """Strings on which polynomials modulo a power of two collide."""
+    for n in (1024, 4096):
+        one, two = thue_morse(n)
+        ((_, _, h, _),) = hashed_words(pa.array([f"{one} {two}"]), wide=True)
+        assert (h[:, 0] != h[:, 1]).all()
+        words_ = np.array([[11, 12][c == "b"] for c in one + two], np.uint64)
+        for seed in (0, 1):
+            span = SpanHash(words_, seed)
+            assert span(np.array([0]), n) != span(np.array([n]), n)
+
+
+def test_span_hashes_are_those_of_the_words():
+    rng = np.random.default_rng(4)
+    words_ = rng.integers(0, 3, 400).astype(np.uint64)
+    for seed in (0, 1):
+        span, seen = SpanHash(words_, seed), {}
+        start = rng.integers(0, 300, 3000)
+        length = rng.integers(1, 100, 3000)
+        for s, n, h in zip(start, length, span(start, length).tolist()):
+            assert seen.setdefault(h, words_[s:s + n].tobytes()) == words_[s:s + n].tobytes()
+            assert span(np.array([s]), int(n))[0] == h
+    assert len(span(np.zeros(0, np.int64), 5)) == 0
+
+
+def test_structured_words_are_neither_removed_nor_linked(spark):
+    one, two = thue_morse(1024)
+    a = " ".join([passage(1, 30), one, passage(2, 30)])
+    b = " ".join([passage(1, 30), two, passage(2, 30)])
+    docs = spark.createDataFrame([doc(1, a), doc(2, b), doc(3, a.replace("w", "v")), doc(4, one), doc(5, two)], DOCS)
+    assert {r.doc_id: r.n_removed for r in substring.dedup(docs).collect()} == dict.fromkeys(range(1, 6), 0)
+    assert suffixes.duplicate_spans(docs).count() == 0
+    assert near_duplicates.keep_one(docs).where("doc_id in (4, 5)").count() == 2
+
+
+def test_short_notes_are_told_apart():
+    """Two notes whose shingles agree in 40 bits of the hash that was kept before."""
+    notes = [f"note {i}" for i in (834861, 2600719)] + [f"note {i}" for i in range(2000)]
+    sets = []
+    for _, _, h, woff in hashed_words(pa.array(notes)):
+        items, off = near_duplicates.shingle_sets(h, woff)
+        sets += items.tolist()
+    assert len(set(sets)) == len(notes) and max(sets) >> 40
+    exact = near_duplicates.exact_sets(notes + [passage(1, 9), passage(1, 8), "", notes[0]])
+    assert len({int(e[0]) for e in exact[:len(notes)]}) == len(notes) and (exact[-1] == exact[0]).all() and not len(exact[-2])
+    assert len(np.intersect1d(exact[-4], exact[-3])) == 4
+
+
 # ---------------------------------------------------------------- 1 fingerprints
 
 def test_prefix_arrays_against_plain_strings():
@@ -123,8 +175,10 @@ def test_ids_are_those_of_the_json_tokenizer(monkeypatch):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    texts = ODD + [passage(3, 500), "don't  stop\n\n now <|endoftext|> 12345", " a \n b  c"]
+    mark = packing.ADDED
+    texts = ODD + [passage(3, 500), f"don't  stop\n\n now {mark} 12345", " a \n b  c", mark, f"{mark} hello", f"hello {mark}",
+                   mark * 3, f"{mark}\n {mark}  {mark}x", f"{mark[:-1]} {mark[1:]}", f"words {mark} " * 40, ("x" * 19 + mark) * 9 + " y"]
+    assert np.frombuffer(packing.Encoder(tokenizer(RANKS)).ids(f"{mark} hello"), "<u4").tolist() == [50256, 23748]
     enc = packing.Encoder(tokenizer(RANKS))
     for size in (1 << 20, 20):
         monkeypatch.setattr(packing, "SEGMENT_CHARS", size)
