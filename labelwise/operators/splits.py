@@ -252,3 +252,38 @@ def fraction_split(df: DataFrame, train_size: float = 0.8, eval_size: float = 0.
         F.when(F.col("pos") < sz["train"], F.lit("train"))
         .when(F.col("pos") < sz["train"] + sz["eval"], F.lit("eval"))
         .otherwise(F.lit("test")))
+
+
+APPROX_PARTS = 1_000_000      # a row falls into one of this many parts by its hash
+
+
+def fraction_bounds(train_size: float = 0.8, eval_size: float = 0.1, test_size: float = 0.1) -> tuple[int, int]:
+    """The first parts that are not train and not eval, in the approximate split."""
+    total = train_size + eval_size + test_size
+    train = round(APPROX_PARTS * train_size / total)
+    return train, train + round(APPROX_PARTS * eval_size / total)
+
+
+def fraction_split_approx(df: DataFrame, train_size: float = 0.8, eval_size: float = 0.1, test_size: float = 0.1, *,
+                          seed: int = SPLIT_SEED, id_col: str = "row_id") -> DataFrame:
+    """Unstratified train/eval/test split by a hash threshold: adds ``split`` (a null id: hashed as empty text).
+
+    A row's split depends on its id alone: one pass, no count, no rank and no exchange, and rows that arrive later never move
+    others. Sizes are binomial (``fraction_spread``); ``fraction_split`` has exact ones."""
+    train, held = fraction_bounds(train_size, eval_size, test_size)
+    part = F.pmod(hex_prefix_int(hash_key(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))), DRAW_DIGITS), F.lit(APPROX_PARTS))
+    return df.withColumn("split", F.when(part < train, F.lit("train")).when(part < held, F.lit("eval")).otherwise(F.lit("test")))
+
+
+def fraction_spread(split_rows: DataFrame, train_size: float = 0.8, eval_size: float = 0.1, test_size: float = 0.1) -> DataFrame:
+    """``split, n, expected, deviations``: sizes of an approximate split, and how many standard deviations of the binomial
+    distribution each is away from its expectation. One aggregate; a split without rows is listed too."""
+    train, held = fraction_bounds(train_size, eval_size, test_size)
+    shares = {"train": train, "eval": held - train, "test": APPROX_PARTS - held}
+    n = {name: F.count(F.when(F.col("split") == name, True)) for name in shares}
+    row = split_rows.agg(F.count(F.lit(1)).alias("_all"), *(c.alias(f"_{name}") for name, c in n.items()))
+    sizes = F.explode(F.array(*(F.struct(F.lit(name).alias("split"), F.col(f"_{name}").alias("n"), F.lit(k / APPROX_PARTS).alias("_p"))
+                                for name, k in shares.items()))).alias("_s")
+    expected, spread = F.col("_all") * F.col("_p"), F.sqrt(F.col("_all") * F.col("_p") * (1 - F.col("_p")))
+    return (row.select("_all", sizes).select("_all", "_s.*")
+            .select("split", "n", expected.alias("expected"), F.when(spread > 0, (F.col("n") - expected) / spread).alias("deviations")))

@@ -15,7 +15,8 @@ from ..functions.answers import CLASSES, encode_binary, encode_seq2seq_pred, enc
 from ..functions.keys import dataset_path, run_key
 from ..operators import metrics as M
 from . import sql_fragments as S
-from ..operators.splits import eval_pool, fraction_split, shuffle_positions
+from ..operators.splits import (APPROX_PARTS, eval_pool, fraction_bounds, fraction_split, fraction_split_approx, fraction_spread,
+                                shuffle_positions)
 from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tokens, mask, pad_to_longest,
                                pad_truncate, token_count, token_ids, unmask, vocabulary)
 from ..functions.prompts import test_prompt, train_prompt
@@ -24,10 +25,11 @@ from ..operators import naive_bayes as NB
 from ..operators.ml import lr_fit, lr_predict
 from ..operators.scoring import nb_answers
 from ..sources.tables import attach_text, labeled, labeled_keys, multi_task, read_table, unlabelled
+from ..sources.layout import laid_out
 from ..sources.csv import read_labelled_csv, write_labelled_csv
 from .sinks import append_metrics, load_counts, read_metrics, save_counts, write_splits
 from ..streaming.cycles import cycle_eval, stream_confusion, stream_counts, write_batches
-from .dataset import (Sizes, assignment, bundle, bundle_keys, counted_keys, eval_set, fraction_set, full_train,
+from .dataset import (Sizes, assignment, bundle, bundle_keys, counted_keys, eval_set, fraction_set, fraction_set_approx, full_train,
                       grid_assignment, leak_audit, test_set, train_set)
 from .fixtures import fixture_raw
 
@@ -163,6 +165,26 @@ def q_split_fraction(spark, sf_dir):
     return fraction_set(spark, sf_dir)
 
 
+_APPROX = ("approx", f"SELECT row_id, label, text, CASE WHEN h < {fraction_bounds()[0]} THEN 'train' WHEN h < {fraction_bounds()[1]} "
+                     f"THEN 'eval' ELSE 'test' END AS split FROM (SELECT *, {S.hex15(S.key(42, 'row_id'))} % {APPROX_PARTS} AS h FROM labeled) x")
+
+
+@register("split_fraction_approx", _with(_LAB, _APPROX)
+          + f"SELECT row_id, label, split, CASE WHEN split = 'train' THEN {S.train_prompt()} ELSE {S.test_prompt()} END AS prompt FROM approx")
+def q_split_fraction_approx(spark, sf_dir):
+    return fraction_set_approx(spark, sf_dir)
+
+
+@register("split_fraction_spread", _with(_LAB, _APPROX, ("shares", f"SELECT * FROM (VALUES ('train', {fraction_bounds()[0]}), "
+          f"('eval', {fraction_bounds()[1] - fraction_bounds()[0]}), ('test', {APPROX_PARTS - fraction_bounds()[1]})) v(split, parts)"),
+          ("sized", f"SELECT s.split, parts::DOUBLE / {APPROX_PARTS} AS p, count(a.row_id) AS n, (SELECT count(*) FROM approx)::DOUBLE AS total "
+                    "FROM shares s LEFT JOIN approx a ON a.split = s.split GROUP BY s.split, parts"))
+          + "SELECT split, n, round(total * p, 6) AS expected, round((n - total * p) / sqrt(total * p * (1 - p)), 6) AS deviations FROM sized")
+def q_split_fraction_spread(spark, sf_dir):
+    """Sizes of the approximate split of all labelled rows against their binomial spread."""
+    return M.display(fraction_spread(fraction_split_approx(labeled_keys(spark, sf_dir))), DIGITS)
+
+
 @register("full_train_set", _with(_LAB) + f"SELECT row_id, label, row_number() OVER (ORDER BY {S.key(10, 'row_id')}, "
                                          f"row_id) - 1 AS ord, {S.train_prompt()} AS prompt FROM labeled")
 def q_full_train_set(spark, sf_dir):
@@ -586,6 +608,20 @@ def q_lr_predict(spark, sf_dir):
     return pred.select("row_id", "label", F.col("pred").isin(*CLASSES).alias("in_domain"))
 
 
+# ---- laid-out tables: the same jobs over text that is bucketed by its id ------------------------------------
+
+def _laid_out(name: str, fn):
+    """The query ``name`` over laid-out tables, under a name of its own; its oracle is the same."""
+    def run(spark, sf_dir):
+        with laid_out(spark, sf_dir):
+            return fn(spark, sf_dir)
+    register(name + "_laid_out", ORACLE[name])(run)
+
+
+for _name in ("full_train_set", "split_fraction", "split_fraction_approx", "truncated_label_audit"):
+    _laid_out(_name, QUERIES[_name])
+
+
 # ---- step 6: cycles and streaming --------------------------------------------------------------------------
 
 N_CYCLES = 3               # cycle = row_id % 3; cycle 0 trains the base model
@@ -651,8 +687,9 @@ def _cycle_query(mode: str):
 
 register("cycle_star", _with(_LAB, *_cycle_sql("star")) + S.binary_eval("cpreds", by="cycle, phase"))(
     _cycle_query("star"))
-register("cycle_chain", _with(_LAB, *_cycle_sql("chain")) + S.binary_eval("cpreds", by="cycle, phase"))(
+q_cycle_chain = register("cycle_chain", _with(_LAB, *_cycle_sql("chain")) + S.binary_eval("cpreds", by="cycle, phase"))(
     _cycle_query("chain"))
+_laid_out("cycle_chain", q_cycle_chain)
 
 
 @register("stream_cycle_counts", _with(_LAB, ("cyc", f"SELECT row_id, label, text, CAST(row_id % {N_CYCLES} AS "

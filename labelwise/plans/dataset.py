@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES
 from ..functions.prompts import test_prompt, train_prompt
-from ..operators.splits import (bootstrap_sample, eval_pool, fraction_split, shuffle_positions,
+from ..operators.splits import (bootstrap_sample, eval_pool, fraction_split, fraction_split_approx, shuffle_positions,
                                  stratified_split)
 from ..session import maybe_broadcast
-from ..sources.tables import attach_text, labeled_keys, multi_task, read_table
+from ..sources.tables import attach_text, labeled, labeled_keys, multi_task, read_table
 
 
 @dataclass(frozen=True)
@@ -124,6 +124,16 @@ def fraction_set(spark: SparkSession, sf_dir: str, train_size: float = 0.8, eval
             .select("row_id", "label", "pos", "split", prompt.alias("prompt")))
 
 
+def fraction_set_approx(spark: SparkSession, sf_dir: str, train_size: float = 0.8, eval_size: float = 0.1,
+                        test_size: float = 0.1) -> DataFrame:
+    """The fractional split by a hash threshold, prompts as in ``fraction_set``: the split adds no exchange to the scan of the
+    labelled rows."""
+    rows = fraction_split_approx(labeled(spark, sf_dir, columns=("text",)), train_size, eval_size, test_size)
+    prompt = (F.when(F.col("split") == "train", train_prompt(F.col("text"), F.col("label")))
+              .otherwise(test_prompt(F.col("text"))))
+    return rows.select("row_id", "label", "split", prompt.alias("prompt"))
+
+
 def counted_keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """The labelled keys and their row count (one small job): the count sizes splits and indexes, and proves
     the bound under which joins broadcast the key side."""

@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import NEGATIVE, POSITIVE
 from ..session import BROADCAST_ROW_LIMIT, maybe_broadcast
+from .layout import registered
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``<sf_dir>/<name>.parquet``; the folder is listed anew by every call."""
+    """The Parquet table ``<sf_dir>/<name>.parquet``; the folder is listed anew by every call. While the folder's tables
+    are laid out (``sources.layout``), the bucketed table."""
+    bucketed = registered(spark, sf_dir, name)
+    if bucketed is not None:
+        return bucketed
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -162,3 +162,43 @@ def test_rows_without_words_never_share_a_join_key(spark):
     assert {r.row_id: r.ids for r in ids.collect()} == {**{i: [] for i in range(50)}, 99: [2, 1, 2]}
     padded = ids.select("row_id", F.concat("ids", F.array(F.lit(0).cast("long"), F.lit(-100).cast("long"))).alias("ids"))
     assert {r.row_id: r.decoded for r in decode(padded, "ids", vocab).collect()} == {**{i: "" for i in range(50)}, 99: "b a b"}
+
+
+def _text_exchanges(df):
+    """Exchanges (broadcasts apart) and those of them that move texts or prompts."""
+    import re
+
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved = re.findall(r"\(\d+\) Exchange\n?.*?\nInput \[\d+\]: (.*)", df._jdf.queryExecution().explainString(mode))
+    return moved, [m for m in moved if "text#" in m or "prompt#" in m]
+
+
+def test_laid_out_text_is_never_exchanged(spark, monkeypatch):
+    """Without any broadcast, as beyond the limits: plain tables move the text once, laid-out tables never."""
+    from labelwise import session
+    from labelwise.sources import layout, tables
+
+    monkeypatch.setattr(session, "BROADCAST_ROW_LIMIT", -1)
+    monkeypatch.setattr(tables, "BROADCAST_ROW_LIMIT", -1)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", session.SPREAD_SETTING)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.unset(session.SPREAD_SETTING)
+    try:
+        layout.lay_out(spark, SF["0.001"])
+        for name in ("full_train_set", "split_fraction", "split_fraction_approx", "truncated_label_audit", "lr_predict"):
+            assert not _text_exchanges(catalog.QUERIES[name](spark, SF["0.001"]))[1], name
+        assert _text_exchanges(catalog.QUERIES["split_fraction_approx"](spark, SF["0.001"])) == ([], [])
+        layout.forget(spark, SF["0.001"])
+        assert _text_exchanges(catalog.QUERIES["full_train_set"](spark, SF["0.001"]))[1]
+    finally:
+        layout.forget(spark, SF["0.001"])
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_approximate_split_adds_no_exchange(spark):
+    from labelwise.operators.splits import fraction_split_approx
+    from labelwise.sources.tables import read_table
+
+    docs = read_table(spark, SF["0.01"], "documents").select("doc_id", "text")
+    assert "Exchange" not in _plan(fraction_split_approx(docs, id_col="doc_id"))

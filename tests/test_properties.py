@@ -246,3 +246,30 @@ def test_scoring_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(NB.NBModel, "broadcastable", lambda self: False)
     assert _rows(nb_answers(spark, model, prompts, ["conv_id", "turn"]), "conv_id", "turn", "answer") == fast
     assert len(fast) == spark.read.parquet(f"{SF['0.01']}/conversations.parquet").count()
+
+
+def test_approximate_split_is_stable_and_within_its_spread(spark):
+    from labelwise.operators.splits import fraction_split_approx, fraction_spread
+
+    rows = spark.range(40000).withColumnRenamed("id", "row_id")
+    split = fraction_split_approx(rows, 0.7, 0.2, 0.1)
+    sizes = {r.split: r for r in fraction_spread(split, 0.7, 0.2, 0.1).collect()}
+    assert {k: r.expected for k, r in sizes.items()} == {"train": 28000, "eval": 8000, "test": 4000}
+    assert sum(r.n for r in sizes.values()) == 40000 and all(abs(r.deviations) < 4 for r in sizes.values())
+    few = fraction_split_approx(rows.where("row_id % 7 = 3").repartition(3), 0.7, 0.2, 0.1)
+    assert few.join(split.withColumnRenamed("split", "whole"), "row_id").where("split <> whole").count() == 0
+    empty = fraction_split_approx(spark.createDataFrame([], "row_id long"))
+    assert {(r.split, r.n, r.deviations) for r in fraction_spread(empty).collect()} == {(s, 0, None) for s in ("train", "eval", "test")}
+    odd = spark.createDataFrame([(None,), (1,), (1,)], "row_id long")
+    assert fraction_split_approx(odd).where("split is null").count() == 0
+
+
+def test_laid_out_tables_hold_the_same_rows(spark):
+    from labelwise.sources import layout
+    from labelwise.sources.tables import read_table
+
+    plain = _rows(read_table(spark, SF["0.001"], "documents"), "doc_id", "text", "lang")
+    with layout.laid_out(spark, SF["0.001"], 5):
+        table = read_table(spark, SF["0.001"], "documents")
+        assert _rows(table, "doc_id", "text", "lang") == plain
+    assert _rows(read_table(spark, SF["0.001"], "documents"), "doc_id", "text", "lang") == plain
