@@ -754,7 +754,7 @@ def csv_files(spark, sf_dir):
 
 
 @register("csv_multi_file", _with(_CSV_ROWS) + "SELECT dataset, cycle, label, text, false AS ragged, "
-                                              "coalesce(contains(text, chr(65533)), false) AS bad_bytes FROM csvrows")
+                                              "false AS bad_bytes FROM csvrows")
 def q_csv_multi_file(spark, sf_dir):
     rows = read_labelled_csv(spark, csv_files(spark, sf_dir), on_bad_bytes="quarantine", on_ragged="flag", with_row_id=False)
     return rows.select("dataset", "cycle", "label", "text", "ragged", "bad_bytes")
@@ -767,6 +767,45 @@ def q_csv_row_ids(spark, sf_dir):
     return rows.groupBy("dataset", "cycle").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("row_id").alias("n_ids"))
 
 
+_RAW_ROWS = ("rawrows", f"SELECT row_id, row_id % 3 AS kind, CAST(row_id % {N_CYCLES} AS INTEGER) AS cycle, label, text FROM labeled")
+
+
+def csv_raw_bytes(spark, sf_dir):
+    """All labelled texts in a file of every cycle: of three rows one ends in a broken byte sequence, one in a valid U+FFFD."""
+    folder = f"{scratch_folder(spark, 'csv')}/data/quality"
+    end = F.when(F.col("row_id") % 3 == 0, F.lit(b"\xe2\x82")).when(F.col("row_id") % 3 == 1, F.lit("\ufffd".encode())).otherwise(F.lit(b""))
+    quoted = F.concat(F.lit('"'), F.regexp_replace("text", '"', '""'))
+    line = F.concat(F.concat(F.coalesce("label", F.lit("")), F.lit(","), quoted).cast("binary"), end, F.lit(b'"'))
+    rows = labeled(spark, sf_dir, columns=("text",)).select(line.cast("string").alias("value"), (F.col("row_id") % N_CYCLES).alias("_cycle"))
+    rows.write.partitionBy("_cycle").text(folder)
+    return folder
+
+
+@register("csv_bad_bytes", _with(_LAB, _RAW_ROWS) + "SELECT 'quality' AS dataset, label, CASE kind WHEN 2 THEN text ELSE text || chr(65533) END AS text, "
+                                                    "kind = 0 AS bad_bytes FROM rawrows")
+def q_csv_bad_bytes(spark, sf_dir):
+    """The strict reader's quarantine: broken bytes are flagged (and shown as U+FFFD), a U+FFFD of the file is not."""
+    return (read_labelled_csv(spark, csv_raw_bytes(spark, sf_dir), on_bad_bytes="quarantine", with_row_id=False)
+            .select("dataset", "label", "text", "bad_bytes"))
+
+
+ROWS_PER_FILE = 200       # ids of a file in ``csv_line_numbers``
+
+
+@register("csv_line_numbers", _with(_LAB) + f"SELECT row_id // {ROWS_PER_FILE} AS file_no, row_number() OVER (PARTITION BY row_id // {ROWS_PER_FILE} "
+                                            f"ORDER BY row_id) - 1 AS line_no, {_na_sql('label')} AS label, md5({_na_sql('text')}) AS text_md5 FROM labeled")
+def q_csv_line_numbers(spark, sf_dir):
+    """Files of sorted rows, read back: the number of every row in its file is its place there (texts span lines)."""
+    folder = f"{scratch_folder(spark, 'csv')}/data/quality"
+    rows = labeled(spark, sf_dir, columns=("text",)).withColumn("file_no", F.expr(f"row_id div {ROWS_PER_FILE}"))
+    (rows.repartition("file_no").sortWithinPartitions("file_no", "row_id").select("file_no", "label", "text").write.partitionBy("file_no")
+     .option("header", False).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(folder))
+    got = read_labelled_csv(spark, folder, on_bad_bytes="error")
+    return got.select(F.regexp_extract("file_path", r"file_no=(\d+)", 1).cast("long").alias("file_no"),
+                      F.col("row_id").bitwiseAND((1 << 33) - 1).alias("line_no"), "label", F.md5("text").alias("text_md5"))
+
+
 @register("metrics_log", ORACLE["metrics_long"])
 def q_metrics_log(spark, sf_dir):
     folder = scratch_folder(spark, "metrics")

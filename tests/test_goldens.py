@@ -303,3 +303,53 @@ def test_metrics_keep_full_values(spark):
     wide = M.binary_eval(df)
     assert wide.first()["accuracy"] == 2 / 3
     assert M.display(wide, 4).first()["accuracy"] == 0.6667 and M.display(wide, 5).first()["accuracy"] == 0.66667
+
+
+def _small_splits(spark, size):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    return keep
+
+
+@pytest.mark.parametrize("case", range(4))
+def test_csv_in_small_splits_equals_pandas(spark, tmp_folder, case):
+    """Quoted line breaks, doubled quotes, CRLF and empty lines, read in splits much smaller than a record."""
+    import random
+
+    import pandas as pd
+
+    rng, pieces = random.Random(case), ["a", "bb ccc", '"', '""', ",", "\n", "\r\n", "é", "日本", "\n\n", "x,y", '"q"', '= ["']
+    end, body = ("\r\n" if case == 1 else "\n"), ""
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.choice([0, 1, 3, 10, 80])))
+        quote = case == 2 or any(c in text for c in ',"\n\r')
+        body += rng.choice(["positive", "negative", "other"]) + "," + ('"' + text.replace('"', '""') + '"' if quote else text) + end
+        body += end if rng.random() < 0.05 else ""
+    p = _csv(tmp_folder, "data.csv", body.encode() if case != 3 else body.rstrip("\n").encode())
+    want = pd.read_csv(p, header=None, names=["label", "text"])
+    keep = _small_splits(spark, "200b")
+    try:
+        df = read_labelled_csv(spark, p)
+        got = df.orderBy("row_id").collect()
+        assert spark.read.text(p).rdd.getNumPartitions() > 50
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert [(r.label, r.text) for r in got] == [(a, None if isinstance(b, float) else b) for a, b in zip(want.label, want.text)]
+    assert [r.row_id for r in got] == list(range(300))
+
+
+def test_csv_strict_reading_looks_at_bytes(spark, tmp_folder):
+    p = _csv(tmp_folder, "data.csv", "positive,ok \ufffd here\n".encode() + b'negative,"two\nlines \xe2\x82"\npositive,fine\n')
+    rows = read_labelled_csv(spark, p, on_bad_bytes="quarantine").orderBy("row_id").collect()
+    assert [(r.text, r.bad_bytes) for r in rows] == [("ok \ufffd here", False), ("two\nlines \ufffd", True), ("fine", False)]
+    with pytest.raises(Exception, match="invalid UTF-8 in record 2 of"):
+        read_labelled_csv(spark, p, on_bad_bytes="error").collect()
+    good = _csv(tmp_folder, "data-2.csv", "positive,ok \ufffd here\n".encode())
+    assert read_labelled_csv(spark, good, on_bad_bytes="error").count() == 1
+
+
+def test_csv_of_nothing(spark, tmp_folder):
+    assert read_labelled_csv(spark, _csv(tmp_folder, "data.csv", b"")).count() == 0
+    assert read_labelled_csv(spark, _csv(tmp_folder, "data-1.csv", b"\n\r\n\n")).count() == 0
