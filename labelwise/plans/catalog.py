@@ -16,19 +16,20 @@ from ..functions.keys import dataset_path, run_key
 from ..operators import metrics as M
 from . import sql_fragments as S
 from ..operators.splits import (APPROX_PARTS, eval_pool, fraction_bounds, fraction_split, fraction_split_approx, fraction_spread,
-                                shuffle_positions)
+                                shuffle_positions, stratified_split)
 from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tokens, mask, pad_to_longest,
                                pad_truncate, token_count, token_ids, unmask, vocabulary)
 from ..functions.prompts import test_prompt, train_prompt
 from ..session import cut_lineage, scratch_folder
 from ..operators import naive_bayes as NB
-from ..operators.ml import lr_fit, lr_predict
+from ..operators.linear import BUCKETS, STEPS, fit_linear, hashed_words, predict_linear
 from ..operators.scoring import nb_answers
 from ..sources.tables import attach_text, labeled, labeled_keys, multi_task, read_table, unlabelled
 from ..sources.layout import laid_out
 from ..sources.csv import read_labelled_csv, write_labelled_csv
-from .sinks import append_metrics, load_counts, read_metrics, save_counts, write_splits
-from ..streaming.cycles import cycle_eval, stream_confusion, stream_counts, write_batches
+from .sinks import (append_metrics, load_counts, load_version, log_metrics, publish_version, published_version, read_log, read_metrics,
+                    save_counts, save_version, write_splits)
+from ..streaming.cycles import cycle_eval, cycle_models, stream_confusion, stream_counts, test_then_train, write_batches
 from .dataset import (Sizes, assignment, bundle, bundle_keys, counted_keys, eval_set, fraction_set, fraction_set_approx, full_train,
                       grid_assignment, leak_audit, test_set, train_set)
 from .fixtures import fixture_raw
@@ -597,15 +598,36 @@ def q_score_map_in_pandas(spark, sf_dir):
     return scored.select("conv_id", "turn", "answer", parse_answer(raw).alias("pred"))
 
 
-@register("lr_predict", _with(_LAB, *_FRACTION) + "SELECT row_id, label, true AS in_domain FROM frac WHERE split = 'test'")
+def _linear_sql() -> list[tuple[str, str]]:
+    """The perceptron steps of ``operators.linear``, one pair of tables a step."""
+    words = f"SELECT row_id, unnest({S.tokens()}) AS token FROM frac"
+    out = [("feats", f"SELECT row_id, {S.hex15('md5(token)')} % {BUCKETS} AS bucket FROM ({words}) GROUP BY ALL"),
+           ("learn", "SELECT row_id, CASE WHEN label = 'positive' THEN 1 ELSE -1 END AS y FROM frac "
+                     "WHERE split = 'train' AND label IN ('positive', 'negative')"),
+           ("sides", "SELECT count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = -1) AS m FROM learn"),
+           ("teach", "SELECT row_id, y, y * greatest(1, CASE WHEN y = 1 THEN m // greatest(p, 1) ELSE p // greatest(m, 1) END) AS f FROM learn, sides"),
+           ("w0", "SELECT NULL::BIGINT AS bucket, 0::BIGINT AS w WHERE false")]
+    for k in range(1, STEPS + 1):
+        out += [(f"wrong{k}", f"SELECT t.row_id, t.f FROM teach t LEFT JOIN feats x USING (row_id) LEFT JOIN w{k - 1} w USING (bucket) "
+                              "GROUP BY t.row_id, t.y, t.f HAVING t.y * coalesce(sum(w.w), 0) <= 0"),
+                (f"w{k}", f"SELECT bucket, sum(w)::BIGINT AS w FROM (SELECT * FROM w{k - 1} UNION ALL "
+                          f"SELECT x.bucket, e.f FROM wrong{k} e JOIN feats x USING (row_id)) GROUP BY bucket")]
+    union = " UNION ALL ".join(f"SELECT * FROM w{k}" for k in range(1, STEPS + 1))
+    return out + [("weights", f"SELECT bucket, sum(w)::BIGINT AS w FROM ({union}) GROUP BY bucket")]
+
+
+@register("lr_predict", _with(_LAB, *_FRACTION, *_linear_sql())
+          + "SELECT row_id, label, CASE WHEN score >= 0 THEN 'positive' ELSE 'negative' END AS pred, score FROM (SELECT f.row_id, f.label, "
+            "coalesce(sum(w.w), 0)::BIGINT AS score FROM frac f LEFT JOIN feats x USING (row_id) LEFT JOIN weights w USING (bucket) "
+            "WHERE f.split = 'test' GROUP BY f.row_id, f.label) s")
 def q_lr_predict(spark, sf_dir):
-    """The test rows and whether each prediction is a class (which class depends on the optimiser's last bits)."""
+    """Predictions and scores of the linear model (whole-number steps) for all test rows of the fractional split."""
     keys, n = counted_keys(spark, sf_dir)
     frac = fraction_split(keys, n=n)
     with_text = attach_text(spark, sf_dir, frac, bound_rows=n)
-    model = lr_fit(with_text.where(F.col("split") == "train"))
-    pred = lr_predict(model, with_text.where(F.col("split") == "test").select("row_id", "label", "text"))
-    return pred.select("row_id", "label", F.col("pred").isin(*CLASSES).alias("in_domain"))
+    rows = cut_lineage(hashed_words(with_text.select("row_id", "label", "split", "text")), "hashed-words")
+    model = fit_linear(rows.where(F.col("split") == "train"))
+    return predict_linear(model, rows.where(F.col("split") == "test"))
 
 
 # ---- laid-out tables: the same jobs over text that is bucketed by its id ------------------------------------
@@ -721,6 +743,50 @@ def q_stream_confusion(spark, sf_dir):
     return out.select("phase", "y_true", "y_pred", "n")
 
 
+_PREQUENTIAL = [
+    ("pcyc", f"SELECT row_id, label, text, split, CAST(row_id % {N_CYCLES} AS INTEGER) AS cycle FROM approx WHERE label IN ('positive', 'negative')"),
+    ("srcrows", "SELECT cycle AS src, label, text FROM pcyc WHERE split = 'train'"),
+    *[c for c in _cycle_sql("chain") if c[0] in ("srctok", "srccounts", "feeds", "mcounts", "mparams")],
+    ("cruns", "SELECT cycle, row_id, label, text, 'before' AS phase, cycle - 1 AS model FROM pcyc WHERE split <> 'train' AND cycle > 0 UNION ALL "
+              "SELECT cycle, row_id, label, text, 'after', cycle FROM pcyc WHERE split <> 'train'"),
+    *[c for c in _cycle_sql("chain") if c[0] in ("ctok", "csums", "cscored", "cpreds")],
+]
+
+
+@register("stream_test_then_train", _with(_LAB, _APPROX, *_PREQUENTIAL)
+          + "SELECT cycle AS version, * EXCLUDE (cycle) FROM (" + S.binary_eval("cpreds", by="cycle, phase") + ")")
+def q_stream_test_then_train(spark, sf_dir):
+    """Cycle after cycle arrives: each is scored with the model before it, added, and scored again; metrics of every version."""
+    src = cycled(spark, sf_dir).select("cycle", "row_id", "label", "text")
+    folder = scratch_folder(spark, "arrivals")
+    for k in range(N_CYCLES):
+        src.where(F.col("cycle") == k).write.parquet(f"{folder}/batch-{k}")
+        conf = test_then_train(spark, folder, src.schema, folder + "-counts", folder + "-ckpt")
+    return M.display(M.summary(conf, ["version", "phase"], per_class=(0, 1)), DIGITS)
+
+
+@register("model_versions", _with(_LAB, *_cycle_sql("chain"))
+          + "SELECT model AS cycle, 2 AS version, count(token) AS n_tokens, sum(n_positive)::BIGINT AS n_positive, sum(n_negative)::BIGINT AS n_negative "
+            "FROM mcounts WHERE token IS NOT NULL GROUP BY model")
+def q_model_versions(spark, sf_dir):
+    """A chain of cycle models, saved as two versions of a run beside another run's; the published version read back."""
+    keys = cycled_keys(spark, sf_dir)
+    assign = stratified_split(keys.where(F.col("cycle") > 0).select("cycle", "row_id", "label"), CYCLE_SIZES.train, CYCLE_SIZES.test, group_cols=["cycle"])
+    used = (keys.join(F.broadcast(assign.select("cycle", "row_id", "split")), ["cycle", "row_id"], "left")    # cycles x classes x sizes rows
+            .where((F.col("cycle") == 0) | (F.col("split") == "train")))
+    texts = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    models = cut_lineage(cycle_models(used.join(texts, "row_id").select(F.col("cycle").alias("src"), "label", "text"), N_CYCLES, "chain"), "chain")
+    models = models.withColumnRenamed("model", "cycle")
+    folder = scratch_folder(spark, "versions")
+    for run, version in (("quality-chain", 1), ("other-run", 7), ("quality-chain", 2), ("quality-chain", 2)):    # the last one is a repeated job
+        part = models if version != 1 else models.where("cycle < 2")
+        save_version(part, folder, run, version)
+        publish_version(spark, folder, run, version)
+    words = load_version(spark, folder, "quality-chain").where(F.col("token").isNotNull())
+    return (words.groupBy("cycle").agg(F.lit(published_version(spark, folder, "quality-chain")).alias("version"), F.count("token").alias("n_tokens"),
+                                       F.sum("n_positive").alias("n_positive"), F.sum("n_negative").alias("n_negative")))
+
+
 # ---- step 7: sources and sinks -----------------------------------------------------------------------------
 
 def _na_sql(c: str) -> str:
@@ -815,6 +881,17 @@ def q_metrics_log(spark, sf_dir):
     return M.display(read_metrics(spark, folder), DIGITS)
 
 
+@register("metrics_log_repeated", ORACLE["metrics_long"])
+def q_metrics_log_repeated(spark, sf_dir):
+    """A job that logs each phase, fails, and is repeated: one record of each metric is read, the last attempt's."""
+    folder = scratch_folder(spark, "metrics")
+    longf = cut_lineage(metrics_record(spark, sf_dir), "metrics-record")
+    stale = longf.withColumn("value", F.lit(-1.0))
+    for rows, phase, attempt in ((stale, "before", 1), (longf, "before", 1), (stale, "after", 1), (longf, "after", 2), (longf, "after", 2)):
+        log_metrics(rows.where(F.col("phase") == phase), folder, attempt)
+    return M.display(read_log(spark, folder), DIGITS)
+
+
 @register("splits_sink", _with(*_BUNDLE) + "SELECT split, row_id, label, ord, prompt FROM bundle")
 def q_splits_sink(spark, sf_dir):
     folder = scratch_folder(spark, "splits")

@@ -17,6 +17,9 @@ Streaming form
 ``stream_counts``: new labelled batch files arrive in a folder; ``readStream`` with ``trigger(availableNow=True)``
 reads them in micro-batches of a number of bytes (or files), and ``foreachBatch`` writes that batch's count delta into the ``cycle=<k>`` partitions of a Parquet table with
 dynamic partition overwrite, so replaying a batch rewrites the same partitions (idempotent).
+``test_then_train``: every micro-batch is one version of the model. Its held-out rows are scored with the stored version before it and,
+once its training rows' counts are added, with its own; both confusions are stored beside the counts under the
+batch's number, so a replayed batch rewrites its own version and nothing else.
 ``stream_confusion``: a streaming ``groupBy(phase, y_true, y_pred).count()`` over scored batches in
 complete mode, its state in the checkpoint folder.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import CLASSES, encode_binary, parse_answer
 from ..operators import naive_bayes as NB
-from ..operators.splits import stratified_split
+from ..operators.splits import fraction_split_approx, stratified_split
 from ..session import cut_lineage, maybe_broadcast, path_exists
 
 
@@ -119,6 +122,44 @@ def stream_counts(spark: SparkSession, source: str, schema, sink: str, checkpoin
     return NB.merge_counts(spark.read.parquet(sink), classes=classes, key="cycle")
 
 
+def test_then_train(spark: SparkSession, source: str, schema, store: str, checkpoint: str, classes=CLASSES) -> DataFrame:
+    """Feeds the new files of ``source`` (``row_id, label, text``) as one micro-batch, and returns the confusions of all
+    versions so far: ``(version, phase, y_true, y_pred, n)``.
+
+    A row is held out or trained on by the hash of its id (``fraction_split_approx``), so a batch needs no count. The first version has no
+    model before it and so no ``before`` rows. State is the stored delta of each version: a model is the sum of the deltas up to it, read
+    with partition pruning. A batch without rows adds an empty version."""
+    deltas, scored = f"{store}/deltas", f"{store}/confusions"
+    stream = _feed(spark, source, schema, None, None)
+    cols = ["token", *(f"n_{c}" for c in classes)]
+    stored_schema = "token string, " + ", ".join(f"n_{c} long" for c in classes) + ", version int"
+
+    def apply_batch(batch: DataFrame, version: int) -> None:
+        session = batch.sparkSession
+        rows = fraction_split_approx(batch.where(F.col("label").isin(*classes)))
+        delta = NB.token_counts(rows.where(F.col("split") == "train"), classes).withColumn("version", F.lit(version))
+        (delta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(deltas))
+        known = session.read.schema(stored_schema).parquet(deltas).where(F.col("version") <= version)
+        # the counts before this version feed both models, its own the second one
+        feeds = F.when(F.col("version") < version, F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("after")))
+        fed = known.withColumn("phase", F.explode(feeds)).groupBy("phase", "token").agg(*(F.sum(c).alias(c) for c in cols[1:]))
+        models = cut_lineage(fed, "version-counts")
+        params = NB.keyed_params(models, "phase", classes)
+        test = (rows.where(F.col("split") != "train").select("row_id", "label", "text")
+                .withColumn("phase", F.explode(F.array(F.lit("before"), F.lit("after")))))
+        preds = NB.keyed_predict(models, params, test, "phase", classes=classes, params_rows=2, carry=("label",))
+        conf = (preds.groupBy("phase", encode_binary(F.col("label")).alias("y_true"), encode_binary(F.col("pred")).alias("y_pred"))
+                .agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(version)))
+        conf.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(scored)
+
+    q = (stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    fields = "phase string, y_true int, y_pred int, n long, version int"
+    if not path_exists(spark, scored):
+        return spark.createDataFrame([], fields).select("version", "phase", "y_true", "y_pred", "n")
+    return spark.read.schema(fields).parquet(scored).select("version", "phase", "y_true", "y_pred", "n")
+
+
 def stream_confusion(spark: SparkSession, source: str, schema, sink: str, checkpoint: str,
                      state_partitions: int = 1, files_per_trigger: int | None = None,
                      bytes_per_trigger: int | None = 1 << 30) -> DataFrame:

@@ -273,3 +273,91 @@ def test_laid_out_tables_hold_the_same_rows(spark):
         table = read_table(spark, SF["0.001"], "documents")
         assert _rows(table, "doc_id", "text", "lang") == plain
     assert _rows(read_table(spark, SF["0.001"], "documents"), "doc_id", "text", "lang") == plain
+
+
+def _plain_linear(rows, steps, buckets):
+    """The perceptron steps with plain Python: score of every row."""
+    import hashlib
+    import re
+
+    feats = [{int(hashlib.md5(w.encode()).hexdigest()[:15], 16) % buckets for w in re.findall(r"[^\W_]+", (t or "").lower())} for _, _, t in rows]
+    y = [{"positive": 1, "negative": -1}.get(lab) for _, lab, _ in rows]
+    p, m = y.count(1), y.count(-1)
+    factor = {1: max(1, m // max(p, 1)), -1: max(1, p // max(m, 1))}
+    w, total = [0] * buckets, [0] * buckets
+    for _ in range(steps):
+        wrong = [k for k, f in enumerate(feats) if y[k] and y[k] * sum(w[b] for b in f) <= 0]
+        for k in wrong:
+            for b in feats[k]:
+                w[b] += y[k] * factor[y[k]]
+        total = [a + b for a, b in zip(total, w)]
+    return [sum(total[b] for b in f) for f in feats]
+
+
+def test_linear_model_is_the_plain_perceptron(spark):
+    from labelwise.operators.linear import fit_linear, hashed_words, predict_linear
+
+    good, bad = "sun warm bright kind", "rain cold dark rude"
+    rows = [(k, "positive" if k % 3 else "negative", " ".join(((good if k % 3 else bad) + " the and of").split()[k % 4:])) for k in range(60)]
+    rows += [(100, "positive", None), (101, "negative", ""), (102, "neutral", "sun rain"), (103, None, "warm"), (1, "positive", rows[1][2])]
+    df = spark.createDataFrame(rows, "row_id long, label string, text string").repartition(5)
+    feats = hashed_words(df, 64)
+    got = predict_linear(fit_linear(feats, 5, 64), feats).collect()
+    assert sorted((r.row_id, r.score) for r in got) == sorted((r[0], s) for r, s in zip(rows, _plain_linear(rows, 5, 64)))
+    right = [r.pred == r.label for r in got if r.row_id < 60]
+    assert sum(right) >= 0.95 * len(right)
+    none = fit_linear(feats.where("false"), 2, 64)
+    assert {r.score for r in predict_linear(none, feats).collect()} == {0}
+
+
+def test_metric_log_keeps_one_record_of_each(spark, tmp_folder):
+    from labelwise.plans.sinks import METRICS_SCHEMA, log_metrics, read_log
+
+    def rows(run, phase, value):
+        return spark.createDataFrame([(run, "d", "m", "eval", phase, "f1", value)], METRICS_SCHEMA)
+
+    folder = tmp_folder + "/log"
+    for run, phase, value, attempt in (("a/b", "before", 1.0, 1), ("a/b", "before", 2.0, 1), ("a/b", "after", 3.0, 2), ("a/b", "after", 9.0, 1),
+                                       ("c", "before", 4.0, 1)):
+        log_metrics(rows(run, phase, value), folder, attempt)
+    assert sorted((r.run_id, r.phase, r.value) for r in read_log(spark, folder).collect()) == [("a/b", "after", 3.0), ("a/b", "before", 2.0), ("c", "before", 4.0)]
+
+
+def test_model_versions_are_pruned_and_replaced(spark, tmp_folder):
+    from labelwise.plans.sinks import load_version, publish_version, published_version, save_version
+
+    def counts(n):
+        return spark.createDataFrame([(k, "w", n + k, 0) for k in range(3)], "cycle int, token string, n_positive long, n_negative long")
+
+    folder = tmp_folder + "/store"
+    with pytest.raises(ValueError, match="no published version"):
+        load_version(spark, folder, "r")
+    for run, version, n in (("r", 1, 10), ("r", 2, 20), ("q", 5, 50), ("r", 2, 30)):
+        save_version(counts(n), folder, run, version)
+    publish_version(spark, folder, "r", 1)
+    publish_version(spark, folder, "q", 5)
+    assert sorted(r.n_positive for r in load_version(spark, folder, "r").collect()) == [10, 11, 12]
+    publish_version(spark, folder, "r", 2)
+    assert (published_version(spark, folder, "r"), published_version(spark, folder, "q")) == (2, 5)
+    df = load_version(spark, folder, "r", cycles=[1])
+    assert [r.n_positive for r in df.collect()] == [31]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert all(c in plan.split("PartitionFilters: [")[1].split("]")[0] for c in ("run_id", "cycle", "version"))
+
+
+def test_replayed_version_changes_nothing(spark, tmp_folder):
+    from labelwise.streaming.cycles import test_then_train as feed
+
+    rows = spark.createDataFrame([(k, "positive" if k % 3 else "negative", f"{'sun' if k % 3 else 'rain'} day {k % 5}") for k in range(300)],
+                                 "row_id long, label string, text string")
+    source, store, ckpt = (f"{tmp_folder}/{x}" for x in ("in", "store", "ckpt"))
+    for k in range(3):
+        rows.where(f"row_id % 3 = {k} or row_id % 2 = {k % 2}").write.parquet(f"{source}/{k}")
+        got = feed(spark, source, rows.schema, store, ckpt)
+    once = sorted(tuple(r) for r in got.collect())
+    assert {(r[0], r[1]) for r in once} == {(0, "after"), (1, "before"), (1, "after"), (2, "before"), (2, "after")}
+    # the last batch is lost after it was written: its commit is taken back, so the stream runs it again
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(ckpt).getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.delete(jvm.Path(f"{ckpt}/commits/2"), False)
+    assert sorted(tuple(r) for r in feed(spark, source, rows.schema, store, ckpt).collect()) == once
