@@ -57,6 +57,17 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
             .select("token", (F.col("_start") + F.col("_place")).cast("long").alias("id")))
 
 
+def vocabulary_of(tokens: DataFrame, wanted) -> DataFrame:
+    """``(token, id)`` of a few given tokens, with the ids that ``vocabulary`` gives them among ``tokens``: the number of smaller
+    distinct tokens is an aggregate, so no token is sorted, numbered or stored. A token that does not occur has no row."""
+    distinct = tokens.select("token").where(F.col("token").isNotNull()).distinct()
+    wanted = sorted(set(wanted))
+    row = distinct.agg(*(F.count(F.when(F.col("token") <= w, True)).alias(f"_{k}") for k, w in enumerate(wanted)),
+                       *(F.max(F.col("token") == w).alias(f"_has{k}") for k, w in enumerate(wanted)))
+    each = F.array(*(F.struct(F.lit(w).alias("token"), F.col(f"_{k}").alias("id"), F.col(f"_has{k}").alias("has")) for k, w in enumerate(wanted)))
+    return row.select(F.explode(each).alias("v")).where("v.has").select("v.token", "v.id")
+
+
 def token_ids(tokens: DataFrame, vocab: DataFrame, id_col: str = "row_id", max_pos: int | None = None) -> DataFrame:
     """``(id_col, ids array<long>)`` in token order, one row per row of ``tokens``' ids: from an outer
     explode, a row without words gets ``[]`` here, so no join back to the row ids is needed. ``max_pos``

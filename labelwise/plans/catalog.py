@@ -18,7 +18,7 @@ from . import sql_fragments as S
 from ..operators.splits import (APPROX_PARTS, eval_pool, fraction_bounds, fraction_split, fraction_split_approx, fraction_spread,
                                 shuffle_positions, stratified_split)
 from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tokens, mask, pad_to_longest,
-                               pad_truncate, token_count, token_ids, unmask, vocabulary)
+                               pad_truncate, token_count, token_ids, unmask, vocabulary, vocabulary_of)
 from ..functions.prompts import test_prompt, train_prompt
 from ..session import cut_lineage, scratch_folder
 from ..operators import naive_bayes as NB
@@ -421,6 +421,12 @@ def seq2seq_vocab(rows):
     return vocabulary(words.select("token").unionByName(names.select("token")))
 
 
+def class_vocab(rows):
+    """The class names' part of ``seq2seq_vocab``, without numbering the other words."""
+    names = rows.sparkSession.createDataFrame([(c,) for c in CLASSES], "token string")
+    return cut_lineage(vocabulary_of(explode_tokens(rows, "prompt").select("token").unionByName(names), CLASSES), "class-vocabulary")
+
+
 def input_arrays(rows, vocab):
     """``(row_id, input_ids)``: each prompt's first ``_N_TOK`` words, padded; a prompt without words is all padding."""
     ids = token_ids(explode_tokens(rows, "prompt", outer=True, max_pos=_N_TOK), vocab)
@@ -472,7 +478,7 @@ def q_tokens_pad_truncate(spark, sf_dir):
 @register("labels_pad_batch", _with(*_PROMPTS) + "SELECT row_id, split, batch_id, labels FROM padded")
 def q_labels_pad_batch(spark, sf_dir):
     rows = prompt_rows(spark, sf_dir)
-    return label_arrays(rows, seq2seq_vocab(rows))
+    return label_arrays(rows, class_vocab(rows))
 
 
 @register("labels_mask", _with(*_PROMPTS) + "SELECT row_id, labels FROM masked")
@@ -483,7 +489,7 @@ def q_labels_mask(spark, sf_dir):
 @register("labels_unmask_decode", _with(_LAB) + "SELECT row_id, coalesce(label, '') AS decoded FROM labeled")
 def q_labels_unmask_decode(spark, sf_dir):
     rows = prompt_rows(spark, sf_dir)
-    vocab = seq2seq_vocab(rows)
+    vocab = class_vocab(rows)
     masked = label_arrays(rows, vocab).select("row_id", mask(F.col("labels")).alias("labels"))
     return decode(masked.select("row_id", unmask(F.col("labels")).alias("ids")), "ids", vocab)
 

@@ -361,3 +361,13 @@ def test_replayed_version_changes_nothing(spark, tmp_folder):
     fs = jvm.Path(ckpt).getFileSystem(spark._jsc.hadoopConfiguration())
     assert fs.delete(jvm.Path(f"{ckpt}/commits/2"), False)
     assert sorted(tuple(r) for r in feed(spark, source, rows.schema, store, ckpt).collect()) == once
+
+
+def test_ids_of_a_few_tokens_are_those_of_the_vocabulary(spark):
+    from labelwise.operators.tokens import vocabulary, vocabulary_of
+
+    tokens = spark.createDataFrame([(t,) for t in ["b", "a", None, "é", "b", "Z", "日", "a"]], "token string").repartition(3)
+    whole = {r.token: r.id for r in vocabulary(tokens).collect()}
+    wanted = ["é", "Z", "b", "missing"]
+    assert {r.token: r.id for r in vocabulary_of(tokens, wanted).collect()} == {t: whole[t] for t in wanted if t in whole}
+    assert vocabulary_of(tokens.where("false"), wanted).count() == 0
