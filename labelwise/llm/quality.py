@@ -7,9 +7,10 @@
 2. At most ``per_class`` labelled rows of each class (the smallest hashes of their ids) are projected and
    broadcast: at most ``2 * per_class`` short vectors whatever the input.
 3. Every text is projected and its cosines with all labelled vectors are computed in blocks, exactly. The
-   ``neighbours`` nearest vote with the weight of their similarity; classes are weighted back to their share
+   ``neighbours`` nearest, and all that are as near as the last of them, vote with the weight of their similarity; classes are weighted back to their share
    among the labelled rows, so the score estimates the probability of label 1.
 
+Only ids that ``docs`` holds are drawn; of rows that repeat a drawn id the least text is learnt from.
 Nulls: a null text is the empty text; an empty text has no neighbours and gets the share of label 1. Rows
 with a null label or id are not learnt from. Without labelled rows every score is 0.5. Repeated rows are
 scored alike. Empty tables give empty results. ``score`` keeps all columns of its input, whatever their names.
@@ -123,9 +124,10 @@ class Model:
         k = min(neighbours, len(self.vectors))
         for a in range(0, len(terms), block):
             cos = self.latent(terms[a:a + block]) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(np.float64) ** SHARPNESS * self.weights[near]
-            voted = (w * self.labels[near]).sum(1) / w.sum(1)
+            last = -np.partition(-cos, k - 1, axis=1)[:, k - 1:k]
+            row, near = np.nonzero(cos >= last)                     # as near as the last of the ``k``: all vote
+            w = np.maximum(cos[row, near], 1e-6).astype(np.float64) ** SHARPNESS * self.weights[near]
+            voted = np.bincount(row, w * self.labels[near], len(cos)) / np.bincount(row, w, len(cos))
             out[a:a + block] = np.where(some[a:a + block], voted, self.share)
         return out
 
@@ -170,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
     project = idf[:, None] * basis[:, ::-1][:, :dimensions]
 
     known = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-             .where(learn_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")))
+             .where(learn_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+             .join(docs.select("doc_id"), "doc_id", "left_semi"))
     shares = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     draw = F.xxhash64("doc_id", F.lit("quality"))
     sample = None
@@ -187,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x @ project])], ["y", "x"])
 
     rows = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-            .join(F.broadcast(sample), "doc_id").select("y", "text").mapInArrow(vectors, "y int, x binary").collect())
+            .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text").mapInArrow(vectors, "y int, x binary").collect())
     total = sum(shares.values())
     share = shares.get(1, 0) / total
     if not rows:

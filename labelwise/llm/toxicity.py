@@ -3,16 +3,17 @@
 1. Lexicon: on at most ``per_class`` labelled rows of each class (the smallest hashes of their ids) every word
    and word beginning of 4 to 6 characters is counted once for each distinct text; of the entries that come with label 1
    significantly and ``MIN_RATIO`` times as often as with label 0, the ``lexicon_size`` with the strongest association are
-   kept (beginnings that add nothing to a longer entry come last), next to the fixed words below.
-2. Voters: ``GROUPS`` lexicon voters (bands of entries by strength, so noisy entries share voters), a voter for the
-   fixed words and pattern voters on the number, rate and variety of hits; a voter says yes or no.
+   kept (beginnings that add nothing to a longer entry come last). No word is given beforehand.
+2. Voters: ``GROUPS`` lexicon voters (bands of entries by strength, so noisy entries share voters) and pattern voters on
+   the number, rate and variety of hits; a voter says yes or no.
 3. Label model: one pass over all texts sums the votes' first and second moments (a bounded matrix). Voter
    accuracies come from triplets of voters, which are independent given the label; pairs whose agreement
    exceeds what their accuracies explain are correlated, and a voter's weight is divided by its correlated company.
 4. On the sampled rows their own label is one more voter, of fixed accuracy. The posterior labels train a linear classifier on hit counts, rates and lexicon groups, which scores every text.
 
 Nulls: a null text is the empty text; it scores as a text without hits. Rows with a null label or id are not
-learnt from; without labelled rows the fixed words alone are the lexicon. Repeated rows score alike; empty
+learnt from; without labelled rows the lexicon is empty and all texts score alike. Only ids that ``docs`` holds are drawn; of rows
+that repeat a drawn id the least text is learnt from. Repeated rows score alike; empty
 tables give empty results. ``score`` keeps all columns of its input, whatever their names.
 """
 
@@ -33,12 +34,9 @@ PER_CLASS = 4096
 LEXICON_SIZE = 1024
 GROUPS = 16
 STEMS = (4, 5, 6)
-# fixed values: common English insults
-INSULTS = ("idiot", "moron", "stupid", "worthless", "pathetic", "disgusting", "loser", "scum", "trash", "clown",
-           "dumb", "ugly", "imbecile", "jerk", "fool")
 _EDGE = ".,;:!?\"'()[]{}<>|%*#$&-_/"
-VOTERS = GROUPS + 6
-FEATURES = 9 + GROUPS
+VOTERS = GROUPS + 5
+FEATURES = 8 + GROUPS
 MIN_COUNT = 5          # distinct sampled texts of label 1 that an entry is in
 MIN_RATIO = 10         # how many times its (smoothed) share of label 1 exceeds that of label 0
 MIN_G2 = 6.63          # its likelihood ratio statistic: the 1 % point of chi-square with one degree of freedom
@@ -57,7 +55,7 @@ def entries_of(text: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Entry -> lexicon group; the fixed words are in group ``GROUPS``."""
+    """Entry -> lexicon group."""
 
     groups: dict[str, int]
     stems: dict[str, int] = field(default_factory=dict)
@@ -76,7 +74,7 @@ class Lexicon:
     def votes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Votes (1: yes) of all voters, and the classifier's features."""
         words = words_of(text)
-        hits, kinds, by_group = 0, set(), np.zeros(GROUPS + 1)
+        hits, kinds, by_group = 0, set(), np.zeros(GROUPS)
         cache = self.cache
         for w in words:
             g = cache.get(w)
@@ -92,11 +90,10 @@ class Lexicon:
         n, k = len(words), len(kinds)
         rate, many = hits / max(n, 1), int((by_group > 0).sum())
         v = np.zeros(VOTERS, np.int8)
-        v[:GROUPS + 1] = by_group > 0
-        v[GROUPS + 1:] = hits > 0, k >= 2, rate >= 0.005, hits >= 3, many >= 3
+        v[:GROUPS] = by_group > 0
+        v[GROUPS:] = hits > 0, k >= 2, rate >= 0.005, hits >= 3, many >= 3
         x = np.array([1.0, np.log1p(hits), np.log1p(k), np.log1p(100 * rate), np.log1p(many),
-                      min(1.0, by_group[GROUPS]), float(k >= 2), float(hits > 0), np.log1p(n) / 10,
-                      *(by_group[:GROUPS] > 0)])
+                      float(k >= 2), float(hits > 0), np.log1p(n) / 10, *(by_group > 0)])
         return v, x
 
 
@@ -113,10 +110,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.linear, -30, 30)))
 
 
-def _sample(labels: DataFrame, label: str, learn_from: Callable, per_class: int) -> tuple[DataFrame | None, dict]:
-    """At most ``per_class`` ids of each class, and the classes' sizes."""
+def _sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable, per_class: int) -> tuple[DataFrame | None, dict]:
+    """At most ``per_class`` ids of each class among the labelled ids of ``docs``, and the classes' sizes."""
     known = (labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-             .where(learn_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")))
+             .where(learn_from(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+             .join(docs.select("doc_id"), "doc_id", "left_semi"))
     sizes = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     sample = None
     for y in sorted(sizes):
@@ -166,7 +164,7 @@ def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
             .orderBy(F.col("implied").isNotNull(), F.desc("strength"), "entry").limit(size).collect())   # ``size`` entries
     best.sort(key=lambda r: (-r.strength, r.entry))
     groups = {r.entry: i * GROUPS // len(best) for i, r in enumerate(best)}
-    return Lexicon(groups | {w: GROUPS for w in INSULTS if w not in groups})
+    return Lexicon(groups)
 
 
 def _moments(docs: DataFrame, lexicon) -> tuple[int, np.ndarray, np.ndarray]:
@@ -248,13 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
         per_class: int = PER_CLASS, lexicon_size: int = LEXICON_SIZE) -> Model:
     """Lexicon and prior from ``labels`` rows with ``learn_from(doc_id)``; label model from all ``docs``."""
     spark = docs.sparkSession
-    sample, sizes = _sample(labels, label, learn_from, per_class)
+    sample, sizes = _sample(docs, labels, label, learn_from, per_class)
     rows = None
     if sample is not None:
         rows = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-                .join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text"))
+                .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
         rows = stored(rows, "toxicity_sample")
-    lexicon = _learn_lexicon(rows, lexicon_size) if rows is not None else Lexicon({w: GROUPS for w in INSULTS})
+    lexicon = _learn_lexicon(rows, lexicon_size) if rows is not None else Lexicon({})
     prior = float(np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 0.01, 0.99)) if sizes else 0.05
     given = spark.sparkContext.broadcast(lexicon)
     n, first, second = _moments(docs, given)
@@ -271,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = l
 
     got = rows.mapInArrow(views, "doc_id long, y long, v binary, x binary").collect() if rows is not None else []
     if not got:
-        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 1, 0] + [0.0] * GROUPS))
+        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 0] + [0.0] * GROUPS))
     got.sort(key=lambda r: (r.doc_id, r.v, r.x))
     votes = np.array([np.frombuffer(r.v, np.int8) for r in got], float)
     x = np.array([np.frombuffer(r.x) for r in got])

@@ -92,7 +92,6 @@ def toxic_table(spark, copies, words, per_text, noise, n=6000, share=0.1):
     (0, made_up(10, 7), 3, 0.005),          # the words in clean texts too
     (0, made_up(370, 8), 6, 0.0)])         # each in under 2 % of the toxic texts, on average
 def test_learnt_words_without_the_fixed_list(spark, monkeypatch, copies, words, per_text, noise):
-    monkeypatch.setattr(toxicity, "INSULTS", ())
     docs, labels = toxic_table(spark, copies, words, per_text, noise)
     model = toxicity.fit(docs, labels, "toxic", lambda i: i % 3 != 1)
     texts = [t.split() for _, t, y in docs.join(labels, "doc_id").where("doc_id % 3 != 1").select("doc_id", "text", "toxic").collect() if y]
@@ -231,3 +230,34 @@ def test_entry_point_has_the_queries():
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
     assert os.path.exists(corpus_pipeline.__file__) and [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+
+
+def test_votes_are_those_of_the_nearest_vectors():
+    """Against a plain vote; vectors as near as the last neighbour all vote."""
+    rng = np.random.default_rng(5)
+    project = rng.normal(size=(quality.TERMS, 6))
+    vectors = rng.normal(size=(60, 6)).astype(np.float32)
+    vectors[40:] = vectors[7]                                        # ties
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels, weights = rng.integers(0, 2, 60).astype(float), rng.uniform(0.5, 1, 60)
+    model = quality.Model(project, vectors, labels, weights, 0.25)
+    terms = np.vstack([rng.random((20, quality.TERMS)), np.zeros(quality.TERMS)])
+    got = model.score(terms, neighbours=5, block=7)
+    assert got[-1] == 0.25                                           # no terms
+    for t, s in zip(terms[:-1], got):
+        x = (t @ project).astype(np.float32)
+        cos = (x / np.linalg.norm(x)) @ vectors.T
+        near = [k for k in range(60) if cos[k] >= sorted(cos)[-5] - 1e-6]
+        w = {k: max(float(cos[k]), 1e-6) ** quality.SHARPNESS * weights[k] for k in near}
+        assert s == pytest.approx(sum(w[k] * labels[k] for k in near) / sum(w.values()), rel=1e-3, abs=1e-9)
+
+
+def test_repeated_rows_of_a_labelled_id_are_learnt_once(spark):
+    rows = [(1, f"fine text number {k % 7}") for k in range(200)] + [(2, "vile scoundrel"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    assert len(quality.fit(docs, labels, "quality").vectors) == 3
+    sample, sizes = toxicity._sample(docs, labels, "toxic", lambda doc_id: F.lit(True), 10)
+    assert sizes == {0: 2, 1: 1} and sample.count() == 3              # id 99 has no text
+    got = toxicity.score(docs, toxicity.fit(docs, labels, "toxic"))
+    assert got.count() == len(rows) and got.where("not score between 0 and 1").count() == 0
