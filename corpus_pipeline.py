@@ -3,6 +3,11 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a DataFrame, with the
 columns of ``documents`` but for the last. ``run`` writes every stage's result as Parquet in the shared folder and
 reads it back, so a lost executor never costs more than its own stage.
+
+Nulls and empty texts pass the classifiers by the score of an empty text, are no duplicates and are packed as one end id;
+a null doc_id stays. Ties: of equal documents the smallest doc_id stays, of repeated rows one. Texts of any length are whole in
+every stage. Columns of ``documents`` beyond doc_id and text, whatever their names, are kept up to the last stage. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
