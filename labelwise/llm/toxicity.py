@@ -9,7 +9,9 @@
 3. Label model: one pass over all texts sums the votes' first and second moments (a bounded matrix). Voter
    accuracies come from triplets of voters, which are independent given the label; pairs whose agreement
    exceeds what their accuracies explain are correlated, and a voter's weight is divided by its correlated company.
-4. On the sampled rows their own label is one more voter, of fixed accuracy. The posterior labels train a linear classifier on hit counts, rates and lexicon groups, which scores every text.
+4. The posterior labels of **all** texts train a linear classifier on hit counts, rates and lexicon groups, by Newton steps whose
+   sums Spark adds over a stored table of votes and features. Given labels choose the voters and the prior; they are no voter
+   and no target. The classifier scores every text.
 
 Nulls: a null text is the empty text; it scores as a text without hits. Rows with a null label or id are not
 learnt from; without labelled rows the lexicon is empty and all texts score alike. Only ids that ``docs`` holds are drawn; of rows
@@ -40,7 +42,7 @@ FEATURES = 8 + GROUPS
 MIN_COUNT = 5          # distinct sampled texts of label 1 that an entry is in
 MIN_RATIO = 10         # how many times its (smoothed) share of label 1 exceeds that of label 0
 MIN_G2 = 6.63          # its likelihood ratio statistic: the 1 % point of chi-square with one degree of freedom
-LABEL_ACCURACY = 0.99
+NEWTON_STEPS = 20
 
 
 def words_of(text: str) -> list[str]:
@@ -167,29 +169,40 @@ def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
     return Lexicon(groups)
 
 
-def _moments(docs: DataFrame, lexicon) -> tuple[int, np.ndarray, np.ndarray]:
-    """Texts, sums of votes and of products of votes, over all texts (``VOTERS`` short rows from a partition)."""
+def _views(docs: DataFrame, lexicon) -> DataFrame:
+    """Votes and features of every text, stored: the only pass over the texts that learning needs."""
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, first, second = 0, np.zeros(VOTERS), np.zeros((VOTERS, VOTERS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [lexicon.value.votes(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"v": pa.array([v.tobytes() for v, _ in got], pa.binary()),
+                                              "x": pa.array([x.tobytes() for _, x in got], pa.binary())})
+
+    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return stored(texts.mapInArrow(run, "v binary, x binary"), "toxicity_views")
+
+
+def _total(views: DataFrame, size: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over all rows of ``of(votes, features)``, ``size`` numbers: a partition sends one row for each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for b in batches:
             if b.num_rows:
-                v = np.array([lexicon.value.votes(t)[0] for t in b.column(0).to_pylist()], float)
-                n, first, second = n + len(v), first + v.sum(0), second + v.T @ v
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "first": pa.array([first.tolist()]),
-                                          "second": pa.array([second.ravel().tolist()])})
-
-    sums = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
-        part, "n long, first array<double>, second array<double>")
-    # exact: the entries are whole numbers
-    adds = [F.sum("n").alias("n"), *(F.sum(F.col("first")[i]).alias(f"f{i}") for i in range(VOTERS)),
-            *(F.sum(F.col("second")[i * VOTERS + j]).alias(f"s{i}_{j}") for i in range(VOTERS) for j in range(i, VOTERS))]
-    r = sums.groupBy().agg(*adds).collect()[0]
-    second = np.zeros((VOTERS, VOTERS))
-    for i in range(VOTERS):
-        for j in range(i, VOTERS):
-            second[i, j] = second[j, i] = r[f"s{i}_{j}"] or 0
-    return r.n or 0, np.array([r[f"f{i}"] or 0 for i in range(VOTERS)]), second
+                v = np.frombuffer(b"".join(b.column("v").to_pylist()), np.int8).reshape(-1, VOTERS)
+                total += of(v.astype(float), np.frombuffer(b"".join(b.column("x").to_pylist())).reshape(-1, FEATURES))
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(size), pa.int32()), "value": pa.array(total)})
+
+    out = np.zeros(size)
+    for r in views.mapInArrow(run, "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).collect():
+        out[r.k] = r.value
+    return out
+
+
+def _moments(views: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Texts, sums of votes and of products of votes, over all texts (exact: whole numbers)."""
+    got = _total(views, 1 + VOTERS + VOTERS ** 2, lambda v, x: np.concatenate([[len(v)], v.sum(0), (v.T @ v).ravel()]))
+    return int(got[0]), got[1:1 + VOTERS], got[1 + VOTERS:].reshape(VOTERS, VOTERS)
 
 
 def label_model(n: int, first: np.ndarray, second: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -213,9 +226,8 @@ def label_model(n: int, first: np.ndarray, second: np.ndarray, prior: float) ->
     return acc * live, company
 
 
-def posterior(votes: np.ndarray, model: tuple[np.ndarray, np.ndarray], mean: np.ndarray, spread: np.ndarray,
-              prior: float, given: np.ndarray) -> np.ndarray:
-    """P(label 1 | votes, ``given`` label). A voter's rates of yes given label 1 and 0 follow from its covariance with the label;
+def posterior(votes: np.ndarray, model: tuple[np.ndarray, np.ndarray], mean: np.ndarray, spread: np.ndarray, prior: float) -> np.ndarray:
+    """P(label 1 | votes). A voter's rates of yes given label 1 and 0 follow from its covariance with the label;
     its log odds are divided by its correlated company."""
     acc, company = model
     sd = np.sqrt(prior * (1 - prior))
@@ -223,60 +235,51 @@ def posterior(votes: np.ndarray, model: tuple[np.ndarray, np.ndarray], mean: np.
     yes0 = np.clip(mean - acc * spread * prior / sd, 1e-3, 1 - 1e-3)
     weight = np.where(acc > 0, 1 / (1 + company.sum(1)), 0)
     evidence = votes * np.log(yes1 / yes0) + (1 - votes) * np.log((1 - yes1) / (1 - yes0))
-    known = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY)) * (2 * given - 1)
-    odds = np.log(prior / (1 - prior)) + evidence @ weight + known
+    odds = np.log(prior / (1 - prior)) + evidence @ weight
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression on soft labels, by Newton steps."""
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - target)) + ridge * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+def newton_sums(x: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the logistic loss of ``w`` on soft labels, summed over the rows, in one vector."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    h = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x
+    return np.concatenate([x.T @ (p - target), h.ravel()])
+
+
+def logistic(sums: Callable[[np.ndarray], np.ndarray], size: int, ridge: float = 1.0) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; ``sums(w)`` gives ``newton_sums`` over all rows."""
+    w = np.zeros(size)
+    for _ in range(NEWTON_STEPS):
+        got = sums(w)
+        step = np.linalg.solve(got[size:].reshape(size, size) + ridge * np.eye(size), got[:size] + ridge * w)
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn_from: Callable = lambda doc_id: F.lit(True),
         per_class: int = PER_CLASS, lexicon_size: int = LEXICON_SIZE) -> Model:
-    """Lexicon and prior from ``labels`` rows with ``learn_from(doc_id)``; label model from all ``docs``."""
+    """Lexicon and prior from ``labels`` rows with ``learn_from(doc_id)``; label model and classifier from all ``docs``."""
     spark = docs.sparkSession
     sample, sizes = _sample(docs, labels, label, learn_from, per_class)
-    rows = None
+    lexicon = Lexicon({})
     if sample is not None:
         rows = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
                 .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")))
-        rows = stored(rows, "toxicity_sample")
-    lexicon = _learn_lexicon(rows, lexicon_size) if rows is not None else Lexicon({})
+        lexicon = _learn_lexicon(stored(rows, "toxicity_sample"), lexicon_size)
     prior = float(np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 0.01, 0.99)) if sizes else 0.05
-    given = spark.sparkContext.broadcast(lexicon)
-    n, first, second = _moments(docs, given)
+    views = _views(docs, spark.sparkContext.broadcast(lexicon))
+    n, first, second = _moments(views)
     acc, company = label_model(n, first, second, prior)
     mean = first / max(n, 1)
     spread = np.sqrt(np.maximum(np.diag(second) / max(n, 1) - mean ** 2, 1e-10))
 
-    def views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [given.value.votes(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y").cast(pa.int64()),
-                                              pa.array([v.tobytes() for v, _ in got], pa.binary()),
-                                              pa.array([x.tobytes() for _, x in got], pa.binary())], ["doc_id", "y", "v", "x"])
-
-    got = rows.mapInArrow(views, "doc_id long, y long, v binary, x binary").collect() if rows is not None else []
-    if not got:
-        return Model(lexicon, acc, company, prior, np.array([-4.0, 2, 2, 2, 1, 1, 1, 0] + [0.0] * GROUPS))
-    got.sort(key=lambda r: (r.doc_id, r.v, r.x))
-    votes = np.array([np.frombuffer(r.v, np.int8) for r in got], float)
-    x = np.array([np.frombuffer(r.x) for r in got])
-    y = np.array([r.y for r in got])
-    soft = posterior(votes, (acc, company), mean, spread, prior, y)
-    share = np.array([sizes.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)])[y]
-    return Model(lexicon, acc, company, prior, logistic(x, soft, share / share.mean()))
+    def sums(w: np.ndarray) -> np.ndarray:
+        return _total(views, FEATURES * (FEATURES + 1),
+                      lambda v, x: newton_sums(x, posterior(v, (acc, company), mean, spread, prior), w))
+
+    return Model(lexicon, acc, company, prior, logistic(sums, FEATURES))
 
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_cases import edge_rows
 
@@ -68,6 +69,70 @@ def test_label_model_finds_good_voters_and_company():
     assert company[1, 5] and company[5, 1] and not company[0, 2]
 
 
+def test_toxicity_against_plain_numpy(spark):
+    """Moments, label model, posteriors and classifier over one whole table, held in memory."""
+    docs = table(spark, SF, "documents")
+    model = toxicity_model(spark, SF, docs)
+    rows = docs.select("doc_id", "text").collect()
+    got = [model.lexicon.votes(r.text or "") for r in rows]
+    v, x = np.array([g[0] for g in got], float), np.array([g[1] for g in got])
+    mean, spread = v.mean(0), np.sqrt(np.maximum(v.var(0), 1e-10))
+    acc, company = toxicity.label_model(len(v), v.sum(0), v.T @ v, model.prior)
+    assert np.allclose(acc, model.accuracy) and (company == model.correlated).all()
+    target = np.empty(len(v))
+    for i, row in enumerate(v):
+        odds = math.log(model.prior / (1 - model.prior))
+        for k in range(len(row)):
+            if acc[k] > 0:
+                sd = math.sqrt(model.prior * (1 - model.prior))
+                yes = [min(max(mean[k] + acc[k] * spread[k] * (y - model.prior) / sd, 1e-3), 1 - 1e-3) for y in (0, 1)]
+                ratio = yes[1] / yes[0] if row[k] else (1 - yes[1]) / (1 - yes[0])
+                odds += math.log(ratio) / (1 + company[k].sum())
+        target[i] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+    p = 1 / (1 + np.exp(-np.clip(x @ model.linear, -30, 30)))
+    assert np.abs(x.T @ (p - target) + model.linear).max() < 1e-3          # the ridge loss has no slope left
+    score = {r.doc_id: r.score for r in QUERIES["op5_toxicity"](spark, SF).collect()}
+    assert all(abs(score[r.doc_id] - q) < 1e-6 for r, q in zip(rows, p))
+
+
+def test_toxicity_learns_from_texts_without_labels(spark):
+    """Labels of 300 of 6,000 documents choose the voters; the classifier's targets come from all texts and from no label."""
+    docs, labels = toxic_table(spark, 0, made_up(10, 7), 3, 0.002)
+    few = toxicity.fit(docs, labels.where("doc_id % 20 = 0"), "toxic")
+    got = toxicity.score(docs, few).join(labels, "doc_id").where("doc_id % 20 <> 0").toPandas()
+    assert (got.score >= 0.7)[got.toxic == 1].mean() >= 0.9 and (got.score >= 0.7)[got.toxic == 0].mean() <= 0.05
+    views = toxicity._views(docs, spark.sparkContext.broadcast(few.lexicon))
+    assert toxicity._moments(views)[0] == 6000
+
+
+def test_toxicity_recall_by_language(spark):
+    got = (QUERIES["op5_toxicity"](spark, LARGE).join(table(spark, LARGE, "labels"), "doc_id").where("held_out and toxic = 1")
+           .join(table(spark, LARGE, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang")
+           .agg(F.avg("predicted").alias("recall"), F.count("*").alias("n")).collect())
+    assert {r.lang for r in got} and all(r.recall >= 0.6 for r in got if r.n >= 10), got
+
+
+def test_quality_against_a_plain_vote(spark):
+    """Every score is the similarity-weighted vote of the nearest labelled vectors, ties together."""
+    docs = table(spark, SF, "documents")
+    model = quality_model(spark, SF, docs)
+    rows = docs.select("doc_id", "text").where("crc32(cast(doc_id as string)) % 7 = 0").collect()
+    score = {r.doc_id: r.score for r in QUERIES["op7_quality_classifier"](spark, SF).collect()}
+    for r in rows:
+        terms = np.concatenate([*quality.term_counts(pa.array([r.text or ""]))])
+        if not terms.any():
+            assert score[r.doc_id] == pytest.approx(model.share)
+            continue
+        near = sorted(((float(c), k) for k, c in enumerate((model.latent(terms) @ model.vectors.T)[0])), reverse=True)
+        last = near[min(quality.NEIGHBOURS, len(near)) - 1][0]
+        yes = no = 0.0
+        for c, k in near:
+            if c >= last:
+                w = max(c, 1e-6) ** quality.SHARPNESS * model.weights[k]
+                yes, no = yes + w * (model.labels[k] == 1), no + w * (model.labels[k] == 0)
+        assert score[r.doc_id] == pytest.approx(yes / (yes + no), abs=2e-3), r.doc_id
+
+
 def made_up(n, seed):
     return ["".join(w) for w in np.random.default_rng(seed).choice(list("abcdefghijklmnopqrstuvwxyz"), (n, 9))]
 
