@@ -22,6 +22,7 @@ from ..operators.tokens import (IGNORE_ID, decode, effective_length, explode_tok
 from ..functions.prompts import test_prompt, train_prompt
 from ..session import cut_lineage, scratch_folder
 from ..operators import naive_bayes as NB
+from ..operators import subwords as SW
 from ..operators.linear import BUCKETS, STEPS, fit_linear, hashed_words, predict_linear
 from ..operators.scoring import nb_answers
 from ..sources.tables import attach_text, labeled, labeled_keys, multi_task, read_table, unlabelled
@@ -518,6 +519,33 @@ def q_truncated_label_audit(spark, sf_dir):
                  F.max("_n").cast("long").alias("max_tokens")))
 
 
+def subword_file() -> str:
+    """The public byte-level BPE vocabulary that subword lengths are counted with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("subword_pad_truncate")
+def q_subword_pad_truncate(spark, sf_dir):
+    """Every prompt of the fractional split in subwords: number of them, number kept, and the kept ids, padded (BPE is beyond SQL)."""
+    rows = SW.subwords(prompt_rows(spark, sf_dir).select("row_id", "split", "prompt"), "prompt", subword_file(), _N_TOK)
+    return rows.select("row_id", "split", "n_subwords", F.size("input_ids").alias("n_kept"),
+                       pad_truncate(F.col("input_ids"), _N_TOK).alias("input_ids"))
+
+
+@register("truncated_label_audit_subwords")
+def q_truncated_label_audit_subwords(spark, sf_dir):
+    """Training prompts by label whose label is cut off at ``MAX_SEQ_LENGTH`` subwords, one scan and one small aggregate."""
+    rows = labeled(spark, sf_dir, columns=("text",))
+    prompts = rows.select("label", train_prompt(F.col("text"), F.col("label")).alias("prompt"))
+    counted = SW.subwords(prompts, "prompt", subword_file(), 0)
+    return (counted.groupBy("label")
+            .agg(F.count(F.lit(1)).alias("n_prompts"),
+                 F.count(F.when(F.col("n_subwords") > MAX_SEQ_LENGTH, True)).alias("n_truncated"),
+                 F.sum("n_subwords").alias("n_subwords"), F.max("n_subwords").alias("max_subwords")))
+
+
 # ---- step 5: classifier and scoring ------------------------------------------------------------------------
 
 def split_texts(spark, sf_dir, split: str):

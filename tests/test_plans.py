@@ -4,7 +4,7 @@ set is bounded."""
 from oracle_harness import SF
 from labelwise.plans import catalog
 
-PYTHON = {"score_map_in_pandas"}   # the only query of the library with a Python step
+PYTHON = {"score_map_in_pandas", "subword_pad_truncate", "truncated_label_audit_subwords"}   # the queries with a Python step
 
 
 def _plan(df):

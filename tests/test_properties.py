@@ -371,3 +371,39 @@ def test_ids_of_a_few_tokens_are_those_of_the_vocabulary(spark):
     wanted = ["é", "Z", "b", "missing"]
     assert {r.token: r.id for r in vocabulary_of(tokens, wanted).collect()} == {t: whole[t] for t in wanted if t in whole}
     assert vocabulary_of(tokens.where("false"), wanted).count() == 0
+
+
+def test_subwords_are_those_of_the_tokenizer(spark, monkeypatch):
+    from labelwise.operators import subwords as SW
+    from labelwise.plans import catalog
+    path = catalog.subword_file()
+    tok = SW.load(path)
+    texts = [None, "", "a", " ", "Ein längerer Satz, 漢字 und 🙂.", "<|endoftext|> hello", "word " * 50_000, "x" * 30_000, "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(2)
+    got = {r.k: r for r in SW.subwords(df, "text", path, 7, "n", "first").collect()}
+    assert len(got) == len(texts) and got[0].n is None and got[0].first is None
+    for k, text in enumerate(texts[1:], 1):
+        want = tok.encode(text, add_special_tokens=False).ids
+        assert (got[k].n, got[k].first) == (len(want), want[:7])
+    assert [len(c) for c in SW._chunks(["x" * SW.CHUNK, "y", "z", "w" * SW.CHUNK])] == [1, 2, 1]
+    assert SW.subwords(df.where("false"), "text", path, 7).columns == ["k", "n_subwords", "input_ids"]
+    assert SW.subwords(df.where("false"), "text", path, 7).count() == 0
+
+
+def test_subword_queries_against_a_plain_loop(spark):
+    from labelwise.operators import subwords as SW
+    from labelwise.plans import catalog
+    tok, sf = SW.load(catalog.subword_file()), SF["0.001"]
+    prompts = {r.row_id: tok.encode(r.prompt, add_special_tokens=False).ids for r in catalog.prompt_rows(spark, sf).collect()}
+    rows = catalog.QUERIES["subword_pad_truncate"](spark, sf).collect()
+    assert len(rows) == len(prompts) and any(r.n_subwords > 256 for r in rows)
+    for r in rows:
+        ids = prompts[r.row_id]
+        assert (r.n_subwords, r.n_kept) == (len(ids), min(len(ids), 256))
+        assert r.input_ids == (ids + [0] * 256)[:256]
+    want = {}
+    for r in catalog.labeled(spark, sf, columns=("text",)).select("label", catalog.train_prompt(F.col("text"), F.col("label")).alias("p")).collect():
+        want.setdefault(r.label, []).append(len(tok.encode(r.p, add_special_tokens=False).ids))
+    got = catalog.QUERIES["truncated_label_audit_subwords"](spark, sf).collect()
+    assert {r.label: (r.n_prompts, r.n_truncated, r.n_subwords, r.max_subwords) for r in got} == {
+        k: (len(v), sum(n > 256 for n in v), sum(v), max(v)) for k, v in want.items()}
