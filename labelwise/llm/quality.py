@@ -1,6 +1,6 @@
 """Quality classifier: nearest-neighbour voting on latent-semantic vectors.
 
-1. Terms of a text: bigrams of character classes and word-, line- and length-shape terms (``term_counts``).
+1. Terms of a text: hashed words, bigrams of character classes and word-, line- and length-shape terms (``term_counts``).
    One pass over all texts sums document frequencies and the term Gram matrix (``TERMS`` short rows from
    each partition, added up by term); with inverse document frequencies its eigenvectors are the latent
    space.
@@ -46,7 +46,8 @@ _LENGTHS = 12          # word lengths 1..11 and longer
 _SIZES = 10            # number of words, by powers of 4
 _SHAPES = 6            # repeated words (next, next but one, in the text), lines, repeated lines, upper case words
 SHAPE_WEIGHT = 3.0     # these few terms against the many bigrams
-TERMS = _PAIRS + _LENGTHS + _SIZES + _SHAPES
+WORDS = 512            # buckets of hashed words
+TERMS = WORDS + _PAIRS + _LENGTHS + _SIZES + _SHAPES
 
 
 def _repeats(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
@@ -67,12 +68,14 @@ def term_counts(texts: pa.Array) -> Iterator[np.ndarray]:
         if len(cls) > 1:
             same = doc[1:] == doc[:-1]
             pair = (doc[:-1] * _PAIRS + cls[:-1] * _K + cls[1:])[same]
-            out[:, :_PAIRS] = np.bincount(pair, minlength=n * _PAIRS).reshape(n, _PAIRS)
+            out[:, WORDS:WORDS + _PAIRS] = np.bincount(pair, minlength=n * _PAIRS).reshape(n, _PAIRS)
         starts, ends, woff = word_spans(part, o)
         words = word_hashes(part, starts, ends)
         wdoc, count = np.repeat(np.arange(n), np.diff(woff)), np.diff(woff)
+        bucket = (words >> np.uint64(33)).astype(np.int64) % WORDS
+        out[:, :WORDS] = np.bincount(wdoc * WORDS + bucket, minlength=n * WORDS).reshape(n, WORDS)
         length = np.minimum(ends - starts, _LENGTHS) - 1
-        at = _PAIRS
+        at = WORDS + _PAIRS
         out[:, at:at + _LENGTHS] = np.bincount(wdoc * _LENGTHS + length, minlength=n * _LENGTHS).reshape(n, _LENGTHS)
         at += _LENGTHS
         size = np.minimum(np.log2(count + 1) / 2, _SIZES - 1).astype(np.int64)
