@@ -45,10 +45,14 @@ def labeled_keys(spark: SparkSession, sf_dir: str, task: str = "quality") -> Dat
 
 
 def labeled(spark: SparkSession, sf_dir: str, columns=("text", "lang", "source")) -> DataFrame:
-    """``(row_id, label, text, lang, source)``: documents joined to their quality label."""
+    """``(row_id, label, text, lang, source)``: documents joined to their quality label.
+
+    The labels (an id and a flag) are counted from the file footers. Within ``BROADCAST_ROW_LIMIT`` they are broadcast and the
+    texts stream through the join; beyond it the join is left to the planner, and laid-out tables join without moving text.
+    """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", *columns)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return (docs.join(labels, "doc_id")
+    return (docs.join(maybe_broadcast(labels, labels.count()), "doc_id")
             .select(F.col("doc_id").alias("row_id"), _label_from(F.col("quality")).alias("label"),
                     *columns))
 

@@ -86,6 +86,22 @@ def test_prompt_sets_stream_text_without_shuffle(spark):
             assert not any(node.startswith("Exchange") for node in chain), (name, chain)
 
 
+def test_counted_labels_stream_text_without_shuffle(spark):
+    """Labels within the counted limit are broadcast, whatever the planner's own threshold says."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("truncated_label_audit", "truncated_label_audit_subwords", "split_fraction_approx"):
+            plan = _plan(catalog.QUERIES[name](spark, SF["0.01"]))
+            chains = _ancestors(plan, lambda s: "FileScan" in s and "documents.parquet" in s and "text:string" in s)
+            assert chains, name
+            for chain in chains:
+                below = [node for node in chain[:next(i for i, n in enumerate(chain) if "Join" in n) + 1]]
+                assert not any(node.startswith("Exchange") for node in below), (name, chain)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_cut_lineage_computes_input_once(spark):
     """The materialised table is computed exactly once and read back whole."""
     from pyspark.sql import functions as F
