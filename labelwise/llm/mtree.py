@@ -4,17 +4,18 @@ Vectors become whole numbers (``floor(scale * x)``). With one more component sqr
 candidates have one length, so d^2(q, x) = |q|^2 + M^2 - 2 q.x is a metric in which the largest inner products are the
 nearest neighbours.
 
-Index: a bounded sample gives routing objects; every vector goes to its nearest one, and large regions (a vector may be
-very common) are dealt over several trees, so a tree has at most about ``TREE`` vectors. A tree is flat: a root and paged leaf
-nodes, without inner nodes. Each page has a routing object, its covering radius, its distance to the root, and its entries with their
-distances to the routing object. The pages are a stored table.
-
-Search: blocks of queries meet the pages of every tree, and the distances of all queries to all pages are computed for the
-block at once; the bounds save distances to entries only. A page is passed over without a look at its entries if
-|d(q, root) - d(page, root)| - radius exceeds the k-th best distance; the rest is visited by ascending d(q, page) -
-radius until that exceeds it; inside, an entry is computed only if |d(q, page) - d(x, page)| does not. The k-th best
-starts from the bounded sample. Bounds have a rounding margin and scores are exact whole numbers, so results are exact;
-ties go to the smaller id. The best of the trees are merged by a window over each query's few rows.
+Index: a bounded sample gives routing objects; every vector goes to the region of its nearest one, and large regions (a vector
+may be very common) are dealt over several trees, so a tree has at most about ``TREE`` vectors. A tree's nodes are pages of a
+stored table: leaves of about ``PAGE`` entries with their distances to the leaf's routing object, and above them inner nodes of
+about ``FAN`` children, level by level, up to the tree's root (the region's routing object). Every node has a routing object, a
+covering radius around all vectors below it, and its routing object's distance to its parent's.
+
+Search: queries, sorted by region, form blocks; a block meets only the trees of regions whose covering ball one of its queries may
+reach. In a tree, every query descends best first: a heap holds the open nodes by d(q, node) - radius and the search ends where that
+exceeds the k-th best distance. A child's distance is computed only if |d(q, parent) - d(child, parent)| - radius leaves it open, an entry's
+only if |d(q, leaf) - d(x, leaf)| does, so a closed subtree costs no distance. The k-th best starts from the bounded sample.
+Bounds have a rounding margin and scores are exact whole numbers, so results are exact; ties go to the smaller id. The best of
+the trees are merged by a window over each query's few rows.
 
 Rows whose id or vector is null, or whose vector holds a null or a component that is not finite, take no part; vectors of different
 length count as padded with zeros. Rows with the same id are one vector (the least by its bytes).
@@ -23,6 +24,7 @@ Scores must fit in 64 bits, else an error is raised. Empty tables give empty res
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ from .common import shuffle_parts, stored
 
 SCALE = 64
 PAGE = 128
+FAN = 8                   # children of an inner node
 TREE = 4096
 SAMPLE = 1024
 QUERY_BLOCK = 64          # queries in a block
@@ -95,55 +98,96 @@ class Space:
         return np.sqrt(np.maximum(q2 + self.top2 - 2.0 * score, 0)) + self.margin
 
 
-def _pages(ids: np.ndarray, m: np.ndarray, space: Space, root: np.ndarray, page: int = PAGE) -> list[tuple]:
-    """The leaf pages of one tree: ``route, radius, root distance, entry distances, ids, vectors``."""
-    lifted = space.lift(m)
-    n = len(ids)
-    seeds = lifted[np.linspace(0, n - 1, -(-n // page)).astype(int)]
-    near = np.concatenate([Space.distances(lifted[a:a + 2048], seeds).argmin(1) for a in range(0, n, 2048)])
-    out = []
+def _rings(points: np.ndarray, size: int) -> Iterator[tuple]:
+    """Nodes of about ``size`` of the points: ``seed, members by distance, their distances``. A crowded seed has a node for each ring."""
+    n = len(points)
+    seeds = points[np.linspace(0, n - 1, -(-n // size)).astype(int)]
+    near = np.concatenate([Space.distances(points[a:a + 2048], seeds).argmin(1) for a in range(0, n, 2048)])
     for s in np.unique(near):
         own = np.flatnonzero(near == s)
-        d = Space.distances(lifted[own], seeds[s:s + 1])[:, 0]
+        d = Space.distances(points[own], seeds[s:s + 1])[:, 0]
         order = np.argsort(d, kind="stable")
         own, d = own[order], d[order]
-        for a in range(0, len(own), 2 * page):                  # a ring of a crowded page is a page of its own
-            k = own[a:a + 2 * page]
-            e = d[a:a + 2 * page]
-            out.append((seeds[s].tobytes(), float(e[-1]), float(Space.distances(seeds[s:s + 1], root[None])[0, 0]),
-                        e.tobytes(), ids[k].tobytes(), m[k].astype("<i8").tobytes()))
+        for a in range(0, len(own), 2 * size):
+            yield seeds[s], own[a:a + 2 * size], d[a:a + 2 * size]
+
+
+def _nodes(ids: np.ndarray, m: np.ndarray, space: Space, root: np.ndarray, page: int = PAGE, fan: int = FAN) -> list[tuple]:
+    """The nodes of one tree: ``node, parent (-1: the root), route, radius, distance to the parent, entry distances, ids, vectors``;
+    the last three are null in inner nodes."""
+    leaves = list(_rings(space.lift(m), page))
+    route, radius = [s for s, _, _ in leaves], [float(d[-1]) for _, _, d in leaves]
+    parent, at = [-1] * len(leaves), [0.0] * len(leaves)
+    level = range(len(leaves))
+    while len(level) > fan:
+        above = len(route)
+        for seed, own, d in _rings(np.stack([route[k] for k in level]), fan):
+            for k, e in zip(own, d):
+                parent[level[k]], at[level[k]] = len(route), float(e)
+            radius.append(max(float(e) + radius[level[k]] for k, e in zip(own, d)))
+            route.append(seed)
+            parent.append(-1)
+            at.append(0.0)
+        level = range(above, len(route))
+    for k, d in zip(level, Space.distances(np.stack([route[k] for k in level]), root[None])[:, 0]):
+        at[k] = float(d)
+    out = []
+    for k in range(len(route)):
+        held = (None, None, None)
+        if k < len(leaves):
+            _, own, d = leaves[k]
+            held = d.tobytes(), ids[own].tobytes(), m[own].astype("<i8").tobytes()
+        out.append((k, parent[k], route[k].tobytes(), radius[k], at[k], *held))
     return out
 
 
 class Tree:
-    """The pages of one tree, ready for searches."""
+    """The nodes of one tree, ready for searches. ``computed`` counts the distances and products of searches."""
 
     def __init__(self, root: np.ndarray, rows: list[tuple], space: Space):
         self.space, self.root = space, root
-        self.route = np.array([np.frombuffer(r[0]) for r in rows])
-        self.radius, self.at = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        self.entry = [np.frombuffer(r[3]) for r in rows]
-        self.ids = [np.frombuffer(r[4], np.int64) for r in rows]
-        self.vectors = [np.frombuffer(r[5], "<i8").reshape(-1, space.dims).astype(space.kind) for r in rows]
+        rows = sorted(rows, key=lambda r: r[0])
+        self.route = np.array([np.frombuffer(r[2]) for r in rows])
+        self.route2 = (self.route * self.route).sum(1)
+        self.radius, self.at = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+        parent = np.array([r[1] for r in rows])
+        self.children = {int(p): np.flatnonzero(parent == p) for p in np.unique(parent)}
+        self.entry = [None if r[5] is None else np.frombuffer(r[5]) for r in rows]
+        self.ids = [None if r[6] is None else np.frombuffer(r[6], np.int64) for r in rows]
+        self.vectors = [None if r[7] is None else np.frombuffer(r[7], "<i8").reshape(-1, space.dims).astype(space.kind) for r in rows]
         self.computed = 0
 
+    def _open(self, heap: list, node: int, d: float, q: np.ndarray, q2: float, reach: float) -> None:
+        """Puts the children of a node at distance ``d`` on the heap that the stored distances and then their own leave open."""
+        below = self.children[node]
+        below = below[np.abs(d - self.at[below]) - self.radius[below] <= reach]
+        if not len(below):
+            return
+        self.computed += len(below)
+        far = np.sqrt(np.maximum(q2 + self.route2[below] - 2 * (self.route[below] @ q), 0))
+        for low, k, e in zip((far - self.radius[below]).tolist(), below.tolist(), far.tolist()):
+            if low <= reach:
+                heapq.heappush(heap, (low, k, e))
+
     def search(self, ids: np.ndarray, m: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple]:
         """``query id, vec id, score`` of the best ``k`` of this tree that reach the queries' floors."""
         space = self.space
         q2 = (m.astype(float) ** 2).sum(1)
         lifted = np.hstack([m.astype(float), np.zeros((len(m), 1))])
         to_root = Space.distances(lifted, self.root[None])[:, 0]
-        to_page = Space.distances(lifted, self.route)           # to every page, for the block at once; used where the root leaves a page open
         typed = m.astype(space.kind)
         for i, q in enumerate(typed):
             least, best_s, best_i = floor[i], np.zeros(0, np.int64), np.zeros(0, np.int64)
             reach = space.reach(q2[i], least) if least > -_EXACT else np.inf
-            open_ = np.flatnonzero(np.abs(to_root[i] - self.at) - self.radius <= reach)
-            low = to_page[i, open_] - self.radius[open_]
-            for p, bound in zip(open_[np.argsort(low, kind="stable")], np.sort(low, kind="stable")):
-                if bound > reach:
+            heap: list[tuple] = []
+            self._open(heap, -1, to_root[i], lifted[i], q2[i], reach)
+            while heap:
+                low, p, d = heapq.heappop(heap)
+                if low > reach:
                     break
-                d = to_page[i, p]
+                if self.entry[p] is None:
+                    self._open(heap, p, d, lifted[i], q2[i], reach)
+                    continue
                 a, b = np.searchsorted(self.entry[p], (d - reach, d + reach))
                 if a == b:
                     continue
@@ -158,14 +202,21 @@ class Tree:
                 if len(best_s) >= k:
                     order = np.lexsort((best_i, -best_s))[:k]
                     best_s, best_i = best_s[order], best_i[order]
-                    if len(best_s) == k:
-                        least = best_s[-1]
-                        reach = space.reach(q2[i], least)
+                    least = best_s[-1]
+                    reach = space.reach(q2[i], least)
             order = np.lexsort((best_i, -best_s))[:k] if len(best_s) else []
             for j in order:
                 yield int(ids[i]), int(best_i[j]), int(best_s[j])
 
 
+def open_regions(m: np.ndarray, floor: np.ndarray, roots: np.ndarray, radius: np.ndarray, space: Space) -> np.ndarray:
+    """The regions (root, covering radius; a negative one has no vectors) that may hold a result of one of a block's queries."""
+    lifted = np.hstack([m.astype(float), np.zeros((len(m), 1))])
+    reach = np.where(floor > -_EXACT, space.reach((m.astype(float) ** 2).sum(1), np.maximum(floor, -_EXACT)), np.inf)
+    low = Space.distances(lifted, roots) - radius[None]
+    return np.flatnonzero((low <= reach[:, None]).any(0) & (radius >= 0))
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of batches sorted by their first column, by its value."""
     key, rows = None, []
@@ -193,7 +244,7 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
     space = Space(max(facts.dims, 1), facts.top2)
     drawn = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     sample_ids, sample = np.array([r.id for r in drawn]), _matrix([r.v for r in drawn], space.dims)
-    roots = space.lift(sample[:int(np.clip(-(-facts.n // tree), 1, 256))])
+    roots = space.lift(sample[:int(np.clip(-(-facts.n // tree), 1, SAMPLE))])
     given = spark.sparkContext.broadcast((space, sample_ids, sample, roots))    # at most SAMPLE vectors
     parts = shuffle_parts(spark)
 
@@ -201,11 +252,16 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
         space, _, _, roots = given.value
         for b in batches:
             if b.num_rows:
-                near = Space.distances(space.lift(_matrix(b.column("v").to_pylist(), space.dims)), roots).argmin(1)
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(near)], ["id", "v", "region"])
-
-    placed = stored(v.mapInArrow(assign, "id long, v binary, region long"), "placed")
-    sizes = {r.region: r["count"] for r in placed.groupBy("region").count().collect()}    # at most 256 regions
+                d = Space.distances(space.lift(_matrix(b.column("v").to_pylist(), space.dims)), roots)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(d.argmin(1)), pa.array(d.min(1))],
+                                                 ["id", "v", "region", "far"])
+
+    placed = stored(v.mapInArrow(assign, "id long, v binary, region long, far double"), "placed")
+    regions = placed.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()    # at most SAMPLE rows
+    sizes = {r.region: r.n for r in regions}
+    radius = np.full(len(roots), -1.0)
+    for r in regions:
+        radius[r.region] = r.far
     trees, first = 0, {}
     for region in sorted(sizes):
         n = -(-sizes[region] // tree)
@@ -218,18 +274,20 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
         space, _, _, roots = given.value
         for key, rows in _groups(batches):
             m = _matrix([r[1] for r in rows], space.dims)
-            pages = _pages(np.array([r[0] for r in rows]), m, space, roots[rows[0][2]])
-            cols = [[key] * len(pages), [rows[0][2]] * len(pages), *zip(*pages)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c)) for c in cols],
-                                             ["tree", "region", "route", "radius", "at", "entry", "ids", "vectors"])
-
-    shape = "tree long, region long, route binary, radius double, at double, entry binary, ids binary, vectors binary"
+            nodes = _nodes(np.array([r[0] for r in rows]), m, space, roots[rows[0][2]])
+            cols = [[key] * len(nodes), [rows[0][2]] * len(nodes), *zip(*nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names)
+
+    names = ["tree", "region", "node", "parent", "route", "radius", "at", "entry", "ids", "vectors"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.float64()] * 2 + [pa.binary()] * 3
+    shape = ("tree long, region long, node long, parent long, route binary, radius double, at double, entry binary, ids binary, "
+             "vectors binary")
     pages = stored(home.repartition(max(1, min(trees, parts)), "tree").sortWithinPartitions("tree", "id")
                    .select("tree", "id", "v", "region").mapInArrow(build, shape), "pages")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of queries with the k-th best score against the sample, a floor of their results."""
-        space, ids, sample, _ = given.value
+        """Blocks of queries with the k-th best score against the sample, a floor of their results, and the regions they may reach."""
+        space, ids, sample, roots = given.value
         for b in batches:
             for a in range(0, b.num_rows, QUERY_BLOCK):
                 part = b.slice(a, QUERY_BLOCK)
@@ -239,20 +297,24 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
                 s[own[:, None] == ids[None]] = np.iinfo(np.int64).min
                 floor = np.partition(s, -k, 1)[:, -k] if s.shape[1] > k else np.full(len(s), np.iinfo(np.int64).min)
                 yield pa.RecordBatch.from_arrays([pa.array([int(own[0])]), pa.array([own.tobytes()]), pa.array([m.tobytes()]),
-                                                  pa.array([floor.tobytes()])], ["name", "ids", "m", "floor"])
+                                                  pa.array([floor.tobytes()]),
+                                                  pa.array([open_regions(m, floor, roots, radius, space)], pa.list_(pa.int64()))],
+                                                 ["name", "ids", "m", "floor", "regions"])
 
-    queries = stored(v.where(is_query(F.col("id"))).select("id", "v")
-                     .mapInArrow(blocks, "name long, ids binary, m binary, floor binary"), "query_blocks")
+    queries = stored(placed.where(is_query(F.col("id"))).select("id", "v", "region").sortWithinPartitions("region", "id").select("id", "v")
+                     .mapInArrow(blocks, "name long, ids binary, m binary, floor binary, regions array<long>"), "query_blocks")
     n_blocks = queries.count()
     groups = max(1, -(-n_blocks // BLOCK_GROUP))
     task = lambda g: F.xxhash64("tree", g)
     to_pages = (pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-                .select(task("g").alias("task"), F.lit(0).alias("kind"), "tree", "region", "route", "radius", "at", "entry", "ids", "vectors"))
-    to_blocks = (queries.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(trees, 1) - 1).cast("long"))).alias("tree"),
-                                F.pmod(F.xxhash64("name"), F.lit(groups)).cast("int").alias("g"))
-                 .select(task("g").alias("task"), F.lit(1).alias("kind"), "tree", F.lit(0).cast("long").alias("region"),
-                         F.col("floor").alias("route"), F.lit(0.0).alias("radius"), F.lit(0.0).alias("at"),
-                         F.lit(None).cast("binary").alias("entry"), "ids", F.col("m").alias("vectors")))
+                .select(task("g").alias("task"), F.lit(0).alias("kind"), *names))
+    met_trees = (queries.withColumn("region", F.explode("regions")).join(F.broadcast(region_trees), "region")
+                 .select("name", "ids", "m", "floor", F.explode(F.expr("sequence(a, a + n - 1)")).alias("tree"),
+                         F.pmod(F.xxhash64("name"), F.lit(groups)).cast("int").alias("g")))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    to_blocks = met_trees.select(task("g").alias("task"), F.lit(1).alias("kind"), "tree", zero.alias("region"), zero.alias("node"),
+                                 zero.alias("parent"), F.col("floor").alias("route"), F.lit(0.0).alias("radius"), F.lit(0.0).alias("at"),
+                                 none.alias("entry"), "ids", F.col("m").alias("vectors"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, _, _, roots = given.value
@@ -263,14 +325,14 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
                 if t != key:
                     key, rows, ready = t, [], None
                 if kind == 0:
-                    rows.append((region, (row[0], row[1], row[2], row[3], row[4], row[5])))
+                    rows.append((region, tuple(row)))
                     continue
                 if ready is None and rows:
                     ready = Tree(roots[rows[0][0]], [r for _, r in rows], space)
                 if ready is not None:
-                    ids = np.frombuffer(row[4], np.int64)
-                    found += ready.search(ids, np.frombuffer(row[5], np.int64).reshape(len(ids), -1),
-                                          np.frombuffer(row[0], np.int64), k)
+                    ids = np.frombuffer(row[6], np.int64)
+                    found += ready.search(ids, np.frombuffer(row[7], np.int64).reshape(len(ids), -1),
+                                          np.frombuffer(row[2], np.int64), k)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query_id", "vec_id", "score"])
 

@@ -235,16 +235,59 @@ def test_top_k_of_little(spark):
         mtree.top_k(spark.createDataFrame([(0, [1e30])], shape), lambda c: c % 20 == 0).count()
 
 
-def test_search_passes_over_pages():
+def clustered():
     rng = np.random.default_rng(1)
     m = np.round(np.concatenate([rng.normal(c, 1, (500, 3)) for c in (0, 100, 200, 300)]) * 64).astype(np.int64)
-    space = mtree.Space(3, float((m * m).sum(1).max()))
+    return m, mtree.Space(3, float((m * m).sum(1).max()))
+
+
+def test_nodes_cover_what_is_below_them():
+    m, space = clustered()
+    root = space.lift(m[:1])[0]
+    nodes = mtree._nodes(np.arange(2000), m, space, root, page=16, fan=4)
+    parents = {r[0]: r[1] for r in nodes}
+    routes = {-1: root, **{r[0]: np.frombuffer(r[2]) for r in nodes}}
+    seen = []
+    for node, parent, _, _, at, entry, ids, _ in nodes:
+        assert abs(np.linalg.norm(routes[node] - routes[parent]) - at) < 1e-3 * (1 + at)
+        if ids is None:
+            assert 0 < list(parents.values()).count(node) <= 8
+            continue
+        seen += np.frombuffer(ids, np.int64).tolist()
+        depth, up = 0, node
+        while up != -1:                                            # every node above covers the leaf's vectors
+            far = np.linalg.norm(space.lift(m[np.frombuffer(ids, np.int64)]) - routes[up], axis=1).max()
+            assert far <= nodes[up][3] + space.margin
+            depth, up = depth + 1, parents[up]
+        assert depth >= 3
+    assert sorted(seen) == list(range(2000))
+
+
+def test_search_computes_few_distances():
+    m, space = clustered()
     root = space.lift(m[:1])[0]
-    tree = mtree.Tree(root, mtree._pages(np.arange(2000), m, space, root), space)
+    tree = mtree.Tree(root, mtree._nodes(np.arange(2000), m, space, root, page=16, fan=4), space)
     got = list(tree.search(np.array([1999]), m[1999:], np.array([np.iinfo(np.int64).min]), 20))
     s = m @ m[1999]
     want = sorted((-int(x), i) for i, x in enumerate(s) if i != 1999)[:20]
-    assert [(-x, i) for _, i, x in got] == want and tree.computed < 1000
+    assert [(-x, i) for _, i, x in got] == want and tree.computed < 600
+    tree.computed, best = 0, np.array([int(s.max()) + 1])          # nothing reaches this floor
+    assert not list(tree.search(np.array([1999]), m[1999:], best, 20)) and tree.computed < 100
+
+
+def test_blocks_meet_only_regions_in_reach():
+    m, space = clustered()
+    roots = space.lift(m[[0, 500, 1000, 1500]])
+    radius = np.array([farthest(m[a:a + 500], r, space) for a, r in zip((0, 500, 1000, 1500), roots)])
+    floor = np.sort(m @ m[1999])[[-21]]
+    assert mtree.open_regions(m[1999:], floor, roots, radius, space).tolist() == [3]
+    assert mtree.open_regions(m[1999:], np.array([np.iinfo(np.int64).min]), roots, radius, space).tolist() == [0, 1, 2, 3]
+    radius[1] = -1                                                 # a region without vectors
+    assert mtree.open_regions(m[1999:], np.array([np.iinfo(np.int64).min]), roots, radius, space).tolist() == [0, 2, 3]
+
+
+def farthest(m, root, space):
+    return float(mtree.Space.distances(space.lift(m), root[None]).max())
 
 
 # ---------------------------------------------------------------- the pipeline
