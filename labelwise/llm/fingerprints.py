@@ -224,5 +224,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     last = (doc, text)
             yield from _results(ready)
 
-    placed = dealt.repartition(parts, "range").sortWithinPartitions("range", "guest", F.desc("id"), "text")
+    placed = dealt.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "guest", F.desc("id"), "text")
     return placed.select("range", "guest", "doc_id", "text").mapInArrow(run, RESULT)
