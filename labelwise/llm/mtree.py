@@ -282,7 +282,7 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
     kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.float64()] * 2 + [pa.binary()] * 3
     shape = ("tree long, region long, node long, parent long, route binary, radius double, at double, entry binary, ids binary, "
              "vectors binary")
-    pages = stored(home.repartition(max(1, min(trees, parts)), "tree").sortWithinPartitions("tree", "id")
+    pages = stored(home.repartitionById(max(1, min(trees, parts)), F.pmod("tree", F.lit(parts)).cast("int")).sortWithinPartitions("tree", "id")
                    .select("tree", "id", "v", "region").mapInArrow(build, shape), "pages")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,8 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
                      .mapInArrow(blocks, "name long, ids binary, m binary, floor binary, regions array<long>"), "query_blocks")
     n_blocks = queries.count()
     groups = max(1, -(-n_blocks // BLOCK_GROUP))
-    task = lambda g: F.xxhash64("tree", g)
+    task = lambda g: F.col("tree") * groups + F.col(g)
+    tasks = max(1, min(trees * groups, parts))
     to_pages = (pages.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
                 .select(task("g").alias("task"), F.lit(0).alias("kind"), *names))
     met_trees = (queries.withColumn("region", F.explode("regions")).join(F.broadcast(region_trees), "region")
@@ -336,7 +337,7 @@ def top_k(vectors: DataFrame, is_query: Callable, k: int = 20, id_col: str = "ve
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
-    met = (to_pages.unionByName(to_blocks).repartition(max(1, min(trees * groups, parts)), "task")
+    met = (to_pages.unionByName(to_blocks).repartitionById(tasks, F.pmod("task", F.lit(tasks)).cast("int"))
            .sortWithinPartitions("task", "kind"))
     found = met.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
