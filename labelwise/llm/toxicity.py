@@ -1,11 +1,13 @@
 """Toxicity: weak supervision with a generative label model over lexicon and pattern voters.
 
 1. Lexicon: on at most ``per_class`` labelled rows of each class (the smallest hashes of their ids) every word
-   and word beginning of 4 to 6 characters is counted once for each distinct text; of the entries that come with label 1
-   significantly and ``MIN_RATIO`` times as often as with label 0, the ``lexicon_size`` with the strongest association are
-   kept (beginnings that add nothing to a longer entry come last). No word is given beforehand.
-2. Voters: ``GROUPS`` lexicon voters (bands of entries by strength, so noisy entries share voters) and pattern voters on
-   the number, rate and variety of hits; a voter says yes or no.
+   and word beginning of 4 to 6 characters is counted once for each text, near copies (by min-hashes of their word
+   ``GRAM``-grams) together as one; of the entries that come with label 1 significantly (at most ``FALSE_SHARE`` of them by
+   chance, over all entries that could) and ``MIN_RATIO`` times as often as with label 0, the ``lexicon_size`` with the strongest
+   association are kept (beginnings that add nothing to a longer entry come last). No word is given beforehand.
+2. Voters: ``GROUPS`` lexicon voters, to which the entries are dealt by strength in turn, so each has strong and weak ones of every
+   language, and pattern voters on the number, rate and variety of hits; a voter says yes or no. A word is a hit of its longest entry
+   only: voters that fire on the same word, or for one language each, are not independent given the label.
 3. Label model: one pass over all texts sums the votes' first and second moments (a bounded matrix). Voter
    accuracies come from triplets of voters, which are independent given the label; pairs whose agreement
    exceeds what their accuracies explain are correlated, and a voter's weight is divided by its correlated company.
@@ -21,6 +23,7 @@ tables give empty results. ``score`` keeps all columns of its input, whatever th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import SpanHash, hashed_words, mix, stored
 
 PER_CLASS = 4096
 LEXICON_SIZE = 1024
@@ -41,6 +44,9 @@ VOTERS = GROUPS + 5
 FEATURES = 8 + GROUPS
 MIN_COUNT = 5          # distinct sampled texts of label 1 that an entry is in
 MIN_RATIO = 10         # how many times its (smoothed) share of label 1 exceeds that of label 0
+FALSE_SHARE = 0.05     # of the entries, those expected by chance (Benjamini and Hochberg)
+GRAM = 3               # words in a gram of the near copies' min-hashes
+BANDS = 16             # pairs of min-hashes: texts that share one are near copies
 MIN_G2 = 6.63          # its likelihood ratio statistic: the 1 % point of chi-square with one degree of freedom
 NEWTON_STEPS = 20
 
@@ -65,13 +71,14 @@ class Lexicon:
     def __post_init__(self):
         self.stems = {e[:-1]: g for e, g in self.groups.items() if e.endswith("*")}
         self.words = {e: g for e, g in self.groups.items() if not e.endswith("*")}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, int] = {}
 
-    def group(self, word: str) -> tuple[int, ...]:
+    def group(self, word: str) -> int:
+        """The group of the longest entry that the word holds, or -1: a word is evidence for one voter only."""
         w = word.strip(_EDGE)
-        found = [self.words[w]] if w in self.words else []
-        found += [self.stems[w[:n]] for n in STEMS if len(w) > n and w[:n] in self.stems]
-        return tuple(set(found))
+        if w in self.words:
+            return self.words[w]
+        return next((self.stems[w[:n]] for n in reversed(STEMS) if len(w) > n and w[:n] in self.stems), -1)
 
     def votes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Votes (1: yes) of all voters, and the classifier's features."""
@@ -84,11 +91,10 @@ class Lexicon:
                 if len(cache) > 300_000:
                     cache.clear()
                 g = cache[w] = self.group(w)
-            if g:
+            if g >= 0:
                 hits += 1
                 kinds.add(w)
-                for x in g:
-                    by_group[x] += 1
+                by_group[g] += 1
         n, k = len(words), len(kinds)
         rate, many = hits / max(n, 1), int((by_group > 0).sum())
         v = np.zeros(VOTERS, np.int8)
@@ -136,28 +142,83 @@ def _strength(toxic: Column, clean: Column, n1: int, n0: int) -> Column:
                 + part(n1 - toxic, n1 * (1 - rate)) + part(n0 - clean, n0 * (1 - rate)))
 
 
+def _bands(words: np.ndarray, woff: np.ndarray) -> np.ndarray:
+    """``BANDS`` hashes of each of the texts with these word hashes: of pairs of min-hashes of its grams (0: no gram)."""
+    out = np.zeros((len(woff) - 1, BANDS), np.uint64)
+    n = len(words) - GRAM + 1
+    if n < 1:
+        return out
+    doc = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
+    whole = doc[:n] == doc[GRAM - 1:]
+    grams, doc = SpanHash(words)(np.arange(n), GRAM)[whole], doc[:n][whole]
+    if len(grams):
+        first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        for k in range(BANDS):
+            one, two = (np.minimum.reduceat(mix(grams + mix(np.array([2 * k + j + 1], np.uint64))), first) for j in (0, 1))
+            out[doc[first], k] = mix(one) + two
+    return out
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """The distinct sampled rows (``y``, ``text``) and ``copy``: another one with the same ``y`` and a lesser hash shares a band."""
+    rows = rows.select("y", "text", F.xxhash64("text").alias("h")).dropDuplicates(["y", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, words, woff in hashed_words(b.column(1)):
+                found = _bands(words, woff)
+                at, band = np.nonzero(found)
+                take = pa.array(at + lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(2).take(take), pa.array(band, pa.int32()),
+                                                  pa.array(found[at, band].view(np.int64))], ["y", "h", "band", "key"])
+
+    bands = stored(rows.select("y", "text", "h").mapInArrow(run, "y int, h long, band int, key long"), "toxicity_bands")
+    key = ["y", "band", "key"]
+    first = bands.groupBy(*key).agg(F.min("h").alias("_a"), F.max("h").alias("_z")).where("_a < _z")
+    later = bands.join(first, key).where("h > _a").select("y", "h").distinct()
+    return rows.join(later.withColumn("copy", F.lit(True)), ["y", "h"], "left").select("y", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+
+
+def least_strength(counts: dict[int, int], tested: int) -> float:
+    """The strength from which on entries are kept; ``counts``: how many have each (whole) strength. Of the kept ones at most
+    ``FALSE_SHARE`` are expected by chance among ``tested`` entries, and each has ``MIN_G2`` by itself."""
+    kept, least = 0, math.inf
+    for g2 in sorted(counts, reverse=True):
+        kept += counts[g2]
+        if tested * math.erfc(math.sqrt(max(g2, MIN_G2) / 2)) <= FALSE_SHARE * kept:
+            least = max(g2, MIN_G2)
+    return least
+
+
 def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
-    """Entries of the sampled rows (``y``, ``text``) that tell label 1, dealt over the groups by strength."""
-    rows = rows.select("y", "text", F.xxhash64("text").alias("h")).dropDuplicates(["y", "h"])     # copies count once
-    drawn = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    """Entries of the sampled rows (``y``, ``text``) that tell label 1, dealt over the groups by strength in turn."""
+    rows = stored(_marked(rows), "toxicity_distinct")
+    drawn = {r.y: r["count"] for r in rows.where("not copy").groupBy("y").count().collect()}
     n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[str, list[int]] = {}
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for y, text, copy in zip(*(c.to_pylist() for c in b.columns)):
                 for e in entries_of(text):
-                    seen.setdefault(e, [0, 0])[y] += 1
+                    n = seen.setdefault(e, [0, 0, 0])
+                    if not copy:
+                        n[y] += 1
+                    n[2] += y
             yield pa.RecordBatch.from_pydict({"entry": pa.array(list(seen), pa.string()),
                                               "clean": pa.array([x[0] for x in seen.values()], pa.int64()),
-                                              "toxic": pa.array([x[1] for x in seen.values()], pa.int64())})
-
-    counts = (rows.select("y", "text").mapInArrow(count, "entry string, clean long, toxic long")
-              .groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-              .where(F.col("toxic") >= MIN_COUNT)
+                                              "toxic": pa.array([x[1] for x in seen.values()], pa.int64()),
+                                              "texts": pa.array([x[2] for x in seen.values()], pa.int64())})
+
+    counts = (rows.mapInArrow(count, "entry string, clean long, toxic long, texts long").groupBy("entry")
+              .agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "texts"))).where(F.col("texts") + F.col("clean") >= MIN_COUNT))
+    counts = stored(counts, "toxicity_counts")
+    tested = counts.count()
+    counts = (counts.where(F.col("texts") >= MIN_COUNT)
               .where((F.col("toxic") + 0.5) / (n1 + 1) >= MIN_RATIO * (F.col("clean") + 0.5) / (n0 + 1))
               .withColumn("strength", _strength(F.col("toxic"), F.col("clean"), n1, n0)).where(F.col("strength") >= MIN_G2))
-    counts = stored(counts, "toxicity_entries")
+    strengths = counts.groupBy(F.floor("strength").cast("int").alias("g2")).count().collect()     # bounded by the sample
+    counts = stored(counts.where(F.col("strength") >= least_strength({r.g2: r["count"] for r in strengths}, tested)), "toxicity_entries")
     base = F.rtrim(F.col("entry"), F.lit("*"))
     longer = [F.when(F.char_length(base) > n, F.concat(F.substring(base, 1, n), F.lit("*"))) for n in STEMS]
     implied = (counts.select(F.explode(F.array_compact(F.array(*longer))).alias("entry"), "toxic", "clean").distinct()
@@ -165,7 +226,7 @@ def _learn_lexicon(rows: DataFrame, size: int) -> Lexicon:
     best = (counts.join(implied, ["entry", "toxic", "clean"], "left")
             .orderBy(F.col("implied").isNotNull(), F.desc("strength"), "entry").limit(size).collect())   # ``size`` entries
     best.sort(key=lambda r: (-r.strength, r.entry))
-    groups = {r.entry: i * GROUPS // len(best) for i, r in enumerate(best)}
+    groups = {r.entry: i % GROUPS for i, r in enumerate(best)}
     return Lexicon(groups)
 
 

@@ -12,7 +12,7 @@ from edge_cases import edge_rows
 
 import corpus_pipeline
 from labelwise.llm import mtree, preferences, quality, toxicity
-from labelwise.llm.common import fold, table
+from labelwise.llm.common import fold, hashed_words, table
 from labelwise.llm.queries import ORACLE, QUERIES
 from labelwise.llm.settings import quality_model, toxicity_model
 from oracle_harness import compare, duck
@@ -167,6 +167,49 @@ def test_learnt_words_without_the_fixed_list(spark, monkeypatch, copies, words,
     assert found[got.toxic == 1].mean() >= 0.9 and found[got.toxic == 0].mean() <= 0.05
 
 
+def test_near_copies_do_not_crowd_out_the_learnt_words(spark):
+    """A long toxic text that comes 200 times, 1 word in 30 changed: its 1,500 words are in more toxic texts than any real one."""
+    words, rng = made_up(10, 7), np.random.default_rng(9)
+    docs, labels = toxic_table(spark, 0, words, 3, 0.0)
+    long = np.array(made_up(1500, 11))
+    near = [(6000 + i, " ".join(np.where(rng.random(1500) < 1 / 30, f"other{i}", long))) for i in range(200)]
+    docs = docs.unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    model = toxicity.fit(docs, labels.unionByName(spark.createDataFrame([(i, 1) for i, _ in near], "doc_id long, toxic int")),
+                         "toxic", lambda i: i % 3 != 1)
+    assert set(words) <= set(model.lexicon.words) and len(set(long) & set(model.lexicon.words)) < 15
+    got = toxicity.score(docs, model).join(labels, "doc_id").where("doc_id % 3 = 1").toPandas()
+    assert (got.score >= 0.7)[got.toxic == 1].mean() >= 0.9 and (got.score >= 0.7)[got.toxic == 0].mean() <= 0.05
+
+
+def test_toxic_words_of_four_languages_among_rare_words(spark):
+    """Texts of a language hold its own toxic words and rare words, each in few texts, that come with label 1 by chance."""
+    rng, docs, labels = np.random.default_rng(3), [], []
+    own = [made_up(10, 20 + k) for k in range(4)]
+    rare = [made_up(6000, 30 + k) for k in range(4)]
+    for i in range(6000):
+        lang, toxic = i % 4, int(rng.random() < 0.1)
+        docs.append((i, " ".join([*rng.choice(rare[lang], 40), *(f"plain{k}" for k in rng.integers(0, 200, 40)), *rng.choice(own[lang], 3 * toxic)])))
+        labels.append((i, toxic))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "toxic", lambda i: i % 3 != 1)
+    known = set(model.lexicon.words)
+    assert {w for o in own for w in o} <= known and len(known & {w for r in rare for w in r}) <= 10
+    got = toxicity.score(docs, model).join(labels, "doc_id").where("doc_id % 3 = 1").toPandas()
+    for lang in range(4):
+        g = got[got.doc_id % 4 == lang]
+        assert (g.score >= 0.7)[g.toxic == 1].mean() >= 0.9 and (g.score >= 0.7)[g.toxic == 0].mean() <= 0.02, lang
+
+
+def test_strength_and_bands():
+    assert toxicity.least_strength({100: 5}, 10 ** 6) == 100 and toxicity.least_strength({7: 5}, 10 ** 6) == math.inf
+    assert toxicity.least_strength({6: 50}, 100) == toxicity.MIN_G2 and toxicity.least_strength({}, 9) == math.inf
+    text = " ".join(made_up(300, 1))
+    arr = pa.array([text, text.replace("a", "b", 3), " ".join(made_up(300, 2)), "one two", ""])
+    (_, _, words, woff), = hashed_words(arr)
+    bands = toxicity._bands(words, woff)
+    assert (bands[0] == bands[1]).any() and not (bands[0] == bands[2]).any() and not bands[3:].any()
+
+
 # ---------------------------------------------------------------- preferences
 
 TURNS = "conv_id long, turn long, role string, text string, part string, train string, pair_id string"
