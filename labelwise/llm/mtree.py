@@ -11,9 +11,11 @@ about ``FAN`` children, level by level, up to the tree's root (the region's rout
 covering radius around all vectors below it, and its routing object's distance to its parent's.
 
 Search: queries, sorted by region, form blocks; a block meets only the trees of regions whose covering ball one of its queries may
-reach. In a tree, every query descends best first: a heap holds the open nodes by d(q, node) - radius and the search ends where that
-exceeds the k-th best distance. A child's distance is computed only if |d(q, parent) - d(child, parent)| - radius leaves it open, an entry's
-only if |d(q, leaf) - d(x, leaf)| does, so a closed subtree costs no distance. The k-th best starts from the bounded sample.
+reach. In a tree, a block's queries descend together, best first: a heap holds the open nodes by the least d(q, node) - radius, each with
+the queries that have it open, and a query leaves a node where that exceeds its k-th best distance. Children are computed only if
+|d(q, parent) - d(child, parent)| - radius leaves them open to a query, entries only if |d(q, leaf) - d(x, leaf)| does, so a closed subtree
+costs no distance; a node's products with its queries are one matrix product. The k-th best starts from the bounded sample. Where
+no bound closes anything (vectors without clusters in many dimensions), every query meets every vector: queries x vectors products.
 Bounds have a rounding margin and scores are exact whole numbers, so results are exact; ties go to the smaller id. The best of
 the trees are merged by a window over each query's few rows.
 
@@ -157,56 +159,71 @@ class Tree:
         self.vectors = [None if r[7] is None else np.frombuffer(r[7], "<i8").reshape(-1, space.dims).astype(space.kind) for r in rows]
         self.computed = 0
 
-    def _open(self, heap: list, node: int, d: float, q: np.ndarray, q2: float, reach: float) -> None:
-        """Puts the children of a node at distance ``d`` on the heap that the stored distances and then their own leave open."""
+    def _open(self, heap: list, node: int, rows: np.ndarray, d: np.ndarray, q: np.ndarray, q2: np.ndarray, reach: np.ndarray) -> None:
+        """Puts the children of a node that some of its queries (``rows``, at distances ``d``) may reach on the heap: those that the
+        stored distances and then their own leave open, each with its own queries."""
         below = self.children[node]
-        below = below[np.abs(d - self.at[below]) - self.radius[below] <= reach]
+        near = np.abs(d[:, None] - self.at[below]) - self.radius[below] <= reach[rows, None]
+        some, below = near.any(1), below[near.any(0)]
+        rows = rows[some]
         if not len(below):
             return
-        self.computed += len(below)
-        far = np.sqrt(np.maximum(q2 + self.route2[below] - 2 * (self.route[below] @ q), 0))
-        for low, k, e in zip((far - self.radius[below]).tolist(), below.tolist(), far.tolist()):
-            if low <= reach:
-                heapq.heappush(heap, (low, k, e))
+        self.computed += len(rows) * len(below)
+        far = np.sqrt(np.maximum(q2[rows, None] + self.route2[below] - 2 * (q[rows] @ self.route[below].T), 0))
+        low = far - self.radius[below]
+        is_open = low <= reach[rows, None]
+        for k in np.flatnonzero(is_open.any(0)).tolist():
+            own = np.flatnonzero(is_open[:, k])
+            heapq.heappush(heap, (float(low[own, k].min()), int(below[k]), rows[own], low[own, k], far[own, k]))
 
     def search(self, ids: np.ndarray, m: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple]:
-        """``query id, vec id, score`` of the best ``k`` of this tree that reach the queries' floors."""
-        space = self.space
+        """``query id, vec id, score`` of the best ``k`` of this tree that reach the queries' floors. The queries descend together:
+        a node is visited once, by all queries that have it open then."""
+        space, least_int = self.space, np.iinfo(np.int64).min
         q2 = (m.astype(float) ** 2).sum(1)
         lifted = np.hstack([m.astype(float), np.zeros((len(m), 1))])
-        to_root = Space.distances(lifted, self.root[None])[:, 0]
-        typed = m.astype(space.kind)
-        for i, q in enumerate(typed):
-            least, best_s, best_i = floor[i], np.zeros(0, np.int64), np.zeros(0, np.int64)
-            reach = space.reach(q2[i], least) if least > -_EXACT else np.inf
-            heap: list[tuple] = []
-            self._open(heap, -1, to_root[i], lifted[i], q2[i], reach)
-            while heap:
-                low, p, d = heapq.heappop(heap)
-                if low > reach:
-                    break
-                if self.entry[p] is None:
-                    self._open(heap, p, d, lifted[i], q2[i], reach)
-                    continue
-                a, b = np.searchsorted(self.entry[p], (d - reach, d + reach))
-                if a == b:
-                    continue
-                self.computed += b - a
-                s = (self.vectors[p][a:b] @ q).astype(np.int64)
-                hit = np.flatnonzero(s >= least)
-                if not len(hit):
-                    continue
-                who = self.ids[p][a:b][hit]
-                other = who != ids[i]
-                best_s, best_i = np.append(best_s, s[hit][other]), np.append(best_i, who[other])
-                if len(best_s) >= k:
-                    order = np.lexsort((best_i, -best_s))[:k]
-                    best_s, best_i = best_s[order], best_i[order]
-                    least = best_s[-1]
-                    reach = space.reach(q2[i], least)
-            order = np.lexsort((best_i, -best_s))[:k] if len(best_s) else []
-            for j in order:
-                yield int(ids[i]), int(best_i[j]), int(best_s[j])
+        typed, least = m.astype(space.kind), floor.astype(np.int64)
+        far_off = lambda rows: np.where(least[rows] > -_EXACT, space.reach(q2[rows], np.maximum(least[rows], -_EXACT)), np.inf)
+        reach = far_off(slice(None))
+        top = np.full((len(m), k), least_int)              # the best k scores up to now
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        heap: list[tuple] = []
+        self._open(heap, -1, np.arange(len(m)), Space.distances(lifted, self.root[None])[:, 0], lifted, q2, reach)
+        while heap:
+            _, p, rows, low, d = heapq.heappop(heap)
+            still = low <= reach[rows]
+            rows, d = rows[still], d[still]
+            if not len(rows):
+                continue
+            if self.entry[p] is None:
+                self._open(heap, p, rows, d, lifted, q2, reach)
+                continue
+            a, b = np.searchsorted(self.entry[p], d - reach[rows]), np.searchsorted(self.entry[p], d + reach[rows], side="right")
+            rows, a, b = rows[a < b], a[a < b], b[a < b]
+            if not len(rows):
+                continue
+            a, b = int(a.min()), int(b.max())
+            self.computed += len(rows) * (b - a)
+            s, who = (typed[rows] @ self.vectors[p][a:b].T).astype(np.int64), self.ids[p][a:b]
+            other = who[None] != ids[rows, None]
+            hit = ((s >= least[rows, None]) & other).any(1)
+            if not hit.any():
+                continue
+            rows, s, other = rows[hit], s[hit], other[hit]
+            top[rows] = np.partition(np.hstack([top[rows], np.where(other, s, least_int)]), -k, 1)[:, -k:]
+            least[rows] = np.maximum(least[rows], top[rows].min(1))
+            reach[rows] = far_off(rows)
+            i, j = np.nonzero((s >= least[rows, None]) & other)
+            found.append((rows[i], who[j], s[i, j]))
+        if not found:
+            return iter(())
+        rows, who, s = (np.concatenate(c) for c in zip(*found))
+        keep = s >= least[rows]
+        rows, who, s = rows[keep], who[keep], s[keep]
+        order = np.lexsort((who, -s, rows))
+        rows, who, s = rows[order], who[order], s[order]
+        best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        return zip(ids[rows[best]].tolist(), who[best].tolist(), s[best].tolist())
 
 
 def open_regions(m: np.ndarray, floor: np.ndarray, roots: np.ndarray, radius: np.ndarray, space: Space) -> np.ndarray:

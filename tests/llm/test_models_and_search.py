@@ -318,6 +318,25 @@ def test_search_computes_few_distances():
     assert not list(tree.search(np.array([1999]), m[1999:], best, 20)) and tree.computed < 100
 
 
+def test_a_block_of_queries_visits_a_node_once(monkeypatch):
+    """In 64 dimensions without clusters no bound closes a node; each is visited by all queries together, and ties keep the smaller ids."""
+    rng = np.random.default_rng(2)
+    m = np.round(rng.normal(size=(600, 64)) * 4).astype(np.int64)
+    m[100:180] = m[100]                                            # a common vector
+    space, pushed = mtree.Space(64, float((m * m).sum(1).max())), []
+    root = space.lift(m[:1])[0]
+    tree = mtree.Tree(root, mtree._nodes(np.arange(600), m, space, root, page=16, fan=4), space)
+    push = mtree.heapq.heappush
+    monkeypatch.setattr(mtree.heapq, "heappush", lambda heap, x: (pushed.append(x), push(heap, x)))
+    own = np.arange(90, 154)
+    s = m @ m[own].T
+    want = [(i, j, int(x)) for k, i in enumerate(own) for x, j in sorted(((-s[j, k], j) for j in range(600) if j != i))[:20] for x in [-x]]
+    for floor in (np.full(64, np.iinfo(np.int64).min), np.sort(s, axis=0)[-21]):
+        pushed.clear()
+        assert list(tree.search(own, m[own], floor, 20)) == want
+        assert len(pushed) <= len(tree.radius)
+
+
 def test_blocks_meet_only_regions_in_reach():
     m, space = clustered()
     roots = space.lift(m[[0, 500, 1000, 1500]])
