@@ -175,3 +175,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
         m = np.minimum(m[:-have], m[have:])
         have *= 2
     return np.minimum(m[:len(x) - width + 1], m[width - have:]) if have < width else m
+
+
+def sliding_argmin(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the (first) minimum of every ``width`` consecutive values (log2(width) passes)."""
+    if len(x) < width:
+        return np.zeros(0, np.int64)
+
+    def first(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[b] < x[a], b, a)
+
+    have, m = 1, np.arange(len(x))
+    while have * 2 <= width:
+        m = first(m[:-have], m[have:])
+        have *= 2
+    return first(m[:len(x) - width + 1], m[width - have:]) if have < width else m

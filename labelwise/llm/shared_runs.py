@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import SpanHash, sliding_min
+from .common import SpanHash, sliding_argmin, sliding_min
 
 WINDOW = 50
 GRAM = 8
+CELL = 8      # at most GRAM: the windows of a cell have words in common
 _U = np.uint64
 
 
@@ -44,3 +45,20 @@ class Runs:
         self.first, self.last = at[s] - woff[self.doc], at[e] - woff[self.doc]
         size = at[e] - at[s] + window
         self.block, self.block2 = span(at[s], size), SpanHash(words[1], 1)(at[s], size)
+
+
+class Cells:
+    """Windows, given by text (``doc``, ascending) and start in all words (``at``), gathered in cells of up to ``CELL`` neighbours: those whose first
+    smallest gram is the same and as far from their start, to a multiple of ``CELL``. ``doc``; ``first`` and ``last`` window start of the
+    whole cell as far as its text has it (word positions inside the text); ``core``, where in all words the ``window - CELL + 1`` words begin that all
+    its windows have; ``begin``, the number of its first given window (and the count of all at the end)."""
+
+    def __init__(self, span: SpanHash, woff: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int = WINDOW, gram: int = GRAM):
+        least = sliding_argmin(span(np.arange(woff[-1] - gram + 1), gram), window - gram + 1)[at]
+        core = least - (least - at) // CELL * CELL       # the last window start of the cell
+        new = np.ones(len(at), bool)
+        new[1:] = (core[1:] != core[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+        s = np.flatnonzero(new)
+        self.begin, self.doc, self.core = np.append(s, len(at)), doc[s], core[s]
+        self.first = np.maximum(self.core - CELL + 1, woff[self.doc]) - woff[self.doc]
+        self.last = np.minimum(self.core, woff[self.doc + 1] - window) - woff[self.doc]

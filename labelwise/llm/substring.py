@@ -10,12 +10,15 @@ document with a smaller doc_id. Texts are looked up in all documents with smalle
    No text is factored greedily into (reference, position, length).
 3. Boundaries: a block that has only its anchor in common with another document may hold the
    beginning or the end of a common passage. Its windows, and those of the first block with each other
-   content at that anchor, are compared one by one.
+   content at that anchor, are compared in cells of up to 8 neighbouring windows. A cell whose words an earlier document
+   has goes whole; one whose windows' common words no other document has holds nothing that is repeated. Only
+   the windows of the cells between, where a passage begins or ends, are compared one by one. A cell that a text has at
+   several places is one row with these places.
 
 Copies are never paired: an index entry is an aggregate (smallest doc_id), combined before the shuffle. Entries are
 stored before they are joined, so that both sides of a join are plain exchanges, which Spark can split where an entry is hot.
-Blocks and windows are equal if 128 bits of two independent hashes are (of independent hashes of their words); anchors, which
-only choose what is compared, have 64.
+Blocks, cells and windows are equal if 128 bits of two independent hashes are (of independent hashes of their words); anchors
+and common words of cells, which only choose what is compared, have 64.
 
 Nulls: a null text has no words; a row with a null doc_id keeps all its words and is no reference. Rows with an
 equal doc_id count as one document for each other (they never remove each other's words). Other columns are
@@ -33,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SpanHash, free_name, hashed_words, stored, with_row_hash
-from .shared_runs import WINDOW, Runs
+from .shared_runs import CELL, WINDOW, Cells, Runs
 
-_BLOCK, _HASH = ["block", "block2"], ["hash", "hash2"]     # 128 bits each
+_BLOCK, _PART, _HASH = ["block", "block2"], ["part", "part2"], ["hash", "hash2"]     # 128 bits each
 _KEY = ["doc_id", "row_hash"]     # identifies a row: rows equal in both have equal results
 
 
@@ -80,10 +83,15 @@ def _parse(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
             got.where("anchor is not null and doc_id is not null").select(*_KEY, "first", "last", "anchor", "block", "block2"))
 
 
-def _windows(rows: DataFrame, open_blocks: DataFrame, window: int) -> DataFrame:
-    """``doc_id, row_hash, at, hash, hash2`` of every window of the blocks that are compared window by window."""
+def _cells(rows: DataFrame, open_blocks: DataFrame, window: int) -> DataFrame:
+    """The windows of the blocks that are compared below block level, in cells of up to ``CELL`` neighbouring ones. A row is a cell's content in
+    a text: its ``places`` there (first window starts), ``n`` windows, ``part, part2`` of all words, ``core`` of the words that all windows have,
+    and ``hashes`` of the windows inside the block, the first of which is ``skip`` after the cell's. Where a cell begins follows from each of
+    its windows alone, so equal windows have equal cores."""
     wanted = open_blocks.groupBy(*_KEY).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("hash2", pa.int64())])
+    pair = pa.struct([("hash", pa.int64()), ("hash2", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("places", pa.list_(pa.int32())), ("n", pa.int32()),
+                        ("core", pa.int64()), ("part", pa.int64()), ("part2", pa.int64()), ("skip", pa.int32()), ("hashes", pa.list_(pair))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,22 +99,38 @@ def _windows(rows: DataFrame, open_blocks: DataFrame, window: int) -> DataFrame:
             for lo, hi, words, woff in hashed_words(b.column(2), wide=True):
                 doc, at = [], []
                 for k in range(hi - lo):
-                    for s in spans[lo + k]:
-                        at.append(np.arange(s["first"], s["last"] + 1))
+                    for first, last in sorted((s["first"], s["last"]) for s in spans[lo + k]):
+                        at.append(np.arange(first, last + 1))
                         doc.append(np.full(len(at[-1]), k))
-                if doc:
-                    doc, at = np.concatenate(doc), np.concatenate(at)
-                    take, start = pa.array(doc), woff[doc] + at
-                    yield pa.RecordBatch.from_arrays([ids[lo:hi].take(take), keys[lo:hi].take(take), pa.array(at.astype(np.int32)),
-                                                      *(_signed(SpanHash(words[i], i)(start, window)) for i in (0, 1))], schema=schema)
+                if not doc:
+                    continue
+                doc, at = np.concatenate(doc), np.concatenate(at)
+                span = [SpanHash(words[i], i) for i in (0, 1)]
+                c = Cells(span[0], woff, doc, woff[doc] + at, window)
+                n, skip = c.last - c.first + 1, at[c.begin[:-1]] - c.first
+                part, part2 = (h(woff[c.doc] + c.first, n + window - 1) for h in span)
+                key = [c.doc, part, part2, skip, np.diff(c.begin), woff[c.doc] + c.first - c.core]
+                order = np.lexsort((c.first, *key))
+                new = np.ones(len(order), bool)
+                new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in key], axis=0)
+                group = np.flatnonzero(new)
+                one, take = order[group], pa.array(c.doc[order[group]])
+                pairs = pa.StructArray.from_arrays([_signed(h(woff[doc] + at, window)) for h in span], fields=list(pair))
+                yield pa.RecordBatch.from_arrays(
+                    [ids[lo:hi].take(take), keys[lo:hi].take(take),
+                     pa.ListArray.from_arrays(pa.array(np.append(group, len(order)), pa.int32()), pa.array(c.first[order], pa.int32())),
+                     pa.array(n[one], pa.int32()), _signed(span[0](c.core[one], window - CELL + 1)), _signed(part[one]), _signed(part2[one]),
+                     pa.array(skip[one], pa.int32()), pa.ListArray.from_arrays(pa.array(c.begin, pa.int32()), pairs).take(pa.array(one))],
+                    schema=schema)
 
     return (rows.join(wanted.hint("shuffle_hash"), _KEY).select(*_KEY, "text", "spans")
-            .mapInArrow(run, "doc_id long, row_hash long, at int, hash long, hash2 long"))
+            .mapInArrow(run, "doc_id long, row_hash long, places array<int>, n int, core long, part long, part2 long, skip int, "
+                             "hashes array<struct<hash: long, hash2: long>>"))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The normalised rows, their word counts and digests, and the duplicate spans
-    ``doc_id, row_hash, first, last`` (window starts) of every row."""
+    ``doc_id, row_hash, places, n`` of every row: ``n`` windows from each of ``places`` on."""
     rows = _rows(docs)
     plain, blocks = _parse(rows, window)
     anchors = stored(blocks.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"))
@@ -115,23 +139,36 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     index = stored(common.groupBy(*_BLOCK).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
                    .where("first_doc < _z").select(*_BLOCK, "first_doc"), "index")
     parsed = common.join(index, _BLOCK, "left")
-    factors = parsed.where("first_doc < doc_id").select(*_KEY, "first", "last")
+    factors = (parsed.where("first_doc < doc_id")
+               .select(*_KEY, F.array("first").alias("places"), (F.col("last") - F.col("first") + 1).alias("n")))
     # an anchor with one content only has nothing left to compare
     mixed = stored(common.groupBy("anchor").agg(F.min(F.struct(*_BLOCK)).alias("_a"), F.max(F.struct(*_BLOCK)).alias("_z"))
                    .where("_a < _z").select("anchor"), "mixed_anchors")
     rest = parsed.where("first_doc is null or first_doc = doc_id").join(mixed, "anchor")
-    windows = stored(_windows(rows, rest, window), "windows")
+    cells = stored(_cells(rows, rest, window), "cells")
+    # a window can only be repeated where the words that it has in common with its cell are
+    cores = stored(cells.groupBy("core").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_z"),
+                                             F.min(F.struct(*_PART)).alias("_b"), F.max(F.struct(*_PART)).alias("_y"))
+                   .where("_a < _z").select("core", (F.col("_b") < F.col("_y")).alias("mixed")), "cores")
+    shared = stored(cells.join(cores, "core").drop("core"), "shared_cells")
+    parts = stored(shared.groupBy(*_PART).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
+                   .where("first_doc < _z").select(*_PART, "first_doc"), "known_cells")
+    compared = stored(shared.join(parts, _PART, "left").drop(*_PART), "compared_cells")
+    whole = compared.where("first_doc < doc_id").select(*_KEY, "places", "n")
+    windows = stored(compared.where("mixed and (first_doc is null or first_doc = doc_id)")
+                     .select(*_KEY, "places", "skip", F.posexplode("hashes"))
+                     .select(*_KEY, "places", (F.col("skip") + F.col("pos")).alias("skip"), "col.hash", "col.hash2"), "windows")
     known = stored(windows.groupBy(*_HASH).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_z"))
                    .where("first_doc < _z").select(*_HASH, "first_doc"), "known_windows")
     single = (windows.join(known, _HASH).where("first_doc < doc_id")
-              .select(*_KEY, F.col("at").alias("first"), F.col("at").alias("last")))
-    return rows, plain, factors.unionByName(single)
+              .select(*_KEY, F.transform("places", lambda x: x + F.col("skip")).alias("places"), F.lit(1).alias("n")))
+    return rows, plain, factors.unionByName(whole).unionByName(single)
 
 
 def _changed(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """Word counts and digests of all rows; of the rows that lose words ``n_removed, digest_kept, kept``."""
     rows, plain, spans = duplicate_spans(docs, window)
-    cuts = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    cuts = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("places", "n")).alias("spans"))
     schema = pa.schema([("doc_id", pa.int64()), ("row_hash", pa.int64()), ("n_removed", pa.int64()),
                         ("digest_kept", pa.string()), ("kept", pa.string())])
 
@@ -142,8 +179,9 @@ def _changed(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
                 words = text.encode().split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 for s in found:
-                    edge[s["first"]] += 1
-                    edge[s["last"] + window] -= 1
+                    at = np.array(s["places"])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + s["n"] + window - 1, -1)
                 kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out.append((doc, key, len(words) - len(kept), _digest(kept), b" ".join(kept).decode()))
             if out:

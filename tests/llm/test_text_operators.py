@@ -10,9 +10,10 @@ import pytest
 from edge_cases import DOCS, doc, edge_rows, passage
 
 from labelwise.llm import fingerprints, merge_dropout, near_duplicates, packing, substring, suffixes
-from labelwise.llm.common import SpanHash, hashed_words, utf8, word_spans
+from labelwise.llm.common import SpanHash, hashed_words, sliding_argmin, utf8, word_spans
 from labelwise.llm.components import components
 from labelwise.llm.settings import tokenizer
+from labelwise.llm.shared_runs import CELL, Cells
 
 RANKS, PIECES = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 ROWS = [(r[0], r[1] or "") for r in edge_rows()]
@@ -286,6 +287,65 @@ def test_substring_dedup_of_nothing(no_docs):
     assert substring.dedup(no_docs).count() == 0 and substring.clean(no_docs).columns == no_docs.columns
 
 
+def near_copies(n, seed, length=400):
+    """Copies of one text, some words apart from each other changed in each, with a line and a passage of many others around them."""
+    rng = np.random.default_rng(seed)
+    base, shared, out = passage(7, length).split(), passage(8, 90), []
+    for i in range(n):
+        w = list(base)
+        for k in rng.choice(length, length // 75, replace=False):
+            w[k] = f"edit{i}x{k}"
+        own = passage(1000 + i, int(rng.integers(0, 70)))
+        out.append((i, " ".join([own, *w[int(rng.integers(0, 60)):], passage(2000 + i, int(rng.integers(0, 9))), shared, own[::-1]])))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup_of_near_copies(spark, seed):
+    docs = near_copies(60, seed)
+    got = {r.doc_id: r.kept_sha256 for r in substring.dedup(spark.createDataFrame([doc(i, t) for i, t in docs], DOCS)).collect()}
+    assert got == {i: hashlib.sha256(" ".join(k).encode()).hexdigest() for (i, _), k in zip(docs, removed(docs))}
+
+
+def test_repeated_passages_of_near_copies_make_few_spans(spark):
+    """Spans of neighbouring windows and repeats inside a text, not a row for each window."""
+    docs = near_copies(60, 3) + [(100 + i, " ".join([passage(3000 + i, 9), (passage(9, 11) + " ") * (20 + i), passage(4000 + i, 9)])) for i in range(20)]
+    *_, spans = substring.duplicate_spans(spark.createDataFrame([doc(i, t) for i, t in docs], DOCS))
+    rows = spans.collect()
+    want, first = set(), {}
+    for i, t in docs:
+        w = words(t)
+        want |= {(i, k) for k in range(len(w) - 49) if first.setdefault(tuple(w[k:k + 50]), i) < i}
+    got = {(r.doc_id, k) for r in rows for x in r.places for k in range(x, x + r.n)}
+    assert got == want and len(rows) * 4 < len(want)
+
+
+def test_cells_follow_from_their_windows():
+    """Equal windows have equal cores and places in their cells, whatever is around them, also where grams repeat."""
+    texts = [" ".join(x) for x in ((passage(1, 30), passage(2, 150)), (passage(3, 41), passage(2, 150), passage(4, 9)),
+                                   (passage(5, 3), "a b " * 90), ("c " + "a b " * 80, passage(6, 20)), (passage(2, 150),))]
+    ((_, _, words_, woff),) = hashed_words(pa.array(texts), wide=True)
+    size = np.diff(woff) - 49
+    where = np.repeat(np.arange(len(texts)), size)
+    at = np.concatenate([woff[k] + np.arange(n) for k, n in enumerate(size)])
+    span = SpanHash(words_[0])
+    c = Cells(span, woff, where, at)
+    core = np.repeat(span(c.core, 50 - CELL + 1), np.diff(c.begin))
+    place = np.repeat(c.core, np.diff(c.begin)) - at
+    found = defaultdict(set)
+    for k, h in enumerate(span(at, 50)):
+        found[h].add((core[k], place[k]))
+    assert all(len(x) == 1 for x in found.values()) and place.min() >= 0 and place.max() < CELL
+    first, last = (np.repeat(woff[c.doc] + x, np.diff(c.begin)) for x in (c.first, c.last))
+    assert (first <= at).all() and (at <= last).all() and (first >= woff[where]).all() and (last + 50 <= woff[where + 1]).all()
+
+
+def test_places_of_the_least():
+    x = np.random.default_rng(1).integers(0, 5, 200)
+    for width in (1, 2, 7, 43, 200, 201):
+        assert sliding_argmin(x, width).tolist() == [k + int(np.argmin(x[k:k + width])) for k in range(200 - width + 1)]
+
+
 # ---------------------------------------------------------------- 8 suffixes
 
 def covered(docs, window=50):
